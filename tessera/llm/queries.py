@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, license_scan, line_dedup, mixing, quality, sharding, simhash
+from tessera.llm import bpe, license_scan, line_dedup, mixing, quality, sharding, simhash, topk
 from tessera.llm.common import unpack, written
 from tessera.llm.license_rules import PLAIN
 
@@ -28,6 +28,10 @@ def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     stats = written(quality.statistics(docs, carry={"doc_id": F.col("doc_id")}), "quality-stats")
@@ -50,12 +54,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_ring_sharding, op6_quality_rules, op7_mixing, op8_line_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_ring_sharding, op5_topk_search, op6_quality_rules, op7_mixing, op8_line_dedup, op10_license_scan)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
+    "op5_topk_search": """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS c FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.c::DOUBLE[], c.c::DOUBLE[])::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 5""",
     "op8_line_dedup": f"""
 WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM texts),
