@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, license_scan, line_dedup, mixing, quality, sharding, simhash, topk
+from tessera.llm import bpe, html_text, license_scan, line_dedup, mixing, quality, sharding, simhash, topk
 from tessera.llm.common import unpack, written
 from tessera.llm.license_rules import PLAIN
 
@@ -50,11 +50,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("row.text"), 256).alias("kept_sha256"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_ring_sharding, op5_topk_search, op6_quality_rules, op7_mixing, op8_line_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_ring_sharding, op5_topk_search, op6_quality_rules, op7_mixing, op8_line_dedup, op9_html_text, op10_license_scan)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
