@@ -1,25 +1,32 @@
 """SimHash near-dedup by anchor-point covering.
 
-A fingerprint has 64 bits by majority over the hashes of word shingles. Anchors are the code words of two perfect binary
-Golay codes, laid over bits 0 to 22 and 23 to 45: every fingerprint lies within three bits of one code word in each block,
-its home. If x and y differ in at most t bits, y lies within three bits and the bits by which it differs from x of x's home
-in each block, so y is sent to every anchor within covering radius plus threshold in that sense (about 61 anchors for
-t = 2), x is compared where it is at home, and no pair is missed. Most anchors are nobody's home; there nothing is compared.
-
-An anchor that is home to more than HEAVY distinct fingerprints is not compared pair by pair: its fingerprints are sent to
-the 65 words within one bit of each (fingerprints share such a word exactly if they differ in two bits at most), which
-deals the anchor over many tasks and gives at most 65 members to a word. This holds for thresholds up to two; for more,
-the pairs of heavy anchors are compared.
-
-Equal fingerprints are one node from the start, so a group of copies of any size is one row. Components are found on
-distinct fingerprints. Nulls: a null text has no words and fingerprint zero, linked like any other; a null id is never the
-smallest of a component (a component of null ids alone has a null id). Repeated rows come back as often as they went in.
-An empty table gives an empty table; other columns are not read.
+A fingerprint has one bit for each bit of a shingle hash, by majority over the text's shingles. Anchors are the words of a
+covering code: each block of a fingerprint's bits is covered by a perfect code (binary Golay or Hamming), so that every
+fingerprint lies within the code's radius of exactly one code word in each block, its home. If x and y differ in at most t
+bits of the blocks, y lies within the radius and its share of t of x's home in every block; so y is sent to all anchors
+within covering radius plus threshold in that sense, it meets x where x is at home, and no pair is missed. Rows are dealt by
+anchor, and in each anchor those at home there are compared with all that were sent.
+
+STRICT is the contract's rule: two Golay blocks over 46 bits, threshold two (about 61 anchors each), links at two differing
+bits or fewer, none missed. SIMILAR finds texts whose word shingles are alike to 0.8 or more, which differ in about 15 % of
+the bits: 17 tables of a Golay and a Hamming block over a fingerprint of 512 bits, threshold one in each table (about 8
+anchors), links at LIMIT differing bits of the first 128. A pair at similarity 0.8 meets in some table with a chance of about
+0.97 (measured in the tests); unrelated texts differ in half of all bits and never come near the limit.
+
+Equal fingerprints are one node from the start, so a group of copies of any size is one row. Within a chunk of comparisons
+linked nodes are joined into stars, so a group of near copies gives as many edges as it has members, not pairs. Anchors that
+are home to more than CELL nodes are split into a grid of cells (a share of those at home by a share of those sent), so no
+task holds an unbounded anchor and no pair is lost.
+
+Nulls: a null text has no words and fingerprint zero, linked like any other; a null id is never the smallest of a component
+(a component of null ids alone has a null id). Repeated rows come back as often as they went in, except from `one_of_each`,
+which keeps one. An empty table gives an empty table; clashing names of other columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,148 +38,270 @@ from pyspark.sql.types import AtomicType
 from tessera.llm.common import unpack, written
 from tessera.llm.graph import components
 
-SHINGLE, SEED, THRESHOLD = 3, 42, 2
-#: Generator polynomial of the binary Golay code of length 23 (a fixed value).
-GOLAY, LENGTH, RADIUS = 0xC75, 23, 3
-HEAVY = 512
+SEED, CELL, PAIRS = 42, 4096, 1 << 20
+#: Odd numbers that turn one shingle hash into further ones (the golden ratio's fraction and its multiples).
+STEP = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit majority fingerprint of a text as a signed number."""
+@dataclass(frozen=True)
+class Code:
+    """A perfect binary cyclic code: generator polynomial, length and covering radius (fixed values of coding theory)."""
+
+    generator: int
+    length: int
+    radius: int
+
+    @property
+    def checks(self) -> int:
+        return self.generator.bit_length() - 1
+
+    def syndromes(self, words: np.ndarray) -> np.ndarray:
+        """Remainders modulo the generator polynomial."""
+        out = words.copy()
+        for bit in range(self.length - 1, self.checks - 1, -1):
+            out ^= np.where(out >> bit & 1, self.generator << (bit - self.checks), 0)
+        return out
+
+
+GOLAY, HAMMING = Code(0b110001110101, 23, 3), Code(0b1011, 7, 1)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How fingerprints are covered: blocks in each table, the number of tables, and what makes a link."""
+
+    shingle: int
+    lanes: int
+    codes: tuple[Code, ...]
+    tables: int
+    threshold: int
+    compared: int  # lanes
+    limit: int  # differing bits in those
+
+
+STRICT = Layout(shingle=3, lanes=1, codes=(GOLAY, GOLAY), tables=1, threshold=2, compared=1, limit=2)
+SIMILAR = Layout(shingle=5, lanes=8, codes=(GOLAY, HAMMING), tables=17, threshold=1, compared=2, limit=28)
+
+
+def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
+    """The majority fingerprint of a text as signed 64-bit numbers."""
     terms = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII only
     if not terms:
-        return 0
+        return [0] * lanes
+    digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(terms) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(terms), SEED)]
+        hashes = [digest(join(terms), SEED)]
     else:
-        digest, join = xxhash.xxh64_intdigest, b" ".join
         hashes = [digest(join(t), SEED) for t in zip(*[terms[i:] for i in range(shingle)])]
-    totals = np.zeros(64, np.int64)
-    for first in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[first : first + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        totals += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * totals > len(hashes), bitorder="little").view("<i8")[0])
+    own, totals = np.array(hashes, dtype=np.uint64), np.zeros(64 * lanes, np.int64)
+    for first in range(0, len(own), 255 * 16):
+        part = _lanes(own[first : first + 255 * 16], lanes).view(np.uint8)
+        bits = np.unpackbits(part.reshape(len(part), -1), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # 255 ones at most fit a byte
+            totals += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * totals > len(own), bitorder="little").view("<i8").tolist()
+
+
+def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The hash itself and further ones made of it, as rows of little-endian numbers."""
+    out = np.empty((len(hashes), lanes), "<u8")
+    out[:, 0] = hashes
+    for k in range(1, lanes):
+        x = hashes + np.uint64(k * STEP % (1 << 64))
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ x >> np.uint64(31)
+    return out
 
 
-def with_fingerprints(docs: DataFrame, carry: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The carried columns and `fp` (long) of every row of docs."""
+def with_fingerprints(docs: DataFrame, carry: list[str], layout: Layout, text: str = "text") -> DataFrame:
+    """The carried columns and `fps` (array of longs) of every row of docs."""
     read = docs.select(*carry, F.col(text).alias("_text"))
-    schema = read.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
+    schema = read.drop("_text").withColumn("fps", F.array(F.lit(0).cast("long"))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column("_text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], fps], [*carry, "fp"])
+            fps = pa.array([fingerprint(t.as_py(), layout.shingle, layout.lanes) for t in batch.column("_text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], fps], [*carry, "fps"])
 
     return read.mapInArrow(run, schema)
 
 
-def _syndromes(block: np.ndarray) -> np.ndarray:
-    """Remainders of 23-bit words modulo the generator polynomial."""
-    out = block.copy()
-    for bit in range(LENGTH - 1, 10, -1):
-        out ^= np.where(out >> bit & 1, GOLAY << (bit - 11), 0)
-    return out
-
-
-def _patterns(threshold: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By excess over the radius: error patterns sorted by syndrome, with where each syndrome begins and how many it has."""
-    every = np.arange(1 << LENGTH, dtype=np.int64)
-    weight = np.bitwise_count(every)
-    out = []
-    for excess in range(threshold + 1):
-        own = every[weight <= RADIUS] if excess == 0 else every[weight == RADIUS + excess]
-        syndrome = _syndromes(own)
-        order = np.argsort(syndrome, kind="stable")
-        count = np.bincount(syndrome, minlength=1 << 11)
-        out.append((own[order], np.concatenate([[0], np.cumsum(count)[:-1]]), count))
-    return out
-
-
-_TABLES: dict[int, list] = {}
-
-
-def anchors(fps: np.ndarray, threshold: int, home: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) for each fingerprint: its home, or every anchor within radius and threshold."""
-    table = _TABLES.get(threshold) or _TABLES.setdefault(threshold, _patterns(threshold))
-    mask = (1 << LENGTH) - 1
-    blocks = [(fps >> (LENGTH * k) & mask).astype(np.int64) for k in range(2)]
-    syndromes = [_syndromes(b) for b in blocks]
-    rows, ids = [], []
-    for e0 in range(1 if home else threshold + 1):
-        for e1 in range(1 if home else threshold + 1 - e0):
-            (p0, at0, n0), (p1, at1, n1) = table[e0], table[e1]
+_PATTERNS: dict[tuple[Code, int], list] = {}
+
+
+def _patterns(code: Code, threshold: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By excess over the radius: error patterns sorted by syndrome, where each syndrome begins, and how many it has."""
+    if (code, threshold) not in _PATTERNS:
+        every = np.arange(1 << code.length, dtype=np.int64)
+        weight = np.bitwise_count(every)
+        out = []
+        for excess in range(threshold + 1):
+            own = every[weight <= code.radius] if excess == 0 else every[weight == code.radius + excess]
+            syndrome = code.syndromes(own)
+            count = np.bincount(syndrome, minlength=1 << code.checks)
+            out.append((own[np.argsort(syndrome, kind="stable")], np.cumsum(count) - count, count))
+        _PATTERNS[code, threshold] = out
+    return _PATTERNS[code, threshold]
+
+
+def _bits(fps: np.ndarray, offset: int, length: int) -> np.ndarray:
+    """Bits offset to offset + length of fingerprints (rows of uint64)."""
+    lane, shift = divmod(offset, 64)
+    out = fps[:, lane] >> np.uint64(shift)
+    if shift + length > 64:
+        out |= fps[:, lane + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << length) - 1)).astype(np.int64)
+
+
+def anchors(fps: np.ndarray, layout: Layout, table: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, whether it is the row's home) for every anchor of a table that each fingerprint is sent to."""
+    first, second = layout.codes
+    offset = table * (first.length + second.length)
+    words = [_bits(fps, offset, first.length), _bits(fps, offset + first.length, second.length)]
+    syndromes = [c.syndromes(w) for c, w in zip(layout.codes, words)]
+    rows, ids, homes = [], [], []
+    for e0 in range(layout.threshold + 1):
+        for e1 in range(layout.threshold + 1 - e0):
+            (p0, at0, n0), (p1, at1, n1) = _patterns(first, layout.threshold)[e0], _patterns(second, layout.threshold)[e1]
             a, b = n0[syndromes[0]], n1[syndromes[1]]
             total = a * b
             row = np.repeat(np.arange(len(fps)), total)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
-            wide = b[row]
-            c0 = blocks[0][row] ^ p0[at0[syndromes[0][row]] + inner // wide]
-            c1 = blocks[1][row] ^ p1[at1[syndromes[1][row]] + inner % wide]
+            inner, wide = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total), b[row]
+            c0 = words[0][row] ^ p0[at0[syndromes[0][row]] + inner // wide]
+            c1 = words[1][row] ^ p1[at1[syndromes[1][row]] + inner % wide]
+            # the upper bits of a code word, as many as it has of its own, determine it
+            ids.append(c0 >> first.checks | c1 >> second.checks << (first.length - first.checks))
             rows.append(row)
-            # the upper twelve bits of a code word determine it
-            ids.append((c0 >> 11 | c1 >> 11 << 12).astype(np.int32))
-    return np.concatenate(rows), np.concatenate(ids)
+            homes.append(np.full(len(row), e0 + e1 == 0))
+    return np.concatenate(rows), np.concatenate(ids), np.concatenate(homes)
 
 
-def _placed(fps: DataFrame, threshold: int, home: bool) -> DataFrame:
+def _sent(nodes: DataFrame, layout: Layout) -> DataFrame:
+    """(anchor, home, f0, f1) for every anchor that a node (column fps) is sent to; anchors of different tables differ."""
+    span = sum(c.length - c.checks for c in layout.codes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for first in range(0, len(own), 2000):
-                part = own[first : first + 2000]
-                row, anchor = anchors(part, threshold, home)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row].view(np.int64))], ["anchor", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "anchor int, fp long")
-
-
-def links(fps: DataFrame, threshold: int = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column fp) at most threshold bits apart."""
-    homes, sent = _placed(fps, threshold, True), _placed(fps, threshold, False)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    crowded = written(homes.groupBy("anchor").count().filter(F.col("count") > heavy).select("anchor"), "simhash-crowded")
-    split = threshold <= 2 and not crowded.isEmpty()
-    light = homes.join(crowded, "anchor", "left_anti") if split else homes
-    pairs = light.withColumnRenamed("fp", "a").join(sent.withColumnRenamed("fp", "b"), "anchor").filter((F.col("a") != F.col("b")) & near).select("a", "b")
-    if not split:
-        return pairs
-    members = sent.join(crowded, "anchor", "left_semi").select("fp").distinct()
-    one = [0, *[1 << i for i in range(63)], -(1 << 63)]
-    words = members.select("fp", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in one]), lambda x: x.bitwiseXOR(F.col("fp")))).alias("w"))
-    met = words.groupBy("w").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)  # 65 members at most
-    if threshold == 2:
-        met = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-    else:  # a word that is a member itself, with what lies one bit away
-        met = met.filter(F.array_contains("fps", F.col("w"))).select(F.col("w").alias("a"), F.explode("fps").alias("b"))
-    return pairs.unionByName(met.filter((F.col("a") != F.col("b")) & near))
-
-
-def grouped(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint of rows (doc_id, fp); rows should be a written table."""
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    roots = written(components(links(fps, threshold), "simhash-edges").select(F.col("node").alias("fp"), "root"), "simhash-roots")
-    named = fps.join(roots, "fp")
+            every = np.array(batch.column("fps").to_pylist(), dtype=np.int64).reshape(-1, layout.lanes).view(np.uint64)
+            for first in range(0, len(every), 2000):
+                part = every[first : first + 2000]
+                signed = part.view(np.int64)
+                for table in range(layout.tables):
+                    row, anchor, home = anchors(part, layout, table)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | table << span), pa.array(home), pa.array(signed[row, 0]), pa.array(signed[row, layout.compared - 1])], ["anchor", "home", "f0", "f1"])
+
+    return nodes.select("fps").mapInArrow(run, "anchor long, home boolean, f0 long, f1 long")
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node of the pairs (a, b) to the least node that it is connected to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new[new]
+    out = label != np.arange(len(nodes))
+    return nodes[out], nodes[label[out]]
+
+
+def _compared(rows: np.ndarray, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars of linked nodes among whole runs of rows (anchor and cell, home, f0, f1), compared in chunks of bounded size."""
+    anchor, home, f0, f1 = rows
+    begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    size = np.diff(np.append(begin, len(anchor)))
+    run = np.repeat(np.arange(len(begin)), size)
+    at_home = np.flatnonzero(home & (size[run] > 1))
+    total = size[run[at_home]]
+    ends = np.cumsum(total)
+    first = 0
+    while first < len(at_home):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+        own, n = at_home[first:last], total[first:last]
+        x = np.repeat(own, n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + begin[run[x]]
+        far = np.bitwise_count(f0[x] ^ f0[y]).astype(np.int64)
+        if layout.compared > 1:
+            far += np.bitwise_count(f1[x] ^ f1[y])
+        near = (far <= layout.limit) & (f0[x] != f0[y])
+        if near.any():
+            yield _stars(f0[x[near]], f0[y[near]])
+        first = last
+
+
+def links(nodes: DataFrame, layout: Layout, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between first lanes that connect all linked nodes (column fps, one row for each first lane)."""
+    sent = _sent(nodes, layout).withColumn("cell", F.lit(0))
+    crowded = written(sent.filter("home").groupBy("anchor").count().filter(F.col("count") > cell).select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("n")), "simhash-crowded")
+    if not crowded.isEmpty():
+        # a grid: those at home take one row of cells and every column, those sent take one column and every row
+        mine = F.pmod(F.xxhash64("f0"), F.col("n"))
+        every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+        wide = sent.drop("cell").join(crowded, "anchor")
+        home = wide.filter("home").withColumn("k", every).select("anchor", "home", "f0", "f1", (mine * F.col("n") + F.col("k")).cast("int").alias("cell"))
+        guest = wide.withColumn("k", every).select("anchor", F.lit(False).alias("home"), "f0", "f1", (F.col("k") * F.col("n") + mine).cast("int").alias("cell"))
+        sent = sent.join(crowded, "anchor", "left_anti").unionByName(home).unionByName(guest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "home", "f0", "f1")]
+                own = [own[0] << 24 | own[1], own[2], own[3].view(np.uint64), own[4].view(np.uint64)]
+                rest = own if rest is None else [np.concatenate(p) for p in zip(rest, own)]
+                changes = np.flatnonzero(rest[0][1:] != rest[0][:-1])
+                if len(rest[0]) < 200_000 or not len(changes):
+                    continue
+                cut = int(changes[-1]) + 1  # the last run may go on in the next batch
+                whole, rest = [p[:cut] for p in rest], [p[cut:] for p in rest]
+            elif rest is None:
+                return
+            else:
+                whole = rest
+            for a, b in _compared(whole, layout):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return sent.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(run, "a long, b long")
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def grouped(rows: DataFrame, layout: Layout) -> DataFrame:
+    """(fp, root, component_id) of every distinct first lane of rows (doc_id, fps); rows should be a written table."""
+    nodes = written(rows.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps")), "simhash-nodes")
+    roots = written(components(links(nodes, layout), "simhash-edges").select(F.col("node").alias("fp"), "root"), "simhash-roots")
+    named = nodes.select("fp", "least").join(roots, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "root").select("fp", "root", "component_id")
-    return fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = nodes.select("fp", "least").join(linked, "fp", "left")
+    return out.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, layout: Layout = STRICT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
-    rows = written(with_fingerprints(docs, ["doc_id"]), "simhash-rows")
-    out = rows.join(grouped(rows, threshold), "fp")
+    rows = written(with_fingerprints(docs, ["doc_id"], layout), "simhash-rows")
+    out = rows.withColumn("fp", F.col("fps")[0]).join(grouped(rows, layout), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, layout: Layout = SIMILAR) -> DataFrame:
     """The rows of docs that are the first of their group (by id, then by content), with all their columns; equal rows count as one."""
     packed = docs.select(F.struct("*").alias("row"))
     atoms = [F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]
     keyed = packed.withColumns({"k1": F.xxhash64(F.lit(1), *atoms), "k2": F.xxhash64(F.lit(2), *atoms)})
     inner = keyed.select("k1", "k2", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    rows = written(with_fingerprints(inner, ["doc_id", "k1", "k2"], shingle=shingle), "simhash-rows")
-    placed = rows.join(grouped(rows, threshold).select("fp", "root"), "fp")
+    rows = written(with_fingerprints(inner, ["doc_id", "k1", "k2"], layout), "simhash-rows")
+    placed = rows.withColumn("fp", F.col("fps")[0]).join(grouped(rows, layout).select("fp", "root"), "fp")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2")
     kept = keyed.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return kept.select(*unpack(kept))
