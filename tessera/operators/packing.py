@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from tessera.functions.text import answer_fields, event_text, location, preview,
 
 # Labels and messages of answers.
 UNKNOWN, CITED = "Unbekannt", "zitiert von Hauptquellen"
+NO_EVIDENCE = "Nicht genügend belastbare Belege im Korpus gefunden."
+ONE_SOURCE = "Nur eine Quelle gefunden. Für eine zuverlässige Antwort werden mindestens zwei unabhängige Belege benötigt."
+NEXT_STEPS = "\n\nMögliche nächste Schritte:\n• Versuchen Sie eine spezifischere Formulierung der Frage\n• Prüfen Sie, ob relevante Dokumente bereits im System erfasst sind\n• Erweitern Sie die Suche auf verwandte Themen oder Begriffe"
 FALLBACK_SOURCES, FALLBACK_CHARS, SNIPPET_CHARS, CITED_DOCS = 3, 3000, 200, 2
 
 
@@ -61,6 +67,29 @@ def answer_kind(reply: Column) -> Column:
     )
 
 
+def insufficient(n_sources: Column) -> Column:
+    """What is answered where there is too little evidence."""
+    return F.concat(F.when(n_sources == 1, ONE_SOURCE).otherwise(NO_EVIDENCE), F.lit(NEXT_STEPS))
+
+
+def answered(prompts: DataFrame, model: Callable[[list[str]], list[str]], sources: str = "sources") -> DataFrame:
+    """prompts (prompt, sources: array of structs) with the model's reply and what becomes of it.
+
+    A reply that isn't JSON but has something to say is the answer itself, with the first sources as its evidence.
+    """
+
+    @F.pandas_udf("string")
+    def ask(texts: pd.Series) -> pd.Series:
+        return pd.Series(model(texts.tolist()))
+
+    reply = F.col("reply")
+    fields = prompts.withColumn("reply", ask(F.col("prompt"))).withColumns({"kind": answer_kind(reply), "f": answer_fields(reply)})
+    answer = F.when(F.col("kind") == "cited", F.col("f.answer")).when(F.col("kind") == "fallback", preview(F.coalesce("f.answer", "reply"), FALLBACK_CHARS)).otherwise(insufficient(F.col("f.n_sources")))
+    shown = F.when(F.col("kind") == "fallback", F.slice(F.col(sources), 1, FALLBACK_SOURCES)).when(F.col("kind") == "cited", F.col(sources))
+    confidence = F.when(F.col("kind") == "insufficient", "low").when(F.col("kind") == "fallback", "medium").otherwise(F.col("f.confidence"))
+    return fields.withColumns({"answer": answer, "confidence": confidence, "evidence": shown}).drop("f")
+
+
 def event_rows(answers: DataFrame) -> DataFrame:
     """The events of each answer (qid, sources, chunks): sources, a chunk for each part, done; as (qid, seq, event)."""
     parts = F.concat(F.array(F.struct(F.lit("sources").alias("kind"), F.to_json("sources").alias("data"))), F.transform("chunks", lambda c: F.struct(F.lit("chunk").alias("kind"), c.alias("data"))), F.array(F.struct(F.lit("done").alias("kind"), F.lit("{}").alias("data"))))

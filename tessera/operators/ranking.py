@@ -38,6 +38,11 @@ def hydrated(hits: DataFrame, documents: DataFrame, columns: list[str]) -> DataF
     return hits.join(documents.select("doc_id", *columns), "doc_id", "left")
 
 
+def reranked(rows: DataFrame, n: int, per: list[str] | None = None) -> DataFrame:
+    """The first n by a rerank score, by blend where that is equal (as after a failed model), then by window."""
+    return best(rows, [F.desc("rerank"), F.desc("blend"), F.col("window_id")], n, per)
+
+
 def hits_of(candidates: DataFrame, n: int = 8, pool: int = POOL, keep: int = KEEP, most: int = PER_DOC, per: list[str] | None = None) -> DataFrame:
     """The n hits of all, or of each question: pool by blend, rerank by blend, keep, diversify."""
     order = [F.desc("blend"), F.col("window_id")]

@@ -99,10 +99,13 @@ def embedded(rows: DataFrame, size: int, model: Callable[[list[str]], list[list[
 
 
 def rescored(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], question: str, text: str) -> DataFrame:
-    """pairs with the score of a reranking model, in Arrow batches."""
+    """pairs with the score of a reranking model, in Arrow batches; 0.5 for all of a batch that the model fails on."""
 
     @F.pandas_udf("double")
     def score(questions: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series(scorer(questions.tolist(), texts.str.slice(0, 1500).tolist()))
+        try:
+            return pd.Series(scorer(questions.tolist(), texts.str.slice(0, 1500).tolist()))
+        except Exception:  # noqa: BLE001  the model is foreign code, and the order by blend is left without it
+            return pd.Series([0.5] * len(texts))
 
     return pairs.withColumn("rerank", score(F.col(question), F.col(text)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import document_id, jaccard, old_version_reason, set_append, word_set
-from tessera.operators.vectors import cosine
+from tessera.operators.vectors import batch_top_k
 
 SIMILAR, OVERLAP, NEAREST = 0.95, 0.80, 5
 
@@ -96,12 +96,12 @@ def duplicate_hashes(documents: DataFrame, most: int = 20) -> DataFrame:
 def similar_documents(means: DataFrame, asked: DataFrame, least: float = SIMILAR, nearest: int = NEAREST) -> DataFrame:
     """For each asked document (doc_id, mean): up to `nearest` others whose mean vector is alike.
 
-    The asked set is a batch of newly ingested documents; it is broadcast only where Spark finds it small.
+    The asked set is a batch of newly ingested documents; it passes over the means in bounded broadcasts.
     """
-    one = asked.select(F.col("doc_id").alias("new_id"), F.col("mean").alias("new_mean"))
-    pairs = means.join(one, F.col("doc_id") != F.col("new_id")).withColumn("similarity", cosine(F.col("mean"), F.col("new_mean"))).filter(F.col("similarity") >= least)
-    rank = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("similarity"), "doc_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("new_id", F.col("doc_id").alias("old_id"), "similarity", "rank")
+    queries = asked.select(F.col("doc_id").alias("qid"), F.col("mean").alias("qvec"))
+    near = batch_top_k(means, queries, nearest + 1, key="doc_id", vector="mean").filter((F.col("doc_id") != F.col("qid")) & (F.col("score") >= least))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= nearest).select(F.col("qid").alias("new_id"), F.col("doc_id").alias("old_id"), F.col("score").alias("similarity"), "rank")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, least: float = OVERLAP) -> DataFrame:

@@ -297,3 +297,65 @@ def test_micro_batch_ingest_resumes(spark, tmp_path):
     run()
     assert rows(spark.read.parquet(out)) == [(1, "a"), (2, "b")]
     assert rows(streams.changed_only(spark.read.parquet(out), spark.createDataFrame([(1, "a"), (2, "x")], schema), "k", "h")) == [(2, "b")]
+
+
+# ---- crawl plans and answers
+
+
+def test_breadth_first_over_a_table(spark, tmp_path):
+    from tessera.plans import crawl as plan
+
+    link = lambda *t: "".join(f"<a href='{x}'>{x}</a>" for x in t)
+    site = {"http://e.org/": link("a", "b", "http://o.org/x", "d.pdf"), "http://e.org/a": link("c", "/"), "http://e.org/b": link("a", "e.pdf"), "http://e.org/c": link("z")}
+    pages = spark.createDataFrame(list(site.items()), "url string, html string")
+
+    def save(frame, name):
+        path = str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}")
+        frame.write.parquet(path)
+        return spark.read.parquet(path)
+
+    seeds = spark.createDataFrame([("http://e.org/#top",)], "url string")
+    got, docs, cut = plan.breadth_first(seeds, plan.from_table(pages), save, depth=2)
+    assert rows(got.select("depth", "url")) == [(0, "http://e.org/"), (1, "http://e.org/a"), (1, "http://e.org/b"), (2, "http://e.org/c")]
+    assert rows(docs.select("target", "source_url")) == [("http://e.org/d.pdf", "http://e.org/"), ("http://e.org/e.pdf", "http://e.org/b")] and not cut
+    few, _, cut = plan.breadth_first(seeds, plan.from_table(pages), save, depth=2, most=2)
+    assert few.count() == 2 and cut
+    assert {r.kind for r in plan.events(got, docs).collect()} == {"page", "document"}
+    web = plan.from_web(lambda u: (200, None, site[u].encode()) if u in site else (404, None, b""))
+    assert rows(plan.breadth_first(seeds, web, save, depth=1)[0].select("depth", "url")) == [(0, "http://e.org/"), (1, "http://e.org/a"), (1, "http://e.org/b")]
+
+
+def test_numbered_pages_stop_at_a_gap(spark):
+    from tessera.plans import crawl as plan
+
+    pages = spark.createDataFrame([("http://e.org/01", "ok"), ("http://e.org/02", "Nr. 2 fehlt"), ("http://e.org/03", "Nr. 03 fehlt"), ("http://e.org/09", "ok")], "url string, html string")
+    got = plan.numbered(spark, "http://e.org/{}", 1, 9, 2, "Nr. {} fehlt", 3, plan.from_table(pages))
+    assert rows(got.select("num", "hit", "misses")) == [(1, True, 0), (2, False, 1), (3, False, 2), (4, False, 3)]
+
+
+def test_sweep_archives_what_a_page_no_longer_has(spark):
+    from tessera.plans import crawl as plan
+
+    docs = spark.createDataFrame([("a", "t", "u", "h", None, True, None, None, "p", "x", None, NOW), ("b", "t", "u", "h", None, True, None, None, "p", "y", None, NOW)], DOCS)
+    found = spark.createDataFrame([("x",)], "target string")
+    got = {r.doc_id: r for r in plan.swept(docs, found, "p", F.lit(NOW)).collect()}
+    assert (got["a"].is_current, got["a"].last_seen_at) == (True, NOW)
+    assert (got["b"].is_current, got["b"].archive_reason, got["b"].last_seen_at) == (False, "orphaned", None)
+
+
+def test_answers_and_fallbacks(spark):
+    data = spark.createDataFrame([(1, "json", [(1, "d"), (2, "e")]), (2, "prose", [(i, "d") for i in range(5)]), (3, "nothing", [])], "id int, prompt string, sources array<struct<index:int,doc_id:string>>")
+    replies = {"json": '{"answer": "ja", "sources": ["d"], "confidence": "high"}', "prose": "lang " * 40, "nothing": "?"}
+    got = {r.id: r for r in packing.answered(data, lambda prompts: [replies[p] for p in prompts]).collect()}
+    assert (got[1].kind, got[1].answer, got[1].confidence, len(got[1].evidence)) == ("cited", "ja", "high", 2)
+    assert (got[2].kind, got[2].confidence, len(got[2].evidence)) == ("fallback", "medium", 3)
+    assert got[3].kind == "insufficient" and got[3].answer.startswith("Nicht genügend") and "nächste Schritte" in got[3].answer
+
+
+def test_a_failing_reranker_keeps_the_order_by_blend(spark):
+    def broken(questions, texts):
+        raise OSError
+
+    data = spark.createDataFrame([(1, 0.2, "q", "a"), (2, 0.9, "q", "b")], "window_id long, blend double, q string, text string")
+    got = ranking.reranked(vectors.rescored(data, broken, "q", "text"), 2)
+    assert [r.window_id for r in got.orderBy("rank").collect()] == [2, 1]
