@@ -15,12 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from tessera.llm.common import SPACES, ascii_lower, unpack
-
-
-def line_key(line: Column) -> Column:
-    """A line without white space around it, with A to Z in lower case."""
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+from tessera.llm.common import SPACES, ascii_lower, let, unpack, written
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text") -> DataFrame:
@@ -34,7 +29,8 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
         F.xxhash64(body).alias("k1"),
         F.xxhash64(F.lit(1), *[F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]).alias("k2"),
     )
-    lines = keyed.select("k1", "k2", F.transform("lines", _hashed(min_chars)).alias("hashes"))
+    # A to Z are lowered in the whole text at once; hashes and places are read twice, so they are written
+    lines = written(keyed.select("k1", "k2", F.transform(F.split(ascii_lower(body), "\n"), _hashed(min_chars)).alias("hashes")), "line-hashes")
     hot = (
         lines.select(F.explode(F.array_distinct("hashes")).alias("h"))
         .filter("h IS NOT NULL")
@@ -63,9 +59,10 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
 
 
 def _hashed(min_chars: int):
+    """The hash of a lowered line's key: the line without white space around it; null for keys that are too short."""
+
     def hashed(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= min_chars, F.xxhash64(key))
+        return let(F.btrim(line, F.lit(SPACES)), lambda key: F.when(F.char_length(key) >= min_chars, F.xxhash64(key)))
 
     return hashed
 
