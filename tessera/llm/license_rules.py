@@ -8,7 +8,8 @@ are whole expressions of their own: `label | priority | keyword | expression`.
 from __future__ import annotations
 
 NAMED = """
-0bsd | bsd | (?:0bsd|zero clause bsd|bsd zero clause)
+0bsd | 0bsd | 0bsd
+0bsd | bsd | (?:zero clause bsd|bsd zero clause)
 afl-3 | academic | academic free license(?: v| version)? ?3(?: 0)?
 agpl-3 | affero | (?:gnu )?affero (?:general public license|gpl)(?: v| version)? ?3(?: 0)?
 agpl-3 | agpl | (?:gnu )?agpl ?(?:v|version )?3(?: 0)?
@@ -30,8 +31,8 @@ bsd-3 | bsd | bsd (?:3|three) clause
 bsd-4 | bsd | (?:4 clause|four clause|original) bsd
 bsd-4 | bsd | bsd (?:4|four) clause
 bsd | bsd | bsd(?: style)?
-bsl-1 | boost | boost software license(?: version)? ?1(?: 0)?
-boost | boost | boost software license
+bsl-1 | boost software license | boost software license(?: version)? ?1(?: 0)?
+boost | boost software license | boost software license
 busl-1.1 | business | business source license(?: version)? ?1 1
 cc0-1 | cc0 | cc0(?: 1 0)?(?: universal)?
 cc-by | creative | creative commons attribution(?: [1-4] [05])?(?: international| unported| generic)?
@@ -101,69 +102,77 @@ zlib | zlib | zlib(?: libpng)?
 zpl-2.1 | zope | zope public license(?: v| version)?(?: 2 1)?
 """
 
-#: form, priority, confidence in hundredths, expression around a name. A longer name beats a shorter one of its priority by containment.
+#: form, priority, confidence in hundredths, what a text must hold, expression around a name. A longer name beats a shorter one of its priority by containment.
+GRANT = r"(?:licen[cs]ed|released|distributed|published|provided|available|covered) under"
 FORMS = [
-    ("grant", 3, 95, r"(?:licen[cs]ed|released|distributed|published|provided|available|covered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?"),
-    ("spdx", 4, 99, r"spdx licen[cs]e identifier {name}"),
-    ("title", 2, 80, r"(?:the )?{name} licen[cs]e"),
+    ("grant", 3, 95, " under ", GRANT + r" (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?"),
+    ("spdx", 4, 99, " spdx ", r"spdx licen[cs]e identifier {name}"),
+    ("title", 2, 80, " licen", r"(?:the )?{name} licen[cs]e"),
 ]
 
 PHRASES = """
-gpl | 3 | general | under the terms of the gnu general public license as published by the free software foundation
-gpl-2-or-later | 4 | later | either version 2 of the license or at your option any later version
-gpl-3-or-later | 4 | later | either version 3 of the license or at your option any later version
-gpl-3 | 4 | general | gnu general public license version 3
-gpl-2 | 4 | general | gnu general public license version 2
-lgpl | 3 | lesser | under the terms of the gnu lesser general public license
-agpl | 3 | affero | under the terms of the gnu affero general public license
+gpl | 3 | general public license | under the terms of the gnu general public license as published by the free software foundation
+gpl-2-or-later | 4 | any later version | either version 2 of the license or at your option any later version
+gpl-3-or-later | 4 | any later version | either version 3 of the license or at your option any later version
+gpl-3 | 4 | license version | gnu general public license version 3
+gpl-2 | 4 | license version | gnu general public license version 2
+lgpl | 3 | lesser general public license | under the terms of the gnu lesser general public license
+agpl | 3 | affero general public license | under the terms of the gnu affero general public license
 apache-2 | 4 | apache | apache org licenses license 2 0
-apache-2 | 3 | compliance | you may not use this file except in compliance with the license
-mit | 3 | permission | permission is hereby granted free of charge to any person obtaining a copy
-mit | 4 | opensource | opensource org licenses mit(?: license)?
-bsd | 3 | redistribution | redistribution and use in source and binary forms with or without modification are permitted
-bsd-3 | 4 | endorse | may be used to endorse or promote products derived from this software without specific prior written permission
-bsd-4 | 4 | advertising | all advertising materials mentioning features or use of this software
-bsd-2 | 4 | opensource | opensource org licenses bsd 2 clause
-bsd-3 | 4 | opensource | opensource org licenses bsd 3 clause
-isc | 3 | permission | permission to use copy modify and or distribute this software for any purpose
-zlib | 3 | altered | altered source versions must be plainly marked as such
-unlicense | 3 | encumbered | this is free and unencumbered software released into the public domain
-cc0-1 | 4 | creativecommons | creativecommons org publicdomain zero 1 0
+apache-2 | 3 | in compliance with the license | you may not use this file except in compliance with the license
+mit | 3 | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy
+mit | 4 | opensource org licenses | opensource org licenses mit(?: license)?
+bsd | 3 | source and binary forms | redistribution and use in source and binary forms with or without modification are permitted
+bsd-3 | 4 | endorse or promote | may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4 | 4 | all advertising materials | all advertising materials mentioning features or use of this software
+bsd-2 | 4 | opensource org licenses | opensource org licenses bsd 2 clause
+bsd-3 | 4 | opensource org licenses | opensource org licenses bsd 3 clause
+isc | 3 | permission to use copy | permission to use copy modify and or distribute this software for any purpose
+zlib | 3 | altered source versions | altered source versions must be plainly marked as such
+unlicense | 3 | free and unencumbered software | this is free and unencumbered software released into the public domain
+cc0-1 | 4 | publicdomain zero | creativecommons org publicdomain zero 1 0
 cc-by | 4 | creativecommons | creativecommons org licenses by [1-4] [05]
 cc-by-sa | 4 | creativecommons | creativecommons org licenses by sa [1-4] [05]
 cc-by-nd | 4 | creativecommons | creativecommons org licenses by nd [1-4] [05]
 cc-by-nc | 4 | creativecommons | creativecommons org licenses by nc [1-4] [05]
 cc-by-nc-sa | 4 | creativecommons | creativecommons org licenses by nc sa [1-4] [05]
 cc-by-nc-nd | 4 | creativecommons | creativecommons org licenses by nc nd [1-4] [05]
-mpl-2 | 3 | mozilla | subject to the terms of the mozilla public license v 2 0
-mpl-2 | 4 | mozilla | mozilla org mpl 2 0
-epl-2 | 4 | eclipse | eclipse org legal epl 2 0
-bsl-1 | 3 | boost | boost software license version 1 0
-ofl-1.1 | 4 | scripts | scripts sil org ofl
+mpl-2 | 3 | mozilla public license | subject to the terms of the mozilla public license v 2 0
+mpl-2 | 4 | mozilla org mpl | mozilla org mpl 2 0
+epl-2 | 4 | legal epl | eclipse org legal epl 2 0
+bsl-1 | 3 | boost software license | boost software license version 1 0
+ofl-1.1 | 4 | sil org ofl | scripts sil org ofl
 wtfpl | 3 | public license | do what the fuck you want to public license
 public-domain | 2 | public domain | (?:released|placed|dedicated|is|are) (?:in|into|to) the public domain
 public-domain | 2 | public domain | public domain dedication
 proprietary | 2 | rights reserved | all rights reserved
-proprietary | 2 | reproduction | no part of this (?:work|publication|book|document) may be reproduced
-proprietary | 2 | proprietary | proprietary and confidential
+proprietary | 2 | may be reproduced | no part of this (?:work|publication|book|document) may be reproduced
+proprietary | 2 | proprietary and confidential | proprietary and confidential
 proprietary | 2 | unauthorized | unauthorized (?:copying|use|reproduction|distribution)(?: of this (?:file|software))?
 copyright | 1 | copyright | copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?
-non-commercial | 2 | commercial | for non ?commercial use only
-no-derivatives | 2 | derivative | no derivative works
+non-commercial | 2 | commercial use only | for non ?commercial use only
+no-derivatives | 2 | no derivative works | no derivative works
 """
 
 
-def rules() -> list[tuple[int, str, int, int, str, str]]:
-    """(order, label, priority, confidence in hundredths, keyword, expression) of every signature, in order."""
+def rules() -> list[tuple[int, str, int, int, str, str, str]]:
+    """(order, label, priority, confidence in hundredths, two keywords, expression) of every signature, in order."""
     out = []
     for line in filter(None, NAMED.split("\n")):
         label, keyword, name = line.split(" | ")
-        for _, priority, sure, form in FORMS:
-            out.append((label, priority, sure, keyword, form.replace("{name}", name)))
+        for _, priority, sure, needed, form in FORMS:
+            out.append((label, priority, sure, " " + keyword, needed, form.replace("{name}", name)))
     for line in filter(None, PHRASES.split("\n")):
         label, priority, keyword, expression = line.split(" | ")
-        out.append((label, int(priority), {4: 99, 3: 95, 2: 80, 1: 50}[int(priority)], keyword, expression))
-    return [(i, label, priority, sure, keyword, f"(?<= )(?:{expression})(?= )") for i, (label, priority, sure, keyword, expression) in enumerate(out)]
+        out.append((label, int(priority), {4: 99, 3: 95, 2: 80, 1: 50}[int(priority)], " " + keyword, " ", expression))
+    return [(i, *rule[:-1], f"(?<= )(?:{rule[-1]})(?= )") for i, rule in enumerate(out)]
+
+
+def gate() -> str:
+    """An expression that every text with a hit of some rule matches."""
+    phrases = [line.split(" | ")[2] for line in filter(None, PHRASES.split("\n"))]
+    alone = sorted({p for p in phrases if "licen" not in p})
+    return f"(?<= )(?:{GRANT}|licen[cs]es?|spdx|{'|'.join(alone)})(?= )"
 
 
 #: (label, phrase) whose places are counted word for word.

@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A text becomes lower-case words with one space between them. Only texts that hold one of the rules' keywords are scanned,
-each of them only by the rules whose keyword it holds. A hit is an interval of words. Hits that lie inside a hit of higher
+A text becomes lower-case words with one space between them. Only texts that hold what some rule needs are scanned, each of
+them only by the rules whose keywords it holds. A hit is an interval of words. Hits that lie inside a hit of higher
 priority, or inside a longer or earlier-ruled hit of the same priority, are suppressed; the labels of the rest count. Three
 plain phrases are counted at every place beside that, and their labels always stay.
 
@@ -18,11 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower
-from tessera.llm.license_rules import PLAIN, rules
+from tessera.llm.license_rules import PLAIN, gate, rules
 
 #: Everything in ASCII but digits and letters separates words; A to Z are lower-case by then.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RULE = "order int, label string, priority int, sure int, keyword string, expression string"
 
 
 def spaced(text: Column) -> Column:
@@ -35,7 +34,7 @@ def _spaces(text: Column) -> Column:
 
 
 def _literal_rules() -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("order", "label", "priority", "sure", "keyword", "expression"), r)]) for r in rules()])
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("order", "label", "priority", "sure", "keyword", "needed", "expression"), r)]) for r in rules()])
 
 
 def _places(text: Column, rule: Column) -> Column:
@@ -51,8 +50,6 @@ def _places(text: Column, rule: Column) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    keywords = sorted({r[4] for r in rules()})
-    gate = "|".join(k for k in keywords if not any(o != k and o in k for o in keywords))
     rows = docs.select(
         F.col(key).alias("doc_id"),
         spaced(F.col(text)).alias("s"),
@@ -79,7 +76,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.greatest(*[f["last"] for f in facts]).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(f["n"] > 0, F.lit(label)) for f, (label, _) in zip(facts, PLAIN)])).alias("base"),
     )
-    found = _labels(rows.filter(F.col("s").rlike(gate)).select("s", F.xxhash64("s").alias("k1"), F.crc32(F.col("s").cast("binary")).alias("k2")))
+    found = _labels(rows.filter(F.col("s").rlike(gate())).select("s", F.xxhash64("s").alias("k1"), F.crc32(F.col("s").cast("binary")).alias("k2")))
     joined = counted.join(found, ["k1", "k2"], "left")
     labels = F.sort_array(F.array_distinct(F.concat("base", F.coalesce("extra", F.array().cast("array<string>")))))
     return joined.select(
@@ -96,7 +93,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def detections(texts: DataFrame) -> DataFrame:
     """Every hit of every rule in texts (k1, k2, s): k1, k2, first, last, priority, order, label, sure, kept."""
-    candidates = F.filter(_literal_rules(), lambda r: F.contains(F.col("s"), r["keyword"]))
+    candidates = F.filter(_literal_rules(), lambda r: F.contains(F.col("s"), r["keyword"]) & F.contains(F.col("s"), r["needed"]))
     matching = F.filter(candidates, lambda r: F.regexp_like(F.col("s"), r["expression"]))
     hits = texts.select("k1", "k2", F.explode(F.flatten(F.transform(matching, lambda r: _places(F.col("s"), r)))).alias("hit")).select("k1", "k2", "hit.*")
     # A hit is inside another if that one starts no later and ends no earlier. Longer hits come first among equal starts,
