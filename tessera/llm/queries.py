@@ -67,7 +67,37 @@ QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_byte_bpe, op3_simhash, o
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _mixing_sql(rounds: int = 8) -> str:
+    """The same fit with one table for each update of a margin's factors."""
+    dims = ("s", "l", "t")
+    parts = [
+        r"""words AS (SELECT doc_id, '=' || source AS s, '=' || lang AS l, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents)""",
+        """rows_ AS (SELECT doc_id, s, l, len(ws) AS n, list_min([w FOR w IN ws IF length(w) >= 6]) AS w FROM words)""",
+        """topical AS (SELECT doc_id, s, l, n, coalesce('t' || (('0x' || substr(md5(w), 1, 4))::INT % 8), 'none') AS t FROM rows_)""",
+        """cells AS MATERIALIZED (SELECT s, l, t, sum(n)::DOUBLE AS n FROM topical GROUP BY ALL)""",
+    ]
+    for d in dims:
+        parts.append(f"h_{d} AS (SELECT {d}, round(sqrt(sum(n)), 9) AS root FROM cells GROUP BY {d})")
+        parts.append(f"f_{d}_0 AS MATERIALIZED (SELECT {d}, root / (SELECT round(sum(root), 6) FROM h_{d}) * (SELECT sum(n) FROM cells) AS goal, 1.0::DOUBLE AS f FROM h_{d})")
+    now = dict.fromkeys(dims, 0)
+    for k in range(1, rounds + 1):
+        for d in dims:
+            a, b = (x for x in dims if x != d)
+            fa, fb, old = f"f_{a}_{now[a]}", f"f_{b}_{now[b]}", f"f_{d}_{now[d]}"
+            have = f"SELECT c.{d}, sum(c.n * x.f * y.f) AS have FROM cells c JOIN {fa} x ON c.{a} = x.{a} JOIN {fb} y ON c.{b} = y.{b} GROUP BY c.{d}"
+            parts.append(f"f_{d}_{k} AS MATERIALIZED (SELECT o.{d}, o.goal, CASE WHEN g.have > 0 THEN round(o.goal / g.have, 9) ELSE 1.0 END AS f FROM {old} o JOIN ({have}) g ON o.{d} = g.{d})")
+            now[d] = k
+    joins = " ".join(f"JOIN f_{d}_{rounds} f{d} ON r.{d} = f{d}.{d}" for d in dims)
+    parts.append(f"fitted AS (SELECT r.*, round(fs.f * fl.f * ft.f, 9) AS f FROM topical r {joins})")
+    return "WITH " + ",\n".join(parts) + """
+SELECT doc_id, s AS source, l AS lang, t AS topic, n AS n_tokens, round(least(1.0, f), 6) AS probability, round(greatest(1.0, f), 6) AS weight,
+  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < least(1.0, f) AS kept FROM fitted"""
+
+
 SQL = {
+    "op7_mixing": _mixing_sql(),
     "op5_topk_search": """
 WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS c FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
