@@ -31,13 +31,14 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     )
     # A to Z are lowered in the whole text at once; hashes and places are read twice, so they are written
     lines = written(keyed.select("k1", "k2", F.transform(F.split(ascii_lower(body), "\n"), _hashed(min_chars)).alias("hashes")), "line-hashes")
-    hot = (
+    hot = written(
         lines.select(F.explode(F.array_distinct("hashes")).alias("h"))
         .filter("h IS NOT NULL")
         .groupBy("h")
         .count()
         .filter(F.col("count") >= min_docs)
-        .select("h")
+        .select("h"),
+        "line-hot",  # written, so that the join below can be split where one line is in very many documents
     )
     dropped = (
         lines.select("k1", "k2", F.posexplode("hashes").alias("at", "h"))
