@@ -284,7 +284,8 @@ def grouped(rows: DataFrame, layout: Layout) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "root").select("fp", "root", "component_id")
     out = nodes.select("fp", "least").join(linked, "fp", "left")
-    return out.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    named_all = out.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return written(named_all, "simhash-groups")  # written, so that a join with many copies of one fingerprint can be split
 
 
 def near_duplicates(docs: DataFrame, layout: Layout = STRICT) -> DataFrame:
