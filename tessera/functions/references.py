@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
+
 # What the classes of references look like, and how sure each is.
 URL = r"https?://[^\s<>\"')\]]+"
 URL_END = ".,;:)]}\"'"
@@ -64,6 +66,8 @@ def references(text: str, compat: bool = False) -> list[dict]:
 def find(text: Column, compat: bool = False) -> Column:
     """All references of a page with their places, as an array of structs."""
 
+    shipped()
+
     @F.pandas_udf(SHAPE)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
 from tessera.functions.text import word_array
 
 WEIGHT = 0.1  # of an unlabelled position, a fixed value
@@ -81,6 +82,8 @@ def cover_density(words: list[str], terms: list[str]) -> float:
 def cover_rank(words: Column, terms: list[str]) -> Column:
     """cover_density as an Arrow-batched column; several terms need a sweep that Spark's functions can't express."""
 
+    shipped()
+
     @F.pandas_udf("double")
     def rank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
 from tessera.functions.questions import Limits
 from tessera.functions.text import answer_fields, event_text, location, preview, salvaged_json
 
@@ -78,6 +79,8 @@ def answered(prompts: DataFrame, model: Callable[[list[str]], list[str]], source
     A reply that isn't JSON but has something to say is the answer itself, with the first sources as its evidence.
     """
 
+    shipped(prompts.sparkSession)
+
     @F.pandas_udf("string")
     def ask(texts: pd.Series) -> pd.Series:
         return pd.Series(model(texts.tolist()))

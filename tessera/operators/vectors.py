@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
+
 #: The most queries that one pass over the vectors carries; more are answered in several passes of that size.
 BATCH = 2_000
 
@@ -82,6 +84,7 @@ def hashed_words(text: str, size: int) -> list[float]:
 def embedded(rows: DataFrame, size: int, model: Callable[[list[str]], list[list[float]]] | None = None, text: str = "text", vector: str = "embedding", batch: int = 64, again: bool = False) -> DataFrame:
     """rows with missing vectors filled in by the model, `batch` texts at a time; a vector of another length is an error."""
     embed = model or (lambda texts: [hashed_words(t, size) for t in texts])
+    shipped(rows.sparkSession)
     missing = rows if again else rows.filter(F.col(vector).isNull())
     schema = rows.drop(vector).withColumn(vector, F.array(F.lit(0.0).cast("float"))).schema
 
@@ -101,6 +104,8 @@ def embedded(rows: DataFrame, size: int, model: Callable[[list[str]], list[list[
 def rescored(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], question: str, text: str) -> DataFrame:
     """pairs with the score of a reranking model, in Arrow batches; 0.5 for all of a batch that the model fails on."""
 
+    shipped(pairs.sparkSession)
+
     @F.pandas_udf("double")
     def score(questions: pd.Series, texts: pd.Series) -> pd.Series:
         try:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
+
 PAGE_CHARS, SHEET_ROWS, SHEET_COLUMNS = 12_000, 5_000, 50
 KINDS = {"pdf": ["pdf"], "docx": ["docx"], "doc": ["doc"], "xls": ["xls"], "xlsx": ["xlsx", "xlsm"], "html": ["html", "htm", "asp", "aspx"]}
 SCHEMA = "path string, kind string, title string, pages array<string>, links array<struct<page_no:int,uri:string,text:string>>, error string"
@@ -244,6 +246,7 @@ def extracted(files: DataFrame) -> DataFrame:
                 rows.append({"path": path, "kind": kind, "title": title or name, "pages": pages, "links": [dict(zip(("page_no", "uri", "text"), x)) for x in links] if links is not None else None, "error": error})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
+    shipped(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
@@ -276,4 +279,5 @@ def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str | None, bytes
                 rows.append({"url": url, "status": status, "etag": etag, "content": body if len(body) <= most else None})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    shipped(urls.sparkSession)
     return urls.select("url").mapInArrow(run, "url string, status int, etag string, content binary")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.cluster import shipped
+
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour", time: str = "ts", by: list[str] | None = None) -> DataFrame:
     """Counts and sums of `value` in tumbling or sliding windows; the same on a stream and on a table."""
@@ -49,6 +51,7 @@ def unexpired(events: DataFrame, key: str, seconds: int, time: str = "ts") -> Da
         state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "cached"])
 
+    shipped(events.sparkSession)
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(F.col(key).alias("key"), time).withWatermark(time, "1 hour")
     return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, cached boolean", "last double", "append", GroupStateTimeout.EventTimeTimeout)
