@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
+
 NONE = np.int32(2**31 - 1)
 #: The longest piece in bytes that goes into a matrix, the most cells of a matrix, and the most pieces that a worker remembers.
 LONGEST, CELLS, KNOWN = 512, 1 << 20, 600_000
@@ -201,6 +203,7 @@ def encode_rows(docs: DataFrame, vocabulary: str, pattern: str, carry: list[str]
 
     vocabulary names a rank file that the driver can read; its bytes (under a megabyte) go to the executors as a broadcast.
     """
+    shipped(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
     read = docs.select(*carry, F.col(text).alias("_text"))

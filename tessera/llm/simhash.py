@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from tessera.cluster import shipped
 from tessera.llm.common import unpack, written
 from tessera.llm.graph import components
 
@@ -80,7 +81,7 @@ class Layout:
 
 
 STRICT = Layout(shingle=3, lanes=1, codes=(GOLAY, GOLAY), tables=1, threshold=2, compared=1, limit=2)
-SIMILAR = Layout(shingle=5, lanes=8, codes=(GOLAY, HAMMING), tables=17, threshold=1, compared=2, limit=28)
+SIMILAR = Layout(shingle=5, lanes=8, codes=(GOLAY, HAMMING), tables=17, threshold=1, compared=2, limit=26)
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
@@ -116,6 +117,7 @@ def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
 
 def with_fingerprints(docs: DataFrame, carry: list[str], layout: Layout, text: str = "text") -> DataFrame:
     """The carried columns and `fps` (array of longs) of every row of docs."""
+    shipped(docs.sparkSession)
     read = docs.select(*carry, F.col(text).alias("_text"))
     schema = read.drop("_text").withColumn("fps", F.array(F.lit(0).cast("long"))).schema
 
@@ -238,6 +240,7 @@ def _compared(rows: np.ndarray, layout: Layout) -> Iterator[tuple[np.ndarray, np
 
 def links(nodes: DataFrame, layout: Layout, cell: int = CELL) -> DataFrame:
     """Edges (a, b) between first lanes that connect all linked nodes (column fps, one row for each first lane)."""
+    shipped(nodes.sparkSession)
     sent = _sent(nodes, layout).withColumn("cell", F.lit(0))
     crowded = written(sent.filter("home").groupBy("anchor").count().filter(F.col("count") > cell).select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("n")), "simhash-crowded")
     if not crowded.isEmpty():

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
+
 BLOCK, SUPERBLOCK, GROUP = 512, 128, 1024
 PACK = "part long, dim int, n int, ids binary, codes binary, high binary, low binary"
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -103,6 +105,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.nda
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k best rows for each row whose id is divisible by `every`, against all rows."""
+    shipped(vectors.sparkSession)
     whole = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(scale * x))
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     rows = vectors.filter(sound).select(F.col(key).cast("long").alias("id"), whole.alias("codes"))
