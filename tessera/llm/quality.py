@@ -130,13 +130,14 @@ def estimate(stats: DataFrame, steps: int = 3, min_group: int = 40) -> DataFrame
     """Center and covariance root of every group that has enough documents that pass the plain limits."""
     group = ["g_lang", "g_source"]
     cells = written(stats.filter(~F.col("base_failed")).groupBy(*group, *Z).agg(F.count("*").alias("n")), "quality-cells")
-    medians = cells.groupBy(*group).agg(F.sum("n").alias("rows"), *[F.percentile(F.col(z), F.lit(0.5), F.col("n")).alias(f"m_{z}") for z in Z]).filter(F.col("rows") >= min_group).drop("rows")
+    # what is joined to the cells is written, so the planner knows that it is small and doesn't deal the cells by group
+    medians = written(cells.groupBy(*group).agg(F.sum("n").alias("rows"), *[F.percentile(F.col(z), F.lit(0.5), F.col("n")).alias(f"m_{z}") for z in Z]).filter(F.col("rows") >= min_group).drop("rows"), "quality-medians")
     away = cells.join(medians, group).groupBy(*group).agg(*[F.first(f"m_{z}").alias(f"m_{z}") for z in Z], *[F.percentile(F.round(F.abs(F.col(z) - F.col(f"m_{z}"))).cast("long"), F.lit(0.5), F.col("n")).alias(f"d_{z}") for z in Z])
     start = away.select(*group, *[f"m_{z}" for z in Z], *[(F.greatest(F.col(f"d_{Z[i]}") * 1.4826, F.lit(float(FLOORS[i]))) if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i in range(4) for j in range(i + 1)])
     model = written(start, "quality-start")
     for _ in range(steps):
         ringed = cells.join(model, group).select(*group, *Z, "n", F.floor(16 * F.log2(1 + _distance(*_model()))).cast("int").alias("ring"))
-        cut = ringed.groupBy(*group).agg(F.percentile(F.col("ring"), F.lit(CORE), F.col("n")).alias("cut"))
+        cut = written(ringed.groupBy(*group).agg(F.percentile(F.col("ring"), F.lit(CORE), F.col("n")).alias("cut")), "quality-cut")
         core = ringed.join(cut, group).filter("ring <= cut")
         exact = lambda x: F.sum(x.cast("decimal(28,0)")).cast("double")
         moments = core.groupBy(*group).agg(F.sum("n").alias("n"), *[exact(F.col(z) * F.col("n")).alias(f"s_{z}") for z in Z], *[exact(F.col(Z[i]) * F.col(Z[j]) * F.col("n")).alias(f"q_{i}{j}") for i in range(4) for j in range(i + 1)])
