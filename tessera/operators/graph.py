@@ -53,7 +53,10 @@ def resolved_titles(references: DataFrame, documents: DataFrame, least: int = 10
     meets is checked, so the join has a key instead of comparing every reference with every title.
     """
     short = lambda c: F.lower(F.substring(c, 1, 50))
-    runs = documents.filter(F.char_length("title") >= gram).select(F.col("doc_id").alias("found"), F.lower("title").alias("low"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("title") - gram + 1), lambda i: F.substring(F.lower("title"), i, F.lit(gram))))).alias("run"))
+    # characters are taken from an array: a substring would count from the title's begin each time
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - gram + 1), lambda i: F.array_join(F.slice(c, i, gram), ""))
+    every = F.flatten(F.transform(F.array(F.split(F.lower("title"), "")), cut))
+    runs = documents.filter(F.char_length("title") >= gram).select(F.col("doc_id").alias("found"), F.lower("title").alias("low"), F.explode(F.array_distinct(every)).alias("run"))
     asked = references.select("ref").distinct().filter(F.char_length("ref") >= max(least, gram)).select("ref", short("ref").alias("part")).withColumn("run", F.substring("part", 1, gram))
     best = asked.join(runs, "run").filter(F.contains("low", F.col("part"))).groupBy("ref").agg(F.min("found").alias("target_doc_id"))
     return references.join(best, "ref", "left")
