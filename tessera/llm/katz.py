@@ -14,9 +14,10 @@ alpha needs. Buckets go by the hash of the history, and histories with more trai
 dealt over several buckets by the word, so neither a frequent word nor a frequent pair makes one task large. With the
 answers, a block evaluates its tokens recursively. Nothing of the model is broadcast or collected but counts of counts.
 
-The tables: rows of `kind` model hold, for each order and bucket, the sorted hashes of histories and words, and the counts;
-and for each history its statistics (followers by count, lower-order mass). N-grams are told apart by a 64-bit hash of the
-history and 40 bits of the word's.
+The tables: rows of `kind` model hold, for each order and bucket, histories, words and counts, and for each history its
+statistics (followers by count, lower-order mass). Words are told apart by 64-bit hashes and get a number from their bucket
+(their place by frequency, and the bucket); an n-gram is a history and a word's number, where a history of one word is that
+word's number and a longer one a 64-bit hash.
 
 Nulls: a null text is empty and consists of its end alone; the text of a null id is empty too, for the split. Repeated rows
 count as often as they stand there. With no training rows every token is the unknown word, with probability one. An empty
@@ -39,11 +40,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 from tessera.llm.packed import pack, unpack
 
-CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 2_000_000, 500_000
+CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 1_000_000, 750_000
 MODULUS, HELD = 5, 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 END, START = np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
-WORD_BITS = np.uint64(24)  # shifted out of a word's hash: 40 bits stay
 BLOCK = "block long, ids array<long>, data binary"
 SENT = "bucket long, block long, data binary"
 MADE = "kind string, bucket long, block long, stats array<long>, data binary"
@@ -118,34 +118,28 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         ids: list = []
-        lengths: list[np.ndarray] = []
-        hashes: list[np.ndarray] = []
-        size = 0
+        counts: list[int] = []
+        words: list[bytes] = []
 
         def block() -> pa.RecordBatch:
-            nonlocal ids, lengths, hashes, size, made
-            vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-            data = pack(np.concatenate(lengths).astype("<i8"), vocabulary, tokens.astype("<u4"))
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "data"])
-            ids, lengths, hashes, size, made = [], [], [], 0, made + 1
+            nonlocal ids, counts, words, made
+            coded = pa.array(words, pa.binary()).dictionary_encode()
+            known = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()] + [int(END)], np.uint64)
+            vocabulary, place = np.unique(known, return_inverse=True)
+            lengths = np.array(counts, "<i8")
+            tokens = np.full(int(lengths.sum()), place[-1], "<u4")  # ends, until words are put between them
+            tokens[np.arange(len(words)) + np.repeat(np.arange(len(counts)), lengths - 1)] = place[coded.indices.to_numpy(zero_copy_only=False)] if words else 0
+            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(lengths, vocabulary, tokens)], pa.binary())], ["block", "ids", "data"])
+            ids, counts, words, made = [], [], [], made + 1
             return out
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                piece = batch.slice(first, 256)
-                # bytes: lower() and split() know ASCII only
-                split = [(t or "").encode().lower().split() for t in piece.column("body").to_pylist()]
-                counts = np.array([len(t) + 1 for t in split])
-                coded = pa.array([w for t in split for w in t], pa.binary()).dictionary_encode()
-                own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-                stream = np.full(int(counts.sum()), END)
-                owner = np.repeat(np.arange(len(split)), counts - 1)
-                stream[np.arange(len(owner)) + owner] = own[coded.indices.to_numpy(zero_copy_only=False)] if len(owner) else np.empty(0, np.uint64)
-                ids += piece.column("id").to_pylist()
-                lengths.append(counts)
-                hashes.append(stream)
-                size += len(stream)
-                if size >= BLOCK_TOKENS:
+            for key_, body in zip(batch.column("id").to_pylist(), batch.column("body")):
+                own = (body.as_py() or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
+                ids.append(key_)
+                counts.append(len(own) + 1)
+                words += own
+                if len(words) >= BLOCK_TOKENS:
                     yield block()
         if ids:
             yield block()
@@ -164,22 +158,23 @@ class Block:
         self.held = np.array([held_out(i) for i in self.ids], bool)
         self.train = np.repeat(~self.held, self.lengths)
         self.order, self.cutoff = order, cutoff
-        # order 1: n-grams are the words of the vocabulary, the history is empty
-        self.gram, self.gram_hash = self.tokens, self.vocabulary
-        self.probability = self.count = None
+        self.gram = self.tokens  # order 1: n-grams are the words of the vocabulary, the history is empty
+        self.gram_hash = self.number = self.probability = self.count = None
 
     def climb(self) -> None:
         """From n-grams of one order to those of the next."""
         before = np.empty_like(self.gram)
         before[1:] = self.gram[:-1]
         before[self.starts] = len(self.gram_hash)  # the history at a text's begin
-        pair, first, self.gram = np.unique(before * len(self.vocabulary) + self.tokens, return_index=True, return_inverse=True)
-        self.lower = self.probability[first]
+        pair, self.gram = np.unique(before * len(self.vocabulary) + self.tokens, return_inverse=True)
+        self.lower = np.empty(len(pair))
+        self.lower[self.gram] = self.probability  # the same for every place of an n-gram
         hashes, counts = np.append(self.gram_hash, START), np.append(self.count, self.trained)
-        self.history = pair // len(self.vocabulary)
-        self.history_hash, self.history_count = hashes[self.history], counts[self.history]
-        self.word_hash = self.vocabulary[pair % len(self.vocabulary)]
-        self.gram_hash = mixed(self.history_hash, self.word_hash)
+        history = pair // len(self.vocabulary)
+        self.history_hash, self.history_count = hashes[history], counts[history]
+        self.history_rank = np.argsort(np.argsort(hashes, kind="stable"), kind="stable")[history]
+        self.word = self.number[pair % len(self.vocabulary)]
+        self.gram_hash = mixed(self.history_hash, self.word)
         self.own = np.bincount(self.gram[self.train], minlength=len(pair))
 
     # -- order 1
@@ -192,9 +187,11 @@ class Block:
 
     def hear_words(self, answers: dict[int, bytes], level: Level, buckets: int, trained: int) -> None:
         self.count = np.zeros(len(self.vocabulary), np.int64)
+        self.number = np.zeros(len(self.vocabulary), np.uint64)
         for bucket, mine in _runs(self.vocabulary % np.uint64(buckets)):
-            self.count[mine] = unpack(answers[bucket])[0]
-        self.words, self.trained = self.count, trained
+            self.count[mine], place = unpack(answers[bucket])
+            self.number[mine] = place * np.uint64(buckets) + np.uint64(bucket)
+        self.words, self.trained, self.gram_hash = self.count, trained, self.number
         self.probability = unigrams(self.count, level)[self.tokens]
 
     # -- higher orders
@@ -202,7 +199,7 @@ class Block:
     def _dealt(self, buckets: int) -> np.ndarray:
         """The bucket of each n-gram. Histories of many tokens are dealt by the word."""
         self.shares = 1 + self.history_count // BUCKET_TOKENS
-        salt = (self.word_hash >> WORD_BITS) % self.shares.astype(np.uint64)
+        salt = self.word % self.shares.astype(np.uint64)
         return mixed(self.history_hash, salt) % np.uint64(buckets)
 
     def _wide(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +211,11 @@ class Block:
         return mixed(hashes[rows], salt) % np.uint64(buckets), hashes[rows]
 
     def _sorted(self, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.lexsort((self.word_hash, self.history_hash, where))
-        for bucket, mine in _runs(where[order]):
-            yield bucket, order[mine]
+        """(bucket, its n-grams by history) for every bucket."""
+        order = np.argsort(where.astype(np.int64) * (len(self.gram_hash) + 2) + self.history_rank, kind="stable")
+        cut = np.flatnonzero(np.diff(where[order])) + 1
+        for mine in np.split(order, cut) if len(order) else ():
+            yield int(where[mine[0]]), mine
 
     def ask(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         where = self._dealt(buckets)
@@ -226,7 +225,7 @@ class Block:
         for bucket, mine in self._sorted(where):
             seen = self.own[mine] > 0
             values, codes = np.unique(np.where(seen, self.lower[mine], 0.0), return_inverse=True)
-            yield bucket, pack(self.history_hash[mine], self.word_hash[mine] >> WORD_BITS, self.own[mine].astype("<u4"), values, codes.astype("<u4"), wide.pop(bucket, nothing))
+            yield bucket, pack(self.history_hash[mine], self.word[mine], self.own[mine].astype("<u4"), values, codes.astype("<u4"), wide.pop(bucket, nothing))
         for bucket, hashes in wide.items():
             yield bucket, pack(nothing, nothing, np.empty(0, "<u4"), np.empty(0), np.empty(0, "<u4"), hashes)
 
@@ -297,9 +296,11 @@ def _merge_words(rows: list[dict]) -> Iterator[dict]:
     asked = [unpack(r["data"]) for r in rows]
     keys, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.int64)
-    yield _model(rows[0]["bucket"], total, pack(keys[total > 0], total[total > 0]))
+    place = np.empty(len(keys), np.int64)
+    place[np.lexsort((keys, -total))] = np.arange(len(keys))  # frequent words get small numbers
+    yield _model(rows[0]["bucket"], total, pack(keys[total > 0], total[total > 0], place[total > 0]))
     for r, mine in zip(rows, np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])):
-        yield {"kind": "answer", "bucket": r["bucket"], "block": r["block"], "stats": None, "data": pack(total[mine].astype("<u4"))}
+        yield {"kind": "answer", "bucket": r["bucket"], "block": r["block"], "stats": None, "data": pack(total[mine].astype("<u8"), place[mine].astype("<u8"))}
 
 
 def _merge_grams(rows: list[dict], cutoff: int) -> Iterator[dict]:
@@ -307,17 +308,11 @@ def _merge_grams(rows: list[dict], cutoff: int) -> Iterator[dict]:
     asked = [unpack(r["data"]) for r in rows]
     history, word, own = (np.concatenate([a[i] for a in asked]) for i in range(3))
     lower = np.concatenate([a[3][a[4]] for a in asked])
-    order = np.lexsort((word, history))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(history[order]) != 0) | (np.diff(word[order]) != 0)
-    gram = np.cumsum(new) - 1
-    at = np.empty(len(order), np.int64)
-    at[order] = gram
-    n = int(new.sum())
+    _, first, at = np.unique(mixed(history, word), return_index=True, return_inverse=True)
+    n = len(first)
     total = np.bincount(at, weights=own, minlength=n).astype(np.int64)
     below = np.zeros(n)
     np.maximum.at(below, at, lower)
-    first = order[new]
     of, group = np.unique(history[first], return_inverse=True)
     seen = total > 0
     by_count = np.stack([np.bincount(group[total == r], minlength=len(of)) for r in range(1, cutoff + 1)], axis=1) if len(of) else np.zeros((0, cutoff), np.int64)
@@ -331,7 +326,7 @@ def _merge_grams(rows: list[dict], cutoff: int) -> Iterator[dict]:
         place = np.searchsorted(of, wanted)
         there = (place < len(of)) & (np.append(of, 0)[np.minimum(place, len(of))] == wanted)
         wanted, place = wanted[there], place[there]
-        yield {"kind": "answer", "bucket": r["bucket"], "block": r["block"], "stats": None, "data": pack(code[mine].astype("<u4"), wanted, by_count[place].astype("<u4").reshape(-1), mass[place])}
+        yield {"kind": "answer", "bucket": r["bucket"], "block": r["block"], "stats": None, "data": pack(code[mine].astype("<u8"), wanted, by_count[place].astype("<u4").reshape(-1), mass[place])}
 
 
 def _model(bucket: int, total: np.ndarray, data: bytes) -> dict:
