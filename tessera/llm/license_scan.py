@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, written
 from tessera.llm.license_rules import PLAIN, gate, rules
 
 #: Everything in ASCII but digits and letters separates words; A to Z are lower-case by then.
@@ -76,7 +76,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.greatest(*[f["last"] for f in facts]).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(f["n"] > 0, F.lit(label)) for f, (label, _) in zip(facts, PLAIN)])).alias("base"),
     )
-    found = _labels(rows.filter(F.col("s").rlike(gate())).select("s", F.xxhash64("s").alias("k1"), F.crc32(F.col("s").cast("binary")).alias("k2")))
+    # written: what is found is small beside the texts, and a text of many copies can be joined in parts
+    found = written(_labels(rows.filter(F.col("s").rlike(gate())).select("s", F.xxhash64("s").alias("k1"), F.crc32(F.col("s").cast("binary")).alias("k2"))), "license-labels")
     joined = counted.join(found, ["k1", "k2"], "left")
     labels = F.sort_array(F.array_distinct(F.concat("base", F.coalesce("extra", F.array().cast("array<string>")))))
     return joined.select(
@@ -92,10 +93,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def detections(texts: DataFrame) -> DataFrame:
-    """Every hit of every rule in texts (k1, k2, s): k1, k2, first, last, priority, order, label, sure, kept."""
+    """Every hit of every rule in texts (k1, k2, s), once for equal texts: k1, k2, first, last, priority, order, label, sure, kept."""
     candidates = F.filter(_literal_rules(), lambda r: F.contains(F.col("s"), r["keyword"]) & F.contains(F.col("s"), r["needed"]))
     matching = F.filter(candidates, lambda r: F.regexp_like(F.col("s"), r["expression"]))
-    hits = texts.select("k1", "k2", F.explode(F.flatten(F.transform(matching, lambda r: _places(F.col("s"), r)))).alias("hit")).select("k1", "k2", "hit.*")
+    hits = texts.select("k1", "k2", F.explode(F.flatten(F.transform(matching, lambda r: _places(F.col("s"), r)))).alias("hit")).select("k1", "k2", "hit.*").distinct()
     # A hit is inside another if that one starts no later and ends no earlier. Longer hits come first among equal starts,
     # so that running maxima of the ends seen, by priority, tell in one pass.
     order = Window.partitionBy("k1", "k2").orderBy("first", F.desc("last"), F.desc("priority"), "order").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,4 +112,4 @@ def detections(texts: DataFrame) -> DataFrame:
 
 def _labels(texts: DataFrame) -> DataFrame:
     """Labels and the surest confidence of the hits that stay, for each distinct text."""
-    return detections(texts.dropDuplicates(["k1", "k2"])).filter("kept").groupBy("k1", "k2").agg(F.collect_set("label").alias("extra"), F.max("sure").alias("sure"))
+    return detections(texts).filter("kept").groupBy("k1", "k2").agg(F.collect_set("label").alias("extra"), F.max("sure").alias("sure"))
