@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cluster import shipped
 from tessera.llm.common import written
 from tessera.llm.packed import pack, unpack
 
@@ -111,6 +112,15 @@ def left_over(by_count: np.ndarray, level: Level) -> np.ndarray:
 # ---- blocks
 
 
+def _hashes(values: pa.BinaryArray) -> list[int]:
+    """The hash of each value, read from the array's own buffers."""
+    if not len(values):
+        return []
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    data, digest = values.buffers()[2].to_pybytes(), xxhash.xxh64_intdigest
+    return [digest(data[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Runs of whole documents: their ids, token counts, vocabulary (sorted hashes) and tokens (places in the vocabulary)."""
     read = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
@@ -124,7 +134,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal ids, counts, words, made
             coded = pa.array(words, pa.binary()).dictionary_encode()
-            known = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()] + [int(END)], np.uint64)
+            known = np.array(_hashes(coded.dictionary) + [int(END)], np.uint64)
             vocabulary, place = np.unique(known, return_inverse=True)
             lengths = np.array(counts, "<i8")
             tokens = np.full(int(lengths.sum()), place[-1], "<u4")  # ends, until words are put between them
@@ -345,6 +355,7 @@ def _level(made: DataFrame) -> Level:
 
 def score(docs: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores every row by a model of the rows that aren't held out: SCORED. The model stays in the shared folder."""
+    shipped(docs.sparkSession)
     texts = _blocks(docs, key, text)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, size // 6 // BUCKET_TOKENS)
