@@ -33,7 +33,9 @@ def windows(docs: DataFrame, size: int = 2, stride: int = 1, text: str = "text",
             lambda i: F.struct((i + 1).alias("page_start"), F.least(n, i + size).alias("page_end"), clamp(F.array_join(F.slice(own, i + 1, size), "\n\n"), WINDOW_CHARS).alias("text")),
         )
 
-    rows = docs.select(F.col(key).alias("doc_id"), page_list(F.col(text)).alias("own")).select("doc_id", F.explode(cut(F.col("own"))).alias("w"))
+    # the pages are made once and bound by the outer transform; a column would be worked out again for every window
+    spans = F.element_at(F.transform(F.array(page_list(F.col(text))), cut), 1)
+    rows = docs.select(F.col(key).alias("doc_id"), F.explode(spans).alias("w"))
     out = rows.select((F.col("doc_id").cast("long") * PAGE_SLOTS + F.col("w.page_start")).alias("window_id"), "doc_id", "w.page_start", "w.page_end", "w.text")
     return out.withColumn("sha256", anchor_hash(F.col("text")))
 
