@@ -2,17 +2,19 @@
 
 A page is read into blocks, each with a zone. What the markup itself names as something else than the article (navigation,
 headers, footers, sidebars, forms, scripts, notices, adverts, comments, by element or by a word in class, id or role) is
-outside; what stands in an article or main element is inside; the rest is open. The token streams of all blocks that are not
-inside are concatenated by host, a suffix array of them is built by prefix doubling, and substrings of at least MIN_TOKENS
-tokens that occur in MIN_PAGES or more distinct pages are marked. Open blocks that are covered by such substrings for the
-most part are removed as boilerplate; the unique runs of the page are kept.
+outside; what stands in an article or main element is inside; the rest is open. A page with inside blocks consists of those,
+another one of its open blocks, less what its host repeats: an open block is boilerplate where more than COVERED of its tokens lie
+in substrings of WINDOW tokens that stand in MIN_PAGES or more distinct pages of the host. Blocks of MIN_TOKENS to WINDOW
+tokens count as a whole, and shorter ones are never judged.
 
-Inside an article a repeated passage is a copy and no boilerplate (pages are copied by the thousand), so suffixes don't
-decide there: removing what other pages repeat would empty every copied article. Pages that are equal in all their open
-blocks count as one page, for the same reason.
+A repeated passage can also be a copied article. So near copies on a host are one page: min-hash bands of five-word shingles
+propose pairs, signatures that agree in ALIKE of their lanes link them, and connected pages share a cluster; pages are counted
+by cluster. Copies that differ in title, date or a part of the text don't cover each other.
 
-Pages are dealt by host, and a host with more than GROUP_BYTES of html is split by a hash of the page into groups of about
-that size, each with a suffix array of its own, so memory is bounded by a group and one host can't hold up the rest.
+Pages are dealt by host. The suffix array of a host, built by prefix doubling, marks its substrings. A host with more than
+GROUP_BYTES of html is split by a hash of the page into groups of about that size, and its substrings are counted in a
+shuffle over all of its groups instead: hashes of the same windows go to buckets of bounded size, and each group is told which
+of its own are repeated. The rule is the same one, so the size of a host or a table doesn't change a verdict.
 
 Nulls: a null html is empty and has an empty text; a null url is a host of its own. Repeated rows are extracted one by one.
 An empty table gives an empty table. Only the id, url and html are read, so other columns can't clash.
@@ -22,17 +24,24 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cluster import shipped
 from tessera.llm.common import written
+from tessera.llm.graph import components
 
-MIN_TOKENS, MIN_PAGES, COVERED = 4, 3, 0.5
-GROUP_BYTES = 4 << 20
+MIN_TOKENS, WINDOW, MIN_PAGES, COVERED = 4, 8, 3, 0.5
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
+#: Near copies: words of a shingle, bands and lanes (bytes) of each, and the share of equal lanes that links two pages.
+SHINGLE, BANDS, LANES, ALIKE = 5, 20, 5, 0.6
+STEP = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64((1 << 40) - 1)
 INSIDE, OPEN, OUTSIDE = 2, 1, 0
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
@@ -206,19 +215,165 @@ def repeated(streams: list[list[str]], pages: list[int], least: int = MIN_TOKENS
     return [covered[a : b - 1] for a, b in zip(start, start[1:])]
 
 
-def main_texts(sources: list[str | None]) -> list[str]:
-    """The main text of each page of one host."""
+def padded(tokens: list[str]) -> list[str]:
+    """The tokens to look for repeats in: a short block is one window, closed by a token that no text has."""
+    return tokens + [" "] * (WINDOW - len(tokens)) if MIN_TOKENS <= len(tokens) < WINDOW else tokens
+
+
+def own_text(page: list[tuple[str, int]]) -> list[int]:
+    """The blocks that a page consists of before repeats are removed."""
+    inside = any(z == INSIDE for _, z in page)
+    return [b for b, (_, z) in enumerate(page) if z == (INSIDE if inside else OPEN)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _windows(tokens: list[str], width: int, names: dict[str, int], salt: int = 0) -> np.ndarray:
+    """A hash of every substring of `width` tokens."""
+    hashes = np.array([names.get(t) or names.setdefault(t, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in tokens], np.uint64)
+    n = len(tokens) - width + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    out = np.full(n, salt % (1 << 64), np.uint64)
+    for k in range(width):
+        out = out * STEP + hashes[k : k + n]
+    return _mixed(out)
+
+
+_LANE = np.arange(1, BANDS * LANES + 1, dtype=np.uint64)[:, None] * STEP
+
+
+def sketch(page: list[tuple[str, int]], names: dict[str, int]) -> bytes:
+    """The min-hash signature of what a page consists of, a byte for each lane."""
+    tokens = [t for b in own_text(page) for t in page[b][0].split(" ")]
+    shingles = np.unique(_windows(tokens, min(SHINGLE, len(tokens)), names)) if tokens else np.zeros(1, np.uint64)
+    least = np.full(BANDS * LANES, np.iinfo(np.uint64).max, np.uint64)
+    for first in range(0, len(shingles), 4096):
+        np.minimum(least, _mixed(shingles[first : first + 4096] ^ _LANE).min(axis=1), out=least)
+    return (least & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _values(tokens: list[str], names: dict[str, int], salt: int, buckets: int) -> np.ndarray:
+    """Bucket and low 40 bits of the hash of each window of a block in a host."""
+    hashes = _windows(padded(tokens), WINDOW, names, salt)
+    return ((hashes >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40) | hashes & LOW
+
+
+def main_texts(sources: list[str | None], clusters: list[int] | None = None, told: tuple[np.ndarray, int, int] | None = None) -> list[str]:
+    """The main text of each page of one host, or of a part of one that was told its repeated windows (values, salt and buckets).
+
+    Pages of one cluster are copies; without clusters these are the pages that consist of the same text."""
     read = [blocks(s or "") for s in sources]
-    open_ = [tuple(t for t, z in page if z == OPEN) for page in read]
-    same = {x: i for i, x in reversed(list(enumerate(open_)))}  # pages with equal open blocks are one page
-    at = [(p, b) for p, page in enumerate(read) for b, (_, z) in enumerate(page) if z != INSIDE]
-    marks = repeated([read[p][b][0].split(" ") for p, b in at], [same[open_[p]] if open_[p] else p for p, _ in at])
-    gone = {where for where, mark in zip(at, marks) if read[where[0]][where[1]][1] == OUTSIDE or mark.mean() > COVERED}
-    out = []
-    for p, page in enumerate(read):
-        inside = any(z == INSIDE for _, z in page)
-        out.append("\n".join(t for b, (t, z) in enumerate(page) if (z == INSIDE if inside else (p, b) not in gone)))
-    return out
+    own = [own_text(page) for page in read]
+    if clusters is None:
+        clusters = [tuple(page[b][0] for b in bs) for page, bs in zip(read, own)]
+    number: dict = {}
+    cluster = [number.setdefault(c, len(number)) for c in clusters]
+    at = [(p, b) for p, page in enumerate(read) for b in range(len(page))]
+    if told is None:
+        marks = repeated([padded(read[p][b][0].split(" ")) for p, b in at], [cluster[p] for p, _ in at], WINDOW)
+    else:
+        at, names = [(p, b) for p, bs in enumerate(own) for b in bs], {}
+        marks = [_told(read[p][b][0].split(" "), names, *told) for p, b in at]
+    gone = {where for where, mark in zip(at, marks) if read[where[0]][where[1]][1] == OPEN and mark[: len(read[where[0]][where[1]][0].split(" "))].mean() > COVERED}
+    return ["\n".join(page[b][0] for b in bs if (p, b) not in gone) for p, (page, bs) in enumerate(zip(read, own))]
+
+
+def _told(tokens: list[str], names: dict[str, int], hot: np.ndarray, salt: int, buckets: int) -> np.ndarray:
+    """Which tokens of a block lie in windows that are among the sorted values hot."""
+    values = _values(tokens, names, salt, buckets)
+    covered = np.zeros(max(len(tokens), WINDOW), bool)
+    if len(hot) and len(values):
+        begins = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values)
+        for k in range(WINDOW):
+            covered[begins + k] = True
+    return covered
+
+
+def clusters(pages: DataFrame) -> DataFrame:
+    """(node, cluster) of the pages (node, host, html) that have a near copy on their host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: dict[str, int] = {}
+            signs = [sketch(blocks(h.as_py()), names) for h in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("salt"), pa.array(signs, pa.binary())], ["node", "salt", "sign"])
+
+    signs = written(pages.select("node", "salt", "html").mapInArrow(run, "node long, salt long, sign binary"), "html-signs")
+    signs = written(signs.groupBy("node").agg(F.first("salt").alias("salt"), F.first("sign").alias("sign")), "html-nodes")
+    keys = F.array(*[F.xxhash64("salt", F.lit(k), F.substring("sign", k * LANES + 1, LANES)) for k in range(BANDS)])
+    bands = signs.select("node", F.explode(keys).alias("key"))
+    least = written(bands.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", "least"), "html-bands")
+    pairs = written(bands.join(least, "key").filter("node <> least").select("node", "least").distinct(), "html-pairs")
+    both = pairs.join(signs.select("node", "sign"), "node").join(signs.select(F.col("node").alias("least"), F.col("sign").alias("other")), "least")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sign", "other"))
+                near = pa.array((a == b).mean(axis=1) >= ALIKE)
+                yield pa.RecordBatch.from_arrays([batch.column("node").filter(near), batch.column("least").filter(near)], ["a", "b"])
+
+    return written(components(both.mapInArrow(linked, "a long, b long"), "html-edges").select("node", F.col("root").alias("cluster")), "html-clusters")
+
+
+def told(pages: DataFrame, buckets: int) -> DataFrame:
+    """(grp, hot): sorted window values that stand in MIN_PAGES clusters of a split host, for every group that holds them."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: dict[str, int] = {}
+            values, page = [], []
+            for p, (source, salt) in enumerate(zip(batch.column("html").to_pylist(), batch.column("salt").to_pylist())):
+                own = [_values(t.split(" "), names, salt, buckets) for t, _ in blocks(source)]
+                values.append(np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64))
+                page.append(np.full(len(values[-1]), p, np.int64))
+            if not batch.num_rows:
+                continue
+            value, at = np.concatenate(values), np.concatenate(page)
+            order = np.argsort(value >> np.uint64(40), kind="stable")
+            value, at = value[order], at[order]
+            bucket = (value >> np.uint64(40)).astype(np.int64)
+            ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)) if len(bucket) else []
+            grp, cluster = (batch.column(c).to_numpy() for c in ("grp", "cluster"))
+            first, rows = 0, []
+            for last in ends:
+                mine, index = np.unique(at[first:last], return_inverse=True)
+                low = value[first:last].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                rows.append((int(bucket[first]), grp[mine].tobytes(), cluster[mine].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes()))
+                first = last
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "grps", "clusters", "at", "low"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        value, cluster, grp = [], [], []
+        for g, c, at, low in zip(*(rows.column(c).to_pylist() for c in ("grps", "clusters", "at", "low"))):
+            index = np.frombuffer(at, np.uint16)
+            wide = np.zeros((len(index), 8), np.uint8)
+            wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+            value.append(wide.view("<u8")[:, 0])
+            cluster.append(np.frombuffer(c, np.int64)[index])
+            grp.append(np.frombuffer(g, np.int64)[index])
+        value, cluster, grp = np.concatenate(value), np.concatenate(cluster), np.concatenate(grp)
+        order = np.lexsort((cluster, value))
+        value, cluster, grp = value[order], cluster[order], grp[order]
+        begins = np.append(True, value[1:] != value[:-1])
+        fresh = begins | np.append(True, cluster[1:] != cluster[:-1])
+        run = np.cumsum(begins) - 1
+        hot = (np.bincount(run, weights=fresh) >= MIN_PAGES)[run]
+        value, grp = value[hot] | np.uint64(rows.column("bucket")[0].as_py() << 40), grp[hot]
+        order = np.lexsort((value, grp))
+        value, grp = value[order], grp[order]
+        own, first = np.unique(grp, return_index=True)
+        lists = [np.unique(v).astype("<u8").tobytes() for v in np.split(value, first[1:])] if len(own) else []
+        return pa.Table.from_arrays([pa.array(own, pa.int64()), pa.array(lists, pa.binary())], ["grp", "hot"])
+
+    sent = pages.mapInArrow(send, "bucket int, grps binary, clusters binary, at binary, low binary")
+    return sent.groupBy("bucket").applyInArrow(count, "grp long, hot binary")
 
 
 def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -226,17 +381,26 @@ def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     shipped(pages.sparkSession)
     read = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     read = read.withColumn("host", F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    read = read.withColumns({"salt": F.xxhash64("host"), "node": F.xxhash64("host", "html")})
     # hosts that need splitting are few and written, so the planner knows their size and moves no page for the join
-    parts = F.ceil(F.sum(F.octet_length("html")) / group_bytes).cast("int")
-    large = written(read.groupBy("host").agg(parts.alias("parts")).filter("parts > 1"), "html-hosts")
+    size = F.sum(F.octet_length("html"))
+    large = written(read.groupBy("host").agg(F.ceil(size / group_bytes).cast("int").alias("parts"), size.alias("size")).filter("parts > 1"), "html-hosts")
+    buckets = max(1, -(-int(large.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
     part = F.pmod(F.xxhash64("page_id", "html"), F.coalesce("parts", F.lit(1)))
     # the group has a key of its own: a partitioning by host would do for (host, part), and put a large host into one task
-    dealt = read.join(large, "host", "left").withColumn("grp", F.xxhash64("host", part)).drop("host", "parts")
+    near = clusters(read)
+    dealt = read.join(large.select("host", "parts"), "host", "left").withColumn("grp", F.xxhash64("host", part)).join(near, "node", "left")
+    dealt = dealt.withColumns({"cluster": F.coalesce("cluster", "node"), "split": F.col("parts").isNotNull()}).drop("host", "parts", "node")
+    hot = written(told(dealt.filter("split").select("html", "salt", "grp", "cluster"), buckets), "html-told")
 
-    def run(group: pa.Table) -> pa.Table:
-        texts = main_texts(group.column("html").to_pylist())
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        known = None
+        if group.num_rows and group.column("split")[0].as_py():
+            lists = [np.frombuffer(x, "<u8") for x in answers.column("hot").to_pylist()]
+            known = (np.sort(np.concatenate(lists)) if lists else np.empty(0, np.uint64), group.column("salt")[0].as_py(), buckets)
+        texts = main_texts(group.column("html").to_pylist(), group.column("cluster").to_pylist(), known)
         made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.Table.from_arrays([group.column("page_id"), group.column("url"), *made], ["page_id", "url", "text", "n_chars"])
 
     schema = read.select("page_id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return dealt.groupBy("grp").applyInArrow(run, schema)
+    return dealt.groupBy("grp").cogroup(hot.groupBy("grp")).applyInArrow(run, schema)

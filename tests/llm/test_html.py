@@ -69,3 +69,26 @@ def test_articles_of_the_pages_table(spark, sf):
     docs = {" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert rows and all(r.n_chars == len(r.text) for r in rows)
     assert sum(" ".join(r.text.partition("\n")[2].split()) in docs for r in rows) > 0.9 * len(rows)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+
+def texts_at_two_group_sizes(spark, sources):
+    rows = [(k, f"http://{host}/{k}", html) for k, (host, html) in enumerate(sources)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [{r.page_id: r.text for r in html_text.extract(pages, size).collect()} for size in (1 << 22, 1500)]
+
+
+def test_repeats_of_a_split_host_go_and_near_copies_stay(spark):
+    rng = np.random.default_rng(7)
+    plea, story = prose(rng, 20), [prose(rng, 60) for _ in range(5)]
+    sources = [("a.org", f"<p>{prose(rng, 60)}</p><p>{plea}</p>") for _ in range(12)]
+    sources += [("a.org", f"<p>{prose(rng, 6)}</p>" + "".join(f"<p>{x}</p>" for x in story)) for _ in range(6)]
+    sources += [("b.org", f"<p>{plea}</p>")]
+    whole, split = texts_at_two_group_sizes(spark, sources)
+    assert whole == split
+    assert all(whole[k].count(" ") == 59 and plea not in whole[k] for k in range(12))
+    assert all(whole[k].split("\n")[1:] == story for k in range(12, 18))
+    assert whole[18] == plea
