@@ -3,7 +3,7 @@
 A page is read into blocks, each with a zone. What the markup itself names as something else than the article (navigation,
 headers, footers, sidebars, forms, scripts, notices, adverts, comments, by element or by a word in class, id or role) is
 outside; what stands in an article or main element is inside; the rest is open. A page with inside blocks consists of those,
-another one of its open blocks, less what its host repeats: an open block is boilerplate where more than COVERED of its tokens lie
+another one of its open blocks, less what its host repeats: a block is boilerplate where more than COVERED of its tokens lie
 in substrings of WINDOW tokens that stand in MIN_PAGES or more distinct pages of the host. Blocks of MIN_TOKENS to WINDOW
 tokens count as a whole, and shorter ones are never judged.
 
@@ -279,7 +279,7 @@ def main_texts(sources: list[str | None], clusters: list[int] | None = None, tol
     else:
         at, names = [(p, b) for p, bs in enumerate(own) for b in bs], {}
         marks = [_told(read[p][b][0].split(" "), names, *told) for p, b in at]
-    gone = {where for where, mark in zip(at, marks) if read[where[0]][where[1]][1] == OPEN and mark[: len(read[where[0]][where[1]][0].split(" "))].mean() > COVERED}
+    gone = {where for where, mark in zip(at, marks) if mark[: len(read[where[0]][where[1]][0].split(" "))].mean() > COVERED}
     return ["\n".join(page[b][0] for b in bs if (p, b) not in gone) for p, (page, bs) in enumerate(zip(read, own))]
 
 

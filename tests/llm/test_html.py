@@ -92,3 +92,14 @@ def test_repeats_of_a_split_host_go_and_near_copies_stay(spark):
     assert all(whole[k].count(" ") == 59 and plea not in whole[k] for k in range(12))
     assert all(whole[k].split("\n")[1:] == story for k in range(12, 18))
     assert whole[18] == plea
+
+
+def test_repeats_inside_articles_go_and_copied_articles_stay(spark):
+    rng = np.random.default_rng(8)
+    plea, story = prose(rng, 20), prose(rng, 200)
+    sources = [("a.org", f"<article><p>{prose(rng, 60)}</p><p>{plea}</p></article>") for _ in range(12)]
+    sources += [("a.org", f"<article><p>{prose(rng, 6)}</p><p>{story}</p></article>") for _ in range(6)]
+    whole, split = texts_at_two_group_sizes(spark, sources)
+    assert whole == split
+    assert all(whole[k].count(" ") == 59 and plea not in whole[k] for k in range(12))
+    assert all(whole[k].split("\n")[1] == story for k in range(12, 18))
