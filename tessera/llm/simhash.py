@@ -8,10 +8,15 @@ within covering radius plus threshold in that sense, it meets x where x is at ho
 anchor, and in each anchor those at home there are compared with all that were sent.
 
 STRICT is the contract's rule: two Golay blocks over 46 bits, threshold two (about 61 anchors each), links at two differing
-bits or fewer, none missed. SIMILAR finds texts whose word shingles are alike to 0.8 or more, which differ in about 15 % of
-the bits: 17 tables of a Golay and a Hamming block over a fingerprint of 512 bits, threshold one in each table (about 8
-anchors), links at LIMIT differing bits of the first 128. A pair at similarity 0.8 meets in some table with a chance of about
-0.97 (measured in the tests); unrelated texts differ in half of all bits and never come near the limit.
+bits or fewer, none missed. SIMILAR finds texts whose sets of word shingles are alike to 0.8 or more, which differ in about
+15 % of the bits: 17 tables of a Golay and a Hamming block over a fingerprint of 512 bits, threshold one in each table (about
+8 anchors), candidates at 36 differing bits of the first 128. A pair at similarity 0.8 meets in some table with a chance of
+about 0.97 (measured in the tests). A candidate is linked only if the shingles of its two texts are alike to 0.8, so short
+texts whose fingerprints happen to be near stay apart, and texts without words are linked only with each other.
+
+Candidates are verified in two passes: first the stars of each chunk of comparisons, then all pairs whose nodes are not
+connected by then. So every candidate pair is verified or connected already, and a large group of near copies doesn't give
+all of its pairs.
 
 Equal fingerprints are one node from the start, so a group of copies of any size is one row. Within a chunk of comparisons
 linked nodes are joined into stars, so a group of near copies gives as many edges as it has members, not pairs. Anchors that
@@ -78,23 +83,33 @@ class Layout:
     threshold: int
     compared: int  # lanes
     limit: int  # differing bits in those
+    alike: float = 0.0  # Jaccard similarity of the shingles that a link needs besides
 
 
 STRICT = Layout(shingle=3, lanes=1, codes=(GOLAY, GOLAY), tables=1, threshold=2, compared=1, limit=2)
-SIMILAR = Layout(shingle=5, lanes=8, codes=(GOLAY, HAMMING), tables=17, threshold=1, compared=2, limit=26)
+SIMILAR = Layout(shingle=5, lanes=8, codes=(GOLAY, HAMMING), tables=17, threshold=1, compared=2, limit=36, alike=0.8)
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
     """The majority fingerprint of a text as signed 64-bit numbers."""
+    return _majority(shingles(text, shingle), lanes)
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of a text; a shorter text is one shingle, one without words has none."""
     terms = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII only
-    if not terms:
-        return [0] * lanes
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(terms) <= shingle:
-        hashes = [digest(join(terms), SEED)]
+        hashes = [digest(join(terms), SEED)] if terms else []
     else:
         hashes = [digest(join(t), SEED) for t in zip(*[terms[i:] for i in range(shingle)])]
-    own, totals = np.array(hashes, dtype=np.uint64), np.zeros(64 * lanes, np.int64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def _majority(own: np.ndarray, lanes: int) -> list[int]:
+    if not len(own):
+        return [0] * lanes
+    totals = np.zeros(64 * lanes, np.int64)
     for first in range(0, len(own), 255 * 16):
         part = _lanes(own[first : first + 255 * 16], lanes).view(np.uint8)
         bits = np.unpackbits(part.reshape(len(part), -1), axis=1, bitorder="little")
@@ -179,21 +194,23 @@ def anchors(fps: np.ndarray, layout: Layout, table: int = 0) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(homes)
 
 
-def _sent(nodes: DataFrame, layout: Layout) -> DataFrame:
-    """(anchor, home, f0, f1) for every anchor that a node (column fps) is sent to; anchors of different tables differ."""
+def _sent(nodes: DataFrame, layout: Layout, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(anchor, home, f0, f1) and carried longs for every anchor that a node (column fps) is sent to; anchors of different tables differ."""
     span = sum(c.length - c.checks for c in layout.codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = np.array(batch.column("fps").to_pylist(), dtype=np.int64).reshape(-1, layout.lanes).view(np.uint64)
+            carried = [batch.column(c).to_numpy(zero_copy_only=False) for c in carry]
             for first in range(0, len(every), 2000):
                 part = every[first : first + 2000]
                 signed = part.view(np.int64)
                 for table in range(layout.tables):
                     row, anchor, home = anchors(part, layout, table)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | table << span), pa.array(home), pa.array(signed[row, 0]), pa.array(signed[row, layout.compared - 1])], ["anchor", "home", "f0", "f1"])
+                    columns = [anchor | table << span, home, signed[row, 0], signed[row, layout.compared - 1], *[c[first + row] for c in carried]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "home", "f0", "f1", *carry])
 
-    return nodes.select("fps").mapInArrow(run, "anchor long, home boolean, f0 long, f1 long")
+    return nodes.select("fps", *carry).mapInArrow(run, ", ".join(["anchor long, home boolean, f0 long, f1 long", *[f"{c} long" for c in carry]]))
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +231,9 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
-def _compared(rows: np.ndarray, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars of linked nodes among whole runs of rows (anchor and cell, home, f0, f1), compared in chunks of bounded size."""
-    anchor, home, f0, f1 = rows
+def _compared(rows: list[np.ndarray], layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of near rows among whole runs of rows (anchor and cell, home, f0, f1, ...), compared in chunks of bounded size."""
+    anchor, home, f0, f1 = rows[:4]
     begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     size = np.diff(np.append(begin, len(anchor)))
     run = np.repeat(np.arange(len(begin)), size)
@@ -232,32 +249,32 @@ def _compared(rows: np.ndarray, layout: Layout) -> Iterator[tuple[np.ndarray, np
         far = np.bitwise_count(f0[x] ^ f0[y]).astype(np.int64)
         if layout.compared > 1:
             far += np.bitwise_count(f1[x] ^ f1[y])
-        near = (far <= layout.limit) & (f0[x] != f0[y])
-        if near.any():
-            yield _stars(f0[x[near]], f0[y[near]])
+        near = far <= layout.limit
+        yield x[near], y[near]
         first = last
 
 
-def links(nodes: DataFrame, layout: Layout, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between first lanes that connect all linked nodes (column fps, one row for each first lane)."""
-    shipped(nodes.sparkSession)
-    sent = _sent(nodes, layout).withColumn("cell", F.lit(0))
+def _met(sent: DataFrame, layout: Layout, cell: int, key: str, pairs) -> DataFrame:
+    """Edges (a, b) that `pairs` makes of the near rows (columns, x, y) of every anchor; key is a long that tells nodes apart."""
+    columns = sent.columns
+    others = [c for c in columns if c not in ("anchor", "home")]
+    sent = sent.withColumn("cell", F.lit(0))
     crowded = written(sent.filter("home").groupBy("anchor").count().filter(F.col("count") > cell).select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("n")), "simhash-crowded")
     if not crowded.isEmpty():
         # a grid: those at home take one row of cells and every column, those sent take one column and every row
-        mine = F.pmod(F.xxhash64("f0"), F.col("n"))
+        mine = F.pmod(F.xxhash64(key), F.col("n"))
         every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        wide = sent.drop("cell").join(crowded, "anchor")
-        home = wide.filter("home").withColumn("k", every).select("anchor", "home", "f0", "f1", (mine * F.col("n") + F.col("k")).cast("int").alias("cell"))
-        guest = wide.withColumn("k", every).select("anchor", F.lit(False).alias("home"), "f0", "f1", (F.col("k") * F.col("n") + mine).cast("int").alias("cell"))
+        wide = sent.drop("cell").join(crowded, "anchor").withColumn("k", every)
+        home = wide.filter("home").select(*columns, (mine * F.col("n") + F.col("k")).cast("int").alias("cell"))
+        guest = wide.withColumn("home", F.lit(False)).select(*columns, (F.col("k") * F.col("n") + mine).cast("int").alias("cell"))
         sent = sent.join(crowded, "anchor", "left_anti").unionByName(home).unionByName(guest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in _with_end(batches):
             if batch is not None:
-                own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "home", "f0", "f1")]
-                own = [own[0] << 24 | own[1], own[2], own[3].view(np.uint64), own[4].view(np.uint64)]
+                own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "home", *others)}
+                own = [own["anchor"] << 24 | own["cell"], own["home"], *[own[c].view(np.uint64) if c in ("f0", "f1") else own[c] for c in others]]
                 rest = own if rest is None else [np.concatenate(p) for p in zip(rest, own)]
                 changes = np.flatnonzero(rest[0][1:] != rest[0][:-1])
                 if len(rest[0]) < 200_000 or not len(changes):
@@ -268,12 +285,60 @@ def links(nodes: DataFrame, layout: Layout, cell: int = CELL) -> DataFrame:
                 return
             else:
                 whole = rest
-            for a, b in _compared(whole, layout):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            for x, y in _compared(whole, layout):
+                a, b = pairs(whole, x, y)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return sent.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(run, "a long, b long")
 
 
+def links(nodes: DataFrame, layout: Layout, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between first lanes that connect all near nodes (column fps, one row for each first lane)."""
+    shipped(nodes.sparkSession)
+
+    def pairs(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = rows[2][x], rows[2][y]
+        return _stars(a[a != b], b[a != b])
+
+    return _met(_sent(nodes, layout), layout, cell, "f0", pairs)
+
+
+def candidates(nodes: DataFrame, layout: Layout, stars: bool, cell: int = CELL) -> DataFrame:
+    """Distinct pairs (a, b) of near nodes (node, root, fps) of different roots, or a star for those of each chunk that hang together."""
+
+    def pairs(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = rows[5][x] != rows[5][y]
+        a, b = rows[4][x[apart]], rows[4][y[apart]]
+        if stars:
+            return _stars(a, b)
+        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+    return _met(_sent(nodes, layout, ("node", "root")), layout, cell, "node", pairs).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) are alike enough in their sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            keep = []
+            last, own = None, None
+            for s, t in zip(x, y):
+                if own is None or t != last:
+                    last, own = t, np.unique(shingles(t, layout.shingle))
+                other = np.unique(shingles(s, layout.shingle))
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(both >= layout.alike * (len(own) + len(other) - both) and both > 0)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    first, second = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _with_end(batches: Iterator) -> Iterator:
     yield from batches
     yield None
@@ -298,14 +363,43 @@ def near_duplicates(docs: DataFrame, layout: Layout = STRICT) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _placed(rows: DataFrame, keyed: DataFrame, layout: Layout) -> DataFrame:
+    """(node, root) of every distinct set of shingles among rows (k1, k2, node, fps); keyed has the texts."""
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.min("fps").alias("fps")), "simhash-nodes")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        places = written(nodes.join(ends, "node").select("node", "at.k1", "at.k2"), "simhash-places")
+        texts = written(keyed.join(places, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "simhash-texts")
+        return written(verified(pairs, texts, layout), "simhash-alike")
+
+    def roots(edges: DataFrame) -> DataFrame:
+        found = written(components(edges, "simhash-edges"), "simhash-roots")
+        return written(nodes.select("node", "fps").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-placed")
+
+    stars = alike(written(candidates(nodes.withColumn("root", F.col("node")), layout, True), "simhash-stars"))
+    pairs = alike(written(candidates(roots(stars), layout, False), "simhash-pairs"))
+    return roots(stars.unionByName(pairs)).select("node", "root")
+
+
 def one_of_each(docs: DataFrame, layout: Layout = SIMILAR) -> DataFrame:
     """The rows of docs that are the first of their group (by id, then by content), with all their columns; equal rows count as one."""
+    shipped(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"))
     atoms = [F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]
     keyed = packed.withColumns({"k1": F.xxhash64(F.lit(1), *atoms), "k2": F.xxhash64(F.lit(2), *atoms)})
     inner = keyed.select("k1", "k2", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    rows = written(with_fingerprints(inner, ["doc_id", "k1", "k2"], layout), "simhash-rows")
-    placed = rows.withColumn("fp", F.col("fps")[0]).join(grouped(rows, layout).select("fp", "root"), "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(t.as_py(), layout.shingle) for t in batch.column("text")]
+            node = pa.array([xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in own], pa.uint64()).view(pa.int64())
+            fps = pa.array([_majority(h, layout.lanes) for h in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k1", "k2", "doc_id")], node, fps], ["k1", "k2", "doc_id", "node", "fps"])
+
+    schema = inner.drop("text").withColumns({"node": F.lit(0).cast("long"), "fps": F.array(F.lit(0).cast("long"))}).schema
+    rows = written(inner.mapInArrow(run, schema), "simhash-rows")
+    placed = rows.join(_placed(rows, inner, layout), "node")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2")
     kept = keyed.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return kept.select(*unpack(kept))

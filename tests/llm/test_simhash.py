@@ -109,3 +109,27 @@ def test_odd_rows(spark, odd, none):
 def test_first_lane_is_the_contract_fingerprint(spark):
     for text in ("a b c d", "A B", "", None, "x " * 1000):
         assert simhash.fingerprint(text)[0] & (1 << 64) - 1 == plain_fingerprint(text)
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*[t.split()[i:] for i in range(5)])) or {tuple(t.split())} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_only_texts_alike_in_their_shingles_are_grouped(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    short = [" ".join(word() for _ in range(6)) for _ in range(200)]
+    rows = [(0, ""), (1, None), *enumerate(short, 2)]
+    for i in range(60):
+        text = [word() for _ in range(300)]
+        copy = list(text)
+        for at in (20, 60, 100, 140, 180, 220, 260, 290)[: 4 if i % 2 else 8]:
+            copy[at] = word()
+        assert (jaccard(" ".join(text), " ".join(copy)) >= 0.8) == (i % 2 == 1)
+        rows += [(1000 + 2 * i, " ".join(text)), (1001 + 2 * i, " ".join(copy))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {0, *range(2, 202)} <= kept and 1 not in kept
+    assert {1000 + 2 * i for i in range(60)} <= kept
+    assert {1001 + 2 * i for i in range(0, 60, 2)} <= kept
+    assert sum(1001 + 2 * i in kept for i in range(1, 60, 2)) <= 2
