@@ -73,7 +73,8 @@ lgpl-3 | lesser | (?:gnu )?lesser general public license(?: v| version)? ?3(?: 0
 lgpl-3 | lgpl | (?:gnu )?lgpl ?(?:v|version )?3(?: 0)?
 lgpl | lesser | (?:gnu )?lesser general public license
 lppl-1.3 | latex | latex project public license(?: version)?(?: 1 3[ac]?)?
-mit | mit | (?:mit|expat|mit x11|x11 mit)
+mit | mit | (?:mit|mit x11|x11 mit)
+mit | expat | expat
 mit-0 | mit | mit (?:0|no attribution)
 mpl-1.1 | mozilla | mozilla public license(?: v| version)? ?1 1
 mpl-2 | mozilla | mozilla public license(?: v| version)? ?2(?: 0)?
@@ -150,7 +151,8 @@ proprietary | 2 | may be reproduced | no part of this (?:work|publication|book|d
 proprietary | 2 | proprietary and confidential | proprietary and confidential
 proprietary | 2 | unauthorized | unauthorized (?:copying|use|reproduction|distribution)(?: of this (?:file|software))?
 copyright | 1 | copyright | copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?
-non-commercial | 2 | commercial use only | for non ?commercial use only
+non-commercial | 2 | commercial use only | for non commercial use only
+non-commercial | 2 | noncommercial use only | for noncommercial use only
 no-derivatives | 2 | no derivative works | no derivative works
 """
 
