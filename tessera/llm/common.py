@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,9 +47,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(rows: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes rows to the shared folder and reads them again: a lost executor costs no recomputation, and the lineage ends here."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    (rows.write.partitionBy(*partition_by) if partition_by else rows.write).parquet(path)
+    path = path or fresh(spark, name)
+    rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Tables that a run needs while it lasts: `with Scratch(spark, name) as scratch` removes them at the end, whatever happens.
+
+    What a result still reads must be written elsewhere before that.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.made = spark, fresh(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        removed(self.spark, self.path)
+        self.tidy()
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        return written(rows, name, f"{self.path}/{self.made}-{name}")
+
+    def tidy(self) -> None:
+        """Shuffle files go when the driver's garbage is collected; called where large ones have just been read for the last time."""
+        gc.collect()
+        self.spark._jvm.System.gc()

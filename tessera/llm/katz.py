@@ -5,55 +5,65 @@ alpha(h) P(w | h') for the others, where h' is h without its first word. alpha(h
 by one minus the lower-order probabilities of all words seen after h, so that every distribution sums to one exactly. At the
 bottom stand discounted unigrams; what they leave is the probability of the one unknown word. Discounts that the counts of
 counts don't support (outside zero to one) are replaced by an absolute discount for that order; a history without any
-discounted count keeps 1 / (c(h) + 1) back.
-
-How it runs. Texts are read into blocks of bounded size, whole documents each. For every order from one up, a block sends
-each of its distinct n-grams once, with its count in training texts and its lower-order probability, to the bucket of the
-n-gram; the bucket adds up, stores its part of the model, and answers every block with the counts that it asked for and what
-alpha needs. Buckets go by the hash of the history, and histories with more training tokens than a bucket should hold are
-dealt over several buckets by the word, so neither a frequent word nor a frequent pair makes one task large. With the
-answers, a block evaluates its tokens recursively. Nothing of the model is broadcast or collected but counts of counts.
-
-The tables: rows of `kind` model hold, for each order and bucket, histories, words and counts, and for each history its
-statistics (followers by count, lower-order mass). Words are told apart by 64-bit hashes and get a number from their bucket
-(their place by frequency, and the bucket); an n-gram is a history and a word's number, where a history of one word is that
-word's number and a longer one a 64-bit hash.
+discounted count keeps 1 / (c(h) + 1) back. Orders are one to three.
+
+How it runs. Texts are read into blocks of bounded size, whole documents each, which are written once. Blocks and buckets
+then exchange packed messages, in up to three rounds. In the first a block sends its distinct words and the words' buckets
+answer with counts and a number for each word (its place by frequency there, and the bucket). In the last it sends its
+distinct trigrams (v before w, u before v) to the bucket of v, which so holds all that is needed of both upper orders: it
+adds up c(u v w) and c(v w), stores its part of the model, and answers with the counts and with what alpha(u v) and alpha(v)
+are made of. A frequent v would make a bucket large, so bigrams after words with more training tokens than a bucket should
+hold have a round of their own, dealt by v and a share of the words after it; trigrams around such a v are then dealt by
+(u, v), and those of a pair that is too frequent itself by a share of the words after it too. Statistics of a history that
+is dealt over several buckets are asked from all of them and added up. With all answers a block evaluates its tokens,
+recursively from the lowest order up. Nothing of the model is broadcast or collected but the counts of counts.
+
+The lower-order mass of a pair's followers depends on discounts that are known only when all buckets are done; it is linear
+in them, so buckets send the number of followers by their bigram count instead, which is exact.
+
+The model is a folder of tables partitioned by round and kind: `kind=model` holds words (hash, number, count), n-grams and
+the statistics of histories by order and bucket; `ngrams` and `backoffs` read them as rows. Words are told apart by 64-bit
+hashes. Messages number blocks times buckets, so on corpora beyond some terabytes both sizes should be raised.
 
 Nulls: a null text is empty and consists of its end alone; the text of a null id is empty too, for the split. Repeated rows
 count as often as they stand there. With no training rows every token is the unknown word, with probability one. An empty
-table gives an empty table. Very long texts make a block of their own. Only id and text are read.
+table gives an empty table. Very long texts make a block of their own. Ties can't arise: equal texts have equal scores. Only
+id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.cluster import shipped
-from tessera.llm.common import written
+from tessera.llm.common import Scratch, fresh, removed, written
 from tessera.llm.packed import pack, unpack
 
 CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 1_000_000, 750_000
 MODULUS, HELD = 5, 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-END, START = np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
+#: The hash of a text's end. A text's begin is the word number 0, others are numbered from 1.
+END = np.uint64(0x27D4EB2F165667C5)
 BLOCK = "block long, ids array<long>, data binary"
 SENT = "bucket long, block long, data binary"
-MADE = "kind string, bucket long, block long, stats array<long>, data binary"
+MADE = "kind string, n int, bucket long, block long, stats array<long>, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+NGRAM = "n int, history array<long>, word long, count long"
+WEIGHT = "n int, history array<long>, count long, kept double, mass double"
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of pairs of hashes."""
-    x = (a ^ (b * _A + _C)) * _B
+    """A hash of pairs of numbers."""
+    x = (a.astype(np.uint64) ^ (b.astype(np.uint64) * _A + _C)) * _B
     x ^= x >> np.uint64(29)
     x *= _A
     return x ^ (x >> np.uint64(32))
@@ -63,16 +73,18 @@ def held_out(key: int | None) -> bool:
     return zlib.crc32(("" if key is None else str(key)).encode()) % MODULUS == HELD
 
 
+# ---- discounts
+
+
 @dataclass
 class Level:
-    """What is known of an order: its discounts (by count from 1 to CUTOFF) and, of unigrams, tokens and types."""
+    """What is known of an order: tokens, types, and discounts by count from 1 to CUTOFF."""
 
     total: int
     types: int
     discounts: list[float]
     kept: float = 0.0  # the mass that seen types keep
 
-
     @staticmethod
     def of(stats: list[int]) -> Level:
         """From total, types and the counts of counts from 1 to CUTOFF + 1."""
@@ -94,13 +106,9 @@ def discounts(n: list[int]) -> list[float]:
     return [(r - lost) / r for r in range(1, k + 1)]
 
 
-def _table(d: list[float]) -> np.ndarray:
-    return np.array([1.0, *d, 1.0])
-
-
 def discounted(c: np.ndarray, level: Level) -> np.ndarray:
     """d(c) c for an array of counts."""
-    return _table(level.discounts)[np.minimum(c, len(level.discounts) + 1)] * c
+    return np.array([1.0, *level.discounts, 1.0])[np.minimum(c, len(level.discounts) + 1)] * c
 
 
 def left_over(by_count: np.ndarray, level: Level) -> np.ndarray:
@@ -109,6 +117,76 @@ def left_over(by_count: np.ndarray, level: Level) -> np.ndarray:
     return (by_count * r * (1 - np.array(level.discounts))).sum(axis=-1)
 
 
+def unigrams(count: np.ndarray, level: Level) -> np.ndarray:
+    """Probabilities of words by their count; zero counts stand for the unknown word."""
+    if not level.total:
+        return np.ones(len(count))
+    left = level.total - level.kept
+    if left <= 0:
+        return np.where(count > 0, count, 1) / (level.total + 1)
+    return np.where(count > 0, discounted(count, level), left) / level.total
+
+
+def _seen(count: np.ndarray, history: np.ndarray, plain: np.ndarray, level: Level) -> np.ndarray:
+    """Probabilities of seen n-grams from their counts and their histories'."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(plain, count / (history + 1), discounted(count, level) / history)
+
+
+def _alpha(history: np.ndarray, by_count: np.ndarray, mass: np.ndarray, level: Level) -> np.ndarray:
+    """The backoff weight of histories; one for those that training hasn't seen."""
+    left = left_over(by_count, level)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kept = np.where(left > 0, left / history, 1 / (history + 1))
+    return np.where(history > 0, kept / np.maximum(1 - mass, 1e-300), 1.0)
+
+
+def _pair_mass(history: np.ndarray, plain: np.ndarray, by_lower: np.ndarray, large: np.ndarray, lower: Level) -> np.ndarray:
+    """The lower-order probability of all followers of pairs (u, v): from c(v), and c(v w) of the followers by count."""
+    r = np.arange(1, len(lower.discounts) + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(plain, ((by_lower * r).sum(axis=1) + large) / (history + 1), ((by_lower * r * np.array(lower.discounts)).sum(axis=1) + large) / history)
+
+
+# ---- sorting
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """Places of numbers from 0 up in ascending order, equal ones as they stand (sorted together with their places where both fit)."""
+    bits = max(1, (len(key) - 1).bit_length())
+    if len(key) and int(key.max()) >> (63 - bits) == 0:
+        return np.sort(key.astype(np.int64) << bits | np.arange(len(key))) & ((1 << bits) - 1)
+    return np.argsort(key, kind="stable")
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each number among them."""
+    order = _order(key)
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(key)]
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, its places in order) for each distinct value."""
+    order = _order(values)
+    cut = np.flatnonzero(np.diff(values[order])) + 1
+    for mine in np.split(order, cut) if len(values) else ():
+        yield int(values[mine[0]]), mine
+
+
+def _sums(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, weights=weights, minlength=n).astype(np.int64)
+
+
+def _by_count(group: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """How many members of each group have each count from 1 to CUTOFF."""
+    small = (count > 0) & (count <= CUTOFF)
+    return np.bincount(group[small] * CUTOFF + count[small] - 1, minlength=n * CUTOFF).reshape(n, CUTOFF)
+
+
 # ---- blocks
 
 
@@ -121,8 +199,8 @@ def _hashes(values: pa.BinaryArray) -> list[int]:
     return [digest(data[a:b]) for a, b in zip(ends, ends[1:])]
 
 
-def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Runs of whole documents: their ids, token counts, vocabulary (sorted hashes) and tokens (places in the vocabulary)."""
+def _blocks(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFrame:
+    """Runs of whole documents: their ids, token counts, vocabulary (hashes by frequency) and tokens (places in the vocabulary)."""
     read = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +212,16 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal ids, counts, words, made
             coded = pa.array(words, pa.binary()).dictionary_encode()
-            known = np.array(_hashes(coded.dictionary) + [int(END)], np.uint64)
-            vocabulary, place = np.unique(known, return_inverse=True)
-            lengths = np.array(counts, "<i8")
-            tokens = np.full(int(lengths.sum()), place[-1], "<u4")  # ends, until words are put between them
-            tokens[np.arange(len(words)) + np.repeat(np.arange(len(counts)), lengths - 1)] = place[coded.indices.to_numpy(zero_copy_only=False)] if words else 0
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(lengths, vocabulary, tokens)], pa.binary())], ["block", "ids", "data"])
+            vocabulary = np.array(_hashes(coded.dictionary) + [int(END)], np.uint64)
+            lengths = np.array(counts, np.int64)
+            tokens = np.full(int(lengths.sum()), len(vocabulary) - 1)  # ends, until words are put between them
+            tokens[np.arange(len(words)) + np.repeat(np.arange(len(counts)), lengths - 1)] = coded.indices.to_numpy(zero_copy_only=False) if words else 0
+            often = np.bincount(tokens, minlength=len(vocabulary))
+            order = _order(often.max() - often)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            data = pack(lengths, vocabulary[order], rank[tokens])
+            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "data"])
             ids, counts, words, made = [], [], [], made + 1
             return out
 
@@ -149,7 +231,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ids.append(key_)
                 counts.append(len(own) + 1)
                 words += own
-                if len(words) >= BLOCK_TOKENS:
+                if len(words) >= block_tokens:
                     yield block()
         if ids:
             yield block()
@@ -157,270 +239,499 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return read.mapInArrow(run, BLOCK)
 
 
+@dataclass
+class Setting:
+    """What holds for a whole run."""
+
+    order: int
+    buckets: int
+    capacity: int  # training tokens that a bucket should hold
+    trained: int = 0  # training texts
+
+
 class Block:
-    """A block's tokens, and for each order what its n-grams are and what the buckets have answered."""
+    """A block's tokens, what it asks the buckets and what it has heard. Words are places by number, 0 is a text's begin."""
 
-    def __init__(self, row: dict, order: int, cutoff: int = CUTOFF) -> None:
-        self.id, self.ids = row["block"], row["ids"]
-        self.lengths, self.vocabulary, tokens = unpack(row["data"])
-        self.tokens = tokens.astype(np.int64)
+    def __init__(self, row: dict, setting: Setting) -> None:
+        self.id, self.ids, self.setting = row["block"], row["ids"], setting
+        self.lengths, self.vocabulary, self.tokens = unpack(row["data"])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.held = np.array([held_out(i) for i in self.ids], bool)
         self.train = np.repeat(~self.held, self.lengths)
-        self.order, self.cutoff = order, cutoff
-        self.gram = self.tokens  # order 1: n-grams are the words of the vocabulary, the history is empty
-        self.gram_hash = self.number = self.probability = self.count = None
-
-    def climb(self) -> None:
-        """From n-grams of one order to those of the next."""
-        before = np.empty_like(self.gram)
-        before[1:] = self.gram[:-1]
-        before[self.starts] = len(self.gram_hash)  # the history at a text's begin
-        pair, self.gram = np.unique(before * len(self.vocabulary) + self.tokens, return_inverse=True)
-        self.lower = np.empty(len(pair))
-        self.lower[self.gram] = self.probability  # the same for every place of an n-gram
-        hashes, counts = np.append(self.gram_hash, START), np.append(self.count, self.trained)
-        history = pair // len(self.vocabulary)
-        self.history_hash, self.history_count = hashes[history], counts[history]
-        self.history_rank = np.argsort(np.argsort(hashes, kind="stable"), kind="stable")[history]
-        self.word = self.number[pair % len(self.vocabulary)]
-        self.gram_hash = mixed(self.history_hash, self.word)
-        self.own = np.bincount(self.gram[self.train], minlength=len(pair))
-
-    # -- order 1
-
-    def ask_words(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+
+    # -- words
+
+    def _word_runs(self) -> Iterator[tuple[int, np.ndarray]]:
+        by_hash = np.argsort(self.vocabulary)
+        where = (self.vocabulary % np.uint64(self.setting.buckets)).astype(np.int64)
+        for bucket, mine in _runs(where[by_hash]):
+            yield bucket, by_hash[mine]
+
+    def ask_words(self) -> Iterator[tuple[int, bytes]]:
         own = np.bincount(self.tokens[self.train], minlength=len(self.vocabulary))
-        where = self.vocabulary % np.uint64(buckets)
+        for bucket, mine in self._word_runs():
+            yield bucket, pack(self.vocabulary[mine], own[mine])
+
+    def hear_words(self, answers: dict[int, bytes]) -> None:
+        size = len(self.vocabulary) + 1
+        count, number = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for bucket, mine in self._word_runs():
+            count[mine], place = unpack(answers[bucket])
+            number[mine] = place * self.setting.buckets + bucket + 1
+        count[-1] = self.setting.trained  # a text's begin, as often as there are training texts
+        order = _order(number)
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        self.size, self.count, self.number = size, count[order], number[order]
+        self.tokens = place[self.tokens]
+        self.v, self.u = np.zeros_like(self.tokens), np.zeros_like(self.tokens)
+        for before, of in ((self.v, self.tokens), (self.u, self.v)):
+            before[1:] = of[:-1]
+            before[self.starts] = 0
+        self.hot = self.count > self.setting.capacity
+        self.by, self.mass = np.zeros((size, CUTOFF), np.int64), np.zeros(size)
+        self.plain = np.zeros(size, bool)
+
+    # -- messages
+
+    def _messages(self, where: np.ndarray, columns: list[np.ndarray], own: np.ndarray, known: np.ndarray, asked_at: np.ndarray, asked: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        """(bucket, message): the words that it uses with their counts, n-grams as places among those, and histories whose statistics are asked for."""
+        mark, place = np.zeros(self.size, bool), np.empty(self.size, np.int64)
+        wide, nothing = dict(_runs(asked_at)), np.empty(0, np.int64)
+
+        def message(mine: np.ndarray, more: np.ndarray) -> bytes:
+            parts = [c[mine] for c in columns] + [c[more] for c in asked]
+            for p in parts:
+                mark[p] = True
+            words = np.flatnonzero(mark)
+            mark[words] = False
+            place[words] = np.arange(len(words))
+            return pack(self.number[words], self.count[words], own[mine], known[mine], *[place[p] for p in parts])
+
         for bucket, mine in _runs(where):
-            yield bucket, pack(self.vocabulary[mine], own[mine].astype("<u4"))
-
-    def hear_words(self, answers: dict[int, bytes], level: Level, buckets: int, trained: int) -> None:
-        self.count = np.zeros(len(self.vocabulary), np.int64)
-        self.number = np.zeros(len(self.vocabulary), np.uint64)
-        for bucket, mine in _runs(self.vocabulary % np.uint64(buckets)):
-            self.count[mine], place = unpack(answers[bucket])
-            self.number[mine] = place * np.uint64(buckets) + np.uint64(bucket)
-        self.words, self.trained, self.gram_hash = self.count, trained, self.number
-        self.probability = unigrams(self.count, level)[self.tokens]
-
-    # -- higher orders
-
-    def _dealt(self, buckets: int) -> np.ndarray:
-        """The bucket of each n-gram. Histories of many tokens are dealt by the word."""
-        self.shares = 1 + self.history_count // BUCKET_TOKENS
-        salt = self.word % self.shares.astype(np.uint64)
-        return mixed(self.history_hash, salt) % np.uint64(buckets)
-
-    def _wide(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket, history hash) for every share of the histories that have several."""
-        hashes, first = np.unique(self.history_hash[self.shares > 1], return_index=True)
-        shares = self.shares[self.shares > 1][first]
-        rows = np.repeat(np.arange(len(hashes)), shares)
-        salt = (np.arange(len(rows)) - np.repeat(np.cumsum(shares) - shares, shares)).astype(np.uint64)
-        return mixed(hashes[rows], salt) % np.uint64(buckets), hashes[rows]
-
-    def _sorted(self, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, its n-grams by history) for every bucket."""
-        order = np.argsort(where.astype(np.int64) * (len(self.gram_hash) + 2) + self.history_rank, kind="stable")
-        cut = np.flatnonzero(np.diff(where[order])) + 1
-        for mine in np.split(order, cut) if len(order) else ():
-            yield int(where[mine[0]]), mine
-
-    def ask(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        where = self._dealt(buckets)
-        asked_at, asked = self._wide(buckets)
-        wide = {b: np.sort(asked[mine]) for b, mine in _runs(asked_at)}
-        nothing = np.empty(0, np.uint64)
-        for bucket, mine in self._sorted(where):
-            seen = self.own[mine] > 0
-            values, codes = np.unique(np.where(seen, self.lower[mine], 0.0), return_inverse=True)
-            yield bucket, pack(self.history_hash[mine], self.word[mine], self.own[mine].astype("<u4"), values, codes.astype("<u4"), wide.pop(bucket, nothing))
-        for bucket, hashes in wide.items():
-            yield bucket, pack(nothing, nothing, np.empty(0, "<u4"), np.empty(0), np.empty(0, "<u4"), hashes)
-
-    def hear(self, answers: dict[int, bytes], level: Level, buckets: int) -> None:
-        """Counts from the buckets, then the probability of every token, recursively over what order below has given."""
-        count = np.zeros(len(self.gram_hash), np.int64)
-        plain = np.zeros(len(self.gram_hash), bool)  # seen, and nothing is discounted after its history
-        for bucket, mine in self._sorted(self._dealt(buckets)):
-            got = unpack(answers[bucket])[0]
-            count[mine], plain[mine] = got >> 1, got & 1
-        hashes, by_count, mass = [], [], []
+            yield bucket, message(mine, wide.pop(bucket, nothing))
+        for bucket, more in wide.items():
+            yield bucket, message(nothing, more)
+
+    def _spread(self, base: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(history, bucket) for every share of the histories with several; base is a hash of each history."""
+        many = np.flatnonzero(shares > 1)
+        row = np.repeat(many, shares[many])
+        share = np.arange(len(row)) - np.repeat(np.cumsum(shares[many]) - shares[many], shares[many])
+        return row, (mixed(base[row], share) % np.uint64(self.setting.buckets)).astype(np.int64)
+
+    # -- bigrams: all of them for a model of order 2, those after frequent words for order 3
+
+    def _bigrams(self) -> None:
+        at = np.flatnonzero((self.hot if self.setting.order > 2 else self.count > 0)[self.v])
+        self.bigram, place = _distinct(self.v[at] * self.size + self.tokens[at])
+        self.bigram_own = np.bincount(place[self.train[at]], minlength=len(self.bigram))
+        self.bigram_v, self.bigram_w = np.divmod(self.bigram, self.size)
+        self.shares = np.where(self.hot, 1 + self.count // self.setting.capacity, 1)
+        share = self.number[self.bigram_w] % self.shares[self.bigram_v]
+        self.bigram_at = (mixed(self.number[self.bigram_v], share) % np.uint64(self.setting.buckets)).astype(np.int64)
+
+    def ask_bigrams(self) -> Iterator[tuple[int, bytes]]:
+        self._bigrams()
+        used = np.zeros(self.size, bool)
+        used[self.bigram_v] = True
+        asked, asked_at = self._spread(self.number, np.where(used, self.shares, 1))
+        yield from self._messages(self.bigram_at, [self.bigram_v, self.bigram_w], self.bigram_own, np.zeros(len(self.bigram), np.int64), asked_at, [asked])
+
+    def hear_bigrams(self, answers: dict[int, bytes]) -> None:
+        self._bigrams()
+        self.bigram_count = np.zeros(len(self.bigram), np.int64)
+        for bucket, mine in _runs(self.bigram_at):
+            code = unpack(answers[bucket])[0]
+            self.bigram_count[mine], self.plain[self.bigram_v[mine]] = code >> 1, code & 1
+        self._add_words(data for data in answers.values())
+        many = self.shares > 1
+        self.plain[many] = self.by[many].sum(axis=1) == 0
+
+    def _add_words(self, answers: Iterable[bytes], first: int = 1) -> None:
+        for data in answers:
+            numbers, by, mass = unpack(data)[first : first + 3]
+            at = np.searchsorted(self.number, numbers)
+            self.by[at] += by.reshape(-1, CUTOFF)
+            self.mass[at] += mass
+
+    # -- trigrams
+
+    def _trigrams(self) -> None:
+        """The distinct trigrams, by v, u and w, and where each is dealt to."""
+        n, buckets = self.size, np.uint64(self.setting.buckets)
+        self.pair, pair_of = _distinct(self.v * n + self.u)
+        gram, self.gram_of = _distinct(pair_of * n + self.tokens)
+        self.gram_pair, self.gram_w = np.divmod(gram, n)
+        self.pair_of, (self.pair_v, self.pair_u) = pair_of, np.divmod(self.pair, n)
+        self.gram_v = self.pair_v[self.gram_pair]
+        self.own = np.bincount(self.gram_of[self.train], minlength=len(gram))
+        hot = self.hot[self.pair_v]
+        # how often a pair occurs is known here where both of its words are frequent, and others are no larger than a bucket
+        often = np.where(hot & self.hot[self.pair_u], self._bigram_counts(self.pair_u * n + self.pair_v), 0)
+        often[(self.pair == 0) & hot] = self.setting.trained  # the begin of a text
+        self.pair_shares = 1 + often // self.setting.capacity
+        self.pair_base = mixed(self.number[self.pair_v], np.where(hot, self.number[self.pair_u] + 1, 0))
+        p, share = self.gram_pair, self.number[self.gram_w] % self.pair_shares[self.gram_pair]
+        self.gram_at = (np.where(self.pair_shares[p] > 1, mixed(self.pair_base[p], share), self.pair_base[p]) % buckets).astype(np.int64)
+        self.gram_at[self.count[self.gram_v] == 0] = -1  # nothing is known after a word that training hasn't seen
+
+    def _bigram_counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of bigrams after frequent words."""
+        if not len(self.bigram):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.bigram, keys), len(self.bigram) - 1)
+        return np.where(self.bigram[at] == keys, self.bigram_count[at], 0)
+
+    def ask_trigrams(self) -> Iterator[tuple[int, bytes]]:
+        self._trigrams()
+        known = np.where(self.hot[self.gram_v], self._bigram_counts(self.gram_v * self.size + self.gram_w) << 1 | self.plain[self.gram_v], 0)
+        asked, asked_at = self._spread(self.pair_base, self.pair_shares)
+        sent = np.flatnonzero(self.gram_at >= 0)
+        columns = [c[sent] for c in (self.gram_v, self.pair_u[self.gram_pair], self.gram_w)]
+        yield from self._messages(self.gram_at[sent], columns, self.own[sent], known[sent], asked_at, [self.pair_v[asked], self.pair_u[asked]])
+
+    def hear_trigrams(self, answers: dict[int, bytes]) -> None:
+        self._trigrams()
+        g, p, hot = len(self.gram_w), len(self.pair), self.hot[self.gram_v]
+        self.c3, self.c2, self.plain3 = np.zeros(g, np.int64), np.zeros(g, np.int64), np.zeros(p, bool)
+        for bucket, mine in _runs(self.gram_at):
+            if bucket >= 0:
+                three, two = unpack(answers[bucket])[:2]
+                self.c3[mine], self.plain3[self.gram_pair[mine]] = three >> 1, three & 1
+                self.c2[mine] = two >> 1
+                mine, two = mine[~hot[mine]], two[~hot[mine]]
+                self.plain[self.gram_v[mine]] = two & 1
+        self.c2[hot] = self._bigram_counts(self.gram_v * self.size + self.gram_w)[hot]
+        self._add_words(answers.values(), 2)
+        self.by3, self.by2, self.large = np.zeros((p, CUTOFF), np.int64), np.zeros((p, CUTOFF), np.int64), np.zeros(p, np.int64)
         for data in answers.values():
-            _, h, m, s = unpack(data)
-            hashes.append(h), by_count.append(m.reshape(-1, self.cutoff)), mass.append(s)
-        told, at = np.unique(np.concatenate(hashes) if hashes else np.empty(0, np.uint64), return_inverse=True)
-        by = np.zeros((len(told), self.cutoff))
-        masses = np.zeros(len(told))
-        if len(told):
-            np.add.at(by, at, np.concatenate(by_count))
-            np.add.at(masses, at, np.concatenate(mass))
-        found = np.searchsorted(told, self.history_hash)
-        known = (found < len(told)) & (np.append(told, 0)[np.minimum(found, len(told))] == self.history_hash)
-        left = np.append(left_over(by, level), 0.0)[np.where(known, found, len(told))]
-        mass_of = np.append(masses, 0.0)[np.where(known, found, len(told))]
-        c = self.history_count
-        wide = self.shares > 1
-        plain = np.where(wide, known & (left == 0), plain)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.where(plain, count / (c + 1), discounted(count, level) / c)
-            kept = np.where(left > 0, left / c, 1 / (c + 1))
-            alpha = np.where(c > 0, kept / np.maximum(1 - mass_of, 1e-300), 1.0)
-        per_gram = np.where(count > 0, seen, -alpha)
-        chosen = per_gram[self.gram]
-        self.probability = np.where(chosen > 0, chosen, -chosen * self.probability)
-        self.count = count
-
-    def scores(self, level: Level) -> pa.Table:
-        known = self.words[self.tokens]
-        base = np.log10((known + 0.5) / (level.total + 0.5 * (level.types + 1)))
+            v, u, three, two, large = unpack(data)[5:]
+            at = np.searchsorted(self.pair, np.searchsorted(self.number, v) * self.size + np.searchsorted(self.number, u))
+            self.by3[at] += three.reshape(-1, CUTOFF)
+            self.by2[at] += two.reshape(-1, CUTOFF)
+            self.large[at] += large
+        many = self.pair_shares > 1
+        self.plain3[many] = self.by3[many].sum(axis=1) == 0
+
+    # -- evaluation
+
+    def probabilities(self, levels: list[Level]) -> np.ndarray:
+        """The probability of every token, order by order from the lowest."""
+        one = unigrams(self.count, levels[0])
+        if self.setting.order == 1:
+            return one[self.tokens]
+        if self.setting.order == 2:
+            v, w, c2 = self.v, self.tokens, self._bigram_counts(self.v * self.size + self.tokens)
+        else:
+            v, w, c2 = self.gram_v, self.gram_w, self.c2
+        two = np.where(c2 > 0, _seen(c2, self.count[v], self.plain[v], levels[1]), _alpha(self.count, self.by, self.mass, levels[1])[v] * one[w])
+        if self.setting.order == 2:
+            return two
+        often = np.empty(len(self.pair), np.int64)  # a pair's count is that of the bigram one place before
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = c2[self.gram_of[:-1]]
+        before[self.starts] = self.setting.trained
+        often[self.pair_of] = before
+        mass = _pair_mass(self.count[self.pair_v], self.plain[self.pair_v], self.by2, self.large, levels[1])
+        alpha, own = _alpha(often, self.by3, mass, levels[2]), self.gram_pair
+        return np.where(self.c3 > 0, _seen(self.c3, often[own], self.plain3[own], levels[2]), alpha[own] * two)[self.gram_of]
+
+    def scores(self, levels: list[Level]) -> pa.Table:
+        known, first = self.count[self.tokens], levels[0]
+        base = np.log10((known + 0.5) / (first.total + 0.5 * (first.types + 1)))
         add = lambda x: np.add.reduceat(x, self.starts) if len(self.starts) else np.empty(0)
-        columns = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.lengths, pa.int64()), pa.array(add((known > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(self.ids), level.total), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(np.log10(self.probability)), pa.float64())]
+        columns = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.lengths, pa.int64()), pa.array(add((known > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(self.ids), first.total), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(np.log10(self.probabilities(levels))), pa.float64())]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def unigrams(count: np.ndarray, level: Level) -> np.ndarray:
-    """Probabilities of words by their count; zero counts stand for the unknown word."""
-    if not level.total:
-        return np.ones(len(count))
-    left = level.total - level.kept
-    if left <= 0:
-        return np.where(count > 0, count, 1) / (level.total + 1)
-    return np.where(count > 0, discounted(count, level), left) / level.total
-
-
-def _runs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(value, its places in order) for each distinct value."""
-    order = np.argsort(values, kind="stable")
-    cut = np.flatnonzero(np.diff(values[order])) + 1
-    for mine in np.split(order, cut) if len(values) else ():
-        yield int(values[mine[0]]), mine
-
-
 # ---- buckets
 
 
-def _merge_words(rows: list[dict]) -> Iterator[dict]:
-    """Adds up one bucket of words: its part of the model, and the counts that each block asked for."""
-    asked = [unpack(r["data"]) for r in rows]
-    keys, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.int64)
+class Bucket:
+    """The messages that met in a bucket, with the words of all of them in one order."""
+
+    def __init__(self, rows: list[dict], width: int) -> None:
+        self.rows, self.parts = rows, [unpack(r["data"]) for r in rows]
+        offset = np.cumsum([0] + [len(p[0]) for p in self.parts])
+        self.words, at = _distinct(np.concatenate([p[0] for p in self.parts]))
+        self.count = np.empty(len(self.words), np.int64)
+        self.count[at] = np.concatenate([p[1] for p in self.parts])
+        self.own, self.known = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3))
+        column = lambda i: at[np.concatenate([p[i] + o for p, o in zip(self.parts, offset)])]
+        self.columns = [column(4 + i) for i in range(width)]
+        self.asked = [column(4 + width + i) for i in range(width - 1)]
+        self.ends = np.cumsum([len(p[2]) for p in self.parts])
+        self.asked_ends = np.cumsum([len(p[4 + width]) for p in self.parts])
+
+    def each(self, *arrays: np.ndarray) -> Iterator[tuple[dict, list[np.ndarray], list[np.ndarray]]]:
+        """(row, its part of the arrays, the histories that it asks for)."""
+        start = asked_start = 0
+        for r, end, asked_end in zip(self.rows, self.ends, self.asked_ends):
+            yield r, [a[start:end] for a in arrays], [a[asked_start:asked_end] for a in self.asked]
+            start, asked_start = end, asked_end
+
+    def answer(self, row: dict, data: bytes) -> dict:
+        return {"kind": "answer", "n": None, "bucket": row["bucket"], "block": row["block"], "stats": None, "data": data}
+
+    def model(self, n: int, count: np.ndarray, *arrays: np.ndarray, hot: int = 0) -> dict:
+        of = np.bincount(count[count <= CUTOFF + 1], minlength=CUTOFF + 2)
+        return {"kind": "model", "n": n, "bucket": self.rows[0]["bucket"], "block": None, "stats": [int(count.sum()), int((count > 0).sum()), *of[1:].tolist(), hot], "data": pack(self.words, count[count > 0], *arrays)}
+
+
+def _merge_words(rows: list[dict], setting: Setting) -> Iterator[dict]:
+    """Adds up one bucket of words: its part of the model, and for each block counts and places by frequency."""
+    parts = [unpack(r["data"]) for r in rows]
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = _sums(at, np.concatenate([p[1] for p in parts]), len(keys))
     place = np.empty(len(keys), np.int64)
     place[np.lexsort((keys, -total))] = np.arange(len(keys))  # frequent words get small numbers
-    yield _model(rows[0]["bucket"], total, pack(keys[total > 0], total[total > 0], place[total > 0]))
-    for r, mine in zip(rows, np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])):
-        yield {"kind": "answer", "bucket": r["bucket"], "block": r["block"], "stats": None, "data": pack(total[mine].astype("<u8"), place[mine].astype("<u8"))}
-
-
-def _merge_grams(rows: list[dict], cutoff: int) -> Iterator[dict]:
-    """Adds up one bucket of n-grams: its part of the model, and for each block counts and the statistics of histories."""
-    asked = [unpack(r["data"]) for r in rows]
-    history, word, own = (np.concatenate([a[i] for a in asked]) for i in range(3))
-    lower = np.concatenate([a[3][a[4]] for a in asked])
-    _, first, at = np.unique(mixed(history, word), return_index=True, return_inverse=True)
-    n = len(first)
-    total = np.bincount(at, weights=own, minlength=n).astype(np.int64)
-    below = np.zeros(n)
-    np.maximum.at(below, at, lower)
-    of, group = np.unique(history[first], return_inverse=True)
-    seen = total > 0
-    by_count = np.stack([np.bincount(group[total == r], minlength=len(of)) for r in range(1, cutoff + 1)], axis=1) if len(of) else np.zeros((0, cutoff), np.int64)
-    mass = np.bincount(group[seen], weights=below[seen], minlength=len(of))
-    plain = by_count.sum(axis=1) == 0
-    yield _model(rows[0]["bucket"], total, pack(history[first][seen], word[first][seen], total[seen], of, by_count.astype("<u4").reshape(-1), mass))
-    code = total << 1 | plain[group]
-    unseen = ~seen
-    for r, a, mine in zip(rows, asked, np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])):
-        wanted = np.unique(np.concatenate([of[group[mine[unseen[mine]]]], a[5]]))
-        place = np.searchsorted(of, wanted)
-        there = (place < len(of)) & (np.append(of, 0)[np.minimum(place, len(of))] == wanted)
-        wanted, place = wanted[there], place[there]
-        yield {"kind": "answer", "bucket": r["bucket"], "block": r["block"], "stats": None, "data": pack(code[mine].astype("<u8"), wanted, by_count[place].astype("<u4").reshape(-1), mass[place])}
-
-
-def _model(bucket: int, total: np.ndarray, data: bytes) -> dict:
-    counts = np.bincount(total[total <= CUTOFF + 1], minlength=CUTOFF + 2)
-    return {"kind": "model", "bucket": bucket, "block": None, "stats": [int(total.sum()), int((total > 0).sum()), *counts[1:].tolist()], "data": data}
-
-
-_MADE = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), ("stats", pa.list_(pa.int64())), ("data", pa.binary())])
-
-
-def _level(made: DataFrame) -> Level:
-    """Adds up the statistics of all buckets: a fixed number of values."""
-    sums = made.filter("kind = 'model'").agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 3)]).first()
-    return Level.of([int(x or 0) for x in sums])
-
-
-def score(docs: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores every row by a model of the rows that aren't held out: SCORED. The model stays in the shared folder."""
-    shipped(docs.sparkSession)
-    texts = _blocks(docs, key, text)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, size // 6 // BUCKET_TOKENS)
-    crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    trained = docs.filter(crc % MODULUS != HELD).count()
-    levels: list[Level] = []
-    answers = None
-    for n in range(1, order + 1):
-        sent = _ask(texts, answers, levels, n, buckets, trained)
-        made = written(_merge(sent, n), f"katz-order-{n}", ["kind"])
-        levels.append(_level(made))
-        own = made.filter("kind = 'answer'").select("block", F.lit(n).alias("n"), "bucket", F.col("data").alias("answer"))
-        answers = own if answers is None else answers.unionByName(own)
-    return _evaluated(texts, answers, levels, order, buckets, trained)
-
-
-def _merge(sent: DataFrame, n: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        return pa.Table.from_pylist(list(_merge_words(rows) if n == 1 else _merge_grams(rows, CUTOFF)), schema=_MADE)
-
-    return sent.groupBy("bucket").applyInArrow(run, MADE)
-
-
-def _replayed(block: pa.Table, told: pa.Table, levels: list[Level], order: int, buckets: int, trained: int) -> Block:
-    """A block after it has heard the answers of all orders so far."""
-    out = Block(block.to_pylist()[0], order)
-    by: dict[int, dict[int, bytes]] = {}
+    bucket = Bucket.__new__(Bucket)
+    bucket.rows, bucket.words, seen = rows, keys, total > 0
+    made = bucket.model(1, total, np.flatnonzero(seen), place[seen] * setting.buckets + rows[0]["bucket"] + 1, hot=int((total > setting.capacity).sum()))
+    yield made
+    for r, mine in zip(rows, np.split(at, np.cumsum([len(p[0]) for p in parts])[:-1])):
+        yield bucket.answer(r, pack(total[mine], place[mine]))
+
+
+def _followers(v: np.ndarray, w: np.ndarray, c2: np.ndarray, count: np.ndarray, first: Level) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word v: how many bigrams after it have each count, and the unigram probability of all that follow it."""
+    seen = c2 > 0
+    return _by_count(v, c2, len(count)), np.bincount(v[seen], weights=unigrams(count, first)[w[seen]], minlength=len(count))
+
+
+def _merge_bigrams(rows: list[dict], first: Level) -> Iterator[dict]:
+    """Adds up one bucket of bigrams."""
+    b = Bucket(rows, 2)
+    key, at = _distinct(b.columns[0] * len(b.words) + b.columns[1])
+    v, w = np.divmod(key, len(b.words))
+    c2 = _sums(at, b.own, len(key))
+    by, mass = _followers(v, w, c2, b.count, first)
+    plain = by.sum(axis=1) == 0
+    seen = np.unique(v[c2 > 0])
+    yield b.model(2, c2, v[c2 > 0], w[c2 > 0], seen, by[seen].ravel(), mass[seen])
+    code, unseen = c2 << 1 | plain[v], c2 == 0
+    for r, (mine,), (asked,) in b.each(at):
+        wanted = np.unique(np.concatenate([v[mine[unseen[mine]]], asked]))
+        yield b.answer(r, pack(code[mine], b.words[wanted], by[wanted].ravel(), mass[wanted]))
+
+
+def _merge_trigrams(rows: list[dict], first: Level, setting: Setting) -> Iterator[dict]:
+    """Adds up one bucket of trigrams, and of the bigrams in them after words that aren't frequent."""
+    b = Bucket(rows, 3)
+    n = max(1, len(b.words))
+    pair, pair_at = _distinct(np.concatenate([b.columns[0], b.asked[0]]) * n + np.concatenate([b.columns[1], b.asked[1]]))
+    asked_pair, pair_at = pair_at[len(b.own) :], pair_at[: len(b.own)]
+    b.asked = [asked_pair]
+    gram, at = _distinct(pair_at * n + b.columns[2])
+    of, w = np.divmod(gram, n)
+    pair_v, pair_u = np.divmod(pair, n)
+    v, c3 = pair_v[of], _sums(at, b.own, len(gram))
+    known = np.zeros(len(gram), np.int64)
+    known[at] = b.known
+    hot = b.count > setting.capacity
+    bigram, to = _distinct(v * n + w)
+    bigram_v, bigram_w = np.divmod(bigram, n)
+    c2 = np.where(hot[bigram_v], 0, _sums(to, c3, len(bigram)))
+    by, mass = _followers(bigram_v, bigram_w, c2, b.count, first)
+    plain = by.sum(axis=1) == 0
+    plain[v[hot[v] & (known & 1 > 0)]] = True
+    plain[v[hot[v] & (known & 1 == 0)]] = False
+    seen = np.unique(bigram_v[c2 > 0])
+    yield b.model(2, c2, bigram_v[c2 > 0], bigram_w[c2 > 0], seen, by[seen].ravel(), mass[seen])
+    lower = np.where(hot[v], known >> 1, c2[to])
+    there = c3 > 0
+    by3, by2 = _by_count(of, c3, len(pair)), _by_count(of[there], lower[there], len(pair))
+    large = _sums(of[there], np.where(lower[there] > CUTOFF, lower[there], 0), len(pair))
+    plain3 = by3.sum(axis=1) == 0
+    met = np.unique(of[there])
+    yield b.model(3, c3, np.searchsorted(met, of[there]), w[there], pair_v[met], pair_u[met], by3[met].ravel(), by2[met].ravel(), large[met], b.count[pair_v[met]], plain[pair_v[met]].astype(np.int64))
+    often = np.zeros(len(pair), bool)
+    often[met] = True
+    three, two = c3 << 1 | plain3[of], lower << 1 | plain[v]
+    missed, missed_two = (c3 == 0) & often[of], (lower == 0) & ~hot[v]
+    for r, (mine,), (asked,) in b.each(at):
+        words = np.unique(v[mine[missed_two[mine]]])
+        pairs = np.unique(np.concatenate([of[mine[missed[mine]]], asked]))
+        yield b.answer(r, pack(three[mine], two[mine], b.words[words], by[words].ravel(), mass[words], b.words[pair_v[pairs]], b.words[pair_u[pairs]], by3[pairs].ravel(), by2[pairs].ravel(), large[pairs]))
+
+
+_MADE = pa.schema([("kind", pa.string()), ("n", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("stats", pa.list_(pa.int64())), ("data", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+WORDS, BIGRAMS, TRIGRAMS = 1, 2, 3
+
+
+def _heard(row: dict, told: pa.Table, setting: Setting, rounds: int) -> Block:
+    """A block after the answers of the first rounds."""
+    out = Block(row, setting)
+    by: dict[int, dict[int, bytes]] = {WORDS: {}, BIGRAMS: {}, TRIGRAMS: {}}
     for r in told.to_pylist():
-        by.setdefault(r["n"], {})[r["bucket"]] = r["answer"]
-    for n, level in enumerate(levels, 1):
-        if n == 1:
-            out.hear_words(by[1], level, buckets, trained)
-        else:
-            out.climb()
-            out.hear(by[n], level, buckets)
+        by[r["round"]][r["bucket"]] = r["data"]
+    out.hear_words(by[WORDS])
+    if rounds >= BIGRAMS:
+        out.hear_bigrams(by[BIGRAMS])
+    if rounds >= TRIGRAMS:
+        out.hear_trigrams(by[TRIGRAMS])
     return out
 
 
-def _ask(texts: DataFrame, answers: DataFrame | None, levels: list[Level], n: int, buckets: int, trained: int) -> DataFrame:
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
-    levels = list(levels)
+def _asked(blocks: DataFrame, answers: DataFrame | None, setting: Setting, number: int, ask: str) -> DataFrame:
+    """The messages of all blocks in a round."""
 
-    def batch(block: int, asked: Iterator[tuple[int, bytes]]) -> pa.Table:
-        return pa.Table.from_pylist([{"bucket": b, "block": block, "data": d} for b, d in asked], schema=schema)
+    def tables(own: Block) -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_pylist([{"bucket": b, "block": own.id, "data": d} for b, d in getattr(own, ask)()], schema=_SENT).to_batches()
 
     if answers is None:
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
                 for row in rows.to_pylist():
-                    yield from batch(row["block"], Block(row, 1).ask_words(buckets)).to_batches()
+                    yield from tables(Block(row, setting))
 
-        return texts.mapInArrow(first, SENT)
+        return blocks.mapInArrow(first, SENT)
 
     def later(block: pa.Table, told: pa.Table) -> pa.Table:
-        own = _replayed(block, told, levels, n, buckets, trained)
-        own.climb()
-        return batch(own.id, own.ask(buckets))
+        return pa.Table.from_batches(tables(_heard(block.to_pylist()[0], told, setting, number - 1)), _SENT)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, SENT)
+
+
+def _merged(sent: DataFrame, merge) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(list(merge(table.to_pylist())), schema=_MADE)
+
+    return sent.groupBy("bucket").applyInArrow(run, MADE)
+
+
+def _stats(model: DataFrame, n: int) -> list[int]:
+    """The statistics of an order over all buckets: a fixed number of values."""
+    sums = model.filter((F.col("kind") == "model") & (F.col("n") == n)).agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 4)]).first()
+    return [int(x or 0) for x in sums]
+
+
+def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "text", model_path: str | None = None, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """Scores every row by a model of the rows that aren't held out: SCORED, a written table.
+
+    The model's tables go to model_path (in the shared folder if none is named), which must not exist; blocks and messages
+    are removed when the scores are written.
+    """
+    if order not in (1, 2, 3):
+        raise ValueError("the order of a model is 1, 2 or 3")
+    spark = docs.sparkSession
+    shipped(spark)
+    root = model_path or fresh(spark, "katz-model")
+    crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    facts = docs.agg(F.sum(F.octet_length(text)).alias("size"), F.count(F.when(crc % MODULUS != HELD, 1)).alias("trained")).first()
+    setting = Setting(order, max(1, (facts["size"] or 0) // 6 // bucket_tokens), bucket_tokens, facts["trained"])
+    answers: DataFrame | None = None
+
+    with Scratch(spark, "katz") as scratch:
+        blocks = scratch.written(_blocks(docs, key, text, block_tokens), "blocks")
+
+        def exchange(number: int, ask: str, merge) -> DataFrame:
+            """A round: its part of the model; what the blocks are told is added to the answers."""
+            nonlocal answers
+            place = f"{root}/round={number}"
+            _merged(_asked(blocks, answers, setting, number, ask), merge).write.partitionBy("kind").parquet(place)
+            scratch.tidy()
+            made = spark.read.schema(MADE).option("basePath", place).parquet(place)
+            own = made.filter("kind = 'answer'").select("block", F.lit(number).alias("round"), "bucket", "data")
+            answers = own if answers is None else answers.unionByName(own)
+            return made
+
+        own = exchange(WORDS, "ask_words", lambda rows: _merge_words(rows, setting))
+        *first, frequent = _stats(own, 1)
+        levels, used = [Level.of(first)], [WORDS]
+        two = [0] * len(first)
+        if order == 2 or order == 3 and (frequent or setting.trained > bucket_tokens):
+            own = exchange(BIGRAMS, "ask_bigrams", lambda rows: _merge_bigrams(rows, levels[0]))
+            two, used = _stats(own, 2)[:-1], [*used, BIGRAMS]
+        if order == 3:
+            base = levels[0]
+            own = exchange(TRIGRAMS, "ask_trigrams", lambda rows: _merge_trigrams(rows, base, setting))
+            two, used = [a + b for a, b in zip(two, _stats(own, 2)[:-1])], [*used, TRIGRAMS]
+            levels += [Level.of(two), Level.of(_stats(own, 3)[:-1])]
+        elif order == 2:
+            levels.append(Level.of(two))
+        spark.createDataFrame([(n, x.total, x.types, x.discounts, x.kept) for n, x in enumerate(levels, 1)], "n int, total long, types long, discounts array<double>, kept double").coalesce(1).write.parquet(f"{root}/levels")
+
+        def evaluated(block: pa.Table, told: pa.Table) -> pa.Table:
+            return _heard(block.to_pylist()[0], told, setting, setting.order).scores(levels)
+
+        out = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluated, SCORED), "katz-scores")
+        for number in used:
+            removed(spark, f"{root}/round={number}/kind=answer")
+    return out
+
+
+# ---- the stored model as rows
+
+
+def levels(spark: SparkSession, model_path: str) -> list[Level]:
+    """The totals and discounts of a model, by order."""
+    rows = spark.read.parquet(f"{model_path}/levels").orderBy("n").collect()  # three at most
+    return [Level(r["total"], r["types"], list(r["discounts"]), r["kept"]) for r in rows]
+
 
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, SENT)
+def _stored(spark: SparkSession, model_path: str, read, schema: str) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
+                columns = read(n, unpack(data))
+                if columns is not None:
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    shipped(spark)
+    rows = spark.read.schema(MADE).option("basePath", model_path).parquet(f"{model_path}/round=*/kind=model")
+    return rows.select("n", "data").mapInArrow(run, schema)
+
+
+def _histories(*columns: np.ndarray) -> pa.Array:
+    return pa.array(np.stack(columns, axis=1).tolist() if len(columns[0]) else [], pa.list_(pa.int64()))
+
+
+def vocabulary(spark: SparkSession, model_path: str) -> DataFrame:
+    """(hash, word, count) of every word: its 64-bit hash as text, its number and its count."""
 
-def _evaluated(texts: DataFrame, answers: DataFrame, levels: list[Level], order: int, buckets: int, trained: int) -> DataFrame:
-    def run(block: pa.Table, told: pa.Table) -> pa.Table:
-        return _replayed(block, told, levels, order, buckets, trained).scores(levels[0])
+    def read(n: int, p: list[np.ndarray]) -> list[pa.Array] | None:
+        return [pa.array([f"{x:016x}" for x in p[0][p[2]].tolist()]), pa.array(p[3]), pa.array(p[1])] if n == 1 else None
+
+    return _stored(spark, model_path, read, "hash string, word long, count long")
+
+
+def ngrams(spark: SparkSession, model_path: str) -> DataFrame:
+    """NGRAM: every n-gram of two words or more with its count; the history's words stand in the order of the text."""
+
+    def read(n: int, p: list[np.ndarray]) -> list[pa.Array] | None:
+        if n == 1:
+            return None
+        history = _histories(p[0][p[2]]) if n == 2 else None
+        if n == 3:
+            history = _histories(p[0][p[5]][p[2]], p[0][p[4]][p[2]])
+        return [pa.array(np.full(len(p[1]), n), pa.int32()), history, pa.array(p[0][p[3]]), pa.array(p[1])]
+
+    return _stored(spark, model_path, read, NGRAM)
+
+
+def backoffs(spark: SparkSession, model_path: str) -> DataFrame:
+    """(n, history, count, alpha): the weight with which a history of n - 1 words backs off."""
+    known = levels(spark, model_path)
+
+    def read(n: int, p: list[np.ndarray]) -> list[pa.Array] | None:
+        if n == 2:
+            history, count = _histories(p[0][p[4]]), _sums(np.searchsorted(p[4], p[2]), p[1], len(p[4]))
+            by, mass = p[5].reshape(-1, CUTOFF), p[6]
+        elif n == 3:
+            history, count = _histories(p[0][p[5]], p[0][p[4]]), _sums(p[2], p[1], len(p[4]))
+            by = p[6].reshape(-1, CUTOFF)
+            mass = _pair_mass(p[9], p[10] > 0, p[7].reshape(-1, CUTOFF), p[8], known[1])
+        else:
+            return None
+        return [pa.array(np.full(len(count), n), pa.int32()), history, pa.array(count), pa.array(left_over(by, known[n - 1]).astype(float)), pa.array(mass.astype(float))]
 
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED)
+    # what a split history has in several buckets adds up
+    parts = _stored(spark, model_path, read, WEIGHT).groupBy("n", "history").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("mass").alias("mass"))
+    kept = F.when(F.col("kept") > 0, F.col("kept") / F.col("count")).otherwise(1 / (F.col("count") + 1))
+    return parts.select("n", "history", "count", (kept / (1 - F.col("mass"))).alias("alpha"))

@@ -7,30 +7,38 @@ import struct
 import numpy as np
 import zstandard
 
+_HEAD = struct.Struct("<BBBI")
+_KINDS = [np.dtype(np.int64), np.dtype(np.uint64), np.dtype(np.float64)]
+
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other. An ascending uint64 array is kept as differences."""
-    out = []
-    coder = zstandard.ZstdCompressor(level=1)
+    """Arrays one after the other. Whole numbers from 0 up take as few bytes each as the largest needs; ascending ones are kept as differences."""
+    heads, planes = [], []
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        rising = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
-        b = np.diff(a, prepend=np.uint64(0)) if rising else a
-        planes = b.view(np.uint8).reshape(len(b), b.itemsize).T.tobytes()
-        data = coder.compress(planes)
-        out.append(struct.pack("<2s?QQ", a.dtype.str[1:].encode(), rising, len(a), len(data)) + data)
-    return b"".join(out)
+        kind = 2 if a.dtype.kind == "f" else a.dtype == np.uint64
+        b, rising = np.ascontiguousarray(a, _KINDS[kind]), False
+        if kind < 2 and len(b):
+            rising = len(b) > 1 and bool((b[1:] >= b[:-1]).all())
+            if rising:
+                b = np.diff(b, prepend=b.dtype.type(0))
+            b = b.astype(np.min_scalar_type(int(b.max())))
+        heads.append(_HEAD.pack(kind, b.itemsize, rising, len(b)))
+        planes.append(b.view(np.uint8).reshape(len(b), b.itemsize).T.tobytes())
+    body = b"".join(planes)
+    return struct.pack("<HQ", len(arrays), len(body)) + b"".join(heads) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    """The arrays of pack()."""
-    out, at, coder, head = [], 0, zstandard.ZstdDecompressor(), struct.calcsize("<2s?QQ")
-    while at < len(data):
-        kind, rising, n, size = struct.unpack_from("<2s?QQ", data, at)
-        at += head
-        dtype = np.dtype(kind.decode())
-        planes = np.frombuffer(coder.decompress(data[at : at + size], max_output_size=max(1, n * dtype.itemsize)), np.uint8) if n else np.empty(0, np.uint8)
-        a = np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).reshape(-1).view(dtype)
-        out.append(np.cumsum(a, dtype=np.uint64) if rising else a)
-        at += size
+    """The arrays of pack(): 64-bit whole numbers (unsigned where they were) and floating-point ones."""
+    n, size = struct.unpack_from("<HQ", data)
+    start = 10 + n * _HEAD.size
+    body = zstandard.ZstdDecompressor().decompress(data[start:], max_output_size=max(1, size)) if size else b""
+    out, at = [], 0
+    for i in range(n):
+        kind, width, rising, length = _HEAD.unpack_from(data, 10 + i * _HEAD.size)
+        planes = np.frombuffer(body, np.uint8, length * width, at) if length else np.empty(0, np.uint8)
+        at += length * width
+        flat = np.ascontiguousarray(planes.reshape(width, length).T).reshape(-1)
+        a = flat.view(np.float64 if kind == 2 else f"<u{width}").astype(_KINDS[kind], copy=False)
+        out.append(np.cumsum(a, dtype=_KINDS[kind]) if rising else a)
     return out

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(_table(spark, sf_dir, "documents"), order=2)
+    return katz.score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

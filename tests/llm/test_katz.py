@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from tessera.llm import katz
 
@@ -59,14 +60,13 @@ class Plain:
         return sum(math.log10(self.p(tuple(w[i - self.order + 1 : i]), w[i])) for i in range(self.order - 1, len(w)))
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores_are_those_of_the_definition(spark, sf, monkeypatch, order):
-    monkeypatch.setattr(katz, "BLOCK_TOKENS", 9_000)  # several blocks and buckets, and words frequent enough to be split
-    monkeypatch.setattr(katz, "BUCKET_TOKENS", 1_500)
+#: Several blocks and buckets; words, and with the smallest also pairs and the begin of texts, frequent enough to be split.
+@pytest.mark.parametrize(("order", "bucket"), [(1, 1_500), (2, 1_500), (3, 1_500), (3, 40), (3, 10**9)])
+def test_scores_are_those_of_the_definition(spark, sf, order, bucket):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 120")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     plain = Plain(rows, order)
-    got = {r.doc_id: r for r in katz.score(docs, order).collect()}
+    got = {r.doc_id: r for r in katz.score(docs, order, block_tokens=9_000, bucket_tokens=bucket).collect()}
     assert len(got) == len(rows)
     types = len(plain.counts[1])
     for key, text in rows[::7]:
@@ -102,3 +102,26 @@ def test_without_training_rows_all_is_unknown(spark):
     key = next(i for i in range(100) if katz.held_out(i))
     r = katz.score(spark.createDataFrame([(key, "a b")], "doc_id long, text string")).first()
     assert (r.score, r.base_score, r.n_known, r.train_tokens) == (0.0, 0.0, 0, 0)
+
+
+@pytest.mark.parametrize("bucket", [30, 10**9])
+def test_stored_model_has_all_counts_and_weights(spark, tmp_path, bucket):
+    rows = [(i, "a b c a b d e a b c f g a c A B " + "x y " * (i % 7)) for i in range(40)] + [(50, "b a c d"), (52, "z y x"), (53, None)]
+    rows += [(60 + i, f"rare{i} a") for i in range(8)]  # so that discounts leave something for the unknown word
+    path = f"file://{tmp_path}/model"
+    katz.score(spark.createDataFrame(rows, "doc_id long, text string"), 3, model_path=path, block_tokens=60, bucket_tokens=bucket)
+    plain = Plain(rows, 3)
+    hashes = {f"{xxhash.xxh64_intdigest(w.encode()):016x}": w for (w,) in plain.counts[1] if w != "</s>"} | {f"{int(katz.END):016x}": "</s>"}
+    words = {r.word: hashes[r.hash] for r in katz.vocabulary(spark, path).collect()} | {0: "<s>"}
+    assert {hashes[r.hash]: r["count"] for r in katz.vocabulary(spark, path).collect()} == {w: c for (w,), c in plain.counts[1].items()}
+    grams = Counter()
+    for r in katz.ngrams(spark, path).collect():
+        grams[(*[words[h] for h in r.history], words[r.word])] += r["count"]
+    assert grams == plain.counts[2] + plain.counts[3]
+    weights = {tuple(words[h] for h in r.history): (r["count"], r.alpha) for r in katz.backoffs(spark, path).collect()}
+    assert set(weights) == set(plain.after[2]) | set(plain.after[3])
+    for h, (count, alpha) in weights.items():
+        own = plain.after[len(h) + 1][h]
+        assert count == sum(c for _, c in own)
+        unseen = next(w for (w,) in plain.counts[1] if w not in dict(own))
+        assert plain.p(h, unseen) == pytest.approx(alpha * plain.p(h[1:], unseen), rel=1e-9)
