@@ -74,11 +74,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path, self.made = spark, fresh(spark, name), 0
+        self.tables: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         removed(self.spark, self.path)
         self.tidy()
 
@@ -86,6 +89,14 @@ class Scratch:
         self.made += 1
         return written(rows, name, f"{self.path}/{self.made}-{name}")
 
+    def bucketed(self, rows: DataFrame, name: str, key: str) -> DataFrame:
+        """A table dealt by a key once: joins and groups by it don't shuffle its rows again."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"tessera_{name}_{uuid.uuid4().hex}"
+        rows.repartition(n, key).write.bucketBy(n, key).option("path", f"{self.path}/{table}").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def tidy(self) -> None:
         """Shuffle files go when the driver's garbage is collected; called where large ones have just been read for the last time."""
         gc.collect()

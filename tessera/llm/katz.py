@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tessera.cluster import shipped
 from tessera.llm.common import Scratch, fresh, removed, written
-from tessera.llm.packed import pack, unpack
+from tessera.llm.packed import pack, steps, unpack, unsteps
 
 CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 1_000_000, 750_000
 MODULUS, HELD = 5, 1
@@ -300,13 +300,13 @@ class Block:
         wide, nothing = dict(_runs(asked_at)), np.empty(0, np.int64)
 
         def message(mine: np.ndarray, more: np.ndarray) -> bytes:
-            parts = [c[mine] for c in columns] + [c[more] for c in asked]
-            for p in parts:
+            grams, histories = [c[mine] for c in columns], [c[more] for c in asked]
+            for p in grams + histories:
                 mark[p] = True
             words = np.flatnonzero(mark)
             mark[words] = False
             place[words] = np.arange(len(words))
-            return pack(self.number[words], self.count[words], own[mine], known[mine], *[place[p] for p in parts])
+            return pack(self.number[words], self.count[words], own[mine], known[mine], *steps([place[p] for p in grams]), *[place[p] for p in histories])
 
         for bucket, mine in _runs(where):
             yield bucket, message(mine, wide.pop(bucket, nothing))
@@ -453,6 +453,8 @@ class Bucket:
 
     def __init__(self, rows: list[dict], width: int) -> None:
         self.rows, self.parts = rows, [unpack(r["data"]) for r in rows]
+        for p in self.parts:
+            p[4 : 4 + width] = unsteps(p[4 : 4 + width])
         offset = np.cumsum([0] + [len(p[0]) for p in self.parts])
         self.words, at = _distinct(np.concatenate([p[0] for p in self.parts]))
         self.count = np.empty(len(self.words), np.int64)
@@ -471,12 +473,17 @@ class Bucket:
             yield r, [a[start:end] for a in arrays], [a[asked_start:asked_end] for a in self.asked]
             start, asked_start = end, asked_end
 
-    def answer(self, row: dict, data: bytes) -> dict:
-        return {"kind": "answer", "n": None, "bucket": row["bucket"], "block": row["block"], "stats": None, "data": data}
 
-    def model(self, n: int, count: np.ndarray, *arrays: np.ndarray, hot: int = 0) -> dict:
-        of = np.bincount(count[count <= CUTOFF + 1], minlength=CUTOFF + 2)
-        return {"kind": "model", "n": n, "bucket": self.rows[0]["bucket"], "block": None, "stats": [int(count.sum()), int((count > 0).sum()), *of[1:].tolist(), hot], "data": pack(self.words, count[count > 0], *arrays)}
+
+def _answer(row: dict, data: bytes) -> dict:
+    return {"kind": "answer", "n": None, "bucket": row["bucket"], "block": row["block"], "stats": None, "data": data}
+
+
+
+def _model(n: int, bucket: int, count: np.ndarray, arrays: list[np.ndarray], hot: int = 0) -> dict:
+    """A part of the model: the statistics of an order and what is stored (for bigrams of the last round, with the trigrams)."""
+    of = np.bincount(count[count <= CUTOFF + 1], minlength=CUTOFF + 2)
+    return {"kind": "model", "n": n, "bucket": bucket, "block": None, "stats": [int(count.sum()), int((count > 0).sum()), *of[1:].tolist(), hot], "data": pack(*arrays)}
 
 
 def _merge_words(rows: list[dict], setting: Setting) -> Iterator[dict]:
@@ -486,12 +493,10 @@ def _merge_words(rows: list[dict], setting: Setting) -> Iterator[dict]:
     total = _sums(at, np.concatenate([p[1] for p in parts]), len(keys))
     place = np.empty(len(keys), np.int64)
     place[np.lexsort((keys, -total))] = np.arange(len(keys))  # frequent words get small numbers
-    bucket = Bucket.__new__(Bucket)
-    bucket.rows, bucket.words, seen = rows, keys, total > 0
-    made = bucket.model(1, total, np.flatnonzero(seen), place[seen] * setting.buckets + rows[0]["bucket"] + 1, hot=int((total > setting.capacity).sum()))
-    yield made
+    bucket, seen = rows[0]["bucket"], total > 0
+    yield _model(1, bucket, total, [keys[seen], total[seen], place[seen] * setting.buckets + bucket + 1], int((total > setting.capacity).sum()))
     for r, mine in zip(rows, np.split(at, np.cumsum([len(p[0]) for p in parts])[:-1])):
-        yield bucket.answer(r, pack(total[mine], place[mine]))
+        yield _answer(r, pack(total[mine], place[mine]))
 
 
 def _followers(v: np.ndarray, w: np.ndarray, c2: np.ndarray, count: np.ndarray, first: Level) -> tuple[np.ndarray, np.ndarray]:
@@ -507,13 +512,12 @@ def _merge_bigrams(rows: list[dict], first: Level) -> Iterator[dict]:
     v, w = np.divmod(key, len(b.words))
     c2 = _sums(at, b.own, len(key))
     by, mass = _followers(v, w, c2, b.count, first)
-    plain = by.sum(axis=1) == 0
-    seen = np.unique(v[c2 > 0])
-    yield b.model(2, c2, v[c2 > 0], w[c2 > 0], seen, by[seen].ravel(), mass[seen])
+    plain, seen = by.sum(axis=1) == 0, c2 > 0
+    yield _model(2, rows[0]["bucket"], c2, [b.words, b.count, c2[seen], *steps([v[seen], w[seen]])])
     code, unseen = c2 << 1 | plain[v], c2 == 0
     for r, (mine,), (asked,) in b.each(at):
         wanted = np.unique(np.concatenate([v[mine[unseen[mine]]], asked]))
-        yield b.answer(r, pack(code[mine], b.words[wanted], by[wanted].ravel(), mass[wanted]))
+        yield _answer(r, pack(code[mine], b.words[wanted], by[wanted].ravel(), mass[wanted]))
 
 
 def _merge_trigrams(rows: list[dict], first: Level, setting: Setting) -> Iterator[dict]:
@@ -537,15 +541,16 @@ def _merge_trigrams(rows: list[dict], first: Level, setting: Setting) -> Iterato
     plain = by.sum(axis=1) == 0
     plain[v[hot[v] & (known & 1 > 0)]] = True
     plain[v[hot[v] & (known & 1 == 0)]] = False
-    seen = np.unique(bigram_v[c2 > 0])
-    yield b.model(2, c2, bigram_v[c2 > 0], bigram_w[c2 > 0], seen, by[seen].ravel(), mass[seen])
     lower = np.where(hot[v], known >> 1, c2[to])
     there = c3 > 0
     by3, by2 = _by_count(of, c3, len(pair)), _by_count(of[there], lower[there], len(pair))
     large = _sums(of[there], np.where(lower[there] > CUTOFF, lower[there], 0), len(pair))
     plain3 = by3.sum(axis=1) == 0
-    met = np.unique(of[there])
-    yield b.model(3, c3, np.searchsorted(met, of[there]), w[there], pair_v[met], pair_u[met], by3[met].ravel(), by2[met].ravel(), large[met], b.count[pair_v[met]], plain[pair_v[met]].astype(np.int64))
+    met, seen, bucket = np.unique(of[there]), c2 > 0, rows[0]["bucket"]
+    yield _model(2, bucket, c2, [])
+    yield _model(
+        3, bucket, c3, [b.words, b.count, c2[seen], *steps([bigram_v[seen], bigram_w[seen]]), c3[there], *steps([np.searchsorted(met, of[there]), w[there]]), *steps([pair_v[met], pair_u[met]]), by2[met].ravel(), large[met], plain.astype(np.int64)]
+    )
     often = np.zeros(len(pair), bool)
     often[met] = True
     three, two = c3 << 1 | plain3[of], lower << 1 | plain[v]
@@ -553,7 +558,7 @@ def _merge_trigrams(rows: list[dict], first: Level, setting: Setting) -> Iterato
     for r, (mine,), (asked,) in b.each(at):
         words = np.unique(v[mine[missed_two[mine]]])
         pairs = np.unique(np.concatenate([of[mine[missed[mine]]], asked]))
-        yield b.answer(r, pack(three[mine], two[mine], b.words[words], by[words].ravel(), mass[words], b.words[pair_v[pairs]], b.words[pair_u[pairs]], by3[pairs].ravel(), by2[pairs].ravel(), large[pairs]))
+        yield _answer(r, pack(three[mine], two[mine], b.words[words], by[words].ravel(), mass[words], b.words[pair_v[pairs]], b.words[pair_u[pairs]], by3[pairs].ravel(), by2[pairs].ravel(), large[pairs]))
 
 
 _MADE = pa.schema([("kind", pa.string()), ("n", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("stats", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -626,7 +631,9 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
     answers: DataFrame | None = None
 
     with Scratch(spark, "katz") as scratch:
-        blocks = scratch.written(_blocks(docs, key, text, block_tokens), "blocks")
+        # bucketed by block, so that only messages are shuffled when blocks meet their answers
+        blocks = scratch.bucketed(_blocks(docs, key, text, block_tokens), "blocks", "block")
+        scratch.tidy()
 
         def exchange(number: int, ask: str, merge) -> DataFrame:
             """A round: its part of the model; what the blocks are told is added to the answers."""
@@ -679,24 +686,26 @@ def _stored(spark: SparkSession, model_path: str, read, schema: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
-                columns = read(n, unpack(data))
-                if columns is not None:
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                parts = unpack(data)
+                for columns in read(n, parts) if parts else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pa.schema(list(zip(names, kinds))))
 
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}.get(f.split()[1], pa.list_(pa.int64())) for f in schema.split(", ")]
     shipped(spark)
     rows = spark.read.schema(MADE).option("basePath", model_path).parquet(f"{model_path}/round=*/kind=model")
     return rows.select("n", "data").mapInArrow(run, schema)
 
 
-def _histories(*columns: np.ndarray) -> pa.Array:
-    return pa.array(np.stack(columns, axis=1).tolist() if len(columns[0]) else [], pa.list_(pa.int64()))
+def _histories(*columns: np.ndarray) -> list[list[int]]:
+    return np.stack(columns, axis=1).tolist()
 
 
 def vocabulary(spark: SparkSession, model_path: str) -> DataFrame:
     """(hash, word, count) of every word: its 64-bit hash as text, its number and its count."""
 
-    def read(n: int, p: list[np.ndarray]) -> list[pa.Array] | None:
-        return [pa.array([f"{x:016x}" for x in p[0][p[2]].tolist()]), pa.array(p[3]), pa.array(p[1])] if n == 1 else None
+    def read(n: int, p: list[np.ndarray]) -> Iterator[list]:
+        if n == 1:
+            yield [[f"{x:016x}" for x in p[0].tolist()], p[2], p[1]]
 
     return _stored(spark, model_path, read, "hash string, word long, count long")
 
@@ -704,13 +713,13 @@ def vocabulary(spark: SparkSession, model_path: str) -> DataFrame:
 def ngrams(spark: SparkSession, model_path: str) -> DataFrame:
     """NGRAM: every n-gram of two words or more with its count; the history's words stand in the order of the text."""
 
-    def read(n: int, p: list[np.ndarray]) -> list[pa.Array] | None:
-        if n == 1:
-            return None
-        history = _histories(p[0][p[2]]) if n == 2 else None
-        if n == 3:
-            history = _histories(p[0][p[5]][p[2]], p[0][p[4]][p[2]])
-        return [pa.array(np.full(len(p[1]), n), pa.int32()), history, pa.array(p[0][p[3]]), pa.array(p[1])]
+    def read(n: int, p: list[np.ndarray]) -> Iterator[list]:
+        if n > 1:
+            words, (v, w) = p[0], unsteps(p[3:5])
+            yield [np.full(len(v), 2, np.int32), _histories(words[v]), words[w], p[2]]
+        if n > 2:
+            (of, w), (v, u) = unsteps(p[6:8]), unsteps(p[8:10])
+            yield [np.full(len(w), 3, np.int32), _histories(words[u[of]], words[v[of]]), words[w], p[5]]
 
     return _stored(spark, model_path, read, NGRAM)
 
@@ -719,17 +728,17 @@ def backoffs(spark: SparkSession, model_path: str) -> DataFrame:
     """(n, history, count, alpha): the weight with which a history of n - 1 words backs off."""
     known = levels(spark, model_path)
 
-    def read(n: int, p: list[np.ndarray]) -> list[pa.Array] | None:
-        if n == 2:
-            history, count = _histories(p[0][p[4]]), _sums(np.searchsorted(p[4], p[2]), p[1], len(p[4]))
-            by, mass = p[5].reshape(-1, CUTOFF), p[6]
-        elif n == 3:
-            history, count = _histories(p[0][p[5]], p[0][p[4]]), _sums(p[2], p[1], len(p[4]))
-            by = p[6].reshape(-1, CUTOFF)
-            mass = _pair_mass(p[9], p[10] > 0, p[7].reshape(-1, CUTOFF), p[8], known[1])
-        else:
-            return None
-        return [pa.array(np.full(len(count), n), pa.int32()), history, pa.array(count), pa.array(left_over(by, known[n - 1]).astype(float)), pa.array(mass.astype(float))]
+    def read(n: int, p: list[np.ndarray]) -> Iterator[list]:
+        if n > 1:
+            words, (v, w) = p[0], unsteps(p[3:5])
+            by, mass = _followers(v, w, p[2], p[1], known[0])
+            own = np.unique(v)
+            yield [np.full(len(own), 2, np.int32), _histories(words[own]), _sums(v, p[2], len(words))[own], left_over(by[own], known[1]).astype(float), mass[own]]
+        if n > 2:
+            (of, w), (v, u) = unsteps(p[6:8]), unsteps(p[8:10])
+            left = left_over(_by_count(of, p[5], len(v)), known[2]).astype(float)
+            mass = _pair_mass(p[1][v], p[12][v] > 0, p[10].reshape(-1, CUTOFF), p[11], known[1])
+            yield [np.full(len(v), 3, np.int32), _histories(words[u], words[v]), _sums(of, p[5], len(v)), left, mass]
 
     # what a split history has in several buckets adds up
     parts = _stored(spark, model_path, read, WEIGHT).groupBy("n", "history").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("mass").alias("mass"))

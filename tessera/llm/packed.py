@@ -42,3 +42,26 @@ def unpack(data: bytes) -> list[np.ndarray]:
         a = flat.view(np.float64 if kind == 2 else f"<u{width}").astype(_KINDS[kind], copy=False)
         out.append(np.cumsum(a, dtype=_KINDS[kind]) if rising else a)
     return out
+
+
+def steps(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of rows in ascending order, each as differences within equal values of those before it (the first as it is)."""
+    out, same = columns[:1], np.ones(max(0, len(columns[0]) - 1), bool)
+    for before, own in zip(columns, columns[1:]):
+        same = same & (before[1:] == before[:-1])
+        step = own.copy()
+        step[1:] -= np.where(same, own[:-1], 0)
+        out.append(step)
+    return out
+
+
+def unsteps(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns of steps()."""
+    out, n = columns[:1], len(columns[0])
+    same = np.ones(max(0, n - 1), bool)
+    for step in columns[1:]:
+        same = same & (out[-1][1:] == out[-1][:-1])
+        first = np.flatnonzero(np.append(True, ~same)[:n])
+        total = np.cumsum(step)
+        out.append(total - np.repeat(total[first] - step[first], np.diff(np.append(first, n))))
+    return out
