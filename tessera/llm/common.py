@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,11 +94,18 @@ class Scratch:
         """A table dealt by a key once: joins and groups by it don't shuffle its rows again."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"tessera_{name}_{uuid.uuid4().hex}"
-        rows.repartition(n, key).write.bucketBy(n, key).option("path", f"{self.path}/{table}").saveAsTable(table)
+        rows.write.bucketBy(n, key).option("path", f"{self.path}/{table}").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
+    def drop(self, rows: DataFrame) -> None:
+        """Removes a written table that nothing reads any more."""
+        for path in {file.rpartition("/")[0] for file in rows.inputFiles()}:
+            removed(self.spark, path)
+
     def tidy(self) -> None:
         """Shuffle files go when the driver's garbage is collected; called where large ones have just been read for the last time."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what Python lets go of in the first round, Java finds in the second
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)

@@ -7,9 +7,10 @@ bottom stand discounted unigrams; what they leave is the probability of the one
 counts don't support (outside zero to one) are replaced by an absolute discount for that order; a history without any
 discounted count keeps 1 / (c(h) + 1) back. Orders are one to three.
 
-How it runs. Texts are read into blocks of bounded size, whole documents each, which are written once. Blocks and buckets
-then exchange packed messages, in up to three rounds. In the first a block sends its distinct words and the words' buckets
-answer with counts and a number for each word (its place by frequency there, and the bucket). In the last it sends its
+How it runs. Texts are read into blocks of bounded size, whole documents each, which are written. Blocks and buckets then
+exchange packed messages, in up to three rounds. In the first a block sends its distinct words and the words' buckets answer
+with counts and a number for each word (its place by frequency there, and the bucket); with these the block is written again,
+dealt by block, so that it never moves afterwards. In the last round it sends its
 distinct trigrams (v before w, u before v) to the bucket of v, which so holds all that is needed of both upper orders: it
 adds up c(u v w) and c(v w), stores its part of the model, and answers with the counts and with what alpha(u v) and alpha(v)
 are made of. A frequent v would make a bucket large, so bigrams after words with more training tokens than a bucket should
@@ -48,7 +49,7 @@ from tessera.cluster import shipped
 from tessera.llm.common import Scratch, fresh, removed, written
 from tessera.llm.packed import pack, steps, unpack, unsteps
 
-CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 1_000_000, 750_000
+CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 1_000_000, 1_000_000
 MODULUS, HELD = 5, 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: The hash of a text's end. A text's begin is the word number 0, others are numbered from 1.
@@ -249,48 +250,55 @@ class Setting:
     trained: int = 0  # training texts
 
 
-class Block:
-    """A block's tokens, what it asks the buckets and what it has heard. Words are places by number, 0 is a text's begin."""
+class Raw:
+    """A block as it was read: it asks what its words are."""
 
     def __init__(self, row: dict, setting: Setting) -> None:
-        self.id, self.ids, self.setting = row["block"], row["ids"], setting
+        self.id, self.setting = row["block"], setting
         self.lengths, self.vocabulary, self.tokens = unpack(row["data"])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.held = np.array([held_out(i) for i in self.ids], bool)
-        self.train = np.repeat(~self.held, self.lengths)
+        self.train = np.repeat([not held_out(i) for i in row["ids"]], self.lengths)
 
-    # -- words
-
-    def _word_runs(self) -> Iterator[tuple[int, np.ndarray]]:
+    def _runs(self) -> Iterator[tuple[int, np.ndarray]]:
         by_hash = np.argsort(self.vocabulary)
         where = (self.vocabulary % np.uint64(self.setting.buckets)).astype(np.int64)
         for bucket, mine in _runs(where[by_hash]):
             yield bucket, by_hash[mine]
 
-    def ask_words(self) -> Iterator[tuple[int, bytes]]:
+    def ask(self) -> Iterator[tuple[int, bytes]]:
         own = np.bincount(self.tokens[self.train], minlength=len(self.vocabulary))
-        for bucket, mine in self._word_runs():
+        for bucket, mine in self._runs():
             yield bucket, pack(self.vocabulary[mine], own[mine])
 
-    def hear_words(self, answers: dict[int, bytes]) -> None:
+    def settled(self, answers: dict[int, bytes]) -> bytes:
+        """The block with the numbers and counts of its words, in the order of the numbers; a text's begin is the first."""
         size = len(self.vocabulary) + 1
         count, number = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for bucket, mine in self._word_runs():
+        for bucket, mine in self._runs():
             count[mine], place = unpack(answers[bucket])
             number[mine] = place * self.setting.buckets + bucket + 1
         count[-1] = self.setting.trained  # a text's begin, as often as there are training texts
         order = _order(number)
         place = np.empty(size, np.int64)
         place[order] = np.arange(size)
-        self.size, self.count, self.number = size, count[order], number[order]
-        self.tokens = place[self.tokens]
+        return pack(self.lengths, place[self.tokens], number[order], count[order])
+
+
+class Block:
+    """A settled block, what it asks the buckets and what it has heard. Words are places by number, 0 is a text's begin."""
+
+    def __init__(self, row: dict, setting: Setting) -> None:
+        self.id, self.ids, self.setting = row["block"], row["ids"], setting
+        self.lengths, self.tokens, self.number, self.count = unpack(row["data"])
+        self.size, self.starts = len(self.number), np.cumsum(self.lengths) - self.lengths
+        self.held = np.array([held_out(i) for i in self.ids], bool)
+        self.train = np.repeat(~self.held, self.lengths)
         self.v, self.u = np.zeros_like(self.tokens), np.zeros_like(self.tokens)
         for before, of in ((self.v, self.tokens), (self.u, self.v)):
             before[1:] = of[:-1]
             before[self.starts] = 0
-        self.hot = self.count > self.setting.capacity
-        self.by, self.mass = np.zeros((size, CUTOFF), np.int64), np.zeros(size)
-        self.plain = np.zeros(size, bool)
+        self.hot = self.count > setting.capacity
+        self.by, self.mass = np.zeros((self.size, CUTOFF), np.int64), np.zeros(self.size)
+        self.plain = np.zeros(self.size, bool)
 
     # -- messages
 
@@ -548,8 +556,9 @@ def _merge_trigrams(rows: list[dict], first: Level, setting: Setting) -> Iterato
     plain3 = by3.sum(axis=1) == 0
     met, seen, bucket = np.unique(of[there]), c2 > 0, rows[0]["bucket"]
     yield _model(2, bucket, c2, [])
+    wide = met[hot[pair_v[met]]]  # what the bigrams here don't tell
     yield _model(
-        3, bucket, c3, [b.words, b.count, c2[seen], *steps([bigram_v[seen], bigram_w[seen]]), c3[there], *steps([np.searchsorted(met, of[there]), w[there]]), *steps([pair_v[met], pair_u[met]]), by2[met].ravel(), large[met], plain.astype(np.int64)]
+        3, bucket, c3, [b.words, b.count, c2[seen], *steps([bigram_v[seen], bigram_w[seen]]), c3[there], *steps([np.searchsorted(met, of[there]), w[there]]), *steps([pair_v[met], pair_u[met]]), hot[pair_v[met]].astype(np.int64), by2[wide].ravel(), large[wide], plain.astype(np.int64)]
     )
     often = np.zeros(len(pair), bool)
     often[met] = True
@@ -566,39 +575,37 @@ _SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.bi
 WORDS, BIGRAMS, TRIGRAMS = 1, 2, 3
 
 
-def _heard(row: dict, told: pa.Table, setting: Setting, rounds: int) -> Block:
-    """A block after the answers of the first rounds."""
+def _heard(row: dict, told: pa.Table | None, setting: Setting) -> Block:
+    """A block after the answers of the rounds so far."""
     out = Block(row, setting)
-    by: dict[int, dict[int, bytes]] = {WORDS: {}, BIGRAMS: {}, TRIGRAMS: {}}
-    for r in told.to_pylist():
-        by[r["round"]][r["bucket"]] = r["data"]
-    out.hear_words(by[WORDS])
-    if rounds >= BIGRAMS:
-        out.hear_bigrams(by[BIGRAMS])
-    if rounds >= TRIGRAMS:
-        out.hear_trigrams(by[TRIGRAMS])
+    by: dict[int, dict[int, bytes]] = {}
+    for r in told.to_pylist() if told is not None else ():
+        by.setdefault(r["round"], {})[r["bucket"]] = r["data"]
+    if setting.order > 1:
+        out.hear_bigrams(by.get(BIGRAMS, {}))
+    if setting.order > 2:
+        out.hear_trigrams(by.get(TRIGRAMS, {}))
     return out
 
 
-def _asked(blocks: DataFrame, answers: DataFrame | None, setting: Setting, number: int, ask: str) -> DataFrame:
-    """The messages of all blocks in a round."""
+def _messages(asked: Iterator[tuple[int, bytes]], block: int) -> pa.Table:
+    return pa.Table.from_pylist([{"bucket": b, "block": block, "data": d} for b, d in asked], schema=_SENT)
 
-    def tables(own: Block) -> Iterator[pa.RecordBatch]:
-        yield from pa.Table.from_pylist([{"bucket": b, "block": own.id, "data": d} for b, d in getattr(own, ask)()], schema=_SENT).to_batches()
 
-    if answers is None:
+def _sent(blocks: DataFrame, ask) -> DataFrame:
+    """What ask(row) makes of every block."""
 
-        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in batches:
-                for row in rows.to_pylist():
-                    yield from tables(Block(row, setting))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in rows.to_pylist():
+                yield from _messages(ask(row), row["block"]).to_batches()
 
-        return blocks.mapInArrow(first, SENT)
+    return blocks.mapInArrow(run, SENT)
 
-    def later(block: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(tables(_heard(block.to_pylist()[0], told, setting, number - 1)), _SENT)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, SENT)
+def _met(blocks: DataFrame, answers: DataFrame, make, schema: str) -> DataFrame:
+    """make(row, answers) of every block; none of it moves where blocks are dealt by block already."""
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda block, told: make(block.to_pylist()[0], told), schema)
 
 
 def _merged(sent: DataFrame, merge) -> DataFrame:
@@ -628,46 +635,55 @@ def score(docs: DataFrame, order: int = 3, key: str = "doc_id", text: str = "tex
     crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     facts = docs.agg(F.sum(F.octet_length(text)).alias("size"), F.count(F.when(crc % MODULUS != HELD, 1)).alias("trained")).first()
     setting = Setting(order, max(1, (facts["size"] or 0) // 6 // bucket_tokens), bucket_tokens, facts["trained"])
-    answers: DataFrame | None = None
 
     with Scratch(spark, "katz") as scratch:
-        # bucketed by block, so that only messages are shuffled when blocks meet their answers
-        blocks = scratch.bucketed(_blocks(docs, key, text, block_tokens), "blocks", "block")
-        scratch.tidy()
 
-        def exchange(number: int, ask: str, merge) -> DataFrame:
-            """A round: its part of the model; what the blocks are told is added to the answers."""
-            nonlocal answers
+        def exchange(number: int, sent: DataFrame, merge) -> tuple[DataFrame, DataFrame]:
+            """A round: its part of the model, and the answers."""
             place = f"{root}/round={number}"
-            _merged(_asked(blocks, answers, setting, number, ask), merge).write.partitionBy("kind").parquet(place)
+            _merged(sent, merge).write.partitionBy("kind").parquet(place)
             scratch.tidy()
             made = spark.read.schema(MADE).option("basePath", place).parquet(place)
-            own = made.filter("kind = 'answer'").select("block", F.lit(number).alias("round"), "bucket", "data")
-            answers = own if answers is None else answers.unionByName(own)
-            return made
+            return made, made.filter("kind = 'answer'").select("block", F.lit(number).alias("round"), "bucket", "data")
+
+        def forget(number: int) -> None:
+            removed(spark, f"{root}/round={number}/kind=answer")
 
-        own = exchange(WORDS, "ask_words", lambda rows: _merge_words(rows, setting))
+        raw = scratch.written(_blocks(docs, key, text, block_tokens), "raw")
+        own, answers = exchange(WORDS, _sent(raw, lambda row: Raw(row, setting).ask()), lambda rows: _merge_words(rows, setting))
         *first, frequent = _stats(own, 1)
-        levels, used = [Level.of(first)], [WORDS]
-        two = [0] * len(first)
+        levels, base = [Level.of(first)], Level.of(first)
+
+        def settled(row: dict, told: pa.Table) -> pa.Table:
+            data = Raw(row, setting).settled(dict(zip(told.column("bucket").to_pylist(), told.column("data").to_pylist())))
+            return pa.Table.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["ids"]], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "data"])
+
+        # dealt by block once, so that only messages are shuffled when blocks meet their answers
+        blocks = scratch.bucketed(_met(raw, answers, settled, BLOCK), "blocks", "block")
+        scratch.drop(raw)
+        forget(WORDS)
+        scratch.tidy()
+        two, answers = [0] * len(first), spark.createDataFrame([], "block long, round int, bucket long, data binary")
         if order == 2 or order == 3 and (frequent or setting.trained > bucket_tokens):
-            own = exchange(BIGRAMS, "ask_bigrams", lambda rows: _merge_bigrams(rows, levels[0]))
-            two, used = _stats(own, 2)[:-1], [*used, BIGRAMS]
+            own, answers = exchange(BIGRAMS, _sent(blocks, lambda row: Block(row, setting).ask_bigrams()), lambda rows: _merge_bigrams(rows, base))
+            two = _stats(own, 2)[:-1]
         if order == 3:
-            base = levels[0]
-            own = exchange(TRIGRAMS, "ask_trigrams", lambda rows: _merge_trigrams(rows, base, setting))
-            two, used = [a + b for a, b in zip(two, _stats(own, 2)[:-1])], [*used, TRIGRAMS]
-            levels += [Level.of(two), Level.of(_stats(own, 3)[:-1])]
-        elif order == 2:
-            levels.append(Level.of(two))
-        spark.createDataFrame([(n, x.total, x.types, x.discounts, x.kept) for n, x in enumerate(levels, 1)], "n int, total long, types long, discounts array<double>, kept double").coalesce(1).write.parquet(f"{root}/levels")
 
-        def evaluated(block: pa.Table, told: pa.Table) -> pa.Table:
-            return _heard(block.to_pylist()[0], told, setting, setting.order).scores(levels)
+            def trigrams(row: dict, told: pa.Table) -> pa.Table:
+                block = Block(row, setting)
+                block.hear_bigrams({r["bucket"]: r["data"] for r in told.to_pylist()})
+                return _messages(block.ask_trigrams(), row["block"])
 
-        out = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluated, SCORED), "katz-scores")
-        for number in used:
-            removed(spark, f"{root}/round={number}/kind=answer")
+            own, last = exchange(TRIGRAMS, _met(blocks, answers, trigrams, SENT), lambda rows: _merge_trigrams(rows, base, setting))
+            answers = answers.unionByName(last)
+            levels += [Level.of([a + b for a, b in zip(two, _stats(own, 2)[:-1])]), Level.of(_stats(own, 3)[:-1])]
+        elif order == 2:
+            levels.append(Level.of(two))
+        rows = [(n, x.total, x.types, x.discounts, x.kept) for n, x in enumerate(levels, 1)]
+        spark.createDataFrame(rows, "n int, total long, types long, discounts array<double>, kept double").coalesce(1).write.parquet(f"{root}/levels")
+        out = written(_met(blocks, answers, lambda row, told: _heard(row, told, setting).scores(levels), SCORED), "katz-scores")
+        forget(BIGRAMS)
+        forget(TRIGRAMS)
     return out
 
 
@@ -737,7 +753,14 @@ def backoffs(spark: SparkSession, model_path: str) -> DataFrame:
         if n > 2:
             (of, w), (v, u) = unsteps(p[6:8]), unsteps(p[8:10])
             left = left_over(_by_count(of, p[5], len(v)), known[2]).astype(float)
-            mass = _pair_mass(p[1][v], p[12][v] > 0, p[10].reshape(-1, CUTOFF), p[11], known[1])
+            wide, n_words = p[10] > 0, len(words)
+            (bigram_v, bigram_w), own = unsteps(p[3:5]), v[of] * n_words + w
+            bigram = bigram_v * n_words + bigram_w
+            at = np.minimum(np.searchsorted(bigram, own), max(0, len(bigram) - 1))
+            lower = np.where(wide[of], 0, p[2][at]) if len(bigram) else np.zeros(len(w), np.int64)
+            by2, large = _by_count(of, lower, len(v)), _sums(of, np.where(lower > CUTOFF, lower, 0), len(v))
+            by2[wide], large[wide] = p[11].reshape(-1, CUTOFF), p[12]
+            mass = _pair_mass(p[1][v], p[13][v] > 0, by2, large, known[1])
             yield [np.full(len(v), 3, np.int32), _histories(words[u], words[v]), _sums(of, p[5], len(v)), left, mass]
 
     # what a split history has in several buckets adds up
