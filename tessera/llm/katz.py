@@ -49,7 +49,7 @@ from tessera.cluster import shipped
 from tessera.llm.common import Scratch, fresh, removed, written
 from tessera.llm.packed import pack, steps, unpack, unsteps
 
-CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 1_000_000, 1_000_000
+CUTOFF, BLOCK_TOKENS, BUCKET_TOKENS = 5, 1_000_000, 600_000
 MODULUS, HELD = 5, 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: The hash of a text's end. A text's begin is the word number 0, others are numbered from 1.
@@ -460,19 +460,19 @@ class Bucket:
     """The messages that met in a bucket, with the words of all of them in one order."""
 
     def __init__(self, rows: list[dict], width: int) -> None:
-        self.rows, self.parts = rows, [unpack(r["data"]) for r in rows]
-        for p in self.parts:
+        parts = [unpack(r.pop("data")) for r in rows]
+        for p in parts:
             p[4 : 4 + width] = unsteps(p[4 : 4 + width])
-        offset = np.cumsum([0] + [len(p[0]) for p in self.parts])
-        self.words, at = _distinct(np.concatenate([p[0] for p in self.parts]))
+        self.rows, offset = rows, np.cumsum([0] + [len(p[0]) for p in parts])
+        self.words, at = _distinct(np.concatenate([p[0] for p in parts]))
         self.count = np.empty(len(self.words), np.int64)
-        self.count[at] = np.concatenate([p[1] for p in self.parts])
-        self.own, self.known = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3))
-        column = lambda i: at[np.concatenate([p[i] + o for p, o in zip(self.parts, offset)])]
+        self.count[at] = np.concatenate([p[1] for p in parts])
+        self.own, self.known = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        column = lambda i: at[np.concatenate([p[i] + o for p, o in zip(parts, offset)])]
         self.columns = [column(4 + i) for i in range(width)]
         self.asked = [column(4 + width + i) for i in range(width - 1)]
-        self.ends = np.cumsum([len(p[2]) for p in self.parts])
-        self.asked_ends = np.cumsum([len(p[4 + width]) for p in self.parts])
+        self.ends = np.cumsum([len(p[2]) for p in parts])
+        self.asked_ends = np.cumsum([len(p[4 + width]) for p in parts])
 
     def each(self, *arrays: np.ndarray) -> Iterator[tuple[dict, list[np.ndarray], list[np.ndarray]]]:
         """(row, its part of the arrays, the histories that it asks for)."""
