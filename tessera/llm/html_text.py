@@ -1,23 +1,25 @@
-"""HTML extraction: markup first, then substrings that a host repeats.
+"""HTML extraction: markup first, then substrings that a whole host repeats.
 
 A page is read into blocks, each with a zone. What the markup itself names as something else than the article (navigation,
 headers, footers, sidebars, forms, scripts, notices, adverts, comments, by element or by a word in class, id or role) is
 outside; what stands in an article or main element is inside; the rest is open. A page with inside blocks consists of those,
-another one of its open blocks, less what its host repeats: a block is boilerplate where more than COVERED of its tokens lie
-in substrings of WINDOW tokens that stand in MIN_PAGES or more distinct pages of the host. Blocks of MIN_TOKENS to WINDOW
-tokens count as a whole, and shorter ones are never judged.
-
-A repeated passage can also be a copied article. So near copies on a host are one page: min-hash bands of five-word shingles
-propose pairs, signatures that agree in ALIKE of their lanes link them, and connected pages share a cluster; pages are counted
-by cluster. Copies that differ in title, date or a part of the text don't cover each other.
-
-Pages are dealt by host. The suffix array of a host, built by prefix doubling, marks its substrings. A host with more than
-GROUP_BYTES of html is split by a hash of the page into groups of about that size, and its substrings are counted in a
-shuffle over all of its groups instead: hashes of the same windows go to buckets of bounded size, and each group is told which
-of its own are repeated. The rule is the same one, so the size of a host or a table doesn't change a verdict.
-
-Nulls: a null html is empty and has an empty text; a null url is a host of its own. Repeated rows are extracted one by one.
-An empty table gives an empty table. Only the id, url and html are read, so other columns can't clash.
+another one of its open blocks, less the boilerplate of its host.
+
+Boilerplate is found by suffix arrays. The token streams of a host's pages, parted into chunks of bounded size, are
+concatenated (a token of its own between blocks, so that no substring crosses them), suffixes are sorted by prefix doubling,
+and neighbours in the suffix array with a common prefix of WINDOW tokens or more mark substrings that recur. Those that stand
+in SHARE or more of a host's pages, and in MIN_PAGES at least, are boilerplate. What stands in that share of a host's pages
+stands in that share of some chunk's, so chunks only propose; what a host of several chunks really repeats is then counted
+over all of its pages, and results don't depend on how pages are dealt. A block goes where more than COVERED of its tokens lie
+in boilerplate; blocks of MIN_TOKENS to WINDOW tokens count as a whole, and shorter ones are never judged. A page that would
+keep less than LEFT of its tokens is a copy of others, not a frame, and stays whole.
+
+Substrings that only some pages share are text: lines and passages that many articles quote are no boilerplate. Tokens are
+told apart by 16-bit hashes, a window so by 128 bits.
+
+Nulls: a null html is empty and has an empty text; a null url is a host of its own. Repeated rows count as pages each and are
+extracted one by one; equal pages have equal texts. Very long pages are whole, in a chunk of their own. Ties can't arise. An
+empty table gives an empty table. Only the id, url and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -33,15 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.cluster import shipped
-from tessera.llm.common import written
-from tessera.llm.graph import components
+from tessera.llm.common import Scratch, written
 
-MIN_TOKENS, WINDOW, MIN_PAGES, COVERED = 4, 8, 3, 0.5
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
-#: Near copies: words of a shingle, bands and lanes (bytes) of each, and the share of equal lanes that links two pages.
-SHINGLE, BANDS, LANES, ALIKE = 5, 20, 5, 0.6
+MIN_TOKENS, WINDOW, MIN_PAGES, SHARE, COVERED, LEFT = 4, 8, 5, 0.8, 0.5, 0.1
+CHUNK_BYTES = 4 << 20
+#: Fills up a short block's window; separators are numbered from the next one.
+PAD = 1 << 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
-LOW = np.uint64((1 << 40) - 1)
 INSIDE, OPEN, OUTSIDE = 2, 1, 0
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
@@ -171,236 +171,220 @@ def _close(open_: str, stack: list, pop) -> None:
             return
 
 
-def suffix_order(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array of a token sequence by prefix doubling, and the rank of every suffix by its first 1, 2, 4 ... tokens."""
+def own_text(page: list[tuple[str, int]]) -> list[str]:
+    """The blocks that a page consists of before boilerplate is removed."""
+    inside = any(z == INSIDE for _, z in page)
+    return [text for text, z in page if z == (INSIDE if inside else OPEN)]
+
+
+# ---- suffix arrays
+
+
+def _places(key: np.ndarray) -> np.ndarray:
+    """Places in ascending order of whole numbers below 2**40 or so, equal ones as they stand."""
+    bits = max(1, (len(key) - 1).bit_length())
+    if len(key) and int(key.max()) >> (63 - bits) == 0:
+        return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)
+    return np.argsort(key, kind="stable")
+
+
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in order by prefix doubling, and the rank of every suffix by its first 1, 2, 4 ... tokens.
+
+    A rank is the place of the first suffix of its group, and only groups of several suffixes are sorted further.
+    """
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    levels, width = [rank], 1
-    order = np.argsort(rank, kind="stable")
-    while n and width < n and rank.max() < n - 1:
-        after = np.full(n, -1, np.int64)
-        after[: n - width] = rank[width:]
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        levels.append(rank)
+    order = _places(tokens)
+    ranks, width = [], 1
+    rank = np.empty(n, np.int64)
+    first = np.append(True, tokens[order][1:] != tokens[order][:-1])[:n]
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    open_ = np.arange(n)
+    while n:
+        ranks.append(rank)
+        open_ = open_[np.bincount(rank, minlength=n)[rank[open_]] > 1]
+        if not len(open_) or width >= n:
+            break
+        after = np.where(open_ + width < n, rank[np.minimum(open_ + width, n - 1)] + 1, 0)
+        groups = np.unique(rank[open_], return_inverse=True)[1]  # few bits for the sort's key
+        at = _places(groups * (n + 1) + after)
+        open_, groups, after = open_[at], groups[at], after[at]
+        place = np.arange(len(open_))
+        starts = np.append(True, groups[1:] != groups[:-1])
+        parts = starts | np.append(True, after[1:] != after[:-1])
+        begin = np.maximum.accumulate(np.where(starts, place, 0))
+        rank = rank.copy()
+        rank[open_] += np.maximum.accumulate(np.where(parts, place, 0)) - begin
         width *= 2
-    return order, levels
-
-
-def repeated(streams: list[list[str]], pages: list[int], least: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each token stream, which of its tokens lie in a substring of `least` tokens (a power of two) that occurs in min_pages distinct pages."""
-    names: dict[str, int] = {}
-    flat, page, start = [], [], [0]
-    for i, stream in enumerate(streams):
-        flat += [names.setdefault(t, len(names)) for t in stream]
-        flat.append(-1 - i)  # a token of its own, so that no substring crosses from stream to stream
-        page += [pages[i]] * (len(stream) + 1)
-        start.append(len(flat))
-    tokens, page_of = np.array(flat, np.int64), np.array(page, np.int64)
-    covered = np.zeros(len(tokens), bool)
-    order, levels = suffix_order(tokens)
-    level = least.bit_length() - 1
-    if len(tokens) and level < len(levels):
-        # neighbours in the suffix array share their first `least` tokens exactly where their ranks at that level agree
-        prefix = levels[level][order]
-        group = np.concatenate([[0], np.cumsum(np.diff(prefix) != 0)])
-        seen = np.unique(group * (len(streams) + 1) + page_of[order])
-        often = np.bincount(seen // (len(streams) + 1), minlength=group[-1] + 1) >= min_pages
-        begins = order[often[group]]
-        for k in range(least):
-            covered[np.minimum(begins + k, len(tokens) - 1)] = True
-    return [covered[a : b - 1] for a, b in zip(start, start[1:])]
-
-
-def padded(tokens: list[str]) -> list[str]:
-    """The tokens to look for repeats in: a short block is one window, closed by a token that no text has."""
-    return tokens + [" "] * (WINDOW - len(tokens)) if MIN_TOKENS <= len(tokens) < WINDOW else tokens
-
-
-def own_text(page: list[tuple[str, int]]) -> list[int]:
-    """The blocks that a page consists of before repeats are removed."""
-    inside = any(z == INSIDE for _, z in page)
-    return [b for b, (_, z) in enumerate(page) if z == (INSIDE if inside else OPEN)]
+    return _places(rank), ranks
+
 
+def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each suffix of the array shares with the one before it (none for the first)."""
+    n = len(order)
+    shared = np.zeros(n, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        a, b = order[1:] + shared[1:], order[:-1] + shared[1:]
+        there = np.maximum(a, b) < n
+        same = there & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+        shared[1:] += np.where(same, 1 << k, 0)
+    return shared
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+
+def windows(tokens: np.ndarray) -> np.ndarray:
+    """A hash of every run of WINDOW tokens."""
+    n = len(tokens) - WINDOW + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    x = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        x = x * STEP + tokens[k : k + n].astype(np.uint64)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
 
 
-def _windows(tokens: list[str], width: int, names: dict[str, int], salt: int = 0) -> np.ndarray:
-    """A hash of every substring of `width` tokens."""
-    hashes = np.array([names.get(t) or names.setdefault(t, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in tokens], np.uint64)
-    n = len(tokens) - width + 1
-    if n < 1:
+def recurring(streams: list[np.ndarray], pages: list[int], least: float) -> np.ndarray:
+    """Hashes of the windows of token streams (one a block) that stand in `least` distinct pages or more, by suffix array."""
+    if not streams:
         return np.empty(0, np.uint64)
-    out = np.full(n, salt % (1 << 64), np.uint64)
-    for k in range(width):
-        out = out * STEP + hashes[k : k + n]
-    return _mixed(out)
+    sizes = np.array([len(s) + 1 for s in streams])
+    ends = np.cumsum(sizes) - 1
+    tokens = np.empty(sizes.sum(), np.int64)
+    inside = np.ones(len(tokens), bool)
+    inside[ends] = False
+    tokens[inside] = np.concatenate(streams)
+    tokens[ends] = PAD + 1 + np.arange(len(streams))  # each a token of its own
+    page = np.repeat(np.array(pages), sizes)
+    order, ranks = suffix_array(tokens)
+    group = np.cumsum(common_prefixes(order, ranks) < WINDOW) - 1
+    met = np.unique(group * (len(streams) + 1) + page[order]) // (len(streams) + 1)
+    often = np.bincount(met, minlength=group[-1] + 1) >= least
+    starts = order[np.flatnonzero(np.append(True, group[1:] != group[:-1]) & often[group])]
+    starts = starts[ends[np.searchsorted(ends, starts)] >= starts + WINDOW]  # the rest of a block is shorter
+    return np.unique(windows(tokens)[starts])
+
+
+def hashed(texts: list[str]) -> list[np.ndarray]:
+    """The tokens of blocks as 16-bit hashes; a short block is filled up to one window."""
+    split = [t.split(" ") for t in texts]
+    coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
+    names = np.array([xxhash.xxh64_intdigest(w) & 0xFFFF for w in coded.dictionary.to_pylist()], np.int64)
+    flat = names[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+    out = np.split(flat, np.cumsum([len(words) for words in split])[:-1]) if split else []
+    return [np.append(t, [PAD] * (WINDOW - len(t))) if MIN_TOKENS <= len(t) < WINDOW else t for t in out]
+
+
+def main_text(own: list[str], hot: np.ndarray) -> str:
+    """The blocks of a page without those that lie in the sorted windows hot."""
+    if len(hot):
+        sizes, stay = [t.count(" ") + 1 for t in own], []
+        for tokens, size in zip(hashed(own), sizes):
+            value = windows(tokens)
+            begins = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value) if len(value) else []
+            covered = np.zeros(max(len(tokens), WINDOW), bool)
+            for k in range(WINDOW if len(begins) else 0):
+                covered[begins + k] = True
+            stay.append(covered[:size].mean() <= COVERED)
+        if sum(n for n, s in zip(sizes, stay) if s) >= LEFT * sum(sizes):
+            own = [t for t, s in zip(own, stay) if s]
+    return "\n".join(own)
+
+
+# ---- plans
+
+
+def _streams(pages: DataFrame) -> DataFrame:
+    """(grp, host_key, parts, sizes, tokens) of pages (host_key, parts, grp, html): block lengths and 16-bit tokens as bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [own_text(blocks(h)) for h in batch.column("html").to_pylist()]
+            made = hashed([t for page in own for t in page])
+            sizes, tokens, at = [], [], 0
+            for page in own:
+                mine = made[at : at + len(page)]
+                at += len(page)
+                sizes.append(np.array([len(m) for m in mine], "<u4").tobytes())
+                tokens.append(b"".join(np.where(m == PAD, 0, m).astype("<u2").tobytes() for m in mine))
+            pads = [np.array([np.count_nonzero(m == PAD) for m in made[a:b]], "u1").tobytes() for a, b in _spans([len(p) for p in own])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("grp", "host_key", "parts")], *[pa.array(x, pa.binary()) for x in (sizes, pads, tokens)]], ["grp", "host_key", "parts", "sizes", "pads", "tokens"])
 
-_LANE = np.arange(1, BANDS * LANES + 1, dtype=np.uint64)[:, None] * STEP
-
+    return pages.mapInArrow(run, "grp long, host_key long, parts int, sizes binary, pads binary, tokens binary")
 
-def sketch(page: list[tuple[str, int]], names: dict[str, int]) -> bytes:
-    """The min-hash signature of what a page consists of, a byte for each lane."""
-    tokens = [t for b in own_text(page) for t in page[b][0].split(" ")]
-    shingles = np.unique(_windows(tokens, min(SHINGLE, len(tokens)), names)) if tokens else np.zeros(1, np.uint64)
-    least = np.full(BANDS * LANES, np.iinfo(np.uint64).max, np.uint64)
-    for first in range(0, len(shingles), 4096):
-        np.minimum(least, _mixed(shingles[first : first + 4096] ^ _LANE).min(axis=1), out=least)
-    return (least & np.uint64(255)).astype(np.uint8).tobytes()
 
+def _spans(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    at = 0
+    for n in sizes:
+        yield at, at + n
+        at += n
 
-def _values(tokens: list[str], names: dict[str, int], salt: int, buckets: int) -> np.ndarray:
-    """Bucket and low 40 bits of the hash of each window of a block in a host."""
-    hashes = _windows(padded(tokens), WINDOW, names, salt)
-    return ((hashes >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40) | hashes & LOW
 
+def proposed(streams: DataFrame) -> DataFrame:
+    """(host_key, window, sure): what SHARE of a chunk's pages repeat; sure where the chunk is all of a host."""
 
-def main_texts(sources: list[str | None], clusters: list[int] | None = None, told: tuple[np.ndarray, int, int] | None = None) -> list[str]:
-    """The main text of each page of one host, or of a part of one that was told its repeated windows (values, salt and buckets).
+    def run(group: pa.Table) -> pa.Table:
+        rows, found, of = group.num_rows, [], []
+        host, whole = group.column("host_key")[0].as_py(), group.column("parts")[0].as_py() == 1
+        if rows >= MIN_PAGES or not whole:
+            for page, (sizes, pads, tokens) in enumerate(zip(*(group.column(c).to_pylist() for c in ("sizes", "pads", "tokens")))):
+                flat, pad = np.frombuffer(tokens, "<u2").astype(np.int64), np.frombuffer(pads, "u1")
+                for (a, b), n in zip(_spans(np.frombuffer(sizes, "<u4").tolist()), pad):
+                    found.append(np.append(flat[a : b - n], [PAD] * n) if n else flat[a:b])
+                    of.append(page)
+        out = recurring(found, of, SHARE * rows).view(np.int64)
+        return pa.Table.from_arrays([pa.array(np.full(len(out), host)), pa.array(out), pa.array(np.full(len(out), whole))], ["host_key", "window", "sure"])
 
-    Pages of one cluster are copies; without clusters these are the pages that consist of the same text."""
-    read = [blocks(s or "") for s in sources]
-    own = [own_text(page) for page in read]
-    if clusters is None:
-        clusters = [tuple(page[b][0] for b in bs) for page, bs in zip(read, own)]
-    number: dict = {}
-    cluster = [number.setdefault(c, len(number)) for c in clusters]
-    at = [(p, b) for p, page in enumerate(read) for b in range(len(page))]
-    if told is None:
-        marks = repeated([padded(read[p][b][0].split(" ")) for p, b in at], [cluster[p] for p, _ in at], WINDOW)
-    else:
-        at, names = [(p, b) for p, bs in enumerate(own) for b in bs], {}
-        marks = [_told(read[p][b][0].split(" "), names, *told) for p, b in at]
-    gone = {where for where, mark in zip(at, marks) if mark[: len(read[where[0]][where[1]][0].split(" "))].mean() > COVERED}
-    return ["\n".join(page[b][0] for b in bs if (p, b) not in gone) for p, (page, bs) in enumerate(zip(read, own))]
+    return streams.groupBy("grp").applyInArrow(run, "host_key long, window long, sure boolean")
 
 
-def _told(tokens: list[str], names: dict[str, int], hot: np.ndarray, salt: int, buckets: int) -> np.ndarray:
-    """Which tokens of a block lie in windows that are among the sorted values hot."""
-    values = _values(tokens, names, salt, buckets)
-    covered = np.zeros(max(len(tokens), WINDOW), bool)
-    if len(hot) and len(values):
-        begins = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values)
-        for k in range(WINDOW):
-            covered[begins + k] = True
-    return covered
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("host_key").agg(F.sort_array(F.collect_set("window")).alias("hot"))
 
 
-def clusters(pages: DataFrame) -> DataFrame:
-    """(node, cluster) of the pages (node, host, html) that have a near copy on their host."""
+def counted(pages: DataFrame, open_: DataFrame) -> DataFrame:
+    """(host_key, window, n): in how many pages of their host the windows of open_ (host_key, window) stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names: dict[str, int] = {}
-            signs = [sketch(blocks(h.as_py()), names) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("salt"), pa.array(signs, pa.binary())], ["node", "salt", "sign"])
-
-    signs = written(pages.select("node", "salt", "html").mapInArrow(run, "node long, salt long, sign binary"), "html-signs")
-    signs = written(signs.groupBy("node").agg(F.first("salt").alias("salt"), F.first("sign").alias("sign")), "html-nodes")
-    keys = F.array(*[F.xxhash64("salt", F.lit(k), F.substring("sign", k * LANES + 1, LANES)) for k in range(BANDS)])
-    bands = signs.select("node", F.explode(keys).alias("key"))
-    least = written(bands.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", "least"), "html-bands")
-    pairs = written(bands.join(least, "key").filter("node <> least").select("node", "least").distinct(), "html-pairs")
-    both = pairs.join(signs.select("node", "sign"), "node").join(signs.select(F.col("node").alias("least"), F.col("sign").alias("other")), "least")
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sign", "other"))
-                near = pa.array((a == b).mean(axis=1) >= ALIKE)
-                yield pa.RecordBatch.from_arrays([batch.column("node").filter(near), batch.column("least").filter(near)], ["a", "b"])
-
-    return written(components(both.mapInArrow(linked, "a long, b long"), "html-edges").select("node", F.col("root").alias("cluster")), "html-clusters")
+            hosts, values = [], []
+            for host, html, hot in zip(*(batch.column(c).to_pylist() for c in ("host_key", "html", "hot"))):
+                own = hashed(own_text(blocks(html)))
+                mine = np.intersect1d(np.concatenate([windows(t) for t in own]).view(np.int64) if own else np.empty(0, np.int64), np.array(hot, np.int64))
+                values.append(mine)
+                hosts.append(np.full(len(mine), host))
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hosts)), pa.array(np.concatenate(values))], ["host_key", "window"])
 
+    met = pages.join(_listed(open_), "host_key").select("host_key", "html", "hot").mapInArrow(run, "host_key long, window long")
+    return met.groupBy("host_key", "window").agg(F.count("*").alias("n"))
 
-def told(pages: DataFrame, buckets: int) -> DataFrame:
-    """(grp, hot): sorted window values that stand in MIN_PAGES clusters of a split host, for every group that holds them."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names: dict[str, int] = {}
-            values, page = [], []
-            for p, (source, salt) in enumerate(zip(batch.column("html").to_pylist(), batch.column("salt").to_pylist())):
-                own = [_values(t.split(" "), names, salt, buckets) for t, _ in blocks(source)]
-                values.append(np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64))
-                page.append(np.full(len(values[-1]), p, np.int64))
-            if not batch.num_rows:
-                continue
-            value, at = np.concatenate(values), np.concatenate(page)
-            order = np.argsort(value >> np.uint64(40), kind="stable")
-            value, at = value[order], at[order]
-            bucket = (value >> np.uint64(40)).astype(np.int64)
-            ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)) if len(bucket) else []
-            grp, cluster = (batch.column(c).to_numpy() for c in ("grp", "cluster"))
-            first, rows = 0, []
-            for last in ends:
-                mine, index = np.unique(at[first:last], return_inverse=True)
-                low = value[first:last].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((int(bucket[first]), grp[mine].tobytes(), cluster[mine].tobytes(), index.astype(np.uint16).tobytes(), low.tobytes()))
-                first = last
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "grps", "clusters", "at", "low"])
-
-    def count(rows: pa.Table) -> pa.Table:
-        value, cluster, grp = [], [], []
-        for g, c, at, low in zip(*(rows.column(c).to_pylist() for c in ("grps", "clusters", "at", "low"))):
-            index = np.frombuffer(at, np.uint16)
-            wide = np.zeros((len(index), 8), np.uint8)
-            wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-            value.append(wide.view("<u8")[:, 0])
-            cluster.append(np.frombuffer(c, np.int64)[index])
-            grp.append(np.frombuffer(g, np.int64)[index])
-        value, cluster, grp = np.concatenate(value), np.concatenate(cluster), np.concatenate(grp)
-        order = np.lexsort((cluster, value))
-        value, cluster, grp = value[order], cluster[order], grp[order]
-        begins = np.append(True, value[1:] != value[:-1])
-        fresh = begins | np.append(True, cluster[1:] != cluster[:-1])
-        run = np.cumsum(begins) - 1
-        hot = (np.bincount(run, weights=fresh) >= MIN_PAGES)[run]
-        value, grp = value[hot] | np.uint64(rows.column("bucket")[0].as_py() << 40), grp[hot]
-        order = np.lexsort((value, grp))
-        value, grp = value[order], grp[order]
-        own, first = np.unique(grp, return_index=True)
-        lists = [np.unique(v).astype("<u8").tobytes() for v in np.split(value, first[1:])] if len(own) else []
-        return pa.Table.from_arrays([pa.array(own, pa.int64()), pa.array(lists, pa.binary())], ["grp", "hot"])
-
-    sent = pages.mapInArrow(send, "bucket int, grps binary, clusters binary, at binary, low binary")
-    return sent.groupBy("bucket").applyInArrow(count, "grp long, hot binary")
-
-
-def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def extract(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    shipped(pages.sparkSession)
+    spark = pages.sparkSession
+    shipped(spark)
     read = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    read = read.withColumn("host", F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    read = read.withColumns({"salt": F.xxhash64("host"), "node": F.xxhash64("host", "html")})
-    # hosts that need splitting are few and written, so the planner knows their size and moves no page for the join
-    size = F.sum(F.octet_length("html"))
-    large = written(read.groupBy("host").agg(F.ceil(size / group_bytes).cast("int").alias("parts"), size.alias("size")).filter("parts > 1"), "html-hosts")
-    buckets = max(1, -(-int(large.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
-    part = F.pmod(F.xxhash64("page_id", "html"), F.coalesce("parts", F.lit(1)))
-    # the group has a key of its own: a partitioning by host would do for (host, part), and put a large host into one task
-    near = clusters(read)
-    dealt = read.join(large.select("host", "parts"), "host", "left").withColumn("grp", F.xxhash64("host", part)).join(near, "node", "left")
-    dealt = dealt.withColumns({"cluster": F.coalesce("cluster", "node"), "split": F.col("parts").isNotNull()}).drop("host", "parts", "node")
-    hot = written(told(dealt.filter("split").select("html", "salt", "grp", "cluster"), buckets), "html-told")
-
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        known = None
-        if group.num_rows and group.column("split")[0].as_py():
-            lists = [np.frombuffer(x, "<u8") for x in answers.column("hot").to_pylist()]
-            known = (np.sort(np.concatenate(lists)) if lists else np.empty(0, np.uint64), group.column("salt")[0].as_py(), buckets)
-        texts = main_texts(group.column("html").to_pylist(), group.column("cluster").to_pylist(), known)
-        made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        return pa.Table.from_arrays([group.column("page_id"), group.column("url"), *made], ["page_id", "url", "text", "n_chars"])
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    read = read.withColumn("host_key", F.xxhash64(F.coalesce(host, F.lit(""))))
+    with Scratch(spark, "html") as scratch:
+        size = read.groupBy("host_key").agg(F.sum(F.octet_length("html")).alias("size"), F.count("*").alias("pages"))
+        # hosts of several chunks are few and written, so the planner knows their size and moves no page for the join
+        large = scratch.written(size.select("host_key", "pages", F.ceil(F.col("size") / chunk_bytes).cast("int").alias("parts")).filter("parts > 1"), "hosts")
+        dealt = read.join(large.select("host_key", "parts"), "host_key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        chunk = F.xxhash64("host_key", F.pmod(F.xxhash64("page_id", "html"), F.col("parts")))
+        found = scratch.written(proposed(_streams(dealt.select(chunk.alias("grp"), "host_key", "parts", "html"))), "proposed")
+        open_ = found.filter("NOT sure").select("host_key", "window").distinct()
+        split = dealt.filter("parts > 1").select("host_key", "html")
+        real = counted(split, open_).join(large, "host_key").filter((F.col("n") >= SHARE * F.col("pages")) & (F.col("n") >= MIN_PAGES))
+        hot = written(_listed(found.filter("sure").select("host_key", "window").unionByName(real.select("host_key", "window"))), "html-boilerplate")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.sort(np.array(h or [], np.int64).view(np.uint64)) for h in batch.column("hot").to_pylist()]
+            texts = [main_text(own_text(blocks(s)), h) for s, h in zip(batch.column("html").to_pylist(), lists)]
+            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *made], ["page_id", "url", "text", "n_chars"])
 
     schema = read.select("page_id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return dealt.groupBy("grp").cogroup(hot.groupBy("grp")).applyInArrow(run, schema)
+    return read.join(hot, "host_key", "left").select("page_id", "url", "html", "hot").mapInArrow(run, schema)

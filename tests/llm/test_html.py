@@ -4,7 +4,7 @@ from tessera.llm import html_text
 
 
 def text(source):
-    return html_text.main_texts([source])[0]
+    return html_text.main_text(html_text.own_text(html_text.blocks(source or "")), np.empty(0, np.uint64))
 
 
 def test_article_without_its_surroundings():
@@ -25,81 +25,103 @@ def test_unclosed_and_broken_markup():
     assert text("<main><p>in</p></main><p>out</p>") == "in"
 
 
-def test_host_boilerplate_goes_and_copied_articles_stay():
-    menu = "<div>" + " ".join(f"menu{i}" for i in range(8)) + "</div>"
-    plain = [f"<body>{menu}<p>{' '.join(f'own{k}x{i}' for i in range(12))}</p></body>" for k in range(5)]
-    assert html_text.main_texts(plain) == [" ".join(f"own{k}x{i}" for i in range(12)) for k in range(5)]
-    copy = "<body><article><p>" + " ".join(f"w{i}" for i in range(40)) + "</p></article></body>"
-    assert set(html_text.main_texts([copy] * 6)) == {" ".join(f"w{i}" for i in range(40))}
-    assert set(html_text.main_texts([plain[0]] * 6)) == {menu[5:-6] + "\n" + " ".join(f"own0x{i}" for i in range(12))}
+def extracted(spark, sources, chunk_bytes=1 << 22):
+    rows = [(k, f"http://{host}/{k}", html) for k, (host, html) in enumerate(sources)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages, chunk_bytes).collect()}
+    return [got[k] for k in range(len(rows))]
+
+
+def plain_texts(sources):
+    """Boilerplate by counting every window of every page of a host."""
+    own = [html_text.own_text(html_text.blocks(html)) for _, html in sources]
+    split = [[t.split(" ") + [None] * ((8 - t.count(" ") - 1) if 3 <= t.count(" ") < 7 else 0) for t in page] for page in own]
+    grams = lambda words: {tuple(words[i : i + 8]) for i in range(len(words) - 7)}
+    hosts = {}
+    for (host, _), page in zip(sources, split):
+        n, seen = hosts.setdefault(host, [0, {}])
+        hosts[host][0] = n + 1
+        for g in set().union(*map(grams, page)):
+            seen[g] = seen.get(g, 0) + 1
+    out = []
+    for (host, _), texts, page in zip(sources, own, split):
+        n, seen = hosts[host]
+        stay = []
+        for t, words in zip(texts, page):
+            covered = [False] * len(words)
+            for i in range(len(words) - 7):
+                if seen[tuple(words[i : i + 8])] >= max(5, 0.8 * n):
+                    covered[i : i + 8] = [True] * 8
+            size = t.count(" ") + 1
+            stay.append(sum(covered[:size]) <= 0.5 * size)
+        left = [t for t, s in zip(texts, stay) if s]
+        whole = sum(t.count(" ") + 1 for t in left) < 0.1 * sum(t.count(" ") + 1 for t in texts)
+        out.append("\n".join(texts if whole else left))
+    return out
+
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
 
-def test_suffix_order_is_the_sorted_suffixes():
+
+def test_frames_go_and_quotes_and_copies_stay(spark):
+    rng = np.random.default_rng(7)
+    frame, short, quote, story = prose(rng, 20), prose(rng, 5), prose(rng, 60), [prose(rng, 40) for _ in range(3)]
+    article = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    own = [prose(rng, 40) for _ in range(30)]
+    # a.org frames most of its pages; some of them quote a passage; b.org has the frame's words as text; c.org copies one page
+    sources = [("a.org", article(short, t, frame) if k < 27 else article(t)) for k, t in enumerate(own)]
+    sources[3:9] = [("a.org", f"<div>{short}</div><p>{t}</p><p>{quote}</p><p>{frame}</p>") for t in own[3:9]]
+    sources += [("b.org", article(prose(rng, 30), frame)) for _ in range(3)]
+    sources += [("c.org", article(prose(rng, 6), *story)) for _ in range(12)]
+    got = extracted(spark, sources)
+    assert got[:3] == own[:3] and got[9:30] == own[9:30]
+    assert got[3:9] == [t + "\n" + quote for t in own[3:9]]
+    assert all(t.endswith(frame) for t in got[30:33])
+    assert all(t.count("\n") == 0 or t.split("\n")[1:] == story for t in got[33:])
+    assert got == plain_texts(sources)
+
+
+def test_chunks_of_any_size_give_what_counting_gives(spark):
+    rng = np.random.default_rng(9)
+    frames = [prose(rng, k) for k in (4, 7, 8, 9, 25)]
+    sources = []
+    for host, n in (("a.org", 40), ("b.org", 23), ("c.org", 6), ("d.org", 5), ("e.org", 4)):
+        for _ in range(n):
+            blocks = [f for f in frames if rng.random() < 0.85] + [prose(rng, int(rng.integers(1, 60))) for _ in range(3)]
+            sources.append((host, "<main>" + "".join(f"<p>{blocks[i]}</p>" for i in rng.permutation(len(blocks))) + "</main>"))
+    wanted = plain_texts(sources)
+    without = ["\n".join(html_text.own_text(html_text.blocks(html))) for _, html in sources]
+    assert sum(a != b for a, b in zip(wanted, without)) > 30
+    for chunk_bytes in (1 << 22, 5000, 300):
+        assert extracted(spark, sources, chunk_bytes) == wanted
+
+
+def test_suffixes_and_their_common_prefixes():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 2, 50):
-        tokens = rng.integers(0, 4, n)
-        order, _ = html_text.suffix_order(tokens)
-        assert order.tolist() == sorted(range(n), key=lambda i: tokens[i:].tolist())
-
-
-def test_repeats_are_those_of_all_windows():
-    rng = np.random.default_rng(3)
-    streams = [[str(x) for x in rng.integers(0, 3, 30)] for _ in range(6)]
-    pages = [0, 0, 1, 2, 3, 3]
-    got = html_text.repeated(streams, pages)
-    seen = {}
-    for s, p in zip(streams, pages):
-        for i in range(len(s) - 3):
-            seen.setdefault(tuple(s[i : i + 4]), set()).add(p)
-    for s, mark in zip(streams, got):
-        wanted = [any(len(seen[tuple(s[j : j + 4])]) >= 3 for j in range(max(0, i - 3), min(i + 1, len(s) - 3))) for i in range(len(s))]
-        assert mark.tolist() == wanted
+    for n in (0, 1, 2, 50, 200):
+        for kinds in (1, 2, 4):
+            tokens = rng.integers(0, kinds, n)
+            order, ranks = html_text.suffix_array(tokens)
+            wanted = sorted(range(n), key=lambda i: tokens[i:].tolist())
+            assert order.tolist() == wanted
+            shared = html_text.common_prefixes(order, ranks)
+            for k in range(1, n):
+                a, b = tokens[wanted[k - 1] :].tolist(), tokens[wanted[k] :].tolist()
+                assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def test_rows(spark):
     rows = [(1, "http://a.org/x", "<article><p>x  y</p></article>", "t"), (None, None, None, None), (2, "no url", "", "t"), (1, "http://a.org/x", "<article><p>x  y</p></article>", "t"), (3, "http://a.org/y", "<p>" + "w " * 50_000 + "</p>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    got = sorted((repr(r.page_id), r.n_chars) for r in html_text.extract(pages, group_bytes=60).collect())
+    got = sorted((repr(r.page_id), r.n_chars) for r in html_text.extract(pages, 60).collect())
     assert got == [("1", 3), ("1", 3), ("2", 0), ("3", 99_999), ("None", 0)]
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
 def test_articles_of_the_pages_table(spark, sf):
+    """The table's articles are documents under a title; lines that many documents share must stay."""
     rows = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     docs = {" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert rows and all(r.n_chars == len(r.text) for r in rows)
-    assert sum(" ".join(r.text.partition("\n")[2].split()) in docs for r in rows) > 0.9 * len(rows)
-
-
-def prose(rng, n):
-    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
-
-
-def texts_at_two_group_sizes(spark, sources):
-    rows = [(k, f"http://{host}/{k}", html) for k, (host, html) in enumerate(sources)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    return [{r.page_id: r.text for r in html_text.extract(pages, size).collect()} for size in (1 << 22, 1500)]
-
-
-def test_repeats_of_a_split_host_go_and_near_copies_stay(spark):
-    rng = np.random.default_rng(7)
-    plea, story = prose(rng, 20), [prose(rng, 60) for _ in range(5)]
-    sources = [("a.org", f"<p>{prose(rng, 60)}</p><p>{plea}</p>") for _ in range(12)]
-    sources += [("a.org", f"<p>{prose(rng, 6)}</p>" + "".join(f"<p>{x}</p>" for x in story)) for _ in range(6)]
-    sources += [("b.org", f"<p>{plea}</p>")]
-    whole, split = texts_at_two_group_sizes(spark, sources)
-    assert whole == split
-    assert all(whole[k].count(" ") == 59 and plea not in whole[k] for k in range(12))
-    assert all(whole[k].split("\n")[1:] == story for k in range(12, 18))
-    assert whole[18] == plea
-
-
-def test_repeats_inside_articles_go_and_copied_articles_stay(spark):
-    rng = np.random.default_rng(8)
-    plea, story = prose(rng, 20), prose(rng, 200)
-    sources = [("a.org", f"<article><p>{prose(rng, 60)}</p><p>{plea}</p></article>") for _ in range(12)]
-    sources += [("a.org", f"<article><p>{prose(rng, 6)}</p><p>{story}</p></article>") for _ in range(6)]
-    whole, split = texts_at_two_group_sizes(spark, sources)
-    assert whole == split
-    assert all(whole[k].count(" ") == 59 and plea not in whole[k] for k in range(12))
-    assert all(whole[k].split("\n")[1] == story for k in range(12, 18))
+    assert all(" ".join(r.text.partition("\n")[2].split()) in docs for r in rows)
