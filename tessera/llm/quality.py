@@ -2,25 +2,32 @@
 
 Four statistics of a document are turned into whole numbers (thousandths, so that every sum over documents is exact and
 the same however rows are dealt). Per language and source a minimum-covariance-determinant estimate is found by
-concentration: starting from medians and median deviations, the closer three quarters of the group give means and
-covariances, distances to those give the next subset, and so on for a fixed number of steps. A document is rejected where
-its squared Mahalanobis distance passes the limit (by default the 0.9999 quantile of its law for normal data). Spreads have a floor, since a statistic that is the same for most of a
-group would otherwise reject whatever differs from it.
+concentration: from each of eleven starts (medians and median deviations, also with one statistic stressed or nearly ignored;
+plain means and covariances; medians and least spreads) the closest three quarters of the group give means and covariances,
+distances to those give the next subset, and so on for a fixed number of steps; the start whose subset ends with the least
+determinant is taken. That is a minimum among its neighbours, not always the least of all subsets. A document is rejected where its squared Mahalanobis distance passes the limit (by default the 0.9999 quantile of its law for normal data). Spreads
+have a floor, since a statistic that is the same for most of a group would otherwise reject whatever differs from it.
 
-Groups are never gathered: medians and quantiles are exact percentiles over whole numbers of bounded range, which combine
-before the shuffle, and everything else is sums. Groups with fewer than min_group passing documents are not judged.
+Every document that passes the plain limits is judged: a group with fewer than min_group of them takes the estimate of its
+language over all sources, and where that has too few as well the estimate over all documents.
+
+Groups are never gathered: quantiles come from counts per value, whose number is bounded (distances are binned to 1/256 of a
+binary logarithm, so the subset may hold a few documents more than three quarters, never fewer), and everything else is sums.
 
 Nulls: a null text has no words, and fails; null languages and sources form groups of their own. Equal rows get equal
-verdicts. An empty table gives an empty table. The query reads only the columns that it needs; `keep_good` returns whole
-rows, whatever their other columns are called.
+verdicts, equal distances enter the subset together. Very long texts are one row like any other; their statistics take time
+in proportion to length (times its logarithm). An empty table gives an empty table. The query reads only the columns that it
+needs; `keep_good` returns whole rows, whatever their other columns are called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_RUN, SPACES, let, unpack, words, written
+from tessera.llm.common import SPACE_RUN, SPACES, Scratch, let, unpack, words, written
 
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
@@ -29,6 +36,8 @@ Z = ["z1", "z2", "z3", "z4"]
 FLOORS = [60, 250, 120, 120]
 #: The share of a group that is taken as its core, and what makes the core's variance that of a normal sample in four dimensions.
 CORE, CONSISTENT = 0.75, 1.49
+#: An estimate is for a level (language and source, language, all), its names there, and a start.
+GROUP = ["level", "a", "b"]
 
 
 def repeated_words(terms: Column) -> Column:
@@ -58,7 +67,7 @@ def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     body = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(
         *[c.alias(n) for n, c in (carry or {}).items()],
-        *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(n) for n, c in (("g_lang", lang), ("g_source", source))],
+        *[c.alias(n) for c, n in zip(_group(F.col(lang), F.col(source)), ("g_lang", "g_source"))],
         body.alias("body"),
         words(body).alias("terms"),
     )
@@ -96,6 +105,15 @@ def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     )
 
 
+def _group(lang: Column, source: Column) -> list[Column]:
+    """Language and source as names that tell null from any text."""
+    return [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in (lang, source)]
+
+
+def _model() -> tuple[list[Column], list[list[Column]]]:
+    return [F.col(f"m_{z}") for z in Z], [[F.col(f"l_{i}{j}") for j in range(i + 1)] for i in range(4)]
+
+
 def _distance(center: list[Column], root: list[list[Column]]) -> Column:
     """Squared Mahalanobis distance by forward substitution in the lower triangular root of the covariance."""
     solved: list[Column] = []
@@ -107,12 +125,18 @@ def _distance(center: list[Column], root: list[list[Column]]) -> Column:
     return sum((x * x for x in solved[1:]), solved[0] * solved[0])
 
 
-def _root(moments: DataFrame) -> DataFrame:
-    """Means and the lower triangular root of the floored covariance, from counts and exact sums of each group."""
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and exact sums of vectors and their products."""
+    exact = lambda x: F.sum(x.cast("decimal(28,0)")).cast("double")
+    return rows.groupBy(*by).agg(
+        F.sum("n").alias("n"), *[exact(F.col(z) * F.col("n")).alias(f"s_{z}") for z in Z], *[exact(F.col(Z[i]) * F.col(Z[j]) * F.col("n")).alias(f"q_{i}{j}") for i in range(4) for j in range(i + 1)]
+    )
+
+
+def _root(moments: DataFrame, by: list[str], scale: float = CONSISTENT) -> DataFrame:
+    """Means, the lower triangular root of the floored covariance, and the logarithm of its determinant."""
     n = F.col("n").cast("double")
-    out = moments.select("g_lang", "g_source", *[(F.col(f"s_{z}") / n).alias(f"m_{z}") for z in Z], *[F.col(f"q_{i}{j}") / n * CONSISTENT - F.col(f"s_{Z[i]}") / n * (F.col(f"s_{Z[j]}") / n) * CONSISTENT + (FLOORS[i] ** 2 if i == j else 0) for i in range(4) for j in range(i + 1)])
-    names = ["g_lang", "g_source", *[f"m_{z}" for z in Z], *[f"c_{i}{j}" for i in range(4) for j in range(i + 1)]]
-    out = out.toDF(*names)
+    out = moments.select(*by, *[(F.col(f"s_{z}") / n).alias(f"m_{z}") for z in Z], *[((F.col(f"q_{i}{j}") / n - F.col(f"s_{Z[i]}") / n * (F.col(f"s_{Z[j]}") / n)) * scale + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c_{i}{j}") for i in range(4) for j in range(i + 1)])
     for j in range(4):
         pivot = F.col(f"c_{j}{j}")
         for k in range(j):
@@ -123,44 +147,87 @@ def _root(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 entry = entry - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
             out = out.withColumn(f"l_{i}{j}", entry / F.col(f"l_{j}{j}"))
-    return out.select("g_lang", "g_source", *[f"m_{z}" for z in Z], *[f"l_{i}{j}" for i in range(4) for j in range(i + 1)])
+    return out.select(*by, *[f"m_{z}" for z in Z], *[f"l_{i}{j}" for i in range(4) for j in range(i + 1)], sum((2 * F.log(f"l_{i}{i}") for i in range(1, 4)), 2 * F.log("l_00")).alias("log_det"))
 
 
-def estimate(stats: DataFrame, steps: int = 3, min_group: int = 40) -> DataFrame:
-    """Center and covariance root of every group that has enough documents that pass the plain limits."""
-    group = ["g_lang", "g_source"]
-    cells = written(stats.filter(~F.col("base_failed")).groupBy(*group, *Z).agg(F.count("*").alias("n")), "quality-cells")
-    # what is joined to the cells is written, so the planner knows that it is small and doesn't deal the cells by group
-    medians = written(cells.groupBy(*group).agg(F.sum("n").alias("rows"), *[F.percentile(F.col(z), F.lit(0.5), F.col("n")).alias(f"m_{z}") for z in Z]).filter(F.col("rows") >= min_group).drop("rows"), "quality-medians")
-    away = cells.join(medians, group).groupBy(*group).agg(*[F.first(f"m_{z}").alias(f"m_{z}") for z in Z], *[F.percentile(F.round(F.abs(F.col(z) - F.col(f"m_{z}"))).cast("long"), F.lit(0.5), F.col("n")).alias(f"d_{z}") for z in Z])
-    start = away.select(*group, *[f"m_{z}" for z in Z], *[(F.greatest(F.col(f"d_{Z[i]}") * 1.4826, F.lit(float(FLOORS[i]))) if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i in range(4) for j in range(i + 1)])
-    model = written(start, "quality-start")
-    for _ in range(steps):
-        ringed = cells.join(model, group).select(*group, *Z, "n", F.floor(16 * F.log2(1 + _distance(*_model()))).cast("int").alias("ring"))
-        cut = written(ringed.groupBy(*group).agg(F.percentile(F.col("ring"), F.lit(CORE), F.col("n")).alias("cut")), "quality-cut")
-        core = ringed.join(cut, group).filter("ring <= cut")
-        exact = lambda x: F.sum(x.cast("decimal(28,0)")).cast("double")
-        moments = core.groupBy(*group).agg(F.sum("n").alias("n"), *[exact(F.col(z) * F.col("n")).alias(f"s_{z}") for z in Z], *[exact(F.col(Z[i]) * F.col(Z[j]) * F.col("n")).alias(f"q_{i}{j}") for i in range(4) for j in range(i + 1)])
-        model = written(_root(moments), "quality-model")
-    return model
+def _quantiles(counts: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+    """The least value of each group that `share` of its n don't pass, from counts per value."""
+    own = Window.partitionBy(*by)
+    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(own)})
+    return placed.filter(F.col("upto") >= share * F.col("all")).groupBy(*by).agg(F.min(value).alias(value))
 
 
-def _model() -> tuple[list[Column], list[list[Column]]]:
-    return [F.col(f"m_{z}") for z in Z], [[F.col(f"l_{i}{j}") for j in range(i + 1)] for i in range(4)]
+def _middles(cells: DataFrame, value) -> DataFrame:
+    """The median of value(z) for every statistic, as columns d_z."""
+    long = cells.select(*GROUP, "n", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), value(z).cast("long").alias("x")) for z in Z])).alias("v")).select(*GROUP, "v.z", "v.x", "n")
+    middle = _quantiles(long.groupBy(*GROUP, "z", "x").agg(F.sum("n").alias("n")), [*GROUP, "z"], "x", 0.5)
+    return middle.groupBy(*GROUP).agg(*[F.max(F.when(F.col("z") == z, F.col("x"))).cast("double").alias(f"d_{z}") for z in Z])
 
 
-def judge(stats: DataFrame, limit: float = 23.51) -> DataFrame:
-    """stats with `distance` (null: not judged) and `kept`. stats is read several times, so it should be a written table."""
-    judged = stats.join(estimate(stats), ["g_lang", "g_source"], "left").withColumn("distance", _distance(*_model()))
+def _starts(cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """First guesses of center and root for every group: robust, plain, least spreads, and robust ones that stress or ignore one statistic."""
+    medians = scratch.written(_middles(cells, F.col).select(*GROUP, *[F.col(f"d_{z}").alias(f"m_{z}") for z in Z]), "medians")
+    away = _middles(cells.join(medians, GROUP), lambda z: F.abs(F.col(z) - F.col(f"m_{z}")))
+    diagonal = lambda rows, start, spread: rows.select(*GROUP, F.lit(start).alias("start"), *[f"m_{z}" for z in Z], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i in range(4) for j in range(i + 1)])
+    plain = _root(_moments(cells, GROUP), GROUP, 1.0).drop("log_det").withColumn("start", F.lit(1))
+    both = scratch.written(medians.join(away, GROUP), "spreads")
+    robust = lambda start, stress: diagonal(both, start, lambda i: F.greatest(F.col(f"d_{Z[i]}") * 1.4826, F.lit(float(FLOORS[i]))) * stress.get(i, 1.0))
+    guesses = [robust(0, {}), plain, diagonal(medians, 2, lambda i: F.lit(float(FLOORS[i])))]
+    guesses += [robust(3 + 2 * i + k, {i: stress}) for i in range(4) for k, stress in enumerate((0.25, 4.0))]
+    return reduce(DataFrame.unionByName, guesses)
+
+
+def _step(cells: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
+    """The estimates from the closest three quarters of every group, one for each start."""
+    by = [*GROUP, "start"]
+    # what is joined to the cells is written, so the planner knows that it is small and doesn't deal the cells by group
+    ringed = cells.join(model, GROUP).select(*by, *Z, "n", F.floor(256 * F.log2(1 + _distance(*_model()))).cast("int").alias("ring"))
+    cut = scratch.written(_quantiles(ringed.groupBy(*by, "ring").agg(F.sum("n").alias("n")), by, "ring", CORE).withColumnRenamed("ring", "cut"), "cut")
+    return scratch.written(_root(_moments(ringed.join(cut, by).filter("ring <= cut"), by), by), "model")
+
+
+def concentrated(cells: DataFrame, scratch: Scratch, tries: int, steps: int) -> DataFrame:
+    """The estimate of every group (level, a, b) of cells (with vectors and their number n): `tries` steps from every start, then more from the best."""
+    model = scratch.written(_starts(cells, scratch), "start")
+    for _ in range(tries):
+        model = _step(cells, model, scratch)
+    first = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.round("log_det", 9), "start"))
+    model = scratch.written(model.withColumn("nth", first).filter("nth = 1").drop("nth"), "best")
+    for _ in range(steps):
+        model = _step(cells, model, scratch)
+    return model.drop("start")
+
+
+def estimate(stats: DataFrame, tries: int = 2, steps: int = 3, min_group: int = 40) -> DataFrame:
+    """Center and covariance root for every language and source, from the finest level with min_group documents that pass the plain limits."""
+    with Scratch(stats.sparkSession, "quality") as scratch:
+        passing = scratch.written(stats.filter(~F.col("base_failed")).groupBy("g_lang", "g_source", *Z).agg(F.count("*").alias("n")), "vectors")
+        names = [[F.lit(0), F.col("g_lang"), F.col("g_source")], [F.lit(1), F.col("g_lang"), F.lit("")], [F.lit(2), F.lit(""), F.lit("")]]
+        named = lambda rows, *more: reduce(DataFrame.unionByName, [rows.select(*[c.alias(n) for c, n in zip(cs, GROUP)], *more) for cs in names])
+        sums = scratch.written(passing.groupBy("g_lang", "g_source").agg(F.sum("n").alias("n")), "sums")
+        sizes = named(sums, "n").groupBy(*GROUP).agg(F.sum("n").alias("rows")).filter((F.col("rows") >= min_group) | (F.col("level") == 2))
+        groups = scratch.written(stats.select("g_lang", "g_source").distinct(), "groups")
+        finest = F.row_number().over(Window.partitionBy("g_lang", "g_source").orderBy("level"))
+        judges = named(groups, "g_lang", "g_source").join(sizes, GROUP).withColumn("nth", finest).filter("nth = 1").drop("nth", "rows")
+        judges = scratch.written(judges, "judges")
+        cells = named(passing, *Z, "n").join(judges.select(*GROUP).distinct(), GROUP, "left_semi").groupBy(*GROUP, *Z).agg(F.sum("n").alias("n"))
+        models = concentrated(scratch.written(cells, "cells"), scratch, tries, steps)
+        return written(judges.join(models, GROUP).drop("a", "b"), "quality-model")
+
+
+def judge(stats: DataFrame, limit: float = 23.51, min_group: int = 40) -> DataFrame:
+    """stats with `distance`, the `level` whose estimate judged, and `kept`. stats is read several times, so it should be a written table."""
+    judged = stats.join(estimate(stats, min_group=min_group), ["g_lang", "g_source"], "left").withColumn("distance", _distance(*_model()))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
 
 
 def keep_good(docs: DataFrame, limit: float = 23.51) -> DataFrame:
     """The rows of docs that pass, with all their columns. Rejected rows are few, and are taken out by hashes of text and group."""
     packed = docs.select(F.struct("*").alias("row"))
-    key = lambda seed: F.xxhash64(F.lit(seed), F.col("row")["text"], F.col("row")["lang"], F.col("row")["source"])
-    keyed = packed.withColumns({"k1": key(1), "k2": key(2)})
-    stats = written(statistics(docs, carry={"k1": F.xxhash64(F.lit(1), F.col("text"), F.col("lang"), F.col("source")), "k2": F.xxhash64(F.lit(2), F.col("text"), F.col("lang"), F.col("source"))}), "quality-stats")
-    rejected = judge(stats, limit).filter(~F.col("kept")).select("k1", "k2").distinct()
+    key = lambda seed, get: F.xxhash64(F.lit(seed), F.coalesce(get("text"), F.lit("")), *_group(get("lang"), get("source")))
+    keyed = packed.withColumns({f"k{seed}": key(seed, lambda c: F.col("row")[c]) for seed in (1, 2)})
+    stats = written(statistics(docs, carry={f"k{seed}": key(seed, F.col) for seed in (1, 2)}), "quality-stats")
+    rejected = written(judge(stats, limit).filter(~F.col("kept")).select("k1", "k2").distinct(), "quality-rejected")
     kept = keyed.join(rejected, ["k1", "k2"], "left_anti")
     return kept.select(*unpack(kept))

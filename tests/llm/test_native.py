@@ -1,11 +1,13 @@
 """Sharding, quality rules, mixing, line dedup and license scan against plain versions."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,47 +100,72 @@ def test_repeated_windows(spark, text):
     assert quality.statistics(docs).first().n_repeat_words == plain_statistics(text)[4]
 
 
-def plain_percentile(values, q):
-    values = sorted(values)
-    at = (len(values) - 1) * q
-    low = math.floor(at)
-    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
-
-
-def plain_distances(rows, limit_steps=3):
-    """Distances of one group's vectors by the same concentration steps, with a matrix inverse."""
-    import numpy as np
-
-    z = np.array([r[1] for r in rows if not r[0]], float)
-    center = np.array([plain_percentile(z[:, i], 0.5) for i in range(4)])
-    spread = [max(1.4826 * plain_percentile(np.floor(np.abs(z[:, i] - center[i]) + 0.5), 0.5), quality.FLOORS[i]) for i in range(4)]
-    inverse = np.diag(1 / np.array(spread) ** 2)
-    dist = lambda x: ((x - center) @ inverse * (x - center)).sum(axis=1)
-    for _ in range(limit_steps):
-        rings = np.floor(16 * np.log2(1 + dist(z)))
-        core = z[rings <= plain_percentile(list(rings), quality.CORE)]
-        center = core.mean(axis=0)
-        cov = ((core - center).T @ (core - center)) / len(core) * quality.CONSISTENT + np.diag(np.array(quality.FLOORS) ** 2)
-        inverse = np.linalg.inv(cov)
-    return dist(np.array([r[1] for r in rows], float))
-
-
-def test_distances_are_those_of_the_plain_estimate(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.lit("all"))
-    stats = written(quality.statistics(docs, carry={"doc_id": F.col("doc_id")}), "test-stats")
-    groups = defaultdict(list)
-    for r in quality.judge(stats).collect():
-        groups[r.g_lang].append(r)
-    assert len(groups) == 4
-    for rows in groups.values():
-        wanted = plain_distances([(r.base_failed, [r.z1, r.z2, r.z3, r.z4]) for r in rows])
-        for r, d in zip(rows, wanted):
-            assert r.distance == pytest.approx(d, rel=1e-6)
-            assert r.kept == (not r.base_failed and d <= 23.51)
+def floored(core, scale=None):
+    """Center and floored covariance of a subset."""
+    center = core.mean(axis=0)
+    cov = (core - center).T @ (core - center) / len(core) * (scale or quality.CONSISTENT)
+    return center, cov + np.diag(np.array(quality.FLOORS, float) ** 2)
+
+
+def least_determinant(z, h):
+    """The estimate of the subset of h rows with the least determinant, by trying all."""
+    return min((floored(z[list(rest)]) for rest in itertools.combinations(range(len(z)), h)), key=lambda m: np.linalg.det(m[1]))
+
+
+def distances(z, model):
+    return ((z - model[0]) @ np.linalg.inv(model[1]) * (z - model[0])).sum(axis=1)
+
+
+def judged(spark, groups, min_group):
+    """Distances and levels of vectors by (lang, source)."""
+    rows = [(lang, source, False, *map(int, v)) for (lang, source), z in groups.items() for v in z]
+    stats = spark.createDataFrame(rows, "g_lang string, g_source string, base_failed boolean, z1 long, z2 long, z3 long, z4 long")
+    return {(r.g_lang, r.g_source, r.z1, r.z2, r.z3, r.z4): (r.distance, r.level, r.kept) for r in quality.judge(written(stats, "test-stats"), min_group=min_group).collect()}
+
+
+def test_small_groups_have_the_least_determinant_of_all_subsets(spark):
+    rng = np.random.default_rng(3)
+    groups = {}
+    for k in range(6):
+        z = rng.normal([1500, 100, 50, 30], [80, 300, 150, 120], (12, 4)).round()
+        z[:k % 4] += rng.normal(0, 1, (k % 4, 4)) * 40 + np.array([2500, 4000, 2000, 3000])  # up to a quarter lies far off
+        groups["en", f"s{k}"] = z
+    got = judged(spark, groups, 12)
+    for (lang, source), z in groups.items():
+        own = [got[lang, source, *map(int, v)] for v in z]
+        wanted = distances(z, least_determinant(z, 9))
+        assert all(level == 0 for _, level, _ in own)
+        found = np.array([d for d, _, _ in own])
+        assert [k for _, _, k in own] == (wanted <= 23.51).tolist()
+        # concentration may end beside the least of all subsets, but not far from it
+        assert np.linalg.det(floored(z[found.argsort()[:9]])[1]) <= 1.1 * np.linalg.det(least_determinant(z, 9)[1])
+
+
+def test_small_groups_take_the_estimate_of_the_level_above(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n, at: rng.normal([at, 100, 50, 30], [40, 200, 100, 100], (n, 4)).round()
+    groups = {("en", "large"): draw(60, 1500), ("en", "small"): draw(5, 1500), ("de", "a"): draw(30, 1800), ("de", "b"): draw(30, 1800), ("fr", "few"): draw(3, 1600)}
+    groups["en", "small"] = np.vstack([groups["en", "small"], [[9000, 100, 50, 30]]])
+    got = judged(spark, groups, 40)
+    levels = {}
+    for (lang, source, *_), (_, level, _) in got.items():
+        levels.setdefault((lang, source), set()).add(level)
+    assert levels == {("en", "large"): {0}, ("en", "small"): {1}, ("de", "a"): {1}, ("de", "b"): {1}, ("fr", "few"): {2}}
+    assert not got["en", "small", 9000, 100, 50, 30][2]
+
+
+def test_query_judges_every_document_that_passes_the_plain_limits(spark, sf):
+    rows = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.01").collect()
+    texts = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert len(rows) == len(texts) and all(r.distance is not None for r in rows)
+    assert any(not r.base_failed and not r.kept for r in rows)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*plain_statistics(texts[r.doc_id].text)[:5], plain_statistics(texts[r.doc_id].text)[6])
+        assert r.kept == (not r.base_failed and r.distance <= 23.51)
 
 
 def test_clean_documents_stay_and_junk_goes(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.lit("all"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
