@@ -45,8 +45,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = written(mixing.margins(docs, carry={"doc_id": F.col("doc_id")}), "mix-margins")
-    out = mixing.decide(rows)
-    return out.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"), "kept")
+    return mixing.decide(rows).select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,31 +68,38 @@ _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
 
-def _mixing_sql(rounds: int = 8) -> str:
-    """The same fit with one table for each update of a margin's factors."""
+def _mixing_sql() -> str:
+    """The same fit with one table for each update of a margin's factors; factors stay as they are once a round has met the tolerance."""
     dims = ("s", "l", "t")
     parts = [
         r"""words AS (SELECT doc_id, '=' || source AS s, '=' || lang AS l, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents)""",
-        """rows_ AS (SELECT doc_id, s, l, len(ws) AS n, list_min([w FOR w IN ws IF length(w) >= 6]) AS w FROM words)""",
-        """topical AS (SELECT doc_id, s, l, n, coalesce('t' || (('0x' || substr(md5(w), 1, 4))::INT % 8), 'none') AS t FROM rows_)""",
+        f"""rows_ AS (SELECT doc_id, s, l, len(ws) AS n, list_min([w FOR w IN ws IF length(w) >= {mixing.LONG_WORD}]) AS w FROM words)""",
+        f"""topical AS MATERIALIZED (SELECT doc_id, s, l, n, coalesce('t' || (('0x' || substr(md5(w), 1, 4))::INT % {mixing.TOPICS}), 'none') AS t FROM rows_)""",
         """cells AS MATERIALIZED (SELECT s, l, t, sum(n)::DOUBLE AS n FROM topical GROUP BY ALL)""",
     ]
     for d in dims:
-        parts.append(f"h_{d} AS (SELECT {d}, round(sqrt(sum(n)), 9) AS root FROM cells GROUP BY {d})")
-        parts.append(f"f_{d}_0 AS MATERIALIZED (SELECT {d}, root / (SELECT round(sum(root), 6) FROM h_{d}) * (SELECT sum(n) FROM cells) AS goal, 1.0::DOUBLE AS f FROM h_{d})")
+        own = f"PARTITION BY 1 ORDER BY have, {d} ROWS BETWEEN"
+        parts.append(f"h_{d} AS (SELECT {d}, sum(n) AS have, round(sqrt(sum(n)), 9) AS root FROM cells GROUP BY {d})")
+        scarcer, rest = f"coalesce(sum(have) OVER ({own} UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)", f"sum(root) OVER ({own} CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        parts.append(f"r_{d} AS (SELECT *, CASE WHEN {rest} > 0 THEN round(({mixing.KEEP}::DOUBLE * sum(have) OVER () - {mixing.MOST}::DOUBLE * {scarcer}) / {rest}, 9) END AS factor FROM h_{d})")
+        whole = f"{mixing.MOST}::DOUBLE * have"
+        parts.append(f"f_{d}_0 AS MATERIALIZED (SELECT {d}, coalesce(least({whole}, (SELECT max(factor) FROM r_{d}) * root), {whole}) AS goal, 1.0::DOUBLE AS f, 0.0::DOUBLE AS off FROM r_{d})")
+    parts.append("done_0 AS (SELECT false AS done)")
     now = dict.fromkeys(dims, 0)
-    for k in range(1, rounds + 1):
+    for k in range(1, mixing.ROUNDS + 1):
         for d in dims:
-            a, b = (x for x in dims if x != d)
-            fa, fb, old = f"f_{a}_{now[a]}", f"f_{b}_{now[b]}", f"f_{d}_{now[d]}"
-            have = f"SELECT c.{d}, sum(c.n * x.f * y.f) AS have FROM cells c JOIN {fa} x ON c.{a} = x.{a} JOIN {fb} y ON c.{b} = y.{b} GROUP BY c.{d}"
-            parts.append(f"f_{d}_{k} AS MATERIALIZED (SELECT o.{d}, o.goal, CASE WHEN g.have > 0 THEN round(o.goal / g.have, 9) ELSE 1.0 END AS f FROM {old} o JOIN ({have}) g ON o.{d} = g.{d})")
+            joins = " ".join(f"JOIN f_{e}_{now[e]} f{e} ON c.{e} = f{e}.{e}" for e in dims)
+            have = f"SELECT c.{d}, sum(c.n * least(1.0, fs.f * fl.f * ft.f)) AS have, sum(CASE WHEN fs.f * fl.f * ft.f >= 1 THEN c.n ELSE 0.0 END) AS whole FROM cells c {joins} GROUP BY c.{d}"
+            plain = "(CASE WHEN have > 0 THEN goal / have ELSE 1.0 END)"
+            ratio = f"(CASE WHEN have - whole > 0 AND goal - whole > 0 THEN (goal - whole) / (have - whole) ELSE {plain} END)"
+            parts.append(f"f_{d}_{k} AS MATERIALIZED (SELECT o.{d}, goal, CASE WHEN done THEN f ELSE round(f * {ratio}, 9) END AS f, CASE WHEN done THEN off ELSE abs({plain} - 1) END AS off FROM f_{d}_{k - 1} o JOIN ({have}) g ON o.{d} = g.{d}, done_{k - 1})")
             now[d] = k
-    joins = " ".join(f"JOIN f_{d}_{rounds} f{d} ON r.{d} = f{d}.{d}" for d in dims)
-    parts.append(f"fitted AS (SELECT r.*, round(fs.f * fl.f * ft.f, 9) AS f FROM topical r {joins})")
+        parts.append(f"done_{k} AS MATERIALIZED (SELECT max(off) <= {mixing.TOLERANCE} AS done FROM (" + " UNION ALL ".join(f"SELECT off FROM f_{d}_{k}" for d in dims) + "))")
+    joins = " ".join(f"JOIN f_{d}_{mixing.ROUNDS} f{d} ON r.{d} = f{d}.{d}" for d in dims)
+    parts.append(f"fitted AS (SELECT r.*, round(least(1.0, fs.f * fl.f * ft.f), 9) AS p FROM topical r {joins})")
     return "WITH " + ",\n".join(parts) + """
-SELECT doc_id, s AS source, l AS lang, t AS topic, n AS n_tokens, round(least(1.0, f), 6) AS probability, round(greatest(1.0, f), 6) AS weight,
-  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < least(1.0, f) AS kept FROM fitted"""
+SELECT doc_id, s AS source, l AS lang, t AS topic, n AS n_tokens, round(p, 6) AS probability,
+  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS kept FROM fitted"""
 
 
 SQL = {

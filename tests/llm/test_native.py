@@ -186,23 +186,43 @@ def test_quality_odd_rows(odd, none):
 # ---- mixing
 
 
-def plain_factors(cells, rounds=8):
-    total = sum(cells.values())
+def plain_goals(have):
+    """Shares of the square roots, scarce values at most nearly whole: filled up from the scarcest."""
+    order = sorted(have, key=lambda v: (have[v], v))
+    size, goals = mixing.KEEP * sum(have.values()), {}
+    for k, v in enumerate(order):
+        factor = (size - sum(goals.values())) / (sum(math.sqrt(have[x]) for x in order[k:]) or 1.0)
+        goals[v] = min(mixing.MOST * have[v], factor * math.sqrt(have[v]))
+        if goals[v] < mixing.MOST * have[v]:
+            return goals | {x: factor * math.sqrt(have[x]) for x in order[k:]}
+    return goals
+
+
+def plain_fit(cells):
+    """Probabilities by cell, fitted in memory, and the goals of the three margins."""
     goals, factors = [], []
     for d in range(3):
         have = Counter()
         for c, n in cells.items():
             have[c[d]] += n
-        roots = {k: round(math.sqrt(n), 9) for k, n in have.items()}
-        goals.append({k: r / round(sum(roots.values()), 6) * total for k, r in roots.items()})
+        goals.append(plain_goals(have))
         factors.append(dict.fromkeys(have, 1.0))
-    for _ in range(rounds):
+    p = lambda c: min(1.0, math.prod(factors[d][c[d]] for d in range(3)))
+    for _ in range(mixing.ROUNDS):
+        off = 0.0
         for d in range(3):
-            have = Counter()
+            have, whole = Counter(), Counter()
             for c, n in cells.items():
-                have[c[d]] += n * math.prod(factors[e][c[e]] for e in range(3) if e != d)
-            factors[d] = {k: round(goals[d][k] / n, 9) if n else 1.0 for k, n in have.items()}
-    return {c: math.prod(factors[d][c[d]] for d in range(3)) for c in cells}, goals
+                have[c[d]] += n * p(c)
+                whole[c[d]] += n if p(c) == 1 else 0
+            for v, n in have.items():
+                if n:
+                    free, due = n - whole[v], goals[d][v] - whole[v]
+                    factors[d][v] = round(factors[d][v] * (due / free if free > 0 and due > 0 else goals[d][v] / n), 9)
+                    off = max(off, abs(goals[d][v] / n - 1))
+        if off <= mixing.TOLERANCE:
+            break
+    return {c: p(c) for c in cells}, goals
 
 
 def plain_topic(text):
@@ -210,27 +230,34 @@ def plain_topic(text):
     return f"t{int(hashlib.md5(min(words, key=str.encode).encode()).hexdigest()[:4], 16) % 8}" if words else "none"
 
 
-def test_mixing_is_the_plain_fit(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+def test_mixing_is_the_plain_fit_and_meets_its_margins(spark, same):
+    sf = "/root/testdata/sf0.01"
+    same(QUERIES["op7_mixing"](spark, sf), SQL["op7_mixing"], sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     of = {r.doc_id: ("=" + r.source, "=" + r.lang, plain_topic(r.text)) for r in docs}
     cells = Counter()
     for r in docs:
         cells[of[r.doc_id]] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
-    factors, goals = plain_factors(cells)
-    got = QUERIES["op7_mixing"](spark, "/root/testdata/sf0.01").collect()
-    assert len(got) == len(docs)
-    weighted = Counter()
-    for r in got:
+    probability, goals = plain_fit(cells)
+    expected = Counter()
+    for r in QUERIES["op7_mixing"](spark, sf).collect():
         assert (r.source, r.lang, r.topic) == of[r.doc_id]
-        f = factors[of[r.doc_id]]
-        assert r.probability == pytest.approx(min(1, f), abs=2e-6) and r.weight == pytest.approx(max(1, f), abs=2e-6)
+        assert r.probability == pytest.approx(probability[of[r.doc_id]], abs=2e-6)
         u = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:12], 16) / 16**12
-        assert r.kept == (u < min(1, f)) or abs(u - f) < 1e-6
+        assert r.kept == (u < probability[of[r.doc_id]]) or abs(u - r.probability) < 1e-6
         for d, value in enumerate((r.source, r.lang, r.topic)):
-            weighted[d, value] += r.n_tokens * f
+            expected[d, value] += r.n_tokens * r.probability
     for d in range(3):
         for value, goal in goals[d].items():
-            assert weighted[d, value] == pytest.approx(goal, rel=0.02)
+            assert expected[d, value] == pytest.approx(goal, rel=0.01)
+
+
+def test_skewed_margins_are_met(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "word " * int(rng.integers(5, 200)), "en" if rng.random() < 0.8 else ["de", "fr", None][i % 3], "hot" if rng.random() < 0.5 else f"s{i % 12}", f"t{int(rng.integers(0, 4)) ** 2 % 5}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, theme string")
+    off = [r.expected / r.goal for r in mixing.residuals(mixing.margins(docs, "theme")).collect()]
+    assert len(off) > 15 and all(abs(x - 1) < 0.01 for x in off)
 
 
 def test_mixing_odd_rows(odd, none):
