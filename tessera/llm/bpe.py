@@ -6,7 +6,7 @@ In each round every row merges its leftmost pair of least rank and is compacted
 leave the matrix. Ranks come from an open-addressing hash table of id pairs. Pieces too long for a matrix are merged by a
 heap, in the same order (least rank first, leftmost among equals), so that one very long piece costs n log n.
 
-Whole texts are encoded, row by row, without a shuffle; memory is bounded by a batch of rows and a cache of known pieces.
+Whole texts are encoded, row by row, without a shuffle; memory is bounded by a batch of rows and a cache of known short pieces.
 Nulls: a null text is empty and has no tokens; a null id stays null. Equal rows get equal results. An empty table gives an
 empty table. Only the text and the columns asked for are read, so other columns can't clash.
 """
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tessera.cluster import shipped
 
 NONE = np.int32(2**31 - 1)
-#: The longest piece in bytes that goes into a matrix, the most cells of a matrix, and the most pieces that a worker remembers.
-LONGEST, CELLS, KNOWN = 512, 1 << 20, 600_000
+#: The longest piece in bytes that goes into a matrix, the most cells of a matrix, the most pieces that a worker remembers and their length.
+LONGEST, CELLS, KNOWN, SHORT = 512, 1 << 20, 600_000, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,9 +167,13 @@ class Encoder:
         if len(self.known) > KNOWN:
             self.known = {}
         new = list({p for pieces in split for p in pieces if p not in self.known})
-        self.known.update(zip(new, self.merge([p.encode("utf-8") for p in new])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        made = dict(zip(new, self.merge([p.encode("utf-8") for p in new])))
+        long = {p: code for p, code in made.items() if len(p) > SHORT}  # seldom met again, and memory must stay bounded
+        self.known.update((p, code) for p, code in made.items() if len(p) <= SHORT)
+        if not long:
+            get = self.known.__getitem__
+            return [b"".join(map(get, pieces)) for pieces in split]
+        return [b"".join([long[p] if p in long else self.known[p] for p in pieces]) for pieces in split]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of a text from its ids."""

@@ -44,7 +44,7 @@ from tessera.cluster import shipped
 from tessera.llm.common import unpack, written
 from tessera.llm.graph import components
 
-SEED, CELL, PAIRS = 42, 4096, 1 << 20
+SEED, CELL, PAIRS = 42, 16384, 1 << 20
 #: Odd numbers that turn one shingle hash into further ones (the golden ratio's fraction and its multiples).
 STEP = 0x9E3779B97F4A7C15
 
@@ -259,32 +259,36 @@ def _met(sent: DataFrame, layout: Layout, cell: int, key: str, pairs) -> DataFra
     columns = sent.columns
     others = [c for c in columns if c not in ("anchor", "home")]
     sent = sent.withColumn("cell", F.lit(0))
-    crowded = written(sent.filter("home").groupBy("anchor").count().filter(F.col("count") > cell).select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("n")), "simhash-crowded")
+    rows = sent.groupBy("anchor").agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count("*").alias("guests"))
+    # a grid of homes by guests: each cell holds `cell` of either kind, so its comparisons are bounded as well
+    sides = rows.select("anchor", F.ceil(F.greatest(F.col("homes"), F.lit(1)) / cell).cast("int").alias("rows"), F.ceil(F.col("guests") / cell).cast("int").alias("columns")).filter("columns > 1")
+    crowded = written(sides, "simhash-crowded")
     if not crowded.isEmpty():
-        # a grid: those at home take one row of cells and every column, those sent take one column and every row
-        mine = F.pmod(F.xxhash64(key), F.col("n"))
-        every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        wide = sent.drop("cell").join(crowded, "anchor").withColumn("k", every)
-        home = wide.filter("home").select(*columns, (mine * F.col("n") + F.col("k")).cast("int").alias("cell"))
-        guest = wide.withColumn("home", F.lit(False)).select(*columns, (F.col("k") * F.col("n") + mine).cast("int").alias("cell"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda n: F.pmod(F.xxhash64(key), F.col(n))
+        wide = sent.drop("cell").join(crowded, "anchor")
+        home = wide.filter("home").withColumn("k", every("columns")).select(*columns, (mine("rows") * F.col("columns") + F.col("k")).cast("int").alias("cell"))
+        guest = wide.withColumn("home", F.lit(False)).withColumn("k", every("rows")).select(*columns, (F.col("k") * F.col("columns") + mine("columns")).cast("int").alias("cell"))
         sent = sent.join(crowded, "anchor", "left_anti").unionByName(home).unionByName(guest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        waiting: list[list[np.ndarray]] = []  # batches of rows whose last run may go on
         for batch in _with_end(batches):
             if batch is not None:
                 own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "home", *others)}
-                own = [own["anchor"] << 24 | own["cell"], own["home"], *[own[c].view(np.uint64) if c in ("f0", "f1") else own[c] for c in others]]
-                rest = own if rest is None else [np.concatenate(p) for p in zip(rest, own)]
-                changes = np.flatnonzero(rest[0][1:] != rest[0][:-1])
-                if len(rest[0]) < 200_000 or not len(changes):
+                waiting.append([own["anchor"] << 24 | own["cell"], own["home"], *[own[c].view(np.uint64) if c in ("f0", "f1") else own[c] for c in others]])
+                last = waiting[-1][0]
+                if sum(len(w[0]) for w in waiting) < 200_000 or not len(last) or last[0] == last[-1] == waiting[0][0][-1]:
                     continue
-                cut = int(changes[-1]) + 1  # the last run may go on in the next batch
-                whole, rest = [p[:cut] for p in rest], [p[cut:] for p in rest]
-            elif rest is None:
+            elif not waiting:
                 return
+            rest = [np.concatenate(p) for p in zip(*waiting)]
+            if batch is None:
+                whole, waiting = rest, []
             else:
-                whole = rest
+                changes = np.flatnonzero(rest[0][1:] != rest[0][:-1])
+                cut = int(changes[-1]) + 1 if len(changes) else 0
+                whole, waiting = [p[:cut] for p in rest], [[p[cut:] for p in rest]]
             for x, y in _compared(whole, layout):
                 a, b = pairs(whole, x, y)
                 if len(a):

@@ -1,19 +1,23 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors become whole numbers. Runs of rows, in the order in which they are read, form blocks; a block holds its vectors (the
-forward index) and the greatest and least value of each component. A query's bound for a block is the sum over components of
-the most that the block's extremes allow. Blocks are taken in the order of their bounds, a block's vectors are scored
-against all queries that are at it, and a query ends when the next bound is below its k-th score.
-
-Blocks are dealt into superblocks and queries into groups; every pair of the two is one task of bounded memory, which
-returns k rows for each of its queries at most, and the last step ranks those. Scores are exact: matrix products run in
-floating point only where every sum stays below 2**53, in 64-bit integers where it stays below 2**63, and raise an error
-beyond.
-
-Nulls: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id. Vectors of
-different length are compared as if the shorter ended in zeros. Several rows with one id: each is a candidate, and as a
-query the id is answered once, by its least vector; rows with the query's own id are no candidates. Ties go to the smaller
-id. An empty table gives an empty table. Only id and vector are read.
+Vectors become whole numbers. Rows are brought near others of their direction (they are sorted by the pivot that they point
+along most, one of a bounded sample), and runs of them form the blocks of an index that is written once: a block holds its
+vectors (the forward index) and the greatest and least value of each component. A query's bound for a block is the sum over
+components of the most that the block's extremes allow. Blocks are taken in the order of their bounds, a block's vectors are
+scored against all queries that are at it, and a query ends when the next bound is below its k-th score; the k-th score
+among the pivots' vectors is where it begins. Pruning depends on the data: bounds are tight where vectors crowd, and of no
+use for directions without any order.
+
+Queries are taken in groups of bounded size, each of which is sent to all tasks that read the index; a task returns k rows
+for each of its queries at most, and the last step ranks those. So the table is shuffled once, when the index is made. Scores
+are exact: matrix products run in floating point only where every sum stays below 2**53, in 64-bit integers where it stays
+below 2**63, and in whole numbers of any size beyond.
+
+Nulls: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id. Components
+beyond 64 bits count as the greatest or least 64-bit number, and so do scores. Vectors of different length are compared as
+if the shorter ended in zeros. Several rows with one id: each is a candidate, and as a query the id is answered once, by its
+least vector; rows with the query's own id are no candidates. Ties go to the smaller id. An empty table gives an empty
+table. Only id and vector are read, so other columns can't clash; there are no texts.
 """
 
 from __future__ import annotations
@@ -27,55 +31,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.cluster import shipped
+from tessera.llm.common import Scratch, written
 
-BLOCK, SUPERBLOCK, GROUP = 512, 128, 1024
-PACK = "part long, dim int, n int, ids binary, codes binary, high binary, low binary"
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Rows of a block, queries of a group, rows of the sample that directions are told by, and blocks that are searched together.
+BLOCK, GROUP, PIVOTS, TOGETHER = 256, 4096, 256, 256
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+PACK = "dim int, n int, kind string, ids binary, codes binary, high binary, low binary"
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of whole numbers as rows of a matrix, filled up with zeros."""
+    lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    dim = int(lengths.max(initial=0))
+    out = np.zeros((len(lists), dim), np.int64)
+    out[np.arange(dim) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The matrix in the narrowest whole numbers that hold it."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    return matrix.astype(np.promote_types(np.min_scalar_type(low if low < 0 else -1), np.min_scalar_type(-high - 1)))
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of up to `size` rows of (id long, codes array<long>), numbered by partition and place."""
+    """Blocks of up to `size` neighbouring rows of (id long, codes array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, size):
                 piece = batch.slice(first, size)
-                lists = piece.column("codes")
-                lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-                dim = int(lengths.max(initial=0))
-                matrix = np.zeros((len(lists), dim), np.int64)
-                matrix[np.arange(dim) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-                ids = piece.column("id").to_numpy(zero_copy_only=False)
-                high, low = (matrix.max(axis=0), matrix.min(axis=0)) if len(matrix) else (matrix.sum(axis=0),) * 2
-                part = int(np.bitwise_xor.reduce(ids * 2654435761 % (1 << 61), initial=len(ids)))
-                yield pa.RecordBatch.from_pydict({"part": [part], "dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), **{n: [x.astype("<i8").tobytes()] for n, x in (("ids", ids), ("codes", matrix), ("high", high), ("low", low))}})
+                matrix = _matrix(piece.column("codes"))
+                ids = piece.column("id").to_numpy(zero_copy_only=False).astype("<i8")
+                codes = _narrow(matrix)
+                extremes = {"high": matrix.max(axis=0, initial=LEAST), "low": matrix.min(axis=0, initial=MOST)}
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([matrix.shape[1]], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "kind": [codes.dtype.str], "ids": [ids.tobytes()], "codes": [codes.tobytes()], **{n: [x.astype("<i8").tobytes()] for n, x in extremes.items()}})
+
+    return rows.select("id", "codes").mapInArrow(run, PACK)
 
-    return rows.mapInArrow(run, PACK)
 
+def _wide(matrix: np.ndarray, dim: int) -> np.ndarray:
+    return np.pad(matrix, ((0, 0), (0, dim - matrix.shape[1]))) if matrix.shape[1] < dim else matrix
 
-def _read(data: bytes, rows: int, dim: int) -> np.ndarray:
-    own = np.frombuffer(data, "<i8").reshape(rows, -1)
-    return np.pad(own, ((0, 0), (0, dim - own.shape[1])))
+
+def _read(row: dict, dim: int) -> tuple[np.ndarray, ...]:
+    """ids, codes, high and low of a packed block."""
+    shape = lambda data, kind, n: _wide(np.frombuffer(data, kind).reshape(n, row["dim"]).astype(np.int64), dim)
+    return np.frombuffer(row["ids"], "<i8"), shape(row["codes"], row["kind"], row["n"]), shape(row["high"], "<i8", 1)[0], shape(row["low"], "<i8", 1)[0]
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of whole numbers."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """a @ b.T of whole numbers, exact up to the bounds of 64 bits."""
+    size = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    most = size(a) * size(b) * max(1, a.shape[1])
     if most < 1 << 53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
     if most < 1 << 63:
         return a @ b.T
-    raise OverflowError("an inner product does not fit 64 bits")
+    return np.clip(a.astype(object) @ b.T.astype(object), LEAST, MOST).astype(np.int64)
+
 
+def search(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None) -> tuple[list, int]:
+    """(query id, vector id, score) of the best k of each query among blocks (ids, codes, high, low), and how many block visits were pruned.
 
-def search(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[list, int]:
-    """(query id, vector id, score) of the best k of each query among blocks (ids, codes, high, low), and how many block visits were pruned."""
+    floor: for each query a score that k rows are known to reach; lower ones needn't be found.
+    """
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     high, low = np.array([b[2] for b in blocks]), np.array([b[3] for b in blocks])
-    bounds = _product(up, high) + _product(down, low)
-    order = np.argsort(-bounds, axis=1, kind="stable")
+    bounds = _product(np.concatenate([up, down], axis=1), np.concatenate([high, low], axis=1))
+    order = np.argsort(bounds, axis=1, kind="stable")[:, ::-1]
     best: list[list[tuple[int, int]]] = [[] for _ in queries]  # (-score, id) in order
-    kth = np.full(len(queries), np.iinfo(np.int64).min)
+    kth = np.full(len(queries), LEAST) if floor is None else floor.copy()
     active, visits = np.arange(len(queries)), 0
     for place in range(len(blocks)):
         at = order[active, place]
@@ -95,40 +122,74 @@ def search(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.nda
             row, column = np.nonzero((scores >= least[:, None]) & counts)
             for r in np.unique(row):
                 q, mine = own[r], column[row == r]
-                merged = sorted(best[q] + list(zip((-scores[r, mine]).tolist(), ids[mine].tolist())))[:k]
+                merged = sorted(best[q] + [(-x, i) for x, i in zip(scores[r, mine].tolist(), ids[mine].tolist())])[:k]
                 best[q] = merged
                 if len(merged) == k:
-                    kth[q] = -merged[-1][0]
+                    kth[q] = max(kth[q], -merged[-1][0])
     out = [(int(q), i, -s) for q, found in zip(query_ids, best) for s, i in found]
     return out, len(queries) * len(blocks) - visits
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _floors(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among a few rows that aren't its own; the least number where those are fewer."""
+    scores = np.where(ids[None, :] == query_ids[:, None], LEAST, _product(queries, codes))
+    return np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(queries), LEAST)
+
+
+def _directed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """rows (id, codes) with the number of the pivot that each points along most."""
+    long = np.sqrt((pivots.astype(np.float64) ** 2).sum(axis=1))
+    units = pivots / np.where(long > 0, long, 1.0)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = _matrix(batch.column("codes")).astype(np.float64)
+            dim = min(matrix.shape[1], units.shape[1])
+            best = (matrix[:, :dim] @ units[:, :dim].T).argmax(axis=1) if len(units) and len(matrix) else np.zeros(len(matrix), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("codes"), pa.array(best, pa.int64())], ["id", "codes", "pivot"])
+
+    return rows.mapInArrow(run, "id long, codes array<long>, pivot long")
+
+
+def index(rows: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The blocks of rows (id, codes), and ids and codes of the sample that directions are told by (the rows of the least hashes)."""
+    sample = rows.orderBy(F.xxhash64("id", "codes"), "id").limit(pivots).collect()
+    ids = np.array([r["id"] for r in sample], np.int64)
+    codes = _matrix(pa.array([r["codes"] for r in sample], pa.list_(pa.int64()))) if sample else np.zeros((0, 0), np.int64)
+    # ranges of pivot and id: a direction that many rows share is dealt over several tasks
+    dealt = _directed(rows, codes).repartitionByRange("pivot", "id").sortWithinPartitions("pivot", "id")
+    return _packed(dealt, block), ids, codes
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id and score: the k best rows for each row whose id is divisible by `every`, against all rows."""
-    shipped(vectors.sparkSession)
+    spark = vectors.sparkSession
+    shipped(spark)
     whole = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(scale * x))
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     rows = vectors.filter(sound).select(F.col(key).cast("long").alias("id"), whole.alias("codes"))
-    asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("codes").alias("codes"))
-    n = rows.count()
-    supers, groups = -(-n // (BLOCK * SUPERBLOCK)) or 1, -(-n // (every * GROUP)) or 1
-    spread = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    fields = ["dim", "n", "ids", "codes", "high", "low"]
-    left = _packed(rows, BLOCK).select(F.pmod(F.xxhash64("part"), F.lit(supers)).cast("int").alias("super"), spread("grp", groups), *fields)
-    dealt = asked.repartition(groups, "id")
-    right = _packed(dealt, GROUP).select(spread("super", supers), F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int").alias("grp"), *fields)
-
-    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        b, q = blocks.to_pylist(), queries.to_pylist()
-        if not b or not q:
-            return FOUND.empty_table()
-        dim = max(x["dim"] for x in [*b, *q])
-        index = [(np.frombuffer(x["ids"], "<i8"), _read(x["codes"], x["n"], dim), _read(x["high"], 1, dim)[0], _read(x["low"], 1, dim)[0]) for x in b]
-        found: list = []
-        for x in q:
-            found += search(_read(x["codes"], x["n"], dim), np.frombuffer(x["ids"], "<i8"), index, k)[0]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))], schema=FOUND)
-
-    found = left.groupBy("super", "grp").cogroup(right.groupBy("super", "grp")).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with Scratch(spark, "topk") as scratch:
+        blocks, sample_ids, sample = index(rows, block, pivots)
+        blocks = scratch.written(blocks, "index")
+        asked = scratch.written(_packed(rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("codes").alias("codes")), group), "queries")
+        found = None
+        for row in asked.toLocalIterator():  # one group of queries at a time
+            part = scratch.written(blocks.mapInArrow(_answers(spark.sparkContext.broadcast(row.asDict()), sample_ids, sample, k), FOUND), "found")
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            found = spark.createDataFrame([], FOUND)
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return written(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")
+
+
+def _answers(group, sample_ids: np.ndarray, sample: np.ndarray, k: int):
+    """What a task finds for a group of queries among the blocks that it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mine in (batch.slice(first, TOGETHER).to_pylist() for batch in batches for first in range(0, batch.num_rows, TOGETHER)):
+            dim = max([group.value["dim"], sample.shape[1], *(x["dim"] for x in mine)])
+            ids, queries = _read(group.value, dim)[:2]
+            found = search(queries, ids, [_read(x, dim) for x in mine], k, _floors(queries, ids, sample_ids, _wide(sample, dim), k))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))], ["query_id", "vec_id", "score"])
+
+    return run
