@@ -94,9 +94,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def detections(texts: DataFrame) -> DataFrame:
     """Every hit of every rule in texts (k1, k2, s), once for equal texts: k1, k2, first, last, priority, order, label, sure, kept."""
-    candidates = F.filter(_literal_rules(), lambda r: F.contains(F.col("s"), r["keyword"]) & F.contains(F.col("s"), r["needed"]))
-    matching = F.filter(candidates, lambda r: F.regexp_like(F.col("s"), r["expression"]))
-    hits = texts.select("k1", "k2", F.explode(F.flatten(F.transform(matching, lambda r: _places(F.col("s"), r)))).alias("hit")).select("k1", "k2", "hit.*").distinct()
+    # every expression is a literal behind its keyword, so it is compiled once for a task; only rules that match are looked up
+    every, by = rules(), {}
+    for rule in every:
+        by.setdefault(rule[4], []).append(rule)
+    s = F.col("s")
+    found = [F.when(F.contains(s, F.lit(keyword)), F.array(*[F.when(F.contains(s, F.lit(r[5])) & s.rlike(r[6]), F.lit(r[0])) for r in own])) for keyword, own in by.items()]
+    numbers = F.array_compact(F.flatten(F.array_compact(F.array(*found))))
+    matched = texts.select("k1", "k2", "s", F.explode(numbers).alias("number"))
+    hits = matched.select("k1", "k2", F.explode(_places(s, F.element_at(_literal_rules(), F.col("number") + 1))).alias("hit")).select("k1", "k2", "hit.*").distinct()
     # A hit is inside another if that one starts no later and ends no earlier. Longer hits come first among equal starts,
     # so that running maxima of the ends seen, by priority, tell in one pass.
     order = Window.partitionBy("k1", "k2").orderBy("first", F.desc("last"), F.desc("priority"), "order").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,27 +1,33 @@
-"""The pipeline against the same stages written plainly, in memory."""
+"""The pipeline against plain versions of its stages, each on what the stage before it kept."""
 
 import hashlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import public_tokenizers
 import tiktoken
-from test_native import plain_clean, plain_factors, plain_statistics, plain_topic
+from test_native import plain_clean, plain_fit, plain_statistics, plain_topic
 
 import __spark_entry__
 import corpus_pipeline
-from tessera.llm import bpe, simhash
+from tessera.llm import bpe
+from tessera.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
 
-def plain_first_of_groups(rows):
-    """Ids that stay: the least of each group of texts that meet at an anchor and are near."""
-    layout = simhash.SIMILAR
-    fps = {i: np.array(simhash.fingerprint(t, layout.shingle, layout.lanes), np.int64).view(np.uint64) for i, t in rows}
-    ids = list(fps)
-    every = np.array([fps[i] for i in ids])
-    parent = {i: i for i in ids}
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(rows):
+    """Connected pairs of texts with a similarity of 0.8 or more, by counting what every pair shares; texts without words are one group."""
+    own = {i: shingles(t) for i, t in rows}
+    holders, shared = defaultdict(list), Counter()
+    for i, s in own.items():
+        for x in s:
+            holders[x].append(i)
+    parent = {i: i for i in own}
 
     def find(i):
         while parent[i] != i:
@@ -29,47 +35,55 @@ def plain_first_of_groups(rows):
         return i
 
     same = defaultdict(list)
-    for i in ids:
-        same[int(fps[i][0])].append(i)
-    for own in same.values():
-        for i in own[1:]:
-            parent[find(i)] = find(own[0])
-    for table in range(layout.tables):
-        row, anchor, home = simhash.anchors(every, layout, table)
-        homes = defaultdict(list)
-        for r, a, h in zip(row.tolist(), anchor.tolist(), home.tolist()):
-            if h:
-                homes[a].append(r)
-        for r, a in zip(row.tolist(), anchor.tolist()):
-            for o in homes.get(a, ()):
-                if r != o and int(np.bitwise_count(every[r][: layout.compared] ^ every[o][: layout.compared]).sum()) <= layout.limit:
-                    parent[find(ids[r])] = find(ids[o])
-    least = {}
-    for i in ids:
-        least[find(i)] = min(least.get(find(i), i), i)
-    return set(least.values())
-
-
-def test_run_is_the_plain_pipeline(spark):
-    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert max(Counter((r[2], r[3]) for r in rows).values()) < 40  # so no group is large enough for an estimate
-    rows = [r for r in rows if not plain_statistics(r[1])[6]]
-    rows = [(i, text, lang, source) for (i, _, lang, source), (text, _, _) in zip(rows, plain_clean([r[1] for r in rows], 10))]
-    stay = plain_first_of_groups([(r[0], r[1]) for r in rows])
-    rows = [r for r in rows if r[0] in stay]
-    cell = {r[0]: ("=" + r[3], "=" + r[2], plain_topic(r[1])) for r in rows}
+    for i, s in own.items():
+        same[frozenset(s)].append(i)
+    for ids in same.values():
+        for i in ids[1:]:
+            parent[find(i)] = find(ids[0])
+    first = {ids[0] for ids in same.values()}
+    for ids in holders.values():
+        ids = [i for i in ids if i in first]
+        shared.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(own[a]) + len(own[b]) - n):
+            parent[find(a)] = find(b)
+    groups = defaultdict(list)
+    for i in own:
+        groups[find(i)].append(i)
+    return list(groups.values())
+
+
+def test_run_is_the_plain_pipeline(spark, monkeypatch):
+    kept, write = [], corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda rows, name: kept.append(write(rows, name)) or kept[-1])
+    last = corpus_pipeline.run(spark, SF).collect()
+    documents = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    good, cleaned, once, mixed = ({r.doc_id: r for r in rows.collect()} for rows in kept)
+    # quality rules: what the query keeps; every document is judged, and some go by distance alone
+    judged = {r.doc_id: r for r in QUERIES["op6_quality_rules"](spark, SF).collect()}
+    assert set(good) == {i for i, r in judged.items() if r.kept} and all(r.distance is not None for r in judged.values())
+    assert any(not r.kept and not plain_statistics(documents[i].text)[6] for i, r in judged.items())
+    assert all(good[i] == documents[i] for i in good)
+    # line dedup
+    order = sorted(good)
+    assert [cleaned[i].text for i in order] == [t for t, _, _ in plain_clean([good[i].text for i in order], 10)]
+    assert all(r.n_chars == len(r.text) for r in cleaned.values())
+    # near-dedup: the least of each group stays; no document goes without its group, and hardly a group is missed
+    groups = plain_groups([(i, r.text) for i, r in cleaned.items()])
+    wanted = {min(ids) for ids in groups}
+    assert wanted <= set(once) <= set(cleaned) and len(set(once) - wanted) <= 0.05 * (len(cleaned) - len(wanted))
+    assert len(cleaned) - len(wanted) > 20 and all(once[i] == cleaned[i] for i in once)
+    # mixing
+    cell = {i: ("=" + r.source, "=" + r.lang, plain_topic(r.text)) for i, r in once.items()}
     tokens = Counter()
-    for r in rows:
-        tokens[cell[r[0]]] += len(r[1].encode().split())
-    factors, _ = plain_factors(tokens)
-    rows = [r for r in rows if int(hashlib.md5(str(r[0]).encode()).hexdigest()[:12], 16) / 16**12 < min(1, factors[cell[r[0]]])]
+    for i, r in once.items():
+        tokens[cell[i]] += len(r.text.encode().split())
+    probability, _ = plain_fit(tokens)
+    assert set(mixed) == {i for i in once if int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) / 16**12 < probability[cell[i]]}
+    # encoding
     ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    wanted = {r[0]: library.encode_ordinary(r[1]) for r in rows}
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
-    assert set(got) == set(wanted)
-    for i, ids in wanted.items():
-        assert got[i].ids == ids and got[i].n_tokens == len(ids)
+    assert {r.doc_id: (r.ids, r.n_tokens) for r in last} == {i: (x, len(x)) for i, r in mixed.items() for x in [library.encode_ordinary(r.text)]}
 
 
 def test_stages_keep_the_columns_and_their_order():
