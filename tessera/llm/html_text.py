@@ -328,7 +328,7 @@ def proposed(streams: DataFrame) -> DataFrame:
         host, whole = group.column("host_key")[0].as_py(), group.column("parts")[0].as_py() == 1
         if rows >= MIN_PAGES or not whole:
             for page, (sizes, pads, tokens) in enumerate(zip(*(group.column(c).to_pylist() for c in ("sizes", "pads", "tokens")))):
-                flat, pad = np.frombuffer(tokens, "<u2").astype(np.int64), np.frombuffer(pads, "u1")
+                flat, pad = np.frombuffer(tokens, "<u2").astype(np.int64), np.frombuffer(pads, "u1").tolist()
                 for (a, b), n in zip(_spans(np.frombuffer(sizes, "<u4").tolist()), pad):
                     found.append(np.append(flat[a : b - n], [PAD] * n) if n else flat[a:b])
                     of.append(page)

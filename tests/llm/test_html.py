@@ -88,7 +88,7 @@ def test_chunks_of_any_size_give_what_counting_gives(spark):
     sources = []
     for host, n in (("a.org", 40), ("b.org", 23), ("c.org", 6), ("d.org", 5), ("e.org", 4)):
         for _ in range(n):
-            blocks = [f for f in frames if rng.random() < 0.85] + [prose(rng, int(rng.integers(1, 60))) for _ in range(3)]
+            blocks = [f for f in frames if rng.random() < 0.85] + [prose(rng, int(rng.integers(1, 400))) for _ in range(3)]
             sources.append((host, "<main>" + "".join(f"<p>{blocks[i]}</p>" for i in rng.permutation(len(blocks))) + "</main>"))
     wanted = plain_texts(sources)
     without = ["\n".join(html_text.own_text(html_text.blocks(html))) for _, html in sources]
