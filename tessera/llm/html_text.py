@@ -332,7 +332,7 @@ def proposed(streams: DataFrame) -> DataFrame:
                 for (a, b), n in zip(_spans(np.frombuffer(sizes, "<u4").tolist()), pad):
                     found.append(np.append(flat[a : b - n], [PAD] * n) if n else flat[a:b])
                     of.append(page)
-        out = recurring(found, of, SHARE * rows).view(np.int64)
+        out = recurring(found, of, max(MIN_PAGES, SHARE * rows) if whole else SHARE * rows).view(np.int64)
         return pa.Table.from_arrays([pa.array(np.full(len(out), host)), pa.array(out), pa.array(np.full(len(out), whole))], ["host_key", "window", "sure"])
 
     return streams.groupBy("grp").applyInArrow(run, "host_key long, window long, sure boolean")
