@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node that an edge (a, b) touches; root is the least node of the component."""
+def components(edges: DataFrame, name: str = "components", written=written) -> DataFrame:
+    """(node, root) for every node that an edge (a, b) touches; root is the least node of the component. written(rows, name) keeps a round."""
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = _mark(now)
     while mark[0]:

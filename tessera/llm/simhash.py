@@ -10,9 +10,9 @@ anchor, and in each anchor those at home there are compared with all that were s
 STRICT is the contract's rule: two Golay blocks over 46 bits, threshold two (about 61 anchors each), links at two differing
 bits or fewer, none missed. SIMILAR finds texts whose sets of word shingles are alike to 0.8 or more, which differ in about
 15 % of the bits: 17 tables of a Golay and a Hamming block over a fingerprint of 512 bits, threshold one in each table (about
-8 anchors), candidates at 36 differing bits of the first 128. A pair at similarity 0.8 meets in some table with a chance of
-about 0.97 (measured in the tests). A candidate is linked only if the shingles of its two texts are alike to 0.8, so short
-texts whose fingerprints happen to be near stay apart, and texts without words are linked only with each other.
+8 anchors), candidates at 54 differing bits of the first 256 and 100 of all. A pair at similarity 0.8 meets in some table
+with a chance of about 0.97 (measured in the tests). A candidate is linked only if the shingles of its two texts are alike to
+0.8, so short texts whose fingerprints happen to be near stay apart, and texts without words are linked only with each other.
 
 Candidates are verified in two passes: first the stars of each chunk of comparisons, then all pairs whose nodes are not
 connected by then. So every candidate pair is verified or connected already, and a large group of near copies doesn't give
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from tessera.cluster import shipped
-from tessera.llm.common import unpack, written
+from tessera.llm.common import Scratch, unpack, written
 from tessera.llm.graph import components
 
 SEED, CELL, PAIRS = 42, 16384, 1 << 20
@@ -83,11 +83,12 @@ class Layout:
     threshold: int
     compared: int  # lanes
     limit: int  # differing bits in those
+    near: int = 0  # differing bits in all lanes, tested before texts are moved
     alike: float = 0.0  # Jaccard similarity of the shingles that a link needs besides
 
 
 STRICT = Layout(shingle=3, lanes=1, codes=(GOLAY, GOLAY), tables=1, threshold=2, compared=1, limit=2)
-SIMILAR = Layout(shingle=5, lanes=8, codes=(GOLAY, HAMMING), tables=17, threshold=1, compared=2, limit=36, alike=0.8)
+SIMILAR = Layout(shingle=5, lanes=8, codes=(GOLAY, HAMMING), tables=17, threshold=1, compared=4, limit=54, near=100, alike=0.8)
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
@@ -195,8 +196,8 @@ def anchors(fps: np.ndarray, layout: Layout, table: int = 0) -> tuple[np.ndarray
 
 
 def _sent(nodes: DataFrame, layout: Layout, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(anchor, home, f0, f1) and carried longs for every anchor that a node (column fps) is sent to; anchors of different tables differ."""
-    span = sum(c.length - c.checks for c in layout.codes)
+    """(anchor, home, f0 and the other compared lanes) and carried longs for every anchor that a node (column fps) is sent to; anchors of different tables differ."""
+    span, names = sum(c.length - c.checks for c in layout.codes), [f"f{k}" for k in range(layout.compared)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,10 +208,10 @@ def _sent(nodes: DataFrame, layout: Layout, carry: tuple[str, ...] = ()) -> Data
                 signed = part.view(np.int64)
                 for table in range(layout.tables):
                     row, anchor, home = anchors(part, layout, table)
-                    columns = [anchor | table << span, home, signed[row, 0], signed[row, layout.compared - 1], *[c[first + row] for c in carried]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "home", "f0", "f1", *carry])
+                    columns = [anchor | table << span, home, *[signed[row, k] for k in range(layout.compared)], *[c[first + row] for c in carried]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "home", *names, *carry])
 
-    return nodes.select("fps", *carry).mapInArrow(run, ", ".join(["anchor long, home boolean, f0 long, f1 long", *[f"{c} long" for c in carry]]))
+    return nodes.select("fps", *carry).mapInArrow(run, ", ".join(["anchor long, home boolean", *[f"{c} long" for c in (*names, *carry)]]))
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +233,8 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(rows: list[np.ndarray], layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (x, y) of near rows among whole runs of rows (anchor and cell, home, f0, f1, ...), compared in chunks of bounded size."""
-    anchor, home, f0, f1 = rows[:4]
+    """Places (x, y) of near rows among whole runs of rows (anchor and cell, home, lanes, ...), compared in chunks of bounded size."""
+    anchor, home, *lanes = rows[: 2 + layout.compared]
     begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     size = np.diff(np.append(begin, len(anchor)))
     run = np.repeat(np.arange(len(begin)), size)
@@ -246,9 +247,7 @@ def _compared(rows: list[np.ndarray], layout: Layout) -> Iterator[tuple[np.ndarr
         own, n = at_home[first:last], total[first:last]
         x = np.repeat(own, n)
         y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + begin[run[x]]
-        far = np.bitwise_count(f0[x] ^ f0[y]).astype(np.int64)
-        if layout.compared > 1:
-            far += np.bitwise_count(f1[x] ^ f1[y])
+        far = sum(np.bitwise_count(f[x] ^ f[y]).astype(np.int64) for f in lanes)
         near = far <= layout.limit
         yield x[near], y[near]
         first = last
@@ -276,7 +275,7 @@ def _met(sent: DataFrame, layout: Layout, cell: int, key: str, pairs) -> DataFra
         for batch in _with_end(batches):
             if batch is not None:
                 own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "home", *others)}
-                waiting.append([own["anchor"] << 24 | own["cell"], own["home"], *[own[c].view(np.uint64) if c in ("f0", "f1") else own[c] for c in others]])
+                waiting.append([own["anchor"] << 24 | own["cell"], own["home"], *[own[c].view(np.uint64) if c[0] == "f" else own[c] for c in others]])
                 last = waiting[-1][0]
                 if sum(len(w[0]) for w in waiting) < 200_000 or not len(last) or last[0] == last[-1] == waiting[0][0][-1]:
                     continue
@@ -312,8 +311,9 @@ def candidates(nodes: DataFrame, layout: Layout, stars: bool, cell: int = CELL)
     """Distinct pairs (a, b) of near nodes (node, root, fps) of different roots, or a star for those of each chunk that hang together."""
 
     def pairs(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        apart = rows[5][x] != rows[5][y]
-        a, b = rows[4][x[apart]], rows[4][y[apart]]
+        node, root = rows[2 + layout.compared :]
+        apart = root[x] != root[y]
+        a, b = node[x[apart]], node[y[apart]]
         if stars:
             return _stars(a, b)
         both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
@@ -367,22 +367,29 @@ def near_duplicates(docs: DataFrame, layout: Layout = STRICT) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _placed(rows: DataFrame, keyed: DataFrame, layout: Layout) -> DataFrame:
+def _placed(rows: DataFrame, keyed: DataFrame, layout: Layout, scratch: Scratch) -> DataFrame:
     """(node, root) of every distinct set of shingles among rows (k1, k2, node, fps); keyed has the texts."""
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.min("fps").alias("fps")), "simhash-nodes")
+    write = scratch.written
+    nodes = write(rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.min("fps").alias("fps")), "nodes")
 
     def alike(pairs: DataFrame) -> DataFrame:
+        first, second = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"{n}_fps")) for n in ("a", "b"))
+        far = sum((F.bit_count(F.col("a_fps")[k].bitwiseXOR(F.col("b_fps")[k])) for k in range(1, layout.lanes)), F.bit_count(F.col("a_fps")[0].bitwiseXOR(F.col("b_fps")[0])))
+        pairs = write(pairs.join(first, "a").join(second, "b").filter(far <= layout.near).select("a", "b"), "near")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        places = written(nodes.join(ends, "node").select("node", "at.k1", "at.k2"), "simhash-places")
-        texts = written(keyed.join(places, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "simhash-texts")
-        return written(verified(pairs, texts, layout), "simhash-alike")
+        places = write(nodes.join(ends, "node").select("node", "at.k1", "at.k2"), "places")
+        texts = write(keyed.join(places, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
+        out = write(verified(pairs, texts, layout), "alike")
+        scratch.drop(texts)
+        scratch.tidy()
+        return out
 
     def roots(edges: DataFrame) -> DataFrame:
-        found = written(components(edges, "simhash-edges"), "simhash-roots")
-        return written(nodes.select("node", "fps").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-placed")
+        found = write(components(edges, "edges", write), "roots")
+        return write(nodes.select("node", "fps").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
-    stars = alike(written(candidates(nodes.withColumn("root", F.col("node")), layout, True), "simhash-stars"))
-    pairs = alike(written(candidates(roots(stars), layout, False), "simhash-pairs"))
+    stars = alike(write(candidates(nodes.withColumn("root", F.col("node")), layout, True), "stars"))
+    pairs = alike(write(candidates(roots(stars), layout, False), "pairs"))
     return roots(stars.unionByName(pairs)).select("node", "root")
 
 
@@ -402,8 +409,9 @@ def one_of_each(docs: DataFrame, layout: Layout = SIMILAR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k1", "k2", "doc_id")], node, fps], ["k1", "k2", "doc_id", "node", "fps"])
 
     schema = inner.drop("text").withColumns({"node": F.lit(0).cast("long"), "fps": F.array(F.lit(0).cast("long"))}).schema
-    rows = written(inner.mapInArrow(run, schema), "simhash-rows")
-    placed = rows.join(_placed(rows, inner, layout), "node")
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2")
+    with Scratch(docs.sparkSession, "simhash") as scratch:
+        rows = scratch.written(inner.mapInArrow(run, schema), "rows")
+        placed = rows.join(_placed(rows, inner, layout, scratch), "node")
+        first = written(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2"), "simhash-first")
     kept = keyed.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return kept.select(*unpack(kept))
