@@ -121,11 +121,11 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3)).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@registered(f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (1, 2, 5)),
+@registered(f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 20""")
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter(F.col("vec_id").isin(1, 2, 5)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    asked = rows.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return vectors.batch_top_k(rows, asked, 20).withColumn("score", F.round("score", 6))
 
 
@@ -252,10 +252,10 @@ def resolve_url_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolved_urls(refs, docs.select("doc_id", "uri", "download_url"))
 
 
-@registered(f"WITH {DOCUMENTS}, r AS (SELECT doc_id AS src, substr(title, 5, 30) AS ref FROM docs WHERE doc_id % 10 = 0), d AS (SELECT DISTINCT ref FROM r WHERE length(ref) >= 10), t AS (SELECT d.ref, min(x.doc_id) AS target FROM d JOIN docs x ON contains(lower(x.title), lower(substr(d.ref, 1, 50))) AND length(x.title) >= 10 GROUP BY d.ref) SELECT src, r.ref, target AS target_doc_id FROM r LEFT JOIN t ON r.ref = t.ref")
+@registered(f"WITH {DOCUMENTS}, r AS (SELECT doc_id AS src, substr(title, 5, 30) AS ref FROM docs), d AS (SELECT DISTINCT ref FROM r WHERE length(ref) >= 10), t AS (SELECT d.ref, min(x.doc_id) AS target FROM d JOIN docs x ON contains(lower(x.title), lower(substr(d.ref, 1, 50))) AND length(x.title) >= 10 GROUP BY d.ref) SELECT src, r.ref, target AS target_doc_id FROM r LEFT JOIN t ON r.ref = t.ref")
 def resolve_title_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    refs = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("src"), F.substring("title", 5, 30).alias("ref"))
+    refs = docs.select(F.col("doc_id").alias("src"), F.substring("title", 5, 30).alias("ref"))
     return graph.resolved_titles(refs, docs.select("doc_id", "title"))
 
 
@@ -291,10 +291,10 @@ def citation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expansion(_edges(spark, sf_dir), _some(spark, sf_dir))
 
 
-@registered(f"WITH {PAGES} SELECT DISTINCT p.doc_id, CAST(p.page_no AS BIGINT) AS page_no FROM pgs p WHERE p.doc_id % 10 = 0 AND p.page_no BETWEEN 2 AND 3 + p.doc_id % 4")
+@registered(f"WITH {PAGES} SELECT DISTINCT p.doc_id, CAST(p.page_no AS BIGINT) AS page_no FROM pgs p WHERE p.page_no BETWEEN 2 AND 3 + p.doc_id % 4")
 def anchor_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = segments.pages(table(spark, sf_dir, "documents"))
-    hits = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select("doc_id", F.lit(2).alias("page_start"), (3 + F.col("doc_id") % 4).alias("page_end"))
+    hits = table(spark, sf_dir, "documents").select("doc_id", F.lit(2).alias("page_start"), (3 + F.col("doc_id") % 4).alias("page_end"))
     return graph.anchors_in(hits, pages).select("doc_id", F.col("page_no").cast("long").alias("page_no"))
 
 
@@ -376,18 +376,18 @@ def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls.orderBy(F.desc_nulls_first("archived_at"), F.desc("created"), "doc_id").offset(5).limit(20).select("doc_id", "archive_reason")
 
 
-@registered(f"WITH {DOCUMENTS}, i AS (SELECT doc_id + 1000000000 AS doc_id, download_url FROM docs WHERE doc_id % 2 = 0 AND doc_id < 500) SELECT i.doc_id, arg_max(d.doc_id, d.created * 10000000 + d.doc_id) AS replaced_id FROM i JOIN docs d ON i.download_url = d.download_url AND d.is_current GROUP BY i.doc_id")
+@registered(f"WITH {DOCUMENTS}, i AS (SELECT doc_id + 1000000000 AS doc_id, download_url FROM docs WHERE doc_id % 2 = 0) SELECT i.doc_id, arg_max(d.doc_id, d.created * 10000000 + d.doc_id) AS replaced_id FROM i JOIN docs d ON i.download_url = d.download_url AND d.is_current GROUP BY i.doc_id")
 def url_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumnRenamed("created", "created_at")
-    come = docs.filter("doc_id % 2 = 0 AND doc_id < 500").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "download_url", F.lit("new").alias("sha256"))
+    come = docs.filter("doc_id % 2 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "download_url", F.lit("new").alias("sha256"))
     return versioning.replaced_by_url(come, docs)
 
 
-@registered(f"""WITH s AS (SELECT a.vec_id AS new_id, b.vec_id AS old_id, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
+@registered(f"""WITH s AS (SELECT a.vec_id AS new_id, b.vec_id AS old_id, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, old_id) AS rank FROM s WHERE similarity >= 0.3) SELECT new_id, old_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 5""")
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("mean"))
-    return versioning.similar_documents(rows, rows.filter("doc_id < 20"), least=0.3).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"))
+    return versioning.similar_documents(rows, rows.filter("doc_id % 100 = 0"), least=0.3).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"))
 
 
 @registered(r"""WITH t AS (SELECT doc_id, doc_id % 97 AS created, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS ws, sha256(text) AS h, n_chars FROM documents),
