@@ -60,11 +60,25 @@ hits AS (SELECT *, row_number() OVER (ORDER BY blend DESC, window_id) AS rank FR
 SELECT CAST(rank AS BIGINT) AS rank, window_id, h.doc_id, CAST(page_start AS BIGINT) AS page_start, CAST(page_end AS BIGINT) AS page_end, round(bm25, 6) AS bm25, round(vec, 6) AS vec, round(blend, 6) AS blend, lang, source
 FROM hits h JOIN documents d ON h.doc_id = d.doc_id WHERE rank <= 8""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.hybrid(windows(spark, sf_dir), table(spark, sf_dir, "embeddings"), documents(spark, sf_dir), "the", _vector(spark, sf_dir, 7))
+    hits = search.hybrid(windows(spark, sf_dir), table(spark, sf_dir, "embeddings"), documents(spark, sf_dir), "the", _vector(spark, sf_dir, 7), include_archived=True)
+    return _hit_columns(hits)
+
+
+def _hit_columns(hits: DataFrame) -> DataFrame:
     long = [F.col(c).cast("long").alias(c) for c in ("rank", "page_start", "page_end")]
     return hits.select(long[0], "window_id", "doc_id", *long[1:], *[F.round(c, 6).alias(c) for c in ("bm25", "vec", "blend")], "lang", "source")
 
 
+# fewer documents are left to choose from, so windows with a negative similarity come in: zero stands for a missing score only
+_FILTERED = SQL["hybrid_search"].replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0 AND (lang IN ('en', 'fr') OR lang IS NULL))")
+_FILTERED = _FILTERED.replace("max(bm25) AS bm25, max(vec) AS vec", "coalesce(max(bm25), 0.0) AS bm25, coalesce(max(vec), 0.0) AS vec").replace("score AS bm25, 0.0 AS vec FROM lex", "score AS bm25, NULL::DOUBLE AS vec FROM lex").replace("page_end, 0.0, score FROM vec", "page_end, NULL::DOUBLE, score FROM vec")
+
+
+@registered(_FILTERED)
+def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hit_columns(search.hybrid(windows(spark, sf_dir), table(spark, sf_dir, "embeddings"), documents(spark, sf_dir), "the", _vector(spark, sf_dir, 7), categories=["en", "fr"]))
+
+
 @registered(f"WITH {_LEX} SELECT window_id, doc_id, round(score, 6) AS score FROM lex")
 def lexical_rank_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(windows(spark, sf_dir), "the").select("window_id", "doc_id", F.round("score", 6).alias("score"))

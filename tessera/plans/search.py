@@ -10,11 +10,17 @@ from tessera.operators import lexical, ranking, vectors
 CANDIDATES = 120
 
 
-def hybrid(windows: DataFrame, embeddings: DataFrame, documents: DataFrame, text: str, query: list[float], n: int = 8) -> DataFrame:
+def hybrid(windows: DataFrame, embeddings: DataFrame, documents: DataFrame, text: str, query: list[float], n: int = 8, include_archived: bool = False, categories: list[str] | None = None) -> DataFrame:
     """The n hits of one question: rank, window_id, doc_id, pages, both scores, the blend, and the documents' columns.
 
-    Vectors and windows are scored on narrow columns; texts and documents are joined to the few that are left.
+    Only current documents are searched unless archived ones are asked for, and only those of the categories, where some are
+    named (documents without any count as all). Vectors and windows are scored on narrow columns; texts and documents are
+    joined to the few that are left.
     """
+    if not include_archived or categories:
+        allowed = documents if include_archived else documents.filter("is_current")
+        allowed = ranking.in_categories(allowed, categories) if categories else allowed
+        windows = windows.join(allowed.select("doc_id"), "doc_id", "left_semi")
     words = lexical.search(windows, text, CANDIDATES).select("window_id", "doc_id", "page_start", "page_end", "score")
     near = vectors.top_k(embeddings.join(windows.select("doc_id").distinct(), embeddings["vec_id"] == F.col("doc_id"), "left_semi"), query, 4 * CANDIDATES)
     first = ranking.first_window(windows.select("doc_id", "window_id", "page_start", "page_end"))
