@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, katz, license_scan, line_dedup, mixing, quality, sharding, simhash, topk
+from tessera.llm import bpe, hard_negatives, html_text, katz, license_scan, line_dedup, mixing, quality, sharding, simhash, topk, whitening
 from tessera.llm.common import unpack, written
 from tessera.llm.license_rules import PLAIN
 
@@ -61,7 +61,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_byte_bpe, op3_simhash, op4_ring_sharding, op5_topk_search, op6_quality_rules, op7_mixing, op8_line_dedup, op9_html_text, op10_license_scan)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"), n_positives=5, n_negatives=3, every=50, label=moved)
+
+
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_byte_bpe, op3_simhash, op4_ring_sharding, op5_topk_search, op6_quality_rules, op7_mixing, op8_line_dedup, op9_html_text, op10_license_scan, op12_whitening, op13_hard_negatives)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -111,6 +120,16 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.c:
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
 SELECT * FROM ranked WHERE rank <= 5""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS c FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, list_dot_product(a.c::DOUBLE[], c.c::DOUBLE[])::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+         QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT n.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY n.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM near n JOIN pairs p ON n.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
     "op8_line_dedup": f"""
 WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM texts),
