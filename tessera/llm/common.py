@@ -53,11 +53,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def written(rows: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """Writes rows to the shared folder and reads them again: a lost executor costs no recomputation, and the lineage ends here."""
     spark = rows.sparkSession
     path = path or fresh(spark, name)
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -86,15 +86,15 @@ class Scratch:
         removed(self.spark, self.path)
         self.tidy()
 
-    def written(self, rows: DataFrame, name: str) -> DataFrame:
+    def written(self, rows: DataFrame, name: str, **options: str) -> DataFrame:
         self.made += 1
-        return written(rows, name, f"{self.path}/{self.made}-{name}")
+        return written(rows, name, f"{self.path}/{self.made}-{name}", **options)
 
-    def bucketed(self, rows: DataFrame, name: str, key: str) -> DataFrame:
+    def bucketed(self, rows: DataFrame, name: str, key: str, **options: str) -> DataFrame:
         """A table dealt by a key once: joins and groups by it don't shuffle its rows again."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"tessera_{name}_{uuid.uuid4().hex}"
-        rows.write.bucketBy(n, key).option("path", f"{self.path}/{table}").saveAsTable(table)
+        rows.write.bucketBy(n, key).options(**options).option("path", f"{self.path}/{table}").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hard_negatives, html_text, katz, license_scan, line_dedup, mixing, quality, sharding, simhash, topk, whitening
+from tessera.llm import bpe, hard_negatives, html_text, katz, license_scan, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, topk, whitening
 from tessera.llm.common import unpack, written
 from tessera.llm.license_rules import PLAIN
 
@@ -61,6 +61,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derive = {"n_bytes": F.col("n_bytes"), "n_removed": F.col("n_bytes") - F.octet_length("kept"), "n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, keep="none", derive=derive).select(F.col("row.doc_id").alias("doc_id"), *derive)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=16)
 
@@ -70,7 +75,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(_table(spark, sf_dir, "embeddings"), n_positives=5, n_negatives=3, every=50, label=moved)
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_byte_bpe, op3_simhash, op4_ring_sharding, op5_topk_search, op6_quality_rules, op7_mixing, op8_line_dedup, op9_html_text, op10_license_scan, op12_whitening, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_byte_bpe, op3_simhash, op4_ring_sharding, op5_topk_search, op6_quality_rules, op7_mixing, op8_line_dedup, op9_html_text, op10_license_scan, op11_suffix_dedup, op12_whitening, op13_hard_negatives)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
