@@ -1,9 +1,10 @@
-"""Python code on executors: the package is sent along, so that workers need no path of the driver's."""
+"""What driver and executors share: the package, sent along with the work, and a folder for tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,19 @@ def shipped(spark: SparkSession | None = None) -> None:
                     archive.write(full, os.path.join("tessera", os.path.relpath(full, top)))
     context.addPyFile(path)
     _SENT.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. A session of one process that has none gets one; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"

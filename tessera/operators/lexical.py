@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.cluster import shipped
 from tessera.functions.text import word_array
 
 WEIGHT = 0.1  # of an unlabelled position, a fixed value
@@ -64,32 +61,38 @@ def term_rank(text: Column, term: str) -> Column:
     return F.size(F.filter(word_array(text), lambda w: w == term)) * F.lit(WEIGHT)
 
 
-def cover_density(words: list[str], terms: list[str]) -> float:
-    """The sum over minimal covers of the terms: weight over one plus the words in it that are none of the terms."""
-    wanted, last, total, floor = set(terms), {}, 0.0, -1
-    for at, word in enumerate(words):
-        if word not in wanted:
-            continue
-        last[word] = at
-        if len(last) == len(wanted):
-            begin = min(last.values())
-            if begin > floor:  # a new left end: the cover that ends here is minimal
-                total += WEIGHT / (1 + (at - begin) - (len(wanted) - 1))
-                floor = begin
-    return total
+def cover_score(places: list[Column]) -> Column:
+    """The sum over minimal covers of all terms, given the places of each: weight over one plus the words in a cover that are none of the terms.
 
+    One sweep over the merged places keeps where each term stood last. A cover ends where the least of those has moved on.
+    """
+    k = len(places)
+    tag = lambda i: lambda x: F.struct(x.cast("int").alias("at"), F.lit(i).alias("term"))
+    tagged = [F.transform(p, tag(i)) for i, p in enumerate(places)]
+    start = F.struct(F.array_repeat(F.lit(-1), k).alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("floor"))
 
-def cover_rank(words: Column, terms: list[str]) -> Column:
-    """cover_density as an Arrow-batched column; several terms need a sweep that Spark's functions can't express."""
+    def step(s: Column, x: Column) -> Column:
+        last = F.transform(s["last"], lambda v, i: F.when(i == x["term"], x["at"]).otherwise(v))
+        moved = F.transform(F.array(last), lambda own: F.struct(own.alias("last"), F.array_min(own).alias("begin")))
+        return F.element_at(
+            F.transform(
+                moved,
+                lambda m: F.struct(
+                    m["last"].alias("last"),
+                    F.when(m["begin"] > s["floor"], s["total"] + F.lit(WEIGHT) / (1 + (x["at"] - m["begin"]) - (k - 1))).otherwise(s["total"]).alias("total"),
+                    F.greatest(m["begin"], s["floor"]).alias("floor"),
+                ),
+            ),
+            1,
+        )
 
-    shipped()
+    return F.aggregate(F.array_sort(F.flatten(F.array(*tagged))), start, step, lambda s: s["total"]) if k else F.lit(0.0)
 
-    @F.pandas_udf("double")
-    def rank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda own: cover_density(list(own), terms))
 
-    return rank(words)
+def cover_rank(words: Column, terms: list[str]) -> Column:
+    """The cover score of an array of words."""
+    at = lambda t: F.filter(F.transform(words, lambda w, i: F.when(w == t, i)), lambda i: i.isNotNull())
+    return cover_score([at(t) for t in terms])
 
 
 def search(windows: DataFrame, text: str, k: int = 120) -> DataFrame:
@@ -109,7 +112,7 @@ def postings(windows: DataFrame) -> DataFrame:
 
 def bm25(windows: DataFrame, terms: list[str], k: int = 120, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best windows by BM25 over the terms. Corpus figures are one row, whatever the corpus."""
-    rows = windows.select("window_id", "doc_id", word_array(F.col("text")).alias("words"))
+    rows = windows.select("window_id", "doc_id", word_array(F.coalesce("text", F.lit(""))).alias("words"))
     times = lambda term: F.size(F.filter("words", lambda w: w == term))
     counted = rows.select("window_id", "doc_id", F.size("words").alias("length"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).first()

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cluster import fresh_folder
 from tessera.operators import segments
+from tessera.operators.inverted import Index
+
+_INDEXES: dict[tuple[str, str], Index] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,14 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.windows(table(spark, sf_dir, "documents"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the windows of a folder of tables, built once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = Index.build(windows(spark, sf_dir), fresh_folder(spark, "index"))
+    return _INDEXES[key]
+
+
 DOCUMENTS = """
 docs AS (SELECT doc_id, split_part(text, chr(10), 1) AS title,
   '/corpus/' || source || CASE WHEN doc_id % 11 = 0 THEN '/archiv/' ELSE '/' END || doc_id || CASE WHEN doc_id % 13 = 0 THEN '_alt.txt' ELSE '.txt' END AS uri,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import questions, references, text as tx
 from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, vectors, versioning
 from tessera.plans import search
-from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, table, windows
+from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, windows
 from tessera.sources.tables import cache_misses, feedback
 from tessera.streaming import events as streams
 
@@ -108,7 +108,20 @@ def lexical_phrase_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, '"of the" or "der die"')
 
 
-@registered()
+def _cover_sql(terms: list[str]) -> str:
+    """Covers by windows: where each term stood last, the least of those, and where that has moved on."""
+    last = ", ".join(f"max(CASE WHEN w = '{t}' THEN pos END) OVER o AS l{i}" for i, t in enumerate(terms))
+    known = " AND ".join(f"l{i} IS NOT NULL" for i in range(len(terms)))
+    return f"""WITH {WINDOWS}, t AS (SELECT window_id, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM wins),
+p AS (SELECT window_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM t),
+q AS (SELECT window_id, pos, {last} FROM p WHERE w IN ({", ".join(f"'{t}'" for t in terms)}) WINDOW o AS (PARTITION BY window_id ORDER BY pos)),
+c AS (SELECT window_id, pos, least({", ".join(f"l{i}" for i in range(len(terms)))}) AS begin_ FROM q WHERE {known}),
+d AS (SELECT *, lag(begin_) OVER (PARTITION BY window_id ORDER BY pos) AS before FROM c),
+s AS (SELECT window_id, sum(0.1 / (1 + (pos - begin_) - {len(terms) - 1}) ORDER BY pos) AS score FROM d WHERE before IS NULL OR begin_ > before GROUP BY window_id)
+SELECT window_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, window_id LIMIT 120"""
+
+
+@registered(_cover_sql(["the", "of", "with"]))
 def lexical_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(windows(spark, sf_dir), "the of with").select("window_id", F.round("score", 6).alias("score"))
 
@@ -130,6 +143,36 @@ def bm25_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25(windows(spark, sf_dir), ["that", "with"]).select("window_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+# ---- the stored index gives what scans give, from the folders of a question's terms
+
+
+@registered(SQL["postings_by_term"])
+def postings_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.array_min(F.transform("places", lambda p: p[0])).cast("long")
+    own = index(spark, sf_dir).postings().select("term", "n", F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + F.size(p)).alias("tf"), first.alias("first"))
+    return own.groupBy("term").agg(F.sum("n").alias("n_windows"), F.sum("tf").alias("tf"), F.min("first").alias("first_pos"))
+
+
+@registered(_match_sql("(contains(s, ' of the ') AND NOT contains(s, ' with ')) OR contains(s, ' der die ') OR (contains(s, ' that ') AND contains(s, ' and '))"))
+def lexical_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).matched(lexical.parse('"of the" -with or "der die" or that and')).select("window_id")
+
+
+@registered(_match_sql("NOT contains(s, ' the ') OR contains(s, ' of ')"))
+def lexical_stored_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).matched(lexical.parse("-the or of")).select("window_id")
+
+
+@registered(SQL["lexical_cover_density"])
+def cover_density_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).search("the of with").select("window_id", F.round("score", 6).alias("score"))
+
+
+@registered(SQL["bm25_ext"])
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).bm25(["that", "with"]).select("window_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 @registered(f"SELECT b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 3 ORDER BY {_COS} DESC, b.vec_id LIMIT 120")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3)).select("vec_id", F.round("score", 6).alias("score"))

@@ -1,11 +1,13 @@
 """Literal cases of the rules that the driver's tables never meet."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import questions, references
 from tessera.functions import text as tx
-from tessera.operators.lexical import cover_density, parse
+from tessera.operators.lexical import cover_rank, parse
 
 
 def one(spark, column):
@@ -108,8 +110,23 @@ def test_web_queries():
     assert parse("").groups == ()
 
 
-def test_cover_density_of_known_texts():
-    assert cover_density(["a", "b"], ["a", "b"]) == pytest.approx(0.1)
-    assert cover_density(["a", "x", "b"], ["a", "b"]) == pytest.approx(0.05)
-    assert cover_density(["a", "b", "a"], ["a", "b"]) == pytest.approx(0.2)
-    assert cover_density(["a", "x"], ["a", "b"]) == 0
+def cover_density(words, terms):
+    """The sum over minimal covers, by a plain sweep."""
+    wanted, last, total, floor = set(terms), {}, 0.0, -1
+    for at, word in enumerate(words):
+        if word in wanted:
+            last[word] = at
+            if len(last) == len(wanted) and min(last.values()) > floor:
+                floor = min(last.values())
+                total += 0.1 / (1 + (at - floor) - (len(wanted) - 1))
+    return total
+
+
+def test_cover_density_of_known_texts(spark):
+    rng = random.Random(1)
+    texts = [["a", "b"], ["a", "x", "b"], ["a", "b", "a"], ["a", "x"], [], ["a"] * 5] + [rng.choices("abcxy", k=rng.randint(0, 40)) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, words array<string>")
+    for terms in (["a", "b"], ["a", "b", "c"], ["a"]):
+        got = [r[0] for r in rows.orderBy("i").select(cover_rank(F.col("words"), terms)).collect()]
+        assert got == pytest.approx([cover_density(t, terms) for t in texts])
+    assert [r[0] for r in rows.orderBy("i").limit(4).select(cover_rank(F.col("words"), ["a", "b"])).collect()] == pytest.approx([0.1, 0.05, 0.2, 0.0])

@@ -22,18 +22,6 @@ def test_entry_gives_eight_hits(spark):
     assert __spark_entry__.entry(spark).count() == 8
 
 
-def test_cover_density_query_against_a_plain_sweep(spark):
-    from tessera.functions.text import word_array
-    from tessera.operators.lexical import cover_density
-    from tessera.plans.corpus import windows
-
-    rows = windows(spark, SF).select("window_id", word_array(F.col("text")).alias("w")).collect()
-    wanted = {"the", "of", "with"}
-    scores = sorted(((-round(cover_density(r.w, sorted(wanted)), 6), r.window_id) for r in rows if wanted <= set(r.w)))[:120]
-    got = sorted((-r.score, r.window_id) for r in QUERIES["lexical_cover_density"](spark, SF).collect())
-    assert got == scores
-
-
 def test_all_references_are_the_pages_own(spark):
     rows = QUERIES["extract_all_citations"](spark, SF).collect()
     assert rows and all(r.kind in ("url", "iso", "law", "internal_ref") for r in rows)
