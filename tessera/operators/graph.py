@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.similarity import contained
+
 
 def reached(edges: DataFrame, start: DataFrame, depth: int, incoming: bool = False) -> DataFrame:
     """(start, doc_id, distance) for all documents within `depth` steps along (src, dst), at their least distance.
@@ -47,17 +49,11 @@ def resolved_urls(references: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def resolved_titles(references: DataFrame, documents: DataFrame, least: int = 10, gram: int = 10) -> DataFrame:
-    """References of at least `least` characters with the least document whose title holds their first fifty.
+    """References of at least `least` characters with the least document whose title holds their first fifty; letters' case doesn't count.
 
-    Titles and references meet on a shared run of `gram` characters (every title's runs, the reference's first), and what
-    meets is checked, so the join has a key instead of comparing every reference with every title.
+    Titles are found by the rarest run of `gram` characters of each reference, on ids alone (see similarity.contained).
     """
-    short = lambda c: F.lower(F.substring(c, 1, 50))
-    # characters are taken from an array: a substring would count from the title's begin each time
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - gram + 1), lambda i: F.array_join(F.slice(c, i, gram), ""))
-    every = F.flatten(F.transform(F.array(F.split(F.lower("title"), "")), cut))
-    runs = documents.filter(F.char_length("title") >= gram).select(F.col("doc_id").alias("found"), F.lower("title").alias("low"), F.explode(F.array_distinct(every)).alias("run"))
-    asked = references.select("ref").distinct().filter(F.char_length("ref") >= max(least, gram)).select("ref", short("ref").alias("part")).withColumn("run", F.substring("part", 1, gram))
-    best = asked.join(runs, "run").filter(F.contains("low", F.col("part"))).groupBy("ref").agg(F.min("found").alias("target_doc_id"))
+    asked = references.select("ref").distinct().filter(F.char_length("ref") >= max(least, gram)).select("ref", F.lower(F.substring("ref", 1, 50)).alias("text"))
+    titles = documents.filter(F.char_length("title") >= least).select(F.col("doc_id").alias("id"), F.lower("title").alias("text"))
+    best = asked.join(contained(asked.select("text"), titles, gram), "text").select("ref", F.col("id").alias("target_doc_id"))
     return references.join(best, "ref", "left")
-

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import questions, references, text as tx
-from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, vectors, versioning
+from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vectors, versioning
 from tessera.plans import search
 from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, windows
 from tessera.sources.tables import cache_misses, feedback
@@ -447,13 +447,40 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioning.similar_documents(rows, rows.filter("doc_id % 100 = 0"), least=0.3).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"))
 
 
-@registered(r"""WITH t AS (SELECT doc_id, doc_id % 97 AS created, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS ws, sha256(text) AS h, n_chars FROM documents),
-p AS (SELECT a.doc_id AS new_id, b.doc_id AS old_id, a.created AS ca, b.created AS cb, len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) AS la, len(b.ws) AS lb FROM t a JOIN t b ON a.doc_id > b.doc_id AND a.doc_id - b.doc_id <= 20 WHERE a.doc_id % 4 = 0)
-SELECT new_id, old_id, round(i / (la + lb - i), 6) AS text_overlap, CASE WHEN cb < ca THEN old_id ELSE new_id END AS archived_id FROM p WHERE la > 0 AND lb > 0 AND i / (la + lb - i) >= 0.3""")
+# word sets of all documents by class, and all pairs of classes that share eight tenths of their words
+_SETS = r"""s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS ws FROM documents),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS class_id, ws FROM s),
+u AS (SELECT doc_id, unnest(ws) AS w, len(ws) AS n FROM k WHERE doc_id = class_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM u a JOIN u b ON a.w = b.w AND a.doc_id < b.doc_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2),
+l AS (SELECT a, b, shared / (na + nb - shared) AS overlap FROM m WHERE shared / (na + nb - shared) >= 0.8)"""
+
+
+@registered(f"""WITH {_SETS}, both_ AS (SELECT a AS class_id, b AS other, overlap FROM l UNION ALL SELECT b, a, overlap FROM l),
+r AS (SELECT *, count(*) OVER (PARTITION BY class_id) AS n, row_number() OVER (PARTITION BY class_id ORDER BY overlap DESC, other) AS nth FROM both_)
+SELECT doc_id, k.class_id, coalesce(n, 0) AS n_links, other AS best_id, round(overlap, 6) AS best_overlap FROM k LEFT JOIN r ON k.class_id = r.class_id AND nth = 1""")
+def overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.linked(table(spark, sf_dir, "documents"), tx.word_array(F.col("text"))).withColumn("best_overlap", F.round("best_overlap", 6))
+
+
+_LOGGED = _SETS + """, o AS (SELECT CASE WHEN (a % 97, a) > (b % 97, b) THEN a ELSE b END AS new_id, CASE WHEN (a % 97, a) > (b % 97, b) THEN b ELSE a END AS old_id, round(overlap, 6) AS text_overlap FROM l)"""
+
+
+def _overlap_log(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = similarity.links(docs, tx.word_array(F.col("text")))[1]
+    return similarity.logged(found, docs, mode, at="created").withColumn("text_overlap", F.round("text_overlap", 6))
+
+
+@registered(f"WITH {_LOGGED} SELECT *, 'auto_archived' AS action, old_id AS archived_id FROM o")
 def overlap_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumnRenamed("created", "created_at")
-    pairs = docs.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("new_id"), F.explode(F.sequence(F.col("doc_id") - 20, F.col("doc_id") - 1)).alias("old_id")).filter("old_id >= 0")
-    return versioning.overlaps(pairs, docs, least=0.3).select("new_id", "old_id", F.round("text_overlap", 6).alias("text_overlap"), "archived_id")
+    return _overlap_log(spark, sf_dir, "auto")
+
+
+@registered(f"WITH {_LOGGED} SELECT new_id, old_id, text_overlap, CASE WHEN new_id % 3 = 0 THEN 'archived' WHEN new_id % 3 = 1 THEN 'dismissed' ELSE 'pending' END AS action, CASE WHEN new_id % 3 = 0 THEN old_id END AS archived_id FROM o")
+def overlap_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _overlap_log(spark, sf_dir, "prompt")
+    decided = log.filter("new_id % 3 < 2").select("new_id", "old_id", (F.col("new_id") % 3 == 0).alias("accept"))
+    return similarity.resolved(log, decided, F.current_timestamp()).drop("decided_at")
 
 
 # ---- administration
