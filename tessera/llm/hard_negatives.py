@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.cluster import shipped
 from tessera.llm.common import Scratch, written
-from tessera.llm.topk import LEAST, _matrix, _narrow, _product, _wide
+from tessera.llm.topk import LEAST, _matrix, _narrow, _product, _wide, grouped
 
 #: Rows of a candidate block, anchors that are multiplied with one at a time, and anchors that are sent to all tasks together.
 BLOCK, AT_ONCE, GROUP = 4096, 512, 16384
@@ -160,7 +160,7 @@ def mined(vectors: DataFrame, n_positives: int = 5, n_negatives: int = 3, every:
     with Scratch(spark, "negatives") as scratch:
         blocks = scratch.written(_packed(rows, block), "candidates")
         ask = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("codes", "label")).alias("own"))
-        asked = scratch.written(_packed(ask.select("id", F.col("own.label").alias("label"), F.col("own.codes").alias("codes")), group), "anchors")
+        asked = grouped(scratch, ask.select("id", F.col("own.label").alias("label"), F.col("own.codes").alias("codes")), group, _packed)
         found = None
         for row in asked.toLocalIterator():  # one group of anchors at a time
             part = _of_group(scratch, blocks, row.asDict(), n_positives, n_negatives, window)

@@ -11,7 +11,7 @@ with one anchor form a segment, a string that is moved whole. The steps, each a
 1. Equal texts become one, with their number. The table is dealt by a hash of the text, once; texts move no more after that.
 2. Anchors are counted over all texts; texts learn which of their own occur more than once. The rest needs no more work.
 3. Segments of those anchors are grouped by content, so that copies become one row with a count before they are shuffled.
-4. Different segments that share an anchor are concatenated, chunks of bounded size at a time. The suffix order of all window
+4. Different segments that share an anchor are concatenated, arrays of bounded size at a time. The suffix order of all window
    starts is made by prefix doubling; neighbours in it have common prefixes; and the nearest smaller places on both sides of a suffix
    give its longest previous factor, the nearest greater places its longest later one. Windows are removed where such a factor has
    `length` bytes.
@@ -19,7 +19,7 @@ with one anchor form a segment, a string that is moved whole. The steps, each a
 
 An anchor in CROWD places or more would make an unbounded chunk, if all its surroundings differ. Its windows are keyed by all of
 their bytes instead of their anchor: then what meets in a chunk are equal windows only, which counting has made one row.
-Keys of segments are 128-bit hashes of their bytes.
+Keys of segments and texts are 128-bit hashes of their bytes.
 
 Nulls: a null text is empty; null ids stay and count as least. Empty texts and those shorter than `length` stay. Repeated rows
 are texts of their own: with keep="none" they lose all windows, with keep="first" rows that share both id and text all stay. Very
@@ -41,8 +41,8 @@ from tessera.cluster import shipped
 from tessera.llm.common import Scratch, written
 
 LENGTH, GRAM, CROWD = 200, 32, 10_000
-#: Bytes that are hashed together, and bytes of a chunk that gets a suffix array.
-PIECE, CHUNK = 1 << 20, 3 << 20
+#: Bytes that are hashed together, of segments that one task takes at a time, and of anchors' segments in one suffix array.
+PIECE, CHUNK, BATCH = 1 << 20, 4 << 20, 1 << 19
 MULTIPLY, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 SPAN = "array<struct<begin:int,end:int>>"
 
@@ -153,24 +153,32 @@ def keyed(texts: list[bytes], lists: list[list[dict] | None], length: int) -> It
 # ---- suffix order and factors
 
 
-def _group_starts(order: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """The rank of each place: where its group of equal strings begins in order. same: whether each is equal to the one before."""
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    return rank
+def _places(key: np.ndarray, below: int) -> np.ndarray:
+    """Places in ascending order of whole numbers from 0 up to `below`, equal ones as they stand."""
+    bits = max(1, (len(key) - 1).bit_length())
+    if below.bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    # sorting numbers is much faster than sorting places, so the place goes along in the low bits
+    return np.sort(key.astype(np.int64) << bits | np.arange(len(key))) & ((1 << bits) - 1)
 
 
 def _doubled(rank: np.ndarray, step: int) -> np.ndarray:
-    """Ranks by what a rank stands for now, then by the rank `step` places on; only groups of several places are sorted."""
+    """Ranks by what a rank stands for now, then by the rank `step` places on; only groups of several places are sorted.
+
+    A rank is where the group of equal strings begins in order.
+    """
     n = len(rank)
-    open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    size = np.bincount(rank, minlength=n)
+    open_ = np.flatnonzero(size[rank] > 1)
     if not len(open_):
         return rank
     after = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
-    key = rank[open_] * (n + 1) + after
-    order = np.argsort(key, kind="stable")
-    open_, key = open_[order], key[order]
-    place, group = np.arange(len(open_)), key // (n + 1)
+    many = size > 1
+    group = (np.cumsum(many) - 1)[rank[open_]]
+    key = group * (n + 1) + after
+    order = _places(key, int(many.sum()) * (n + 1))
+    open_, key, group = open_[order], key[order], group[order]
+    place = np.arange(len(open_))
     begins = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), place, 0))
     parts = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), place, 0))
     out = rank.copy()
@@ -183,26 +191,28 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
 
     Every start has `length` bytes. Prefixes are counted up to `length`.
     """
-    words = _words(data)
-    order = np.argsort(words, kind="stable")
-    rank = _group_starts(order, np.append(False, words[order][1:] == words[order][:-1])[: len(order)])
-    ranks, width = [(8, rank)], 8
+    words, width = _words(data), 5
+    first = (words >> np.uint64(24)).astype(np.int64)
+    order = _places(first, 1 << 40)
+    rank = np.empty(len(order), np.int64)
+    held = first[order]
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, held[1:] != held[:-1])[: len(held)], np.arange(len(held)), 0))
+    ranks = [(width, rank)]
     while 2 * width <= length:
         ranks.append((2 * width, _doubled(ranks[-1][1], width)))
         width *= 2
     if width < length:  # the last step overlaps: it compares what is known to be equal once more
         ranks.append((length, _doubled(ranks[-1][1], length - width)))
     final = ranks[-1][1][starts]
-    by = np.argsort(final, kind="stable")
+    by = _places(final, len(data))
     ordered, final = starts[by], final[by]
     common = np.zeros(len(ordered), np.int64)
     equal = np.append(False, final[1:] == final[:-1])[: len(final)]
     near = np.flatnonzero(~equal)[1:]  # the first has none before it
     a, b, shared = ordered[near - 1], ordered[near], np.zeros(len(near), np.int64)
     for width, rank in reversed([r for r in ranks if r[0] < length]):
-        fits = shared + width <= length
         at, bt = np.minimum(a + shared, len(data) - 1), np.minimum(b + shared, len(data) - 1)
-        shared += np.where(fits & (rank[at] == rank[bt]), width, 0)
+        shared += np.where((shared + width <= length) & (rank[at] == rank[bt]), width, 0)
     at, bt = np.minimum(a + shared, len(data) - 1), np.minimum(b + shared, len(data) - 1)
     differ = words[at] ^ words[bt]
     for k in range(1, 8):
@@ -253,75 +263,98 @@ def repeated_windows(pieces: list[bytes], length: int, keep: str) -> list[np.nda
 
 
 def _texts(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """(sha, dk, n, first, text) of every distinct text, dealt by sha. dk is a short key of it; texts that share one share their work."""
+    """(sha, n, first, text) of every distinct text, dealt by sha."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.sha2(body, 256).alias("sha"), F.col(key).alias("first"), body.alias("text"))
-    one = rows.groupBy("sha").agg(F.count("*").alias("n"), F.min(F.struct(F.col("first").alias("id"))).alias("first"), F.any_value("text").alias("text"))  # in a struct null comes first
-    return scratch.bucketed(one.select(F.unhex("sha").alias("sha"), F.xxhash64("sha").alias("dk"), "n", "first", "text"), "texts", "sha", compression="zstd")
+    rows = docs.select(_sha(body), F.col(key).alias("first"), body.alias("text"))
+    # in a struct null comes first
+    one = rows.groupBy("sha").agg(F.count("*").alias("n"), F.min(F.struct(F.col("first").alias("id"))).alias("first"), F.any_value("text").alias("text"))
+    return scratch.bucketed(one, "texts", "sha", compression="zstd")
+
+
+def _sha(body: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(body, 256)), 1, 16).alias("sha")
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(h, dk, times): the anchors of every text, and in how many places of all its copies each stands."""
+    """(h, sha, times): the anchors of every text, and in how many places of all its copies each stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dk, n = batch.column("dk").to_numpy(), batch.column("n").to_numpy()
+            n = batch.column("n").to_numpy()
             for text, _, _, anchor in segments(batch.column("text").to_pylist(), length):
                 order = np.lexsort((anchor, text))
                 text, anchor = text[order], anchor[order]
                 begins = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])))
-                times = np.diff(np.append(begins, len(text))) * n[text[begins]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[begins], dk[text[begins]], times)], ["h", "dk", "times"])
+                of = text[begins]
+                times = np.diff(np.append(begins, len(text))) * n[of]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[begins]), batch.column("sha").take(pa.array(of)), pa.array(times)], ["h", "sha", "times"])
 
-    return texts.select("dk", "n", "text").mapInArrow(run, "h long, dk long, times long")
+    return texts.select("sha", "n", "text").mapInArrow(run, "h long, sha binary, times long")
 
 
 def _segments(asked: DataFrame, length: int, whole: bool) -> DataFrame:
-    """(s1, s2, times, place, and with whole: h and bytes) of the segments that asked (dk, n, first, text, list) names.
+    """(s1, s2, place, and with whole: times, h and bytes, else: last) of the segments that asked (sha, n, first, text, list) names.
 
-    s1 and s2 are a segment's key, place is the first one of its text, in a form that orders.
+    s1 and s2 are a segment's key; place is its text and its first window, in a form that orders. With whole a text's equal segments are one row.
     """
-    names = ["s1", "s2", "times", "dk", "at", "first"] + ["h", "bytes"] * whole
+    names = ["s1", "s2", "sha", "at", "first"] + (["times", "h", "bytes"] if whole else ["last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n = batch.column("text").to_pylist(), batch.column("n").to_pylist()
-            met: dict[tuple[int, bytes], list] = {}
+            met: dict[tuple, list] = {}
             for text, name, first, last, anchor, needed in keyed(texts, batch.column("list").to_pylist(), length):
-                row = met.get((text, name))
+                row = met.get((text, name)) if whole else None
                 if row:
-                    row[0] += n[text]
+                    row[2] += n[text]
                 else:
-                    met[text, name] = [n[text], first, anchor, texts[text][first : last + length] if whole and needed else None]
+                    met[(text, name) if whole else (text, name, first)] = [first, last, n[text], anchor, texts[text][first : last + length] if whole and needed else None]
             if met:
-                ids, of = np.frombuffer(b"".join(name for _, name in met), "<i8").reshape(-1, 2), pa.array([text for text, _ in met], pa.int32())
-                times, at, h, own = zip(*met.values())
-                columns = [pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(times, pa.int64()), batch.column("dk").take(of), pa.array(at, pa.int32()), batch.column("first").take(of)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(h, pa.int64()), pa.array(own, pa.binary())] * whole, names)
+                ids, of = np.frombuffer(b"".join(m[1] for m in met), "<i8").reshape(-1, 2), pa.array([m[0] for m in met], pa.int32())
+                at, last, times, h, own = zip(*met.values())
+                columns = [pa.array(ids[:, 0]), pa.array(ids[:, 1]), batch.column("sha").take(of), pa.array(at, pa.int32()), batch.column("first").take(of)]
+                columns += [pa.array(times, pa.int64()), pa.array(h, pa.int64()), pa.array(own, pa.binary())] if whole else [pa.array(last, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = asked.schema["first"].dataType.simpleString()
-    found = asked.select("dk", "n", "first", "text", "list").mapInArrow(run, f"s1 long, s2 long, times long, dk long, at int, first {kind}" + ", h long, bytes binary" * whole)
-    return found.select("s1", "s2", "times", F.struct("first", "dk", "at").alias("place"), *["h", "bytes"] * whole)
+    found = asked.select("sha", "n", "first", "text", "list").mapInArrow(run, f"s1 long, s2 long, sha binary, at int, first {kind}, " + ("times long, h long, bytes binary" if whole else "last int"))
+    return found.select("s1", "s2", F.struct("first", "sha", "at").alias("place"), *names[5:])
 
 
 def _factors(distinct: DataFrame, length: int, keep: str, chunk: int) -> DataFrame:
-    """(s1, s2, windows): the removed windows, as bits, of every segment that others of its anchor share windows with."""
+    """(s1, s2, place, windows): the removed windows, as bits, of every segment that others of its anchor share windows with."""
     strings = distinct.filter("bytes IS NOT NULL")
-    several = strings.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     size = strings.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    met = strings.join(several, "h", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(-(-size // chunk) or 1)))
+    schema = distinct.select("s1", "s2", "place").withColumn("windows", F.lit(None).cast("binary")).schema
 
     def order(row: tuple) -> tuple:
         first = row[0]["first"]["id"]
-        return first is not None, first, row[0]["dk"], row[0]["at"]
+        return first is not None, first, bytes(row[0]["sha"]), row[0]["at"]
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("place", "s1", "s2", "n", "bytes"))), key=order)
-        found = repeated_windows([r[4] for r in rows], length, keep)
-        out = [(r[1], r[2], np.packbits(f).tobytes()) for r, f in zip(rows, found) if f.any() and (keep == "first" or r[3] == 1)]
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["s1", "s2", "windows"])
-
-    return met.select("chunk", "s1", "s2", "n", "place", "bytes").groupBy("chunk").applyInArrow(run, "s1 long, s2 long, windows binary")
+        # groups of one anchor, several of them to an array
+        own = group.column("h").to_numpy()
+        sorted_ = np.argsort(own, kind="stable")
+        begins = np.flatnonzero(np.append(True, np.diff(own[sorted_]) != 0))
+        places, many, pieces = (group.column(c).to_pylist() for c in ("place", "n", "bytes"))
+        hit, marks, batch, held = [], [], [], 0
+        ends = np.append(begins[1:], len(own))
+        for begin, end in [*zip(begins.tolist(), ends.tolist()), (0, 0)]:
+            if batch and (held >= BATCH or not end):
+                batch.sort(key=lambda k: order((places[k],)))
+                for k, found in zip(batch, repeated_windows([pieces[k] for k in batch], length, keep)):
+                    if found.any() and (keep == "first" or many[k] == 1):
+                        hit.append(k)
+                        marks.append(np.packbits(found).tobytes())
+                batch, held = [], 0
+            if end - begin > 1:
+                batch += sorted_[begin:end].tolist()
+                held += sum(len(pieces[k]) for k in sorted_[begin:end].tolist())
+        return group.select(["s1", "s2", "place"]).take(pa.array(hit, pa.int64())).append_column("windows", pa.array(marks, pa.binary()))
+
+    dealt = strings.withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(-(-size // chunk) or 1)))
+    return dealt.select("chunk", "h", "s1", "s2", "n", "place", "bytes").groupBy("chunk").applyInArrow(run, schema)
 
 
 def covered(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -339,38 +372,31 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _judged(told: DataFrame, length: int, keep: str) -> DataFrame:
-    """(sha, first, later, n_bytes, spans, kept) of texts (sha, n, first, text, list, found). later: what becomes of copies after the first."""
+    """(sha, first, later, n_bytes, spans, kept) of texts (sha, n, first, text, found). later: what becomes of copies after the first.
+
+    found has the first and last window of segments with removed windows, and which of them those are: bits, or null for all.
+    """
     schema = told.select("sha", "first").withColumns({"later": F.lit(False), "n_bytes": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPAN), "kept": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, many, found = batch.column("text").to_pylist(), [n > 1 for n in batch.column("n").to_pylist()], batch.column("found").to_pylist()
-            alone = [bool(f) and not (m and keep == "none") for f, m in zip(found, many)]
-            hits = [{(x["s1"], x["s2"]): x for x in f} if a else {} for f, a in zip(found, alone)]
-            marks: dict[int, np.ndarray] = {}
-            for text, key, first, last, _, _ in keyed(texts, [x if a else None for x, a in zip(batch.column("list").to_pylist(), alone)], length):
-                name = int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
-                hit = hits[text].get(name)
-                if hit:
-                    mark = marks.setdefault(text, np.zeros(len(texts[text]) - length + 1, bool))
-                    if not hit["own"]:
-                        mark[first : last + 1] = True
-                    elif hit["windows"] is not None:
-                        mark[first : last + 1] = np.unpackbits(np.frombuffer(hit["windows"], np.uint8))[: last + 1 - first]
-                    hit["own"] = False  # what follows in this text is a later copy
             rows = []
-            for k, (text, m) in enumerate(zip(texts, many)):
-                everything = [(0, len(text))] if len(text) >= length else []
-                if not (m and keep == "none"):
-                    rows.append((k, False, covered(marks[k], length) if k in marks else []))
-                if m:
-                    rows.append((k, keep == "first", everything))
+            texts = batch.column("text").to_pylist()
+            for k, (text, n, found) in enumerate(zip(texts, batch.column("n").to_pylist(), batch.column("found").to_pylist())):
+                if not (n > 1 and keep == "none"):
+                    mark = np.zeros(max(0, len(text) - length + 1) if found else 0, bool)
+                    for x in found or ():
+                        size = x["last"] + 1 - x["at"]
+                        mark[x["at"] : x["last"] + 1] |= True if x["windows"] is None else np.unpackbits(np.frombuffer(x["windows"], np.uint8))[:size].astype(bool)
+                    rows.append((k, False, covered(mark, length)))
+                if n > 1:
+                    rows.append((k, keep == "first", [(0, len(text))] if len(text) >= length else []))
             of = pa.array([r[0] for r in rows], pa.int32())
             spans = pa.array([[{"begin": b, "end": e} for b, e in r[2]] for r in rows], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
-            columns = [batch.column("sha").take(of), batch.column("first").take(of), pa.array([r[1] for r in rows]), pa.array([len(texts[r[0]]) for r in rows], pa.int64()), spans, pa.array([_cut(texts[r[0]], r[2]) for r in rows], pa.binary())]
+            columns = [batch.column("sha").take(of), batch.column("first").take(of), pa.array([r[1] for r in rows], pa.bool_()), pa.array([len(texts[r[0]]) for r in rows], pa.int64()), spans, pa.array([_cut(texts[r[0]], r[2]) for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["sha", "first", "later", "n_bytes", "spans", "kept"])
 
-    return told.select("sha", "n", "first", "text", "list", "found").mapInArrow(run, schema)
+    return told.select("sha", "n", "first", "text", "found").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", derive: dict[str, Column] | None = None, key: str = "doc_id", text: str = "text", crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
@@ -386,24 +412,24 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
     with Scratch(spark, "repeats") as scratch:
         texts = _texts(docs, key, text, scratch)
         long = texts.filter(F.octet_length("text") >= length)
-        found = _anchors(long, length)
+        found = scratch.written(_anchors(long, length), "anchors")
         often = found.groupBy("h").agg(F.sum("times").alias("times")).filter("times > 1")
-        asked = found.join(often.select("h", (F.col("times") >= crowd).alias("crowded")), "h").groupBy("dk").agg(F.collect_list(F.struct("h", "crowded")).alias("list"))
-        names = texts.select("sha", "dk")
-        asked = scratch.written(asked.join(names, "dk").select("sha", "list"), "anchors")
+        mine = found.select("h", "sha").join(often.select("h", (F.col("times") >= crowd).alias("crowded")), "h")
+        asked = scratch.written(mine.groupBy("sha").agg(F.collect_list(F.struct("h", "crowded")).alias("list")), "asked")
         theirs = long.join(asked, "sha")
         parts = _segments(theirs, length, True).groupBy("s1", "s2")
         distinct = scratch.written(parts.agg(F.sum("times").alias("n"), F.min("place").alias("place"), F.any_value("h").alias("h"), F.any_value("bytes").alias("bytes")), "segments", compression="zstd")
         factors = scratch.written(_factors(distinct, length, keep, chunk), "factors")
-        told = distinct.select("s1", "s2", "n", F.col("place.dk").alias("owner")).join(factors, ["s1", "s2"], "left").filter("n > 1 OR windows IS NOT NULL")
-        own = _segments(theirs.filter("n = 1") if keep == "none" else theirs, length, False).select("s1", "s2", F.col("place.dk").alias("dk"))
-        # with keep="none" a segment found twice is removed everywhere, one found once is where it was found
-        mine = F.col("dk") == F.col("owner") if keep == "first" else F.col("n") == 1
-        met = own.join(told, ["s1", "s2"]).groupBy("dk").agg(F.collect_list(F.struct("s1", "s2", mine.alias("own"), "windows")).alias("found"))
-        met = scratch.written(met.join(names, "dk").select("sha", "found"), "found")
-        judged = _judged(texts.join(asked, "sha", "left").join(met, "sha", "left"), length, keep)
+        # what is found in several places goes whole, but for the first of them; what shares windows goes in part
+        several = distinct.filter("n > 1").select("s1", "s2", "place", F.lit(None).cast("binary").alias("windows"))
+        told = several.unionByName(factors).withColumnRenamed("place", "owner")
+        own = _segments(theirs.filter("n = 1") if keep == "none" else theirs, length, False)
+        same = F.col("place") == F.col("owner")
+        hit = F.lit(True) if keep == "none" else same == F.col("windows").isNotNull()
+        met = own.join(told, ["s1", "s2"]).filter(hit).groupBy(F.col("place.sha").alias("sha")).agg(F.collect_list(F.struct("place.at", "last", "windows")).alias("found"))
+        judged = _judged(texts.join(met, "sha", "left"), length, keep)
         result = written(judged.select("sha", "first", "later", *[c.alias(f"d_{name}") for name, c in derive.items()]), "repeats")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(body, 256)).alias("sha"), F.col(key).alias("own"))
+    rows = docs.select(F.struct("*").alias("row"), _sha(body), F.col(key).alias("own"))
     copy = F.lit(False) if keep == "none" else ~F.col("own").eqNullSafe(F.col("first.id"))
     return rows.join(result, (rows["sha"] == result["sha"]) & (F.col("later") == copy)).select("row", *[F.col(f"d_{name}").alias(name) for name in derive])

@@ -161,6 +161,12 @@ def index(rows: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[Da
     return _packed(dealt, block), ids, codes
 
 
+def grouped(scratch: Scratch, rows: DataFrame, size: int, packed) -> DataFrame:
+    """Rows packed into groups of about `size`, however many partitions they came in."""
+    rows = scratch.written(rows, "asked")
+    return scratch.written(packed(rows.repartition(max(1, -(-rows.count() // size))), size), "groups")
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id and score: the k best rows for each row whose id is divisible by `every`, against all rows."""
     spark = vectors.sparkSession
@@ -171,10 +177,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
     with Scratch(spark, "topk") as scratch:
         blocks, sample_ids, sample = index(rows, block, pivots)
         blocks = scratch.written(blocks, "index")
-        asked = scratch.written(_packed(rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("codes").alias("codes")), group), "queries")
+        asked = grouped(scratch, rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("codes").alias("codes")), group, _packed)
         found = None
         for row in asked.toLocalIterator():  # one group of queries at a time
-            part = scratch.written(blocks.mapInArrow(_answers(spark.sparkContext.broadcast(row.asDict()), sample_ids, sample, k), FOUND), "found")
+            sent = spark.sparkContext.broadcast(row.asDict())
+            part = scratch.written(blocks.mapInArrow(_answers(sent, sample_ids, sample, k), FOUND), "found")
+            sent.destroy()
             found = part if found is None else found.unionByName(part)
         if found is None:
             found = spark.createDataFrame([], FOUND)
