@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.cluster import fresh_folder
 from tessera.operators import segments
 from tessera.operators.inverted import Index
+from tessera.operators.vector_index import VectorIndex
 
 _INDEXES: dict[tuple[str, str], Index] = {}
+_VECTORS: dict[tuple[str, str], VectorIndex] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,14 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return _INDEXES[key]
 
 
+def vector_table(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored vector index of a folder of tables, built once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VECTORS:
+        _VECTORS[key] = VectorIndex.build(table(spark, sf_dir, "embeddings"), fresh_folder(spark, "vectors"))
+    return _VECTORS[key]
+
+
 DOCUMENTS = """
 docs AS (SELECT doc_id, split_part(text, chr(10), 1) AS title,
   '/corpus/' || source || CASE WHEN doc_id % 11 = 0 THEN '/archiv/' ELSE '/' END || doc_id || CASE WHEN doc_id % 13 = 0 THEN '_alt.txt' ELSE '.txt' END AS uri,

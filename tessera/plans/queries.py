@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import questions, references, text as tx
-from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vectors, versioning
+from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vector_index, vectors, versioning
 from tessera.plans import search
-from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, windows
+from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, vector_table, windows
 from tessera.sources.tables import cache_misses, feedback
 from tessera.streaming import events as streams
 
@@ -195,6 +195,36 @@ def binary_quantize_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.bit_count(F.col("code")[0]).cast("long").alias("ones"), vectors.hamming(F.col("code"), F.array(*[F.lit(x).cast("long") for x in asked])).cast("long").alias("distance"))
 
 
+def _every_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 100 == 0)
+    return rows.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+@registered(f"""WITH d AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS apart, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+n AS (SELECT qid, apart, sum(count(*)) OVER (PARTITION BY qid ORDER BY apart) AS upto FROM d GROUP BY qid, apart),
+c AS (SELECT qid, coalesce(min(apart) FILTER (upto >= 100), max(apart)) AS cut FROM n GROUP BY qid),
+r AS (SELECT d.qid, id, score, row_number() OVER (PARTITION BY d.qid ORDER BY score DESC, id) AS rank FROM d JOIN c ON d.qid = c.qid AND apart <= cut)
+SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 20""")
+def hamming_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), vectors.binary_code(F.col("embedding"), 64).alias("code"))
+    asked = _every_hundredth(spark, sf_dir).withColumn("qcode", vectors.binary_code(F.col("qvec"), 64))
+    # questions go over the rows in blocks, as in vectors.batch_top_k
+    return vector_index.in_blocks(rows, asked, 20, 100, 64).withColumn("score", F.round("score", 6))
+
+
+@registered()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_table(spark, sf_dir).top_k(_every_hundredth(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
+
+
+@registered("SELECT count(*) AS n_questions, CAST(20 * count(*) AS BIGINT) AS n_pairs, true AS nine_of_ten FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _every_hundredth(spark, sf_dir)
+    exact = vectors.batch_top_k(table(spark, sf_dir, "embeddings"), asked, 20).withColumnRenamed("vec_id", "id")
+    measured = vector_index.recall(vector_table(spark, sf_dir).top_k(asked, 20), exact)
+    return asked.agg(F.count("*").alias("n_questions")).crossJoin(measured.select(F.col("n").alias("n_pairs"), (F.col("recall") >= 0.9).alias("nine_of_ten")))
+
+
 @registered("""WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
 m AS (SELECT label, pos, avg(x) AS x FROM p GROUP BY ALL),
 n AS (SELECT a.label AS l, b.label AS r, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS similarity FROM m a JOIN m b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL)
