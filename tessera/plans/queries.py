@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import fresh_folder
 from tessera.functions import questions, references, text as tx
 from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vector_index, vectors, versioning
 from tessera.plans import search
 from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, vector_table, windows
+from tessera.sources.lake import Table
 from tessera.sources.tables import cache_misses, feedback
 from tessera.streaming import events as streams
+from tessera.streaming import exact
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -513,6 +516,71 @@ def overlap_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.resolved(log, decided, F.current_timestamp()).drop("decided_at")
 
 
+# ---- tables that change by key: each query makes one of documents, changes it, and reads it
+
+
+def _table_of(spark: SparkSession, rows: DataFrame, key: str) -> Table:
+    made = Table.create(spark, fresh_folder(spark, "table"), key, rows.schema, buckets=16)
+    made.append(rows)
+    return made
+
+
+def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the upsert rule knows them."""
+    own = documents(spark, sf_dir).select("doc_id", "title", "uri", "sha256", "categories", "is_current", "archive_reason", "source_url", "download_url")
+    return own.withColumns({c: F.lit(None).cast("timestamp") for c in ("last_seen_at", "archived_at")})
+
+
+@registered(f"""WITH {DOCUMENTS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || title ELSE title END AS title, CASE WHEN doc_id % 3 = 0 THEN sha256 || 'x' ELSE sha256 END AS sha256,
+CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 AND lang <> 'en' THEN lang || ',en' WHEN doc_id % 3 = 0 AND doc_id % 2 <> 0 THEN 'en' ELSE lang END AS categories,
+CASE WHEN doc_id % 2 = 0 THEN is_current ELSE NOT contains(uri, '/archiv/') AND NOT contains(uri, '_alt.') END AS is_current FROM docs WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _versioned(spark, sf_dir)
+    known = _table_of(spark, docs.filter("doc_id % 2 = 0"), "doc_id")
+    new = docs.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("new "), "title").alias("title"), "uri", F.concat("sha256", F.lit("x")).alias("sha256"), F.lit("en").alias("category"), "source_url", "download_url", "last_seen_at")
+    known.upsert(new, versioning.upserted)
+    return known.read().select("doc_id", "title", "sha256", F.array_join("categories", ",").alias("categories"), "is_current")
+
+
+@registered(f"""WITH {PAGES} SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE page_no END AS BIGINT) AS page_no, CASE WHEN doc_id % 5 = 0 THEN 'once more: ' || text ELSE text END AS text
+FROM pgs WHERE doc_id % 7 <> 0 AND (doc_id % 5 <> 0 OR page_no = 1)""")
+def merge_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents that are read again are replaced, and those of documents that are gone go with them."""
+    docs = table(spark, sf_dir, "documents")
+    pages = segments.pages(docs).select("doc_id", "page_no", "text")
+    known = _table_of(spark, pages, "doc_id")
+    again = pages.filter("doc_id % 5 = 0 AND page_no = 1").withColumn("text", F.concat(F.lit("once more: "), "text"))
+    known.replace(docs.filter("doc_id % 5 = 0"), again)
+    known.delete(docs.filter("doc_id % 7 = 0"))
+    return known.read().withColumn("page_no", F.col("page_no").cast("long"))
+
+
+@registered(f"WITH {DOCUMENTS} SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND is_current THEN 'orphaned' WHEN doc_id % 4 = 1 THEN NULL ELSE archive_reason END AS archive_reason, doc_id % 4 = 1 OR (is_current AND doc_id % 4 <> 0) AS is_current FROM docs")
+def merge_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _versioned(spark, sf_dir)
+    known = _table_of(spark, docs, "doc_id")
+    gone, back = F.col("doc_id") % 4 == 0, F.col("doc_id") % 4 == 1
+    known.change(docs.filter(gone), lambda old: versioning.archived(old, gone, "orphaned", F.lit(None).cast("timestamp")), "archive")
+    known.change(docs.filter(back), lambda old: versioning.restored(old, back), "restore")
+    return known.read().select("doc_id", "archive_reason", "is_current")
+
+
+@registered("""SELECT doc_id, n_chars, 'taken' AS fate, CAST(NULL AS VARCHAR) AS reason FROM documents WHERE n_chars >= 200 AND lang IN ('de', 'en')
+UNION ALL SELECT doc_id, n_chars, 'dead', CASE WHEN NOT coalesce(n_chars >= 200, false) THEN 'short' ELSE 'language' END FROM documents WHERE NOT (coalesce(n_chars >= 200, false) AND coalesce(lang IN ('de', 'en'), false))""")
+def ingest_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a stream of files in two runs, the second of which sees each file of the first again as well."""
+    top = fresh_folder(spark, "ingest")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    taken = Table.create(spark, f"{top}/taken", "doc_id", rows.schema, buckets=8)
+    dead = exact.dead_letters(spark, f"{top}/dead", 8)
+    rules = {"short": F.col("n_chars") >= 200, "language": F.col("lang").isin("de", "en")}
+    for part in (rows.filter("doc_id % 2 = 0"), rows):
+        part.write.mode("append").parquet(f"{top}/in")
+        exact.ingest(spark.readStream.schema(rows.schema).parquet(f"{top}/in"), "documents", taken, dead, rules, f"{top}/checkpoint").awaitTermination()
+    letters = dead.read().select(F.from_json("payload", rows.schema).alias("row"), "reason").select("row.doc_id", "row.n_chars", F.lit("dead").alias("fate"), "reason")
+    return taken.read().select("doc_id", "n_chars", F.lit("taken").alias("fate"), F.lit(None).cast("string").alias("reason")).unionByName(letters)
+
+
 # ---- administration
 
 
