@@ -5,25 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cluster import kept
 from tessera.operators.similarity import contained
 
 
-def reached(edges: DataFrame, start: DataFrame, depth: int, incoming: bool = False) -> DataFrame:
+#: Neighbours of a node that one task takes; nodes with more are split.
+HUB = 100_000
+
+
+def split_adjacency(step: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """step (a, b) with a part for each edge, and (a, parts) of nodes with more than `hub` neighbours: a node has a part for each `hub` of them."""
+    hubs = step.groupBy("a").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts")).filter("parts > 1")
+    dealt = step.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    return dealt, hubs
+
+
+def reached(edges: DataFrame, start: DataFrame, depth: int, incoming: bool = False, hub: int = HUB) -> DataFrame:
     """(start, doc_id, distance) for all documents within `depth` steps along (src, dst), at their least distance.
 
-    One join a step; what has been seen is taken out before the next, so paths don't multiply.
+    One join a step; what has been seen is taken out before the next, so paths don't multiply. The neighbours of a hub are dealt over
+    several tasks, and a path that comes to it goes on in each. Every step is written, so plans don't grow with the depth.
     """
     step = edges.select(F.col("dst").alias("a"), F.col("src").alias("b")) if incoming else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    step = step.distinct()
-    front = start.select(F.col("doc_id").alias("start"), "doc_id").distinct()
+    dealt, hubs = (kept(t, "adjacency") for t in split_adjacency(step.filter("a IS NOT NULL AND b IS NOT NULL").distinct(), hub))
+    front = start.select(F.col("doc_id").alias("start"), F.col("doc_id").alias("a")).distinct()
     out = None
     for distance in range(1, depth + 1):
-        found = front.join(step, front["doc_id"] == step["a"]).select("start", F.col("b").alias("doc_id")).distinct()
+        ways = front.join(hubs, "a", "left").select("start", "a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        found = ways.join(dealt, ["a", "part"]).select("start", F.col("b").alias("doc_id")).distinct()
         if out is not None:
             found = found.join(out.select("start", "doc_id"), ["start", "doc_id"], "left_anti")
-        found = found.withColumn("distance", F.lit(distance))
+        found = kept(found.withColumn("distance", F.lit(distance)), "reached")
         out = found if out is None else out.unionByName(found)
-        front = found.select("start", "doc_id")
+        front = found.select("start", F.col("doc_id").alias("a"))
     return out
 
 

@@ -39,12 +39,14 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 120, key: str = "vec_
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 120, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest for each query (qid, qvec): qid, rank, key and score. Queries are broadcast, BATCH of them at a time."""
-    rows = vectors.filter(F.col(vector).isNotNull()).select(key, vector)
+    # lengths are worked out once a row, not once a pair
+    rows = vectors.filter(F.col(vector).isNotNull()).select(key, vector, norm(F.col(vector)).alias("_norm"))
+    queries = queries.select("qid", "qvec", norm(F.col("qvec")).alias("_qnorm"))
     passes = -(-queries.count() // BATCH) or 1
     out = None
     for i in range(passes):
         part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
-        scored = rows.join(F.broadcast(part), F.lit(True)).select("qid", key, cosine(F.col(vector), F.col("qvec")).alias("score")).filter("score IS NOT NULL")
+        scored = rows.join(F.broadcast(part), F.lit(True)).select("qid", key, F.try_divide(dot(F.col(vector), F.col("qvec")), F.col("_norm") * F.col("_qnorm")).alias("score")).filter("score IS NOT NULL")
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
         best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", key, "score")
         out = best if out is None else out.unionByName(best)

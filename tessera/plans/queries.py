@@ -49,22 +49,36 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return [float(x) for x in row["embedding"]]
 
 
-@registered(f"""
-WITH {_LEX},
-firsts AS (SELECT doc_id, min(window_id) AS window_id FROM wins GROUP BY doc_id),
-sims AS (SELECT b.vec_id AS doc_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id IN (SELECT doc_id FROM documents)),
-near AS (SELECT * FROM sims ORDER BY score DESC, doc_id LIMIT 480),
-vec AS (SELECT w.window_id, w.doc_id, w.page_start, w.page_end, n.score FROM near n JOIN firsts f ON n.doc_id = f.doc_id JOIN wins w ON w.window_id = f.window_id ORDER BY score DESC, w.window_id LIMIT 120),
-both_ AS (SELECT window_id, doc_id, page_start, page_end, max(bm25) AS bm25, max(vec) AS vec FROM (
-  SELECT window_id, doc_id, page_start, page_end, score AS bm25, 0.0 AS vec FROM lex UNION ALL SELECT window_id, doc_id, page_start, page_end, 0.0, score FROM vec) GROUP BY ALL),
-kept AS (SELECT *, 0.55 * vec + 0.45 * bm25 AS blend FROM both_ ORDER BY blend DESC, window_id LIMIT 18),
-spread AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY blend DESC, window_id) AS nth FROM kept),
-hits AS (SELECT *, row_number() OVER (ORDER BY blend DESC, window_id) AS rank FROM spread WHERE nth <= 2)
-SELECT CAST(rank AS BIGINT) AS rank, window_id, h.doc_id, CAST(page_start AS BIGINT) AS page_start, CAST(page_end AS BIGINT) AS page_end, round(bm25, 6) AS bm25, round(vec, 6) AS vec, round(blend, 6) AS blend, lang, source
-FROM hits h JOIN documents d ON h.doc_id = d.doc_id WHERE rank <= 8""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.hybrid(windows(spark, sf_dir), table(spark, sf_dir, "embeddings"), documents(spark, sf_dir), "the", _vector(spark, sf_dir, 7), include_archived=True)
-    return _hit_columns(hits)
+_TOKS = WINDOWS + r""",
+toks AS (SELECT window_id, doc_id, page_start, page_end, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM wins)"""
+
+
+def _candidates_sql(vec_ids: list[int], searched: str = "true") -> str:
+    """Both kinds of candidates and their blend: windows that hold `the`, and first windows near any of some vectors. searched: a condition on documents."""
+    return f"""{_TOKS},
+ok AS (SELECT doc_id FROM documents WHERE {searched}),
+lex AS (SELECT window_id, doc_id, page_start, page_end, 0.1 * len([w FOR w IN ws IF w = 'the']) AS score FROM toks WHERE list_contains(ws, 'the') AND doc_id IN (FROM ok) ORDER BY score DESC, window_id LIMIT 120),
+firsts AS (SELECT doc_id, min(window_id) AS window_id FROM wins WHERE doc_id IN (FROM ok) GROUP BY doc_id),
+sims AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id IN ({", ".join(map(str, vec_ids))}) AND b.vec_id IN (SELECT doc_id FROM firsts)),
+near AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 480),
+vec AS (SELECT qid, w.window_id, w.doc_id, w.page_start, w.page_end, n.score FROM near n JOIN firsts f ON n.doc_id = f.doc_id JOIN wins w ON w.window_id = f.window_id
+        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, w.window_id) <= 120),
+both_ AS (SELECT window_id, doc_id, page_start, page_end, coalesce(max(bm25), 0.0) AS bm25, coalesce(max(vec), 0.0) AS vec FROM (
+  SELECT window_id, doc_id, page_start, page_end, score AS bm25, NULL::DOUBLE AS vec FROM lex UNION ALL SELECT window_id, doc_id, page_start, page_end, NULL::DOUBLE, score FROM vec) GROUP BY ALL),
+pool AS (SELECT *, 0.55 * vec + 0.45 * bm25 AS blend FROM both_ ORDER BY blend DESC, window_id LIMIT 30)"""
+
+
+def _hits_sql(candidates: str, rerank: str = "blend") -> str:
+    """The eight hits of a pool by some rank."""
+    return f"""WITH {candidates},
+kept AS (SELECT *, {rerank} AS rerank FROM pool ORDER BY rerank DESC, blend DESC, window_id LIMIT 18),
+spread AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rerank DESC, blend DESC, window_id) AS nth FROM kept),
+hits AS (SELECT *, row_number() OVER (ORDER BY rerank DESC, blend DESC, window_id) AS rank FROM spread WHERE nth <= 2)"""
+
+
+_HIT_COLUMNS = """SELECT CAST(rank AS BIGINT) AS rank, window_id, h.doc_id, CAST(page_start AS BIGINT) AS page_start, CAST(page_end AS BIGINT) AS page_end, round(bm25, 6) AS bm25, round(vec, 6) AS vec, round(blend, 6) AS blend, lang, source
+FROM hits h JOIN documents d ON h.doc_id = d.doc_id WHERE rank <= 8"""
+_CURRENT = "doc_id % 7 <> 0"
 
 
 def _hit_columns(hits: DataFrame) -> DataFrame:
@@ -72,14 +86,57 @@ def _hit_columns(hits: DataFrame) -> DataFrame:
     return hits.select(long[0], "window_id", "doc_id", *long[1:], *[F.round(c, 6).alias(c) for c in ("bm25", "vec", "blend")], "lang", "source")
 
 
-# fewer documents are left to choose from, so windows with a negative similarity come in: zero stands for a missing score only
-_FILTERED = SQL["hybrid_search"].replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0 AND (lang IN ('en', 'fr') OR lang IS NULL))")
-_FILTERED = _FILTERED.replace("max(bm25) AS bm25, max(vec) AS vec", "coalesce(max(bm25), 0.0) AS bm25, coalesce(max(vec), 0.0) AS vec").replace("score AS bm25, 0.0 AS vec FROM lex", "score AS bm25, NULL::DOUBLE AS vec FROM lex").replace("page_end, 0.0, score FROM vec", "page_end, NULL::DOUBLE, score FROM vec")
+def _hybrid(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return _hit_columns(search.hybrid(index(spark, sf_dir), table(spark, sf_dir, "embeddings"), documents(spark, sf_dir), "the", _vector(spark, sf_dir, 7), **how))
+
+
+@registered(f"{_hits_sql(_candidates_sql([7], _CURRENT))} {_HIT_COLUMNS}")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: current documents only, as a user gets them who asks for nothing else."""
+    return _hybrid(spark, sf_dir)
+
+
+@registered(f"{_hits_sql(_candidates_sql([7]))} {_HIT_COLUMNS}")
+def hybrid_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, include_archived=True)
 
 
-@registered(_FILTERED)
+@registered(f"{_hits_sql(_candidates_sql([7], _CURRENT + " AND (lang IN ('en', 'fr') OR lang IS NULL)"))} {_HIT_COLUMNS}")
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hit_columns(search.hybrid(windows(spark, sf_dir), table(spark, sf_dir, "embeddings"), documents(spark, sf_dir), "the", _vector(spark, sf_dir, 7), categories=["en", "fr"]))
+    return _hybrid(spark, sf_dir, categories=["en", "fr"])
+
+
+def _found(spark: SparkSession, sf_dir: str, scorer=None) -> search.Found:
+    """A planned question: three rewrites whose vectors stand in the table, and `the` to look up."""
+    rewrites = {"where does it say so?": 7, "which page says so": 8, "the place that says so": 9}
+    planner = lambda question: {"rewrites": list(rewrites), "bm25_query": "the"}
+    corpus = search.Corpus(index(spark, sf_dir), table(spark, sf_dir, "embeddings"), documents(spark, sf_dir), _edges(spark, sf_dir))
+    return search.answer(corpus, "where does it say so?", lambda texts: [_vector(spark, sf_dir, rewrites[t]) for t in texts], planner, scorer)
+
+
+@registered(f"{_hits_sql(_candidates_sql([7, 8, 9], _CURRENT))} {_HIT_COLUMNS}")
+def hybrid_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hit_columns(_found(spark, sf_dir).hits)
+
+
+def _lengths(questions_: list[str], texts: list[str]) -> list[float]:
+    """A stand-in for a reranking model: how long a text is, in hundreds."""
+    return [float(len(t) // 100) for t in texts]
+
+
+@registered(f"{_hits_sql(_candidates_sql([7, 8, 9], _CURRENT) + ', lengths AS (SELECT window_id AS w, length(substr(text, 1, 1500)) // 100 AS n FROM wins)', '(SELECT n FROM lengths WHERE w = window_id)')} {_HIT_COLUMNS}")
+def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hit_columns(_found(spark, sf_dir, _lengths).hits)
+
+
+@registered(f"""{_hits_sql(_candidates_sql([7, 8, 9], _CURRENT))}, top AS (SELECT DISTINCT doc_id FROM hits WHERE rank <= 8),
+edges AS (SELECT doc_id AS src, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS dst FROM documents),
+a AS (SELECT dst AS doc_id, 1 AS distance FROM edges WHERE src IN (FROM top)), b AS (SELECT e.dst, 2 FROM a JOIN edges e ON a.doc_id = e.src), c AS (SELECT src, 2 FROM edges WHERE dst IN (FROM top)),
+m AS (SELECT doc_id, CAST(min(distance) AS INTEGER) AS distance FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE doc_id NOT IN (FROM top) GROUP BY doc_id),
+f AS (SELECT * FROM m ORDER BY distance, doc_id LIMIT 4)
+SELECT f.doc_id, distance, window_id, text FROM f JOIN wins w ON f.doc_id = w.doc_id WHERE page_start = 1 AND f.doc_id % 7 <> 0""")
+def cited_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir).cited.select("doc_id", "distance", "window_id", "text")
 
 
 @registered(f"WITH {_LEX} SELECT window_id, doc_id, round(score, 6) AS score FROM lex")
