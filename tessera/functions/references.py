@@ -24,14 +24,18 @@ LAWS = [
     ("BDSG", r"\b§?\s*(\d+[a-z]?)\s*(?:Abs\.?\s*\d+)?\s*BDSG\b"),
 ]
 SECTION = r"§\s*(\d+[a-z]?)\s*(?:Abs\.?\s*\d+)?\s*([A-Z]{2,6})\b"
-CROSS_LEADS = [r"(?:siehe|s\.)\s+(?:auch\s+)?", r"gemäß\s+", r"laut\s+", r"nach\s+(?:Maßgabe\s+)?"]
-CROSS_TAIL = r"[„\"]?(.{10,100}?)[\"]?(?:\.|,|\n|$)"
+CROSS = [
+    r"(?:siehe|s\.)\s+(?:auch\s+)?[„\"]?(.{10,100}?)[\"]?(?:\.|,|\n|$)",
+    r"gemäß\s+[„\"]?(.{10,100}?)[\"]?(?:\.|,|\n|$)",
+    r"laut\s+[„\"]?(.{10,100}?)[\"]?(?:\.|,|\n|$)",
+    r"nach\s+(?:Maßgabe\s+)?[„\"]?(.{10,100}?)[\"]?(?:\.|,|\n|$)",
+]
 SURE = {"link": 1.0, "url": 0.95, "iso": 0.95, "law": 0.9, "internal_ref": 0.7}
 SHAPE = "array<struct<kind:string,raw:string,ref:string,at:int,sure:double>>"
 
 _URL, _ISO = re.compile(URL, re.I), re.compile(ISO, re.I)
 _LAWS = [(name, re.compile(p, re.I)) for name, p in LAWS]
-_CROSS = [re.compile(lead + CROSS_TAIL, re.I) for lead in CROSS_LEADS]
+_CROSS = [re.compile(p, re.I) for p in CROSS]
 
 
 def references(text: str, compat: bool = False) -> list[dict]:
@@ -91,5 +95,20 @@ def law_refs(text: Column) -> Column:
 
 def cross_refs(text: Column) -> Column:
     """Cross-references of at least 15 characters and at most 15 spaces, one for each lower-case form and lead."""
-    every = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit("(?i)" + lead + CROSS_TAIL), F.lit(1)), lambda r: F.trim(r)) for lead in CROSS_LEADS])
+    every = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)), lambda r: F.trim(r)) for p in CROSS])
     return F.filter(every, lambda r: (F.char_length(r) >= 15) & (F.char_length(r) - F.char_length(F.replace(r, F.lit(" "), F.lit(""))) <= 15))
+
+
+def link_refs(links: Column, page_no: Column) -> Column:
+    """References by the embedded links (page_no, uri, text) of one page: web addresses, surest of all, the first of each."""
+    web = F.filter(links, lambda x: (x["page_no"] == page_no) & (x["uri"].startswith("http://") | x["uri"].startswith("https://")))
+    first = F.filter(web, lambda x, i: ~F.array_contains(F.transform(F.slice(web, 1, i), lambda y: y["uri"]), x["uri"]))
+    named = lambda x: F.coalesce(F.nullif(x["text"], F.lit("")), x["uri"])
+    return F.transform(first, lambda x: F.struct(F.lit("url").alias("kind"), named(x).alias("raw"), x["uri"].alias("ref"), F.lit(-1).alias("at"), F.lit(SURE["link"]).alias("sure")))
+
+
+def with_links(found: Column, links: Column, page_no: Column) -> Column:
+    """All references of a page: those of its links, then those of its text that aren't among them. Links have no place (-1)."""
+    own = F.coalesce(link_refs(links, page_no), F.array().cast(SHAPE))
+    rest = F.filter(F.coalesce(found, F.array().cast(SHAPE)), lambda r: ~F.exists(own, lambda x: (x["ref"] == r["ref"]) & (r["kind"] == "url")))
+    return F.concat(own, rest)

@@ -122,19 +122,31 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute address whose path has no `.` and `..` segments; what would lead above the root stays at it."""
+    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"([?#].*)$", 1)
+    parts = F.split(path, "/")
+    up = lambda own: F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(1)))  # noqa: E731  the empty part before the first slash stays
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda own, x: F.when(x == ".", own).when(x == "..", up(own)).otherwise(F.concat(own, F.array(x))))
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(F.regexp_like(path, F.lit(r"/\.\.?(?:/|$)")), F.concat(origin, F.array_join(closed, "/"), tail)).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute address from a page's and a link's (no dot segments)."""
+    """An absolute address from a page's and a link's."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     plain = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(F.regexp_like(plain, F.lit(r"://[^/]*/")), F.regexp_replace(plain, "[^/]*$", "")).otherwise(F.concat(plain, F.lit("/")))
-    return (
-        F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
+    joined = (
+        F.when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
         .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("#"), F.concat(without_fragment(base), href))
         .when(href.startswith("?"), F.concat(plain, href))
         .otherwise(F.concat(folder, href))
     )
+    return F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), href).otherwise(without_dots(joined))
 
 
 def document_extension(url: Column, allowed: list[str] = DOCUMENT_EXTENSIONS) -> Column:
@@ -190,16 +202,20 @@ def salvaged_json(text: Column) -> Column:
     return F.coalesce(sound(bare), sound(fenced), sound(flat))
 
 
+#: Keys of a reply that never are the answer.
+OTHER_KEYS = ["sources", "source", "overall_confidence", "confidence"]
+
+
 def answer_fields(text: Column) -> Column:
-    """answer, confidence and number of sources of a salvaged reply, with the names that models use instead."""
+    """answer, confidence and number of sources of a salvaged reply. An answer under another name is the first other key with a string."""
     doc = salvaged_json(text)
-    get = lambda *names: F.coalesce(*[F.get_json_object(doc, f"$.{n}") for n in names])
-    sources = F.from_json(get("sources", "source"), "array<string>")
-    return F.struct(
-        get("answer", "antwort", "response", "text").alias("answer"),
-        F.coalesce(get("overall_confidence", "confidence"), F.lit("medium")).alias("confidence"),
-        F.coalesce(F.size(sources), F.lit(0)).alias("n_sources"),
-    )
+    fields = F.from_json(doc, "map<string,variant>")
+    named = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(OTHER_KEYS) & (F.schema_of_variant(e["value"]) == "STRING"))
+    first = F.try_element_at(F.transform(named, lambda e: F.variant_get(e["value"], "$", "string")), F.lit(1))
+    answer = F.when(F.map_contains_key(fields, "answer"), F.get_json_object(doc, "$.answer")).otherwise(first)
+    sources = F.from_json(F.coalesce(F.get_json_object(doc, "$.sources"), F.get_json_object(doc, "$.source")), "array<string>")
+    confidence = F.coalesce(F.get_json_object(doc, "$.overall_confidence"), F.get_json_object(doc, "$.confidence"), F.lit("medium"))
+    return F.struct(answer.alias("answer"), confidence.alias("confidence"), F.coalesce(F.size(sources), F.lit(0)).alias("n_sources"))
 
 
 def event_text(kind: Column, data: Column) -> Column:

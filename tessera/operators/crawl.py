@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_anchor_text, document_extension, host, norm_text, resolve, unwrapped_mailto, without_fragment
 
-ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
+#: An address in double quotes, in single ones, or bare; then what stands in the element.
+ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a>"
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, url, place, href, target, anchor_text, extension) of every link of pages (page_id, url, html)."""
     at = lambda n: F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(n))
-    found = pages.select("page_id", "url", F.posexplode(F.arrays_zip(at(1).alias("href"), at(2).alias("inner"))).alias("place", "a"))
-    hrefs = found.select("page_id", "url", "place", F.replace(F.trim("a.href"), F.lit("&amp;"), F.lit("&")).alias("href"), norm_text(F.regexp_replace("a.inner", "<[^>]*>", " ")).alias("inner"))
+    found = pages.select("page_id", "url", F.posexplode(F.arrays_zip(at(1).alias("h1"), at(2).alias("h2"), at(3).alias("h3"), at(4).alias("inner"))).alias("place", "a"))
+    href = F.concat("a.h1", "a.h2", "a.h3")  # two of them are empty
+    hrefs = found.select("page_id", "url", "place", F.replace(F.trim(href), F.lit("&amp;"), F.lit("&")).alias("href"), norm_text(F.regexp_replace("a.inner", "<[^>]*>", " ")).alias("inner"))
     real = hrefs.withColumn("real", unwrapped_mailto(F.col("href"))).filter("real IS NOT NULL")
     out = real.withColumn("target", resolve(F.col("url"), F.col("real")))
     return out.select("page_id", "url", "place", "href", "target", clean_anchor_text(F.col("inner")).alias("anchor_text"), document_extension(F.col("target")).alias("extension"))

@@ -55,6 +55,17 @@ def anchors_in(hits: DataFrame, anchors: DataFrame) -> DataFrame:
     return anchors.join(hits.select("doc_id", "page_start", "page_end"), on, "left_semi")
 
 
+def anchor_ids(hits: DataFrame, anchors: DataFrame, first: int = 6) -> DataFrame:
+    """One row, `ids`: the anchors (anchor_id, doc_id, page_no) on the pages of the first hits (rank), each once, in order."""
+    found = anchors_in(hits.filter(F.col("rank") <= first), anchors)
+    return found.agg(F.sort_array(F.collect_set("anchor_id")).alias("ids"))
+
+
+def anchors_by_id(ids: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The anchors that a row of ids names."""
+    return anchors.join(ids.select(F.explode("ids").alias("anchor_id")).distinct(), "anchor_id", "left_semi")
+
+
 def resolved_urls(references: DataFrame, documents: DataFrame) -> DataFrame:
     """URL references with the least document of that uri or download_url."""
     places = documents.select("doc_id", F.explode(F.array("uri", "download_url")).alias("target")).filter("target IS NOT NULL")

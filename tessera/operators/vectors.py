@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +17,25 @@ from tessera.cluster import shipped
 BATCH = 2_000
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A model's name, the length of its vectors, and the column that holds them."""
+
+    model: str
+    size: int
+    column: str = "embedding"
+
+
+def of_profile(rows: DataFrame, profiles: dict[str, Profile], name: str | None, default: Profile, key: str = "vec_id") -> DataFrame:
+    """(key, embedding) of the rows that have a vector of the named profile, or of the default where the name isn't known.
+
+    Vectors of another length than the profile's are left out: they are another model's.
+    """
+    profile = profiles.get(name or "", default)
+    own = rows.select(key, F.col(profile.column).alias("embedding"))
+    return own.filter(F.col("embedding").isNotNull() & (F.size("embedding") == profile.size))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -66,6 +66,14 @@ def restored(documents: DataFrame, which: Column) -> DataFrame:
     return documents.withColumns({"archive_reason": clear("archive_reason"), "archived_at": clear("archived_at"), "is_current": F.col("is_current") | F.coalesce(hit, F.lit(False))})
 
 
+def superseded(documents: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:
+    """documents after new ones took the place of others by name: pairs (new_id, old_id); a document can't supersede itself, nor can one that isn't there."""
+    there = documents.select(F.col("doc_id").alias("new_id"))
+    gone = pairs.filter("new_id <> old_id").join(there, "new_id", "left_semi").select(F.col("old_id").alias("doc_id"), F.lit(True).alias("_gone")).distinct()
+    marked = archived(documents.join(gone, "doc_id", "left"), F.coalesce("_gone", F.lit(False)), "superseded", at)
+    return marked.select(*documents.columns)
+
+
 def orphaned(documents: DataFrame, source_url: str, seen: DataFrame) -> DataFrame:
     """Current documents found on a page before that weren't seen on it now."""
     return documents.filter(F.col("is_current") & (F.col("source_url") == source_url)).join(seen.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -445,6 +445,66 @@ def anchor_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.anchors_in(hits, pages).select("doc_id", F.col("page_no").cast("long").alias("page_no"))
 
 
+# the links of pages as a graph: a page points at each address that it names, an address at the pages that name it; frequent addresses are hubs
+_LINKED = r"""raw AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>', 1)) AS href FROM pages),
+edges AS (SELECT DISTINCT 'page ' || page_id AS src, replace(trim(href), '&amp;', '&') AS dst FROM raw),
+ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"""
+
+
+def _linked(spark: SparkSession, sf_dir: str, both: bool) -> DataFrame:
+    found = crawl.links(table(spark, sf_dir, "pages")).select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("src"), F.col("href").alias("dst")).distinct()
+    return found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both else found
+
+
+def _first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").filter("page_id IN (0, 3)").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("doc_id"))
+
+
+def _levels(depth: int) -> str:
+    """Breadth-first search by hand: each level without those before it."""
+    parts = ["l0 AS (SELECT DISTINCT src AS start, src AS doc_id FROM edges WHERE src IN ('page 0', 'page 3'))"]
+    for d in range(1, depth + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM l{k} o WHERE o.start = f.start AND o.doc_id = w.b)" for k in range(1, d))
+        parts.append(f"l{d} AS MATERIALIZED (SELECT DISTINCT f.start, w.b AS doc_id FROM l{d - 1} f JOIN ways w ON f.doc_id = w.a WHERE true {seen})")
+    return ", ".join(parts)
+
+
+@registered(f"WITH {_LINKED}, {_levels(3)} SELECT start, doc_id, 1 AS distance FROM l1 UNION ALL SELECT start, doc_id, 2 FROM l2 UNION ALL SELECT start, doc_id, 3 FROM l3")
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reached(_linked(spark, sf_dir, True), _first_pages(spark, sf_dir), 3, hub=8)
+
+
+@registered(f"WITH {_LINKED} SELECT e.dst AS start, e.src AS doc_id, 1 AS distance FROM edges e WHERE e.dst IN ('/de', '/the')")
+def linking_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reached(_linked(spark, sf_dir, False), spark.createDataFrame([("/de",), ("/the",)], "doc_id string"), 1, incoming=True, hub=8)
+
+
+@registered(f"""WITH {_LINKED}, {_levels(2)}, m AS (SELECT doc_id, CAST(min(d) AS INTEGER) AS distance FROM (SELECT doc_id, 1 AS d FROM l1 UNION ALL SELECT doc_id, 2 FROM l2 UNION ALL SELECT doc_id, 2 FROM l1) WHERE doc_id NOT IN ('page 0', 'page 3') GROUP BY doc_id)
+SELECT doc_id, distance FROM m ORDER BY distance, doc_id LIMIT 20""")
+def link_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.expansion(_linked(spark, sf_dir, True), _first_pages(spark, sf_dir), most=20)
+
+
+@registered(r"""WITH raw AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>', 1)) AS href FROM pages)
+SELECT DISTINCT page_id, origin || replace(trim(href), '&amp;', '&') AS ref, 1.0::DOUBLE AS sure FROM raw""")
+def link_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's links as references of its text, which has none of its own."""
+    one = crawl.links(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.collect_list(F.struct(F.lit(1).alias("page_no"), F.col("target").alias("uri"), F.col("anchor_text").alias("text"))).alias("links"))
+    refs = references.with_links(references.find(F.lit("")), F.col("links"), F.lit(1))
+    return one.select("page_id", F.explode(refs).alias("r")).select("page_id", "r.ref", "r.sure")
+
+
+@registered(f"""WITH {PAGES}, h AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 50 = 0),
+a AS (SELECT doc_id * 100000 + page_no AS anchor_id, doc_id, page_no, text FROM pgs)
+SELECT anchor_id, doc_id, CAST(page_no AS BIGINT) AS page_no, text FROM a WHERE doc_id IN (SELECT doc_id FROM h WHERE rank <= 6) AND page_no BETWEEN 1 AND 2""")
+def anchors_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors on the pages of the first six hits, by their collected ids."""
+    anchors = segments.pages(table(spark, sf_dir, "documents")).select((F.col("doc_id") * 100000 + F.col("page_no")).alias("anchor_id"), "doc_id", F.col("page_no").cast("long").alias("page_no"), "text")
+    asked = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id").orderBy("doc_id").limit(6)
+    hits = asked.withColumn("rank", F.row_number().over(Window.orderBy("doc_id"))).withColumns({"page_start": F.lit(1), "page_end": F.lit(2)})
+    return graph.anchors_by_id(graph.anchor_ids(hits, anchors), anchors)
+
+
 # ---- versions
 
 
@@ -638,6 +698,22 @@ def ingest_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.read().select("doc_id", "n_chars", F.lit("taken").alias("fate"), F.lit(None).cast("string").alias("reason")).unionByName(letters)
 
 
+@registered(f"WITH {DOCUMENTS}, g AS (SELECT DISTINCT doc_id - 1 AS doc_id FROM docs WHERE doc_id % 10 = 1) SELECT d.doc_id, CASE WHEN g.doc_id IS NOT NULL AND is_current THEN 'superseded' ELSE archive_reason END AS archive_reason, is_current AND g.doc_id IS NULL AS is_current FROM docs d LEFT JOIN g ON d.doc_id = g.doc_id")
+def superseded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _versioned(spark, sf_dir)
+    pairs = docs.filter("doc_id % 10 = 1").select(F.col("doc_id").alias("new_id"), (F.col("doc_id") - 1).alias("old_id"))
+    return versioning.superseded(docs, pairs, F.current_timestamp()).select("doc_id", "archive_reason", "is_current")
+
+
+@registered("SELECT label, count(*) AS n_vectors FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
+def profile_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the profile that is asked for: half of the rows have one of its length in its column."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 8)).alias("embedding_small"))
+    profiles = {"small": vectors.Profile("small-model", 64, "embedding_small")}
+    own = vectors.of_profile(rows, profiles, "small", vectors.Profile("plain", 64))
+    return rows.join(own.select("vec_id"), "vec_id", "left_semi").groupBy("label").agg(F.count("*").alias("n_vectors"))
+
+
 # ---- administration
 
 

@@ -268,16 +268,23 @@ def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str | None, bytes]], most: int = 100 << 20) -> DataFrame:
-    """url, status, etag and content of each address, by a function that the caller supplies; larger bodies are left out."""
-    schema = pa.schema([("url", pa.string()), ("status", pa.int32()), ("etag", pa.string()), ("content", pa.binary())])
+    """url, status, etag, content and error of each address, by a function that the caller supplies; larger bodies are left out.
+
+    What the function throws is the error of its address, with status 0; the others go on.
+    """
+    schema = pa.schema([("url", pa.string()), ("status", pa.int32()), ("etag", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url in batch.column("url").to_pylist():
-                status, etag, body = fetch(url)
-                rows.append({"url": url, "status": status, "etag": etag, "content": body if len(body) <= most else None})
+                try:
+                    status, etag, body = fetch(url)
+                    error = None
+                except Exception as problem:  # noqa: BLE001  the network's and the caller's errors are of any kind
+                    status, etag, body, error = 0, None, None, f"{type(problem).__name__}: {problem}"
+                rows.append({"url": url, "status": status, "etag": etag, "content": body if body is not None and len(body) <= most else None, "error": error})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     shipped(urls.sparkSession)
-    return urls.select("url").mapInArrow(run, "url string, status int, etag string, content binary")
+    return urls.select("url").mapInArrow(run, "url string, status int, etag string, content binary, error string")

@@ -130,3 +130,49 @@ def test_cover_density_of_known_texts(spark):
         got = [r[0] for r in rows.orderBy("i").select(cover_rank(F.col("words"), terms)).collect()]
         assert got == pytest.approx([cover_density(t, terms) for t in texts])
     assert [r[0] for r in rows.orderBy("i").limit(4).select(cover_rank(F.col("words"), ["a", "b"])).collect()] == pytest.approx([0.1, 0.05, 0.2, 0.0])
+
+
+@pytest.mark.parametrize(
+    "base,href,target",
+    [
+        ("http://h/a/b/c", "../x", "http://h/a/x"),
+        ("http://h/a/b/c", "../../../x", "http://h/x"),
+        ("http://h/a/b/c", "./x?y=../z", "http://h/a/b/x?y=../z"),
+        ("http://h/a/b/c", "..", "http://h/a/"),
+        ("http://h/a/b/", ".", "http://h/a/b/"),
+        ("http://h/a/b/c", "/p/./q/../r#f", "http://h/p/r#f"),
+        ("http://h/a/b/c", ".hidden/..x", "http://h/a/b/.hidden/..x"),
+        ("http://h", "x/../y", "http://h/y"),
+        ("http://h/a", "https://o/a/../b", "https://o/a/../b"),
+    ],
+)
+def test_dot_segments(spark, base, href, target):
+    assert one(spark, tx.resolve(F.lit(base), F.lit(href))) == target
+
+
+@pytest.mark.parametrize(
+    "reply,answer",
+    [
+        ('{"ergebnis": "x"}', "x"),
+        ('{"sources": ["a"], "n": 5, "result": "y", "other": "z"}', "y"),
+        ('{"answer": "a", "text": "b"}', "a"),
+        ('{"confidence": "high"}', None),
+        ("no json", None),
+    ],
+)
+def test_the_first_other_string_is_the_answer(spark, reply, answer):
+    assert one(spark, tx.answer_fields(F.lit(reply)))["answer"] == answer
+
+
+def test_limits_of_one_question_and_of_many_agree(spark):
+    for score in (0.3, 0.5, 0.8, 1.0, 1.2, 1.21, 1.5, 2.0):
+        columns = questions.limit_columns(F.lit(score))
+        got = spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first().asDict()
+        assert got == {n: getattr(questions.Limits().scaled(score), n) for n in columns}
+
+
+def test_embedded_links_come_first_and_are_surest(spark):
+    links = [{"page_no": 1, "uri": "https://a/b", "text": "here"}, {"page_no": 1, "uri": "https://a/b", "text": "again"}, {"page_no": 2, "uri": "https://c", "text": ""}, {"page_no": 1, "uri": "mailto:x", "text": "m"}, {"page_no": 1, "uri": "http://d", "text": None}]
+    rows = spark.createDataFrame([("see https://a/b and https://e/f.", links), ("plain", None)], "text string, links array<struct<page_no:int,uri:string,text:string>>")
+    got = [[(r.kind, r.raw, r.ref, r.at, r.sure) for r in x[0]] for x in rows.select(references.with_links(references.find(F.col("text")), F.col("links"), F.lit(1))).collect()]
+    assert got == [[("url", "here", "https://a/b", -1, 1.0), ("url", "http://d", "http://d", -1, 1.0), ("url", "https://e/f.", "https://e/f", 20, 0.95)], []]

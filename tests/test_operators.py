@@ -359,3 +359,33 @@ def test_a_failing_reranker_keeps_the_order_by_blend(spark):
     data = spark.createDataFrame([(1, 0.2, "q", "a"), (2, 0.9, "q", "b")], "window_id long, blend double, q string, text string")
     got = ranking.reranked(vectors.rescored(data, broken, "q", "text"), 2)
     assert [r.window_id for r in got.orderBy("rank").collect()] == [2, 1]
+
+
+def test_links_without_quotes_and_in_single_ones(spark):
+    html = "<a class=x href=/a/b.pdf>A</a><a href='../c'>C <b>c</b></a><A HREF=\"/d?x=1&amp;y=2\" id=i>D</A><a data-href='/no'>n</a>"
+    got = crawl.links(spark.createDataFrame([(1, "http://h/p/q", html)], "page_id long, url string, html string")).orderBy("place").collect()
+    assert [(r.target, r.anchor_text) for r in got] == [("http://h/a/b.pdf", "A"), ("http://h/c", "C c"), ("http://h/d?x=1&y=2", "D")]
+
+
+def test_fetch_errors_are_rows(spark):
+    def fetch(url):
+        if url == "bad":
+            raise OSError("no route")
+        return 204, None, None
+
+    got = {r.url: (r.status, r.content, r.error) for r in files.fetched(spark.createDataFrame([("bad",), ("none",)], "url string"), fetch).collect()}
+    assert got == {"bad": (0, None, "OSError: no route"), "none": (204, None, None)}
+
+
+def test_hubs_are_split_and_lose_no_neighbour(spark):
+    edges = spark.createDataFrame([("hub", f"n{i}") for i in range(50)] + [(f"n{i}", "end") for i in range(5)] + [("a", "hub"), (None, "x"), ("x", None)], "src string, dst string")
+    dealt, hubs = graph.split_adjacency(edges.toDF("a", "b").dropna(), hub=8)
+    assert [(r.a, r.parts) for r in hubs.collect()] == [("hub", 7)] and dealt.filter("a = 'hub'").select("part").distinct().count() > 3
+    got = {r.doc_id: r.distance for r in graph.reached(edges, spark.createDataFrame([("a",)], "doc_id string"), 3, hub=8).collect()}
+    assert got == {"hub": 1, **{f"n{i}": 2 for i in range(50)}, "end": 3}
+
+
+def test_a_superseded_document_needs_another_one(spark):
+    docs = spark.createDataFrame([(i, True, None, None) for i in (1, 2, 3)], "doc_id long, is_current boolean, archive_reason string, archived_at timestamp")
+    pairs = spark.createDataFrame([(2, 1), (3, 3), (9, 2)], "new_id long, old_id long")
+    assert rows(versioning.superseded(docs, pairs, F.current_timestamp()).select("doc_id", "is_current", "archive_reason")) == [(1, False, "superseded"), (2, True, None), (3, True, None)]
