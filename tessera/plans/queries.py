@@ -788,12 +788,12 @@ def query_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "score", questions.label(F.col("score")).alias("label"))
 
 
-@registered("""WITH s AS (SELECT i / 20.0::DOUBLE AS score FROM range(10, 41) t(i)), m AS (SELECT score, CASE WHEN score = 1 THEN 1.0 ELSE greatest(0.5, least(1.5, score)) END AS m FROM s)
-SELECT CAST(score AS DOUBLE) AS score, CAST(CASE WHEN score = 1 THEN 4 ELSE greatest(2, floor(4 * m)) END AS INTEGER) AS windows, CAST(floor(1000 * m) AS INTEGER) AS window_chars, CAST(CASE WHEN score = 1 THEN 2 ELSE greatest(1, floor(2 * m)) END AS INTEGER) AS anchors,
+@registered("""WITH s AS (SELECT event_id, round(0.5 + value % 1.5::DOUBLE, 2) AS score FROM events), m AS (SELECT *, CASE WHEN score = 1 THEN 1.0 ELSE greatest(0.5, least(1.5, score)) END AS m FROM s)
+SELECT event_id, score, CAST(CASE WHEN score = 1 THEN 4 ELSE greatest(2, floor(4 * m)) END AS INTEGER) AS windows, CAST(floor(1000 * m) AS INTEGER) AS window_chars, CAST(CASE WHEN score = 1 THEN 2 ELSE greatest(1, floor(2 * m)) END AS INTEGER) AS anchors,
 CAST(CASE WHEN score = 1 THEN 8 ELSE greatest(3, floor(8 * m)) END AS INTEGER) AS sources, CAST(floor(3000 * m) AS INTEGER) AS source_chars, CAST(CASE WHEN score > 1.2 THEN floor(500 * m) ELSE 500 END AS INTEGER) AS answer_tokens FROM m""")
 def effective_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(10, 41).select((F.col("id") / 20.0).alias("score"))
-    return rows.select("score", *[c.alias(n) for n, c in questions.limit_columns(F.col("score")).items()])
+    rows = table(spark, sf_dir, "events").select("event_id", F.round(0.5 + F.col("value") % 1.5, 2).alias("score"))
+    return rows.select("event_id", "score", *[c.alias(n) for n, c in questions.limit_columns(F.col("score")).items()])
 
 
 @registered("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Nutzer: ' ELSE 'Assistent: ' END || text, chr(10) ORDER BY turn, CASE WHEN role = 'user' THEN 'Nutzer: ' ELSE 'Assistent: ' END || text) AS history FROM conversations GROUP BY conv_id")
@@ -831,21 +831,26 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.prompt(_sources(spark, sf_dir), "Was gilt?")
 
 
-REPLIES = [
-    (1, '<think>a\nb</think>  {"answer":"x"}'),
-    (2, '```json\n{"antwort":"x","source":["a","b"]}\n```'),
-    (3, "text before {\"response\": \"y\", \"confidence\": \"high\"} and after"),
-    (4, "no json at all"),
-    (5, "long " * 30),
-    (6, '{"answer": "an answer that is longer than fifty characters, surely it is", "sources": []}'),
-]
+# replies of several forms around each turn's own words
+_REPLY = """(SELECT conv_id, turn, (conv_id + turn) % 6 AS form, substr(md5(text), 1, 8) AS w, replace(text, '{', '(') AS bare FROM conversations)"""
 
 
-@registered("""SELECT * FROM (VALUES (1, 'x', 'medium', 0, 'insufficient'), (2, 'x', 'medium', 2, 'cited'), (3, 'y', 'high', 0, 'insufficient'), (4, NULL, 'medium', 0, 'insufficient'), (5, NULL, 'medium', 0, 'fallback'),
-(6, 'an answer that is longer than fifty characters, surely it is', 'medium', 0, 'fallback')) t(id, answer, confidence, n_sources, kind)""")
+@registered(f"""SELECT conv_id, turn, CASE form WHEN 3 THEN NULL WHEN 4 THEN repeat(w, 8) ELSE w END AS answer, CASE form WHEN 2 THEN 'high' ELSE 'medium' END AS confidence, CASE form WHEN 1 THEN 2 ELSE 0 END AS n_sources,
+CASE WHEN form = 1 THEN 'cited' WHEN form = 4 OR (form = 3 AND length(bare) > 100) THEN 'fallback' ELSE 'insufficient' END AS kind FROM {_REPLY}""")
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fixed(spark, REPLIES, "id int, reply string")
-    return rows.select("id", tx.answer_fields(F.col("reply")).alias("f"), packing.answer_kind(F.col("reply")).alias("kind")).select("id", "f.answer", "f.confidence", "f.n_sources", "kind")
+    rows = table(spark, sf_dir, "conversations")
+    w, form = F.substring(F.md5(F.col("text").cast("binary")), 1, 8), (F.col("conv_id") + F.col("turn")) % 6
+    forms = [
+        ("<think>a\nb</think>  {\"answer\":\"", w, "\"}"),
+        ("```json\n{\"antwort\":\"", w, "\",\"source\":[\"a\",\"b\"]}\n```"),
+        ("text before {\"response\": \"", w, "\", \"confidence\": \"high\"} and after"),
+        ("", F.replace("text", F.lit("{"), F.lit("(")), ""),
+        ("{\"answer\": \"", F.repeat(w, 8), "\", \"sources\": []}"),
+        ("{\"n\": 5, \"ergebnis\": \"", w, "\"}"),
+    ]
+    reply = F.coalesce(*[F.when(form == k, F.concat(F.lit(a), own, F.lit(b))) for k, (a, own, b) in enumerate(forms)])
+    made = rows.select("conv_id", "turn", reply.alias("reply"))
+    return made.select("conv_id", "turn", tx.answer_fields(F.col("reply")).alias("f"), packing.answer_kind(F.col("reply")).alias("kind")).select("conv_id", "turn", "f.answer", "f.confidence", "f.n_sources", "kind")
 
 
 @registered("""SELECT conv_id AS qid, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY k, turn, text) - 1 AS INTEGER) AS seq, event FROM (
@@ -886,21 +891,20 @@ def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mean_metrics(_metrics(spark, sf_dir), 40).withColumn("value", F.round("value", 6))
 
 
-ANSWERS = [
-    (1, "Laut [1] gilt X. Gemäß [2] gilt Y. Siehe auch [3].", [(1, "doc1", 0.9), (2, "doc2", 0.8), (3, "doc3", 0.7)]),
-    (2, "Laut [1] gilt X. Gemäß [5] gilt Y.", [(1, "doc1", 0.9), (2, "doc2", 0.8)]),
-    (3, "Laut [1] gilt X.", [(1, "doc1", 0.9), (2, "doc2", 0.8), (3, "doc3", 0.7)]),
-    (4, "Laut [1] und [2].", [(1, "doc1", 0.9), (2, "doc1", 0.8)]),
-    (5, "Some answer", []),
-    (6, "Punkt eins [1]. Punkt zwei. Punkt drei [2].", [(1, "doc1", 0.9), (2, "doc2", 0.8)]),
-]
-
-
-@registered("""SELECT * FROM (VALUES (1, 1.0, 1.0, 1.0, 0.8, 1.0), (2, 0.5, 0.5, 1.0, 0.85, 1.0), (3, 1.0, 0.333333, 1.0, 0.8, 1.0), (4, 1.0, 1.0, 1.0, 0.85, 0.5), (5, 0.0, 0.0, 0.0, 0.0, 0.0), (6, 1.0, 1.0, 0.666667, 0.85, 1.0))
-t(id, "precision", recall, coverage, confidence, diversity)""".replace("SELECT *", 'SELECT id, "precision"::DOUBLE AS "precision", recall::DOUBLE AS recall, coverage::DOUBLE AS coverage, confidence::DOUBLE AS confidence, diversity::DOUBLE AS diversity'))
+@registered(r"""WITH a AS (SELECT conv_id, turn, array_to_string([concat('Satz ', i, CASE WHEN (conv_id + turn + i) % 3 < 2 THEN concat(' [', i + turn % 2, ']') ELSE '' END) FOR i IN range(1, 2 + (conv_id % 4)::INT)], '. ') AS answer, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE 1 + (conv_id + turn) % 3 END AS m FROM conversations),
+b AS (SELECT conv_id, turn, m, list_distinct([x::BIGINT FOR x IN regexp_extract_all(answer, '\[(\d+)\]', 1)]) AS marks, [x FOR x IN regexp_split_to_array(answer, '[.!?]') IF trim(x) <> ''] AS parts FROM a),
+c AS (SELECT *, len([x FOR x IN marks IF x <= m]) AS good FROM b)
+SELECT conv_id, turn, round(CASE WHEN len(marks) > 0 THEN good / len(marks) ELSE 0.0 END, 6)::DOUBLE AS "precision", round(CASE WHEN m > 0 THEN good / m ELSE 0.0 END, 6)::DOUBLE AS recall,
+round(len([x FOR x IN parts IF regexp_matches(x, '\[\d+\]')]) / len(parts), 6)::DOUBLE AS coverage, round(CASE WHEN m > 0 THEN 0.5 + (m + 1) / 20.0::DOUBLE ELSE 0.0 END, 6)::DOUBLE AS confidence, round(CASE WHEN m > 0 THEN least(m, 2) / m ELSE 0.0 END, 6)::DOUBLE AS diversity FROM c""")
 def citation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fixed(spark, ANSWERS, "id int, answer string, sources array<struct<index:int,doc_id:string,confidence:double>>")
-    return rows.select("id", *[F.round(c, 6).alias(n) for n, c in evaluate.citation_metrics(F.col("answer"), F.col("sources")).items()])
+    """Answers of one to four sentences for every turn, some with marks, some of which name sources that aren't there."""
+    n, turn = F.col("conv_id"), F.col("turn")
+    mark = lambda i: F.when((n + turn + i) % 3 < 2, F.concat(F.lit(" ["), (i + turn % 2).cast("string"), F.lit("]"))).otherwise("")
+    answer = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), 1 + n % 4), lambda i: F.concat(F.lit("Satz "), i.cast("string"), mark(i))), ". ")
+    source = lambda j: F.struct(j.cast("int").alias("index"), F.concat(F.lit("d"), (j % 2).cast("string")).alias("doc_id"), (0.5 + j / 10).alias("confidence"))
+    sources = F.transform(F.filter(F.sequence(F.lit(1).cast("long"), 1 + (n + turn) % 3), lambda j: n % 7 != 0), source)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer"), sources.alias("sources"))
+    return rows.select("conv_id", "turn", *[F.round(c, 6).alias(m) for m, c in evaluate.citation_metrics(F.col("answer"), F.col("sources")).items()])
 
 
 @registered("SELECT event_type AS category, count(*) AS total, count(*) FILTER (value > 50) AS passed, round(avg(value), 6) AS avg_latency_ms FROM events GROUP BY event_type")
@@ -923,17 +927,25 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.links(table(spark, sf_dir, "pages")).filter(F.col("href").startswith("/")).select("page_id", "href", "target", "anchor_text")
 
 
-@registered("""SELECT * FROM (VALUES (1, 'https://e.com/d?v=A', 'Atwork', 'e.com', NULL), (2, 'https://e.com/d?x=1&V=B', 'Beta', 'e.com', NULL), (3, 'https://e.com/get?doc=manual.docx', NULL, 'e.com', '.docx'), (4, 'http://f.org/files/Report.PDF#p2', NULL, 'f.org', '.pdf'), (5, 'https://e.com/plain', NULL, 'e.com', NULL)) t(id, url, category, host, extension)""")
+@registered("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'Atwork' WHEN 2 THEN 'Beta' END AS category, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, CASE page_id % 5 WHEN 3 THEN '.docx' WHEN 4 THEN '.pdf' WHEN 0 THEN CASE WHEN regexp_matches(url, '^[a-z]+://[^?#]*/[^?#]*\\.html([?#]|$)') THEN '.html' END END AS extension FROM p""")
 def url_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fixed(spark, [(1, "https://e.com/d?v=A"), (2, "https://e.com/d?x=1&V=B"), (3, "https://e.com/get?doc=manual.docx"), (4, "http://f.org/files/Report.PDF#p2"), (5, "https://e.com/plain")], "id int, url string")
-    u = F.col("url")
-    return rows.select("id", "url", tx.category_from_url(u, tx.category_map("A:Atwork, B:Beta")).alias("category"), tx.host(u).alias("host"), tx.document_extension(u).alias("extension"))
+    """Facts of every page's address, most of them with a document's path or query in its place."""
+    ends = {1: "/d?v=A", 2: "/d?x=1&V=B", 3: "/get?doc=manual.docx", 4: "/files/Report.PDF#p2"}
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    u = F.coalesce(*[F.when(F.col("page_id") % 5 == k, F.concat(origin, F.lit(end))) for k, end in ends.items()], F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.category_from_url(u, tx.category_map("A:Atwork, B:Beta")).alias("category"), tx.host(u).alias("host"), tx.document_extension(u).alias("extension"))
 
 
-@registered("SELECT * FROM (VALUES (1, 'Bericht 2024', '/a.pdf'), (2, 'Plan', 'https://example.org/f.pdf'), (3, NULL, NULL), (4, 'Handbuch', NULL)) t(id, text, target)")
+@registered(r"""WITH raw AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 2)) AS inner_, unnest(range(len(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1)))) AS place FROM pages)
+SELECT page_id, place, CASE WHEN place % 4 <> 2 THEN trim(inner_) END AS text, CASE place % 3 WHEN 0 THEN href WHEN 1 THEN 'https://example.org' || href END AS target FROM raw""")
 def link_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fixed(spark, [(1, "Bericht  (PDF) 2024", "/a.pdf"), (2, "Plan [docx] ►", "mailto:x@y.z?body=https://example.org/f.pdf"), (3, " (Download) ", "mailto:x@y.z"), (4, "Handbuch", "javascript:void(0)")], "id int, raw string, href string")
-    return rows.select("id", tx.clean_anchor_text(F.col("raw")).alias("text"), tx.unwrapped_mailto(F.col("href")).alias("target"))
+    """Texts and addresses of all links of pages, with the marks and wrappers that sites put around them."""
+    found = crawl.links(table(spark, sf_dir, "pages"))
+    place = F.col("place")
+    raw = F.when(place % 4 == 0, F.concat("anchor_text", F.lit("  (PDF) "))).when(place % 4 == 1, F.concat("anchor_text", F.lit(" [docx] ►"))).when(place % 4 == 2, " (Download) ").otherwise(F.col("anchor_text"))
+    href = F.when(place % 3 == 0, F.col("href")).when(place % 3 == 1, F.concat(F.lit("mailto:x@y.z?body=https://example.org"), "href")).otherwise("javascript:void(0)")
+    return found.select("page_id", place.cast("long").alias("place"), tx.clean_anchor_text(raw).alias("text"), tx.unwrapped_mailto(href).alias("target"))
 
 
 @registered(f"""WITH RECURSIVE {_EDGES}, b(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.url WHERE b.depth < 4),
@@ -942,12 +954,14 @@ def frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.frontier(_edges(spark, sf_dir), _some(spark, sf_dir).filter("doc_id = 1").withColumnRenamed("doc_id", "url"), 4, 50)
 
 
-@registered("""WITH t AS (SELECT p AS pattern, n AS num, (n * (p + 3)) % 7 < 2 AS hit FROM range(0, 6) a(p), range(1, 41) b(n)),
+@registered("""WITH t AS (SELECT user_id AS pattern, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS num, value >= 10 AS hit FROM events),
 c AS (SELECT *, num - coalesce(max(CASE WHEN hit THEN num END) OVER (PARTITION BY pattern ORDER BY num), 0) AS misses FROM t),
 s AS (SELECT *, min(CASE WHEN misses >= 3 THEN num END) OVER (PARTITION BY pattern) AS stop FROM c) SELECT pattern, num, hit, misses FROM s WHERE stop IS NULL OR num <= stop""")
 def pattern_gap_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(0, 6).select(F.col("id").alias("pattern"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("num"))
-    return crawl.until_gap(grid.withColumn("hit", (F.col("num") * (F.col("pattern") + 3)) % 7 < 2), 3).withColumn("misses", F.col("misses").cast("long"))
+    """Each user's events as numbered tries, up to the third miss in a row."""
+    num = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    tries = table(spark, sf_dir, "events").select(F.col("user_id").alias("pattern"), num.alias("num"), (F.col("value") >= 10).alias("hit"))
+    return crawl.until_gap(tries, 3).withColumn("misses", F.col("misses").cast("long"))
 
 
 @registered(f"WITH {DOCUMENTS} SELECT download_url AS url, 'e' || (doc_id % 3) AS etag FROM docs WHERE download_url IS NOT NULL AND doc_id % 3 <> 0")

@@ -176,3 +176,35 @@ def test_embedded_links_come_first_and_are_surest(spark):
     rows = spark.createDataFrame([("see https://a/b and https://e/f.", links), ("plain", None)], "text string, links array<struct<page_no:int,uri:string,text:string>>")
     got = [[(r.kind, r.raw, r.ref, r.at, r.sure) for r in x[0]] for x in rows.select(references.with_links(references.find(F.col("text")), F.col("links"), F.lit(1))).collect()]
     assert got == [[("url", "here", "https://a/b", -1, 1.0), ("url", "http://d", "http://d", -1, 1.0), ("url", "https://e/f.", "https://e/f", 20, 0.95)], []]
+
+
+def test_replies_of_known_forms(spark):
+    from tessera.operators import packing
+
+    replies = [
+        ('<think>a\nb</think>  {"answer":"x"}', ("x", "medium", 0, "insufficient")),
+        ('```json\n{"antwort":"x","source":["a","b"]}\n```', ("x", "medium", 2, "cited")),
+        ('text before {"response": "y", "confidence": "high"} and after', ("y", "high", 0, "insufficient")),
+        ("no json at all", (None, "medium", 0, "insufficient")),
+        ("long " * 30, (None, "medium", 0, "fallback")),
+        ('{"answer": "an answer that is longer than fifty characters, surely it is", "sources": []}', ("an answer that is longer than fifty characters, surely it is", "medium", 0, "fallback")),
+    ]
+    rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(replies)], "i int, reply string").orderBy("i")
+    got = rows.select(tx.answer_fields(F.col("reply")).alias("f"), packing.answer_kind(F.col("reply")).alias("kind")).collect()
+    assert [(*r.f, r.kind) for r in got] == [w for _, w in replies]
+
+
+def test_citation_metrics_of_known_answers(spark):
+    from tessera.operators import evaluate
+
+    answers = [
+        ("Laut [1] gilt X. Gemäß [2] gilt Y. Siehe auch [3].", [(1, "doc1", 0.9), (2, "doc2", 0.8), (3, "doc3", 0.7)], (1.0, 1.0, 1.0, 0.8, 1.0)),
+        ("Laut [1] gilt X. Gemäß [5] gilt Y.", [(1, "doc1", 0.9), (2, "doc2", 0.8)], (0.5, 0.5, 1.0, 0.85, 1.0)),
+        ("Laut [1] gilt X.", [(1, "doc1", 0.9), (2, "doc2", 0.8), (3, "doc3", 0.7)], (1.0, 1 / 3, 1.0, 0.8, 1.0)),
+        ("Laut [1] und [2].", [(1, "doc1", 0.9), (2, "doc1", 0.8)], (1.0, 1.0, 1.0, 0.85, 0.5)),
+        ("Some answer", [], (0.0, 0.0, 0.0, 0.0, 0.0)),
+        ("Punkt eins [1]. Punkt zwei. Punkt drei [2].", [(1, "doc1", 0.9), (2, "doc2", 0.8)], (1.0, 1.0, 2 / 3, 0.85, 1.0)),
+    ]
+    rows = spark.createDataFrame([(i, a, s) for i, (a, s, _) in enumerate(answers)], "i int, answer string, sources array<struct<index:int,doc_id:string,confidence:double>>").orderBy("i")
+    for r, (_, _, wanted) in zip(rows.select(*evaluate.citation_metrics(F.col("answer"), F.col("sources")).values()).collect(), answers):
+        assert tuple(r) == pytest.approx(wanted)
