@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tessera.cluster import kept
 from tessera.functions.text import host, without_fragment
 from tessera.operators import crawl, versioning
 from tessera.sources.files import fetched
+from tessera.sources.lake import Table
 
 Fetch = Callable[[str], tuple[int, str | None, bytes]]
 Save = Callable[[DataFrame, str], DataFrame]
@@ -57,6 +60,52 @@ def breadth_first(seeds: DataFrame, read: Callable[[DataFrame], DataFrame], save
     return pages, documents.select("target", F.col("d.url").alias("source_url"), "d.anchor_text", "d.extension"), cut
 
 
+def by_host(waiting: DataFrame, most: int) -> DataFrame:
+    """waiting (url, found) with `turn`: true for the first `most` addresses of each host, by level and then by name."""
+    first = Window.partitionBy(host(F.col("url"))).orderBy("found", "url")
+    turns = waiting.select("url", F.row_number().over(first).alias("nth")).filter(F.col("nth") <= most).select("url", F.lit(True).alias("turn"))
+    return waiting.join(turns, "url", "left").withColumn("turn", F.coalesce("turn", F.lit(False)))
+
+
+def crawl_sites(seeds: DataFrame, read: Callable[[DataFrame], DataFrame], folder: str, rounds: int, per_host: int, hosts: list[str] | None = None) -> Table:
+    """A crawl of many sites at once, round by round: at most `per_host` addresses of each host a round, the others wait for the next.
+
+    What is known stands in a table under the folder, by address: url, the round in which it was found, the round in which it was visited and
+    its status (null while it waits). A crawl that was stopped, or given more rounds, goes on from there; its seeds are added to what is
+    known. Nothing is counted or sorted over all hosts: turns are taken within a host, and a round is read dealt by host.
+    """
+    spark = seeds.sparkSession
+    schema = StructType.fromDDL("url string, found int, visited int, status int")
+    known = Table(spark, f"{folder}/known")
+    if not known.exists():
+        known = Table.create(spark, f"{folder}/known", "url", schema)
+    fresh = seeds.select(without_fragment(F.col("url")).alias("url")).distinct().join(known.read().select("url"), "url", "left_anti")
+    begun = known.read().agg(F.max("visited")).first()[0]
+    begin = 0 if begun is None else begun + 1
+    known.append(fresh.select("url", F.lit(begin).alias("found"), F.lit(None).cast("int").alias("visited"), F.lit(None).cast("int").alias("status")))
+    for level in range(begin, begin + rounds):
+        waiting = known.read().filter("visited IS NULL").select("url", "found")
+        chosen = kept(by_host(waiting, per_host).filter("turn").select("url"), "chosen")
+        if chosen.isEmpty():
+            break
+        got = kept(read(chosen.repartition(host(F.col("url")))), "fetched")
+        links = crawl.links(got.filter("status = 200").select(F.xxhash64("url").alias("page_id"), "url", "html"))
+        further = crawl.page_links(links).select(F.col("target").alias("url")).distinct()
+        if hosts is not None:
+            further = further.filter(host(F.col("url")).isin([h.lower() for h in hosts]))
+        # an address that couldn't be read has no row; it is visited all the same
+        seen = chosen.join(got.groupBy("url").agg(F.min("status").alias("status")), "url", "left").select("url", F.coalesce("status", F.lit(404)).alias("s"))
+        rows = kept(seen.withColumn("was", F.lit(True)).unionByName(further.join(known.read().select("url"), "url", "left_anti").withColumn("was", F.lit(False)), allowMissingColumns=True), "round")
+        known.change(rows, lambda old: _after_round(old, rows, level), f"round {level}")
+    return known
+
+
+def _after_round(old: DataFrame, rows: DataFrame, level: int) -> DataFrame:
+    """What is known after a round: visited addresses with their status, and those found, which wait for the next."""
+    both = old.join(rows, "url", "full_outer")
+    return both.select("url", F.coalesce("found", F.lit(level + 1)).alias("found"), F.when(F.col("was"), level).otherwise(F.col("visited")).alias("visited"), F.when(F.col("was"), F.col("s")).otherwise(F.col("status")).alias("status"))
+
+
 def missed(status: Column, body: Column, marker: str, num: Column, width: int) -> Column:
     """Whether a numbered page is missing: by its status or a text that says so (`{}` in it stands for the number)."""
     texts = [F.lit(marker)]

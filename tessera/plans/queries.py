@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.cluster import fresh_folder
 from tessera.functions import questions, references, text as tx
 from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vector_index, vectors, versioning
+from tessera.plans import crawl as crawls
 from tessera.plans import search
 from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, vector_table, windows
 from tessera.sources.lake import Table
@@ -714,6 +715,20 @@ def profile_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(own.select("vec_id"), "vec_id", "left_semi").groupBy("label").agg(F.count("*").alias("n_vectors"))
 
 
+_ROUNDS = r"""WITH seeds AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, html FROM pages WHERE page_id % 10 = 0),
+raw AS (SELECT url AS page, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>', 1)) AS href FROM seeds),
+found AS (SELECT DISTINCT origin || href AS url, lower(regexp_extract(origin, '://([^/:]*)', 1)) AS host FROM raw WHERE NOT regexp_matches(href, '\.(html?|aspx?|pdf|docx?|xlsx?|xlsm)$') AND origin || href <> page AND origin || href NOT IN (SELECT url FROM seeds)),
+turns AS (SELECT url, (row_number() OVER (PARTITION BY host ORDER BY url) - 1) // 2 AS turn FROM found)
+SELECT url, 0 AS found, 0 AS visited, 200 AS status FROM seeds UNION ALL SELECT url, 1, CASE WHEN turn < 2 THEN CAST(turn + 1 AS INTEGER) END, CASE WHEN turn < 2 THEN 404 END FROM turns"""
+
+
+@registered(_ROUNDS)
+def site_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds over the links of every tenth page, two addresses of a host at a time; hosts of these pages are one page each."""
+    pages = table(spark, sf_dir, "pages")
+    return crawls.crawl_sites(pages.filter("page_id % 10 = 0"), crawls.from_table(pages), fresh_folder(spark, "crawl"), 3, 2).read()
+
+
 # ---- administration
 
 
