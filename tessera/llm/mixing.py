@@ -96,7 +96,6 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = written(goals(cells), "mix-goals")
         factors = {d: wanted.filter(F.col("dimension") == d).select(F.col("value").alias(d), "goal", F.lit(1.0).alias("f")) for d in DIMENSIONS}
         for _ in range(ROUNDS):
-            off = 0.0
             for d in DIMENSIONS:  # each update sees those before it
                 share = F.col("tokens") * _product()
                 have = _with_factors(cells, factors).groupBy(d).agg(F.sum(share).alias("have"), F.sum(F.when(_product() >= 1, F.col("tokens")).otherwise(F.lit(0.0))).alias("whole"))
@@ -105,8 +104,9 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ratio = F.when((free > 0) & (due > 0), due / free).otherwise(plain)
                 updated = factors[d].join(have, d).select(d, "goal", F.round(F.col("f") * ratio, DIGITS).alias("f"), F.abs(plain - 1).alias("off"))
                 factors[d] = scratch.written(updated, f"factors-{d}")
-                off = max(off, factors[d].agg(F.max("off").alias("off")).first()["off"] or 0.0)
-            if off <= TOLERANCE:
+            # one look at all three a round: every action leaves a plan in the driver
+            off = reduce(DataFrame.unionByName, [factors[d].select("off") for d in DIMENSIONS]).agg(F.max("off").alias("off")).first()["off"]
+            if (off or 0.0) <= TOLERANCE:
                 break
         return written(_with_factors(cells, factors).select(*DIMENSIONS, F.round(_product(), DIGITS).alias("probability")), "mix-factors"), wanted
 
