@@ -2,7 +2,7 @@
 
 A page is read into blocks, each with a zone. What the markup itself names as something else than the article (navigation,
 headers, footers, sidebars, forms, scripts, notices, adverts, comments, by element or by a word in class, id or role) is
-outside; what stands in an article or main element is inside; the rest is open. A page with inside blocks consists of those,
+outside (within an article only if the whole name says so: a section about comments is text); what stands in an article or main element is inside; the rest is open. A page with inside blocks consists of those,
 another one of its open blocks, less the boilerplate of its host.
 
 Boilerplate is found by suffix arrays. The token streams of a host's pages, parted into chunks of bounded size, are
@@ -59,6 +59,8 @@ HINTS = frozenset(
     "sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toolbar topbar masthead header footer foot copyright legal comment comments commentlist reply replies respond disqus "
     "share sharing social related recommended recommendations trending popular pagination pager tags toc complementary contentinfo search".split()
 )
+#: Words of names that say how or where something stands, not what it is.
+PLAIN = frozenset("list section box block container wrapper wrap area item items inner outer left right top bottom small large wide inline row col column group panel unit slot sticky fixed float active visible mobile desktop main content body text".split())
 PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
@@ -77,7 +79,12 @@ def _zone(tag: str, attributes: str, zone: int, depth_inside: bool) -> int:
             if name in ("class", "id", "role"):
                 value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(values)).lower()
                 words = set(WORD.findall(value))
-                if not HINTS.isdisjoint(words - {"header"} if depth_inside else words):  # an article's own header is its title
+                if depth_inside:
+                    # within an article a section may be about comments or notices: only names that say nothing else count
+                    words -= PLAIN | {"header"}  # an article's own header is its title
+                    if words and words <= HINTS:
+                        return OUTSIDE
+                elif not HINTS.isdisjoint(words):
                     return OUTSIDE
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", "".join(values).lower()):
                 return OUTSIDE

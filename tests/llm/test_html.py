@@ -125,3 +125,10 @@ def test_articles_of_the_pages_table(spark, sf):
     docs = {" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert rows and all(r.n_chars == len(r.text) for r in rows)
     assert all(" ".join(r.text.partition("\n")[2].split()) in docs for r in rows)
+
+
+def test_sections_of_an_article_about_comments_and_notices_stay():
+    kept = '<section id="comments-on-method"><p>We comment on the method.</p></section><div class="related-work notice"><p>Related work.</p></div><p class="ad-hoc">Ad hoc.</p>'
+    gone = '<div class="comments">c</div><div id="comment-list">l</div><div class="ad">a</div><aside>s</aside><div class="ad banner sticky">b</div><div class="cookie-notice">n</div><div class="relatedItems">r</div>'
+    page = f"<html><body><article><h1>Title</h1>{kept}{gone}</article></body></html>"
+    assert html_text.own_text(html_text.blocks(page)) == ["Title", "We comment on the method.", "Related work.", "Ad hoc."]
