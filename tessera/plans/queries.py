@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.cluster import fresh_folder
 from tessera.functions import questions, references, text as tx
-from tessera.operators import crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vector_index, vectors, versioning
+from tessera.operators import cosine_join, crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vector_index, vectors, versioning
 from tessera.plans import crawl as crawls
 from tessera.plans import search
 from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, vector_table, windows
@@ -598,6 +598,19 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioning.similar_documents(rows, rows.filter("doc_id % 100 = 0"), least=0.3).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"))
 
 
+@registered("""WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM e),
+m AS (SELECT vec_id, v FROM n UNION ALL SELECT vec_id + 1000000, [CASE WHEN i - 1 = vec_id % 64 THEN v[i] + l * CASE vec_id % 3 WHEN 0 THEN 0.5 ELSE 0.1 END::DOUBLE ELSE v[i] END FOR i IN range(1, 65)] FROM n),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM m)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.95""")
+def cosine_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, each with a copy that is moved along one component, with all of them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    step = vectors.norm(F.col("v")) * F.when(F.col("vec_id") % 3 == 0, 0.5).otherwise(0.1)
+    moved = rows.withColumn("step", step).select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("v", lambda x, i: F.when(i == F.col("vec_id") % 64, x + F.col("step")).otherwise(x)).alias("v"))
+    return cosine_join.pairs(rows.unionByName(moved), 0.95, vector="v")[1].withColumn("score", F.round("score", 6))
+
+
 # word sets of all documents by class, and all pairs of classes that share eight tenths of their words
 _SETS = r"""s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS ws FROM documents),
 k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS class_id, ws FROM s),
