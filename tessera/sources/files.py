@@ -267,6 +267,17 @@ def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
     return cases.select("case_id", "c.query", F.coalesce("c.relevant_doc_ids", none).alias("relevant_doc_ids"), F.coalesce("c.expected_answer_contains", none).alias("expected_answer_contains"), F.coalesce("c.category", F.lit("general")).alias("category"))
 
 
+def evaluation_results(results: DataFrame, path: str) -> None:
+    """Writes evaluated cases (case_id, query, category, passed, latency_ms and metrics of any kind) under a path.
+
+    `cases` has a JSON line for each case, `summary` one line: how many there were and passed, the mean latency, and the same by category.
+    """
+    counts = [F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.avg("latency_ms").alias("avg_latency_ms")]
+    by_category = results.groupBy("category").agg(*counts).agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("total", "passed", "avg_latency_ms")))).alias("by_category"))
+    results.write.mode("overwrite").json(f"{path}/cases")
+    results.agg(*counts).crossJoin(by_category).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str | None, bytes]], most: int = 100 << 20) -> DataFrame:
     """url, status, etag, content and error of each address, by a function that the caller supplies; larger bodies are left out.
 

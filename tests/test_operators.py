@@ -389,3 +389,11 @@ def test_a_superseded_document_needs_another_one(spark):
     docs = spark.createDataFrame([(i, True, None, None) for i in (1, 2, 3)], "doc_id long, is_current boolean, archive_reason string, archived_at timestamp")
     pairs = spark.createDataFrame([(2, 1), (3, 3), (9, 2)], "new_id long, old_id long")
     assert rows(versioning.superseded(docs, pairs, F.current_timestamp()).select("doc_id", "is_current", "archive_reason")) == [(1, False, "superseded"), (2, True, None), (3, True, None)]
+
+
+def test_evaluated_cases_and_their_summary_are_written(spark, tmp_path):
+    results = spark.createDataFrame([(1, "q", "a", True, 10.0, 0.5), (2, "r", "a", False, 30.0, None), (3, "s", "b", True, 5.0, 1.0)], "case_id int, query string, category string, passed boolean, latency_ms double, mrr double")
+    files.evaluation_results(results, str(tmp_path / "r"))
+    assert rows(spark.read.json(str(tmp_path / "r/cases")).select("case_id", "passed", "mrr")) == [(1, True, 0.5), (2, False, None), (3, True, 1.0)]
+    summary = spark.read.json(str(tmp_path / "r/summary")).first()
+    assert (summary.total, summary.passed, summary.avg_latency_ms) == (3, 2, 15.0) and summary.by_category.a.passed == 1 and summary.by_category.b.avg_latency_ms == 5.0
