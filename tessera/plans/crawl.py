@@ -67,7 +67,7 @@ def by_host(waiting: DataFrame, most: int) -> DataFrame:
     return waiting.join(turns, "url", "left").withColumn("turn", F.coalesce("turn", F.lit(False)))
 
 
-def crawl_sites(seeds: DataFrame, read: Callable[[DataFrame], DataFrame], folder: str, rounds: int, per_host: int, hosts: list[str] | None = None) -> Table:
+def crawl_sites(seeds: DataFrame, read: Callable[[DataFrame], DataFrame], folder: str, rounds: int, per_host: int, hosts: list[str] | None = None, buckets: int = 16) -> Table:
     """A crawl of many sites at once, round by round: at most `per_host` addresses of each host a round, the others wait for the next.
 
     What is known stands in a table under the folder, by address: url, the round in which it was found, the round in which it was visited and
@@ -78,7 +78,7 @@ def crawl_sites(seeds: DataFrame, read: Callable[[DataFrame], DataFrame], folder
     schema = StructType.fromDDL("url string, found int, visited int, status int")
     known = Table(spark, f"{folder}/known")
     if not known.exists():
-        known = Table.create(spark, f"{folder}/known", "url", schema)
+        known = Table.create(spark, f"{folder}/known", "url", schema, buckets)
     fresh = seeds.select(without_fragment(F.col("url")).alias("url")).distinct().join(known.read().select("url"), "url", "left_anti")
     begun = known.read().agg(F.max("visited")).first()[0]
     begin = 0 if begun is None else begun + 1

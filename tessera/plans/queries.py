@@ -728,7 +728,7 @@ def profile_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(own.select("vec_id"), "vec_id", "left_semi").groupBy("label").agg(F.count("*").alias("n_vectors"))
 
 
-_ROUNDS = r"""WITH seeds AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, html FROM pages WHERE page_id % 10 = 0),
+_ROUNDS = r"""WITH seeds AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, html FROM pages WHERE page_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY lower(regexp_extract(url, '://([^/:?#]*)', 1)) ORDER BY page_id) = 1),
 raw AS (SELECT url AS page, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>', 1)) AS href FROM seeds),
 found AS (SELECT DISTINCT origin || href AS url, lower(regexp_extract(origin, '://([^/:]*)', 1)) AS host FROM raw WHERE NOT regexp_matches(href, '\.(html?|aspx?|pdf|docx?|xlsx?|xlsm)$') AND origin || href <> page AND origin || href NOT IN (SELECT url FROM seeds)),
 turns AS (SELECT url, (row_number() OVER (PARTITION BY host ORDER BY url) - 1) // 2 AS turn FROM found)
@@ -737,9 +737,10 @@ SELECT url, 0 AS found, 0 AS visited, 200 AS status FROM seeds UNION ALL SELECT
 
 @registered(_ROUNDS)
 def site_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds over the links of every tenth page, two addresses of a host at a time; hosts of these pages are one page each."""
+    """Three rounds over the links of one page of each host that has a tenth page, two addresses of a host at a time."""
     pages = table(spark, sf_dir, "pages")
-    return crawls.crawl_sites(pages.filter("page_id % 10 = 0"), crawls.from_table(pages), fresh_folder(spark, "crawl"), 3, 2).read()
+    seeds = pages.filter("page_id % 10 = 0").groupBy(tx.host(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("url"))
+    return crawls.crawl_sites(seeds, crawls.from_table(pages), fresh_folder(spark, "crawl"), 3, 2).read()
 
 
 # ---- administration
