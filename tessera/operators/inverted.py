@@ -75,7 +75,10 @@ class Index:
         rows = self.postings(terms).select("term", one).select("term", "p.window_id", "p.doc_id", "p.places")
         if allowed is not None:
             rows = rows.join(allowed, "doc_id", "left_semi")
-        met = rows.groupBy("window_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+        if len(terms) == 1:  # a window has one posting of a term: nothing to gather
+            met = rows.select("window_id", "doc_id", F.create_map("term", "places").alias("at"))
+        else:
+            met = rows.groupBy("window_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
         if everything:
             all_ = self.windows().select("window_id", "doc_id")
             all_ = all_ if allowed is None else all_.join(allowed, "doc_id", "left_semi")
