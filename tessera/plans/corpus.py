@@ -39,15 +39,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows over all cores. A small file is one split, and so one task, whatever is done with its texts; a large one has splits enough and stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.windows(table(spark, sf_dir, "documents"))
+    return segments.windows(spread(table(spark, sf_dir, "documents")))
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
     """The stored index of the windows of a folder of tables, built once for each application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = Index.build(windows(spark, sf_dir), fresh_folder(spark, "index"))
+        _INDEXES[key] = Index.build(windows(spark, sf_dir), fresh_folder(spark, "index"), shards=16)
     return _INDEXES[key]
 
 

@@ -12,7 +12,7 @@ from tessera.functions import questions, references, text as tx
 from tessera.operators import cosine_join, crawl, evaluate, graph, lexical, packing, ranking, segments, similarity, vector_index, vectors, versioning
 from tessera.plans import crawl as crawls
 from tessera.plans import search
-from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, table, vector_table, windows
+from tessera.plans.corpus import DOCUMENTS, PAGES, WINDOWS, documents, index, spread, table, vector_table, windows
 from tessera.sources.lake import Table
 from tessera.sources.tables import cache_misses, feedback
 from tessera.streaming import events as streams
@@ -623,14 +623,14 @@ l AS (SELECT a, b, shared / (na + nb - shared) AS overlap FROM m WHERE shared /
 r AS (SELECT *, count(*) OVER (PARTITION BY class_id) AS n, row_number() OVER (PARTITION BY class_id ORDER BY overlap DESC, other) AS nth FROM both_)
 SELECT doc_id, k.class_id, coalesce(n, 0) AS n_links, other AS best_id, round(overlap, 6) AS best_overlap FROM k LEFT JOIN r ON k.class_id = r.class_id AND nth = 1""")
 def overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.linked(table(spark, sf_dir, "documents"), tx.word_array(F.col("text"))).withColumn("best_overlap", F.round("best_overlap", 6))
+    return similarity.linked(spread(table(spark, sf_dir, "documents")), tx.word_array(F.col("text"))).withColumn("best_overlap", F.round("best_overlap", 6))
 
 
 _LOGGED = _SETS + """, o AS (SELECT CASE WHEN (a % 97, a) > (b % 97, b) THEN a ELSE b END AS new_id, CASE WHEN (a % 97, a) > (b % 97, b) THEN b ELSE a END AS old_id, round(overlap, 6) AS text_overlap FROM l)"""
 
 
 def _overlap_log(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     found = similarity.links(docs, tx.word_array(F.col("text")))[1]
     return similarity.logged(found, docs, mode, at="created").withColumn("text_overlap", F.round("text_overlap", 6))
 
