@@ -2,8 +2,9 @@
 
 A page is read into blocks, each with a zone. What the markup itself names as something else than the article (navigation,
 headers, footers, sidebars, forms, scripts, notices, adverts, comments, by element or by a word in class, id or role) is
-outside (within an article only if the whole name says so: a section about comments is text); what stands in an article or main element is inside; the rest is open. A page with inside blocks consists of those,
-another one of its open blocks, less the boilerplate of its host.
+outside (within an article only if the whole name says so: a section about comments is text); what stands in an article or
+main element is inside; the rest is open. A page with inside blocks consists of those, another one of its open blocks, less the
+boilerplate of its host.
 
 Boilerplate is found by suffix arrays. The token streams of a host's pages, parted into chunks of bounded size, are
 concatenated (a token of its own between blocks, so that no substring crosses them), suffixes are sorted by prefix doubling,
