@@ -31,12 +31,12 @@ def shipped(spark: SparkSession | None = None) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. A session of one process that has none gets one; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.sparkContext.getCheckpointDir()  # a running session takes no new value of the setting itself
     return folder.rstrip("/")
 
 
