@@ -16,7 +16,8 @@ with a chance of about 0.97 (measured in the tests). A candidate is linked only
 
 Candidates are verified in two passes: first the stars of each chunk of comparisons, then all pairs whose nodes are not
 connected by then. So every candidate pair is verified or connected already, and a large group of near copies doesn't give
-all of its pairs.
+all of its pairs. Whatever has a candidate is in some star, so only ends of stars take part in the second pass; they bring
+all lanes along, and each pair leaves the first anchor where it meets and no other.
 
 Equal fingerprints are one node from the start, so a group of copies of any size is one row. Within a chunk of comparisons
 linked nodes are joined into stars, so a group of near copies gives as many edges as it has members, not pairs. Anchors that
@@ -31,7 +32,7 @@ which keeps one. An empty table gives an empty table; clashing names of other co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ from tessera.llm.common import Scratch, unpack, written
 from tessera.llm.graph import components
 
 SEED, CELL, PAIRS = 42, 16384, 1 << 20
+#: Characters and shingles that a task which verifies pairs may remember.
+SETS = 8 << 20
 #: Odd numbers that turn one shingle hash into further ones (the golden ratio's fraction and its multiples).
 STEP = 0x9E3779B97F4A7C15
 
@@ -307,15 +310,45 @@ def links(nodes: DataFrame, layout: Layout, cell: int = CELL) -> DataFrame:
     return _met(_sent(nodes, layout), layout, cell, "f0", pairs)
 
 
+def _first_meetings(lanes: list[np.ndarray], node: np.ndarray, table: np.ndarray, x: np.ndarray, y: np.ndarray, layout: Layout) -> np.ndarray:
+    """Which of the meetings of y at the home of x are the first of their pair: by table, then at the home of the lesser node.
+
+    Needs all lanes that the tables are cut from. Every place that a pair meets at follows from its two fingerprints, so all
+    meetings but one are left out where they happen, and no pair is."""
+    ends, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    i, j = at[: len(x)], at[len(x) :]
+    fps = np.stack([f[ends] for f in lanes], axis=1)
+    first = np.ones(len(x), bool)
+    for t in range(layout.tables):
+        offset, excess = t * sum(c.length for c in layout.codes), [np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)]
+        for code in layout.codes:
+            word = _bits(fps, offset, code.length)
+            pattern, begins, _ = _patterns(code, layout.threshold)[0]
+            home = word ^ pattern[begins[code.syndromes(word)]]
+            for k, (own, other) in enumerate(((i, j), (j, i))):
+                excess[k] += np.maximum(np.bitwise_count(home[own] ^ word[other]).astype(np.int64) - code.radius, 0)
+            offset += code.length
+        here, there = (e <= layout.threshold for e in excess)
+        first &= ~((table[x] > t) & (here | there)) & ~((table[x] == t) & (node[x] > node[y]) & there)
+    return first
+
+
 def candidates(nodes: DataFrame, layout: Layout, stars: bool, cell: int = CELL) -> DataFrame:
-    """Distinct pairs (a, b) of near nodes (node, root, fps) of different roots, or a star for those of each chunk that hang together."""
+    """Distinct pairs (a, b) of near nodes (node, root, fps) of different roots, or a star for those of each chunk that hang together.
+
+    Pairs are near in all lanes, and each leaves the first anchor that it meets at and no other; stars go by the compared lanes."""
+    if not stars:
+        layout = replace(layout, compared=layout.lanes, limit=layout.near)
+    span = sum(c.length - c.checks for c in layout.codes)
 
     def pairs(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node, root = rows[2 + layout.compared :]
         apart = root[x] != root[y]
-        a, b = node[x[apart]], node[y[apart]]
+        x, y = x[apart], y[apart]
         if stars:
-            return _stars(a, b)
+            return _stars(node[x], node[y])
+        first = _first_meetings(rows[2 : 2 + layout.compared], node, rows[0] >> (24 + span), x, y, layout)
+        a, b = node[x[first]], node[y[first]]
         both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
         return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
@@ -326,14 +359,24 @@ def verified(pairs: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
     """The pairs (a, b) whose texts (node, text) are alike enough in their sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}  # of texts that come again and again in a group
+        room = SETS
+
+        def sets(text: str) -> np.ndarray:
+            nonlocal room
+            if (own := known.get(text)) is None:
+                own = np.unique(shingles(text, layout.shingle))
+                if (room := room - len(text) - len(own)) < 0:
+                    known.clear()
+                    room = SETS - len(text) - len(own)
+                known[text] = own
+            return own
+
         for batch in batches:
             x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             keep = []
-            last, own = None, None
             for s, t in zip(x, y):
-                if own is None or t != last:
-                    last, own = t, np.unique(shingles(t, layout.shingle))
-                other = np.unique(shingles(s, layout.shingle))
+                own, other = sets(t), sets(s)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(both >= layout.alike * (len(own) + len(other) - both) and both > 0)
             mask = pa.array(keep, pa.bool_())
@@ -372,12 +415,16 @@ def _placed(rows: DataFrame, keyed: DataFrame, layout: Layout, scratch: Scratch)
     write = scratch.written
     nodes = write(rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.min("fps").alias("fps")), "nodes")
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def near(pairs: DataFrame) -> DataFrame:
         first, second = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"{n}_fps")) for n in ("a", "b"))
         far = sum((F.bit_count(F.col("a_fps")[k].bitwiseXOR(F.col("b_fps")[k])) for k in range(1, layout.lanes)), F.bit_count(F.col("a_fps")[0].bitwiseXOR(F.col("b_fps")[0])))
-        pairs = write(pairs.join(first, "a").join(second, "b").filter(far <= layout.near).select("a", "b"), "near")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        places = write(nodes.join(ends, "node").select("node", "at.k1", "at.k2"), "places")
+        return write(pairs.join(first, "a").join(second, "b").filter(far <= layout.near).select("a", "b"), "near")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        places = write(nodes.join(ends(pairs), "node").select("node", "at.k1", "at.k2"), "places")
         texts = write(keyed.join(places, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
         out = write(verified(pairs, texts, layout), "alike")
         scratch.drop(texts)
@@ -388,8 +435,10 @@ def _placed(rows: DataFrame, keyed: DataFrame, layout: Layout, scratch: Scratch)
         found = write(components(edges, "edges", write), "roots")
         return write(nodes.select("node", "fps").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
-    stars = alike(write(candidates(nodes.withColumn("root", F.col("node")), layout, True), "stars"))
-    pairs = alike(write(candidates(roots(stars), layout, False), "pairs"))
+    met = write(candidates(nodes.withColumn("root", F.col("node")), layout, True), "stars")
+    stars = alike(near(met))
+    open_ends = write(roots(stars).join(ends(met), "node", "left_semi"), "open")
+    pairs = alike(write(candidates(open_ends, layout, False), "pairs"))
     return roots(stars.unionByName(pairs)).select("node", "root")
 
 

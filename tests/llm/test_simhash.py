@@ -133,3 +133,26 @@ def test_only_texts_alike_in_their_shingles_are_grouped(spark):
     assert {1000 + 2 * i for i in range(60)} <= kept
     assert {1001 + 2 * i for i in range(0, 60, 2)} <= kept
     assert sum(1001 + 2 * i in kept for i in range(1, 60, 2)) <= 2
+
+
+def test_a_pair_leaves_the_first_anchor_it_meets_at_and_no_other(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [rng.getrandbits(512) for _ in range(3)]
+    flipped = [b ^ sum(1 << k for k in rng.sample(range(512), 30)) for b in base for _ in range(40)]
+    rows = [(i, i, [(f >> 64 * k & (1 << 64) - 1) - ((f >> 64 * k + 63 & 1) << 64) for k in range(8)]) for i, f in enumerate(flipped)]
+    nodes = spark.createDataFrame(rows, "node long, root long, fps array<long>").cache()
+    meets, every = set(), np.array([r[2] for r in rows], np.int64).view(np.uint64)
+    for table in range(simhash.SIMILAR.tables):
+        row, anchor, home = simhash.anchors(every, simhash.SIMILAR, table)
+        at = {}
+        for r, a, h in zip(row.tolist(), anchor.tolist(), home.tolist()):
+            at.setdefault(a, []).append((r, h))
+        meets |= {(max(x, y), min(x, y)) for group in at.values() for x, h in group if h for y, _ in group if x != y}
+    wanted = {(x, y) for x, y in meets if (flipped[x] ^ flipped[y]).bit_count() <= simhash.SIMILAR.near}
+    assert len(wanted) > 1000
+    met = simhash._met
+    monkeypatch.setattr(simhash, "_met", lambda *a: emitted.append(met(*a)) or emitted[-1])
+    emitted = []
+    assert {(r.a, r.b) for r in simhash.candidates(nodes, simhash.SIMILAR, False).collect()} == wanted
+    assert emitted[0].count() == len(wanted)
+    assert {(r.a, r.b) for r in simhash.candidates(nodes, simhash.SIMILAR, False, 8).collect()} == wanted
