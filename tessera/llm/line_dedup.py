@@ -5,7 +5,8 @@ texts are put together again by position. Only hashes and positions are shuffled
 Lines are told apart by a 64-bit hash of their key.
 
 Nulls: a null text is one empty line and comes back as an empty text; any other column may be null. A line counts once for
-each row that holds it, however often it stands there; repeated rows count as documents of their own. Empty lines (below
+each distinct id whose rows hold it, however often it stands there; rows without an id don't count, and lose shared lines like
+all others. Empty lines (below
 min_chars) stay. An empty table gives an empty table. Extra columns are kept, whatever their names.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql.types import AtomicType
 from tessera.llm.common import SPACES, ascii_lower, let, unpack, written
 
 
-def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text") -> DataFrame:
+def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """row (a struct of docs' columns, with the cleaned text), n_lines and n_dropped."""
     packed = docs.select(F.struct("*").alias("row"))
     body = F.coalesce(F.col("row")[text], F.lit(""))
@@ -26,17 +27,18 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
         "row",
         F.split(body, "\n").alias("lines"),
         # a row is found again by two hashes of all that it holds; rows that are equal have equal decisions
+        F.col("row")[key].alias("id"),
         F.xxhash64(body).alias("k1"),
         F.xxhash64(F.lit(1), *[F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]).alias("k2"),
     )
     # A to Z are lowered in the whole text at once; hashes and places are read twice, so they are written
-    lines = written(keyed.select("k1", "k2", F.transform(F.split(ascii_lower(body), "\n"), _hashed(min_chars)).alias("hashes")), "line-hashes")
+    lines = written(keyed.select("id", "k1", "k2", F.transform(F.split(ascii_lower(body), "\n"), _hashed(min_chars)).alias("hashes")), "line-hashes")
     hot = written(
-        lines.select(F.explode(F.array_distinct("hashes")).alias("h"))
+        lines.select("id", F.explode(F.array_distinct("hashes")).alias("h"))
         .filter("h IS NOT NULL")
         .groupBy("h")
-        .count()
-        .filter(F.col("count") >= min_docs)
+        .agg(F.count_distinct("id").alias("docs"))
+        .filter(F.col("docs") >= min_docs)
         .select("h"),
         "line-hot",  # written, so that the join below can be split where one line is in very many documents
     )
