@@ -8,8 +8,11 @@ distances to those give the next subset, and so on for a fixed number of steps;
 determinant is taken. That is a minimum among its neighbours, not always the least of all subsets. A document is rejected where its squared Mahalanobis distance passes the limit (by default the 0.9999 quantile of its law for normal data). Spreads
 have a floor, since a statistic that is the same for most of a group would otherwise reject whatever differs from it.
 
-Every document that passes the plain limits is judged: a group with fewer than min_group of them takes the estimate of its
-language over all sources, and where that has too few as well the estimate over all documents.
+Every document that passes the plain limits is judged, and every language and source has an estimate of its own, whatever its
+size. Means and covariances of small groups are regularised: those of a group of n documents have the weight n / (n + PRIOR),
+the rest comes from its language over all sources, which leans on all documents in the same way. So the estimate moves from
+that of the language to the group's own as the group grows, without a step. The two levels above a group start from the first,
+the plain and the least spreads only.
 
 Groups are never gathered: quantiles come from counts per value, whose number is bounded (distances are binned to 1/256 of a
 binary logarithm, so the subset may hold a few documents more than three quarters, never fewer), and everything else is sums.
@@ -36,6 +39,8 @@ Z = ["z1", "z2", "z3", "z4"]
 FLOORS = [60, 250, 120, 120]
 #: The share of a group that is taken as its core, and what makes the core's variance that of a normal sample in four dimensions.
 CORE, CONSISTENT = 0.75, 1.49
+#: The number of documents whose weight the level above has in the estimate of a group.
+PRIOR = 20.0
 #: An estimate is for a level (language and source, language, all), its names there, and a start.
 GROUP = ["level", "a", "b"]
 
@@ -137,6 +142,11 @@ def _root(moments: DataFrame, by: list[str], scale: float = CONSISTENT) -> DataF
     """Means, the lower triangular root of the floored covariance, and the logarithm of its determinant."""
     n = F.col("n").cast("double")
     out = moments.select(*by, *[(F.col(f"s_{z}") / n).alias(f"m_{z}") for z in Z], *[((F.col(f"q_{i}{j}") / n - F.col(f"s_{Z[i]}") / n * (F.col(f"s_{Z[j]}") / n)) * scale + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c_{i}{j}") for i in range(4) for j in range(i + 1)])
+    return _triangle(out, by)
+
+
+def _triangle(out: DataFrame, by: list[str]) -> DataFrame:
+    """Means m_, the lower triangular root l_ of covariances c_, and the logarithm of their determinant."""
     for j in range(4):
         pivot = F.col(f"c_{j}{j}")
         for k in range(j):
@@ -174,7 +184,7 @@ def _starts(cells: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.written(medians.join(away, GROUP), "spreads")
     robust = lambda start, stress: diagonal(both, start, lambda i: F.greatest(F.col(f"d_{Z[i]}") * 1.4826, F.lit(float(FLOORS[i]))) * stress.get(i, 1.0))
     guesses = [robust(0, {}), plain, diagonal(medians, 2, lambda i: F.lit(float(FLOORS[i])))]
-    guesses += [robust(3 + 2 * i + k, {i: stress}) for i in range(4) for k, stress in enumerate((0.25, 4.0))]
+    guesses += [robust(3 + 2 * i + k, {i: stress}).filter("level = 0") for i in range(4) for k, stress in enumerate((0.25, 4.0))]
     return reduce(DataFrame.unionByName, guesses)
 
 
@@ -199,26 +209,33 @@ def concentrated(cells: DataFrame, scratch: Scratch, tries: int, steps: int) ->
     return model.drop("start")
 
 
-def estimate(stats: DataFrame, tries: int = 2, steps: int = 3, min_group: int = 40) -> DataFrame:
-    """Center and covariance root for every language and source, from the finest level with min_group documents that pass the plain limits."""
+def estimate(stats: DataFrame, tries: int = 2, steps: int = 3, prior: float = PRIOR) -> DataFrame:
+    """Center and covariance root for every language and source, and `own`, the weight that its own core has in them.
+
+    An estimate of n documents has the weight n / (n + prior), the rest comes from the level above it."""
     with Scratch(stats.sparkSession, "quality") as scratch:
         passing = scratch.written(stats.filter(~F.col("base_failed")).groupBy("g_lang", "g_source", *Z).agg(F.count("*").alias("n")), "vectors")
         names = [[F.lit(0), F.col("g_lang"), F.col("g_source")], [F.lit(1), F.col("g_lang"), F.lit("")], [F.lit(2), F.lit(""), F.lit("")]]
         named = lambda rows, *more: reduce(DataFrame.unionByName, [rows.select(*[c.alias(n) for c, n in zip(cs, GROUP)], *more) for cs in names])
-        sums = scratch.written(passing.groupBy("g_lang", "g_source").agg(F.sum("n").alias("n")), "sums")
-        sizes = named(sums, "n").groupBy(*GROUP).agg(F.sum("n").alias("rows")).filter((F.col("rows") >= min_group) | (F.col("level") == 2))
         groups = scratch.written(stats.select("g_lang", "g_source").distinct(), "groups")
-        finest = F.row_number().over(Window.partitionBy("g_lang", "g_source").orderBy("level"))
-        judges = named(groups, "g_lang", "g_source").join(sizes, GROUP).withColumn("nth", finest).filter("nth = 1").drop("nth", "rows")
-        judges = scratch.written(judges, "judges")
-        cells = named(passing, *Z, "n").join(judges.select(*GROUP).distinct(), GROUP, "left_semi").groupBy(*GROUP, *Z).agg(F.sum("n").alias("n"))
-        models = concentrated(scratch.written(cells, "cells"), scratch, tries, steps)
-        return written(judges.join(models, GROUP).drop("a", "b"), "quality-model")
-
-
-def judge(stats: DataFrame, limit: float = 23.51, min_group: int = 40) -> DataFrame:
-    """stats with `distance`, the `level` whose estimate judged, and `kept`. stats is read several times, so it should be a written table."""
-    judged = stats.join(estimate(stats, min_group=min_group), ["g_lang", "g_source"], "left").withColumn("distance", _distance(*_model()))
+        cells = scratch.written(named(passing, *Z, "n").groupBy(*GROUP, *Z).agg(F.sum("n").alias("n")), "cells")
+        sizes = scratch.written(cells.groupBy(*GROUP).agg(F.sum("n").alias("n")), "sizes")
+        product = lambda i, j: sum((F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}") for k in range(1, j + 1)), F.col(f"l_{i}0") * F.col(f"l_{j}0"))
+        entries = {**{f"m_{z}": F.col(f"m_{z}") for z in Z}, **{f"c_{i}{j}": product(i, j) for i in range(4) for j in range(i + 1)}}
+        found = concentrated(cells, scratch, tries, steps).join(sizes, GROUP).select(*GROUP, "n", *[c.alias(x) for x, c in entries.items()])
+        above = named(groups, "g_lang", "g_source").join(scratch.written(found, "found"), GROUP)
+        wide = above.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("level") == k, F.col(x))).alias(f"{x}_{k}") for k in range(3) for x in ("n", *entries)])
+        weight = lambda k: F.coalesce(F.col(f"n_{k}") / (F.col(f"n_{k}") + prior), F.lit(0.0))
+        for k in (1, 0):
+            mixed = {x: weight(k) * F.col(f"{x}_{k}") + (1 - weight(k)) * F.col(f"{x}_{k + 1}") for x in entries}
+            wide = wide.withColumns({f"{x}_{k}": F.when(weight(k) > 0, c).otherwise(F.col(f"{x}_{k + 1}")) for x, c in mixed.items()})
+        by = ["g_lang", "g_source", "own"]
+        return written(_triangle(wide.select(*by[:2], weight(0).alias("own"), *[F.col(f"{x}_0").alias(x) for x in entries]), by).drop("log_det"), "quality-model")
+
+
+def judge(stats: DataFrame, limit: float = 23.51, prior: float = PRIOR) -> DataFrame:
+    """stats with `distance`, the weight `own` of the group's own core, and `kept`. stats is read several times, so it should be a written table."""
+    judged = stats.join(estimate(stats, prior=prior), ["g_lang", "g_source"], "left").withColumn("distance", _distance(*_model()))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
 
 

@@ -116,11 +116,11 @@ def distances(z, model):
     return ((z - model[0]) @ np.linalg.inv(model[1]) * (z - model[0])).sum(axis=1)
 
 
-def judged(spark, groups, min_group):
-    """Distances and levels of vectors by (lang, source)."""
+def judged(spark, groups, prior):
+    """Distances, weights and verdicts of vectors by (lang, source)."""
     rows = [(lang, source, False, *map(int, v)) for (lang, source), z in groups.items() for v in z]
     stats = spark.createDataFrame(rows, "g_lang string, g_source string, base_failed boolean, z1 long, z2 long, z3 long, z4 long")
-    return {(r.g_lang, r.g_source, r.z1, r.z2, r.z3, r.z4): (r.distance, r.level, r.kept) for r in quality.judge(written(stats, "test-stats"), min_group=min_group).collect()}
+    return {(r.g_lang, r.g_source, r.z1, r.z2, r.z3, r.z4): (r.distance, r.own, r.kept) for r in quality.judge(written(stats, "test-stats"), prior=prior).collect()}
 
 
 def test_small_groups_have_the_least_determinant_of_all_subsets(spark):
@@ -130,28 +130,43 @@ def test_small_groups_have_the_least_determinant_of_all_subsets(spark):
         z = rng.normal([1500, 100, 50, 30], [80, 300, 150, 120], (12, 4)).round()
         z[:k % 4] += rng.normal(0, 1, (k % 4, 4)) * 40 + np.array([2500, 4000, 2000, 3000])  # up to a quarter lies far off
         groups["en", f"s{k}"] = z
-    got = judged(spark, groups, 12)
+    got = judged(spark, groups, 0)
     for (lang, source), z in groups.items():
         own = [got[lang, source, *map(int, v)] for v in z]
         wanted = distances(z, least_determinant(z, 9))
-        assert all(level == 0 for _, level, _ in own)
+        assert all(weight == 1 for _, weight, _ in own)
         found = np.array([d for d, _, _ in own])
         assert [k for _, _, k in own] == (wanted <= 23.51).tolist()
         # concentration may end beside the least of all subsets, but not far from it
         assert np.linalg.det(floored(z[found.argsort()[:9]])[1]) <= 1.1 * np.linalg.det(least_determinant(z, 9)[1])
 
 
-def test_small_groups_take_the_estimate_of_the_level_above(spark):
+def test_estimates_of_small_groups_lean_on_their_language_and_that_on_all(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda n, at: rng.normal([at, 100, 50, 30], [40, 200, 100, 100], (n, 4)).round()
+    groups = {("en", "a"): draw(8, 1500), ("en", "b"): draw(4, 1500), ("de", "c"): draw(4, 1800)}
+    got, leaning = judged(spark, groups, 20), lambda n, own, above: tuple(n / (n + 20) * x + 20 / (n + 20) * y for x, y in zip(own, above))
+    best = lambda z: least_determinant(z, int(np.ceil(0.75 * len(z))))
+    every = best(np.vstack(list(groups.values())))
+    for lang in ("en", "de"):
+        whole = np.vstack([z for (own, _), z in groups.items() if own == lang])
+        above = leaning(len(whole), best(whole), every)
+        for (own, source), z in groups.items():
+            if own == lang:
+                wanted = distances(z, leaning(len(z), best(z), above))
+                assert [got[own, source, *map(int, v)][0] for v in z] == pytest.approx(wanted, rel=0.25)
+                assert all(got[own, source, *map(int, v)][1] == pytest.approx(len(z) / (len(z) + 20)) for v in z)
+
+
+def test_outliers_of_small_groups_go_and_the_rest_stays(spark):
     rng = np.random.default_rng(4)
     draw = lambda n, at: rng.normal([at, 100, 50, 30], [40, 200, 100, 100], (n, 4)).round()
     groups = {("en", "large"): draw(60, 1500), ("en", "small"): draw(5, 1500), ("de", "a"): draw(30, 1800), ("de", "b"): draw(30, 1800), ("fr", "few"): draw(3, 1600)}
-    groups["en", "small"] = np.vstack([groups["en", "small"], [[9000, 100, 50, 30]]])
-    got = judged(spark, groups, 40)
-    levels = {}
-    for (lang, source, *_), (_, level, _) in got.items():
-        levels.setdefault((lang, source), set()).add(level)
-    assert levels == {("en", "large"): {0}, ("en", "small"): {1}, ("de", "a"): {1}, ("de", "b"): {1}, ("fr", "few"): {2}}
-    assert not got["en", "small", 9000, 100, 50, 30][2]
+    odd = (9000, 100, 50, 30)
+    groups["en", "small"] = np.vstack([groups["en", "small"], [odd]])
+    groups["en", "one"] = np.array([odd], float)
+    for (lang, source, *z), (_, weight, kept) in judged(spark, groups, quality.PRIOR).items():
+        assert 0 < weight < 1 and kept == (tuple(z) != odd), (lang, source, z)
 
 
 def test_query_judges_every_document_that_passes_the_plain_limits(spark, sf):
@@ -269,9 +284,10 @@ def test_mixing_odd_rows(odd, none):
 # ---- line dedup
 
 
-def plain_clean(texts, least):
+def plain_clean(texts, least, ids=None):
     key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in re.sub(f"^{SPACE}+|{SPACE}+\\Z", "", line))
-    found = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")})
+    held = {(k, i) for t, i in zip(texts, ids or range(len(texts))) if i is not None for k in {key(x) for x in (t or "").split("\n")}}
+    found = Counter(k for k, _ in held)
     hot = {k for k, n in found.items() if k and n >= least}
     out = []
     for t in texts:
@@ -288,7 +304,7 @@ def test_line_dedup_and_its_sql(spark, same):
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_line_dedup_odd_rows(odd, none, least):
     rows = line_dedup.drop_shared_lines(odd, min_docs=least).collect()
-    wanted = plain_clean([r.text for r in odd.collect()], least)
+    wanted = plain_clean([r.text for r in odd.collect()], least, [r.doc_id for r in odd.collect()])
     assert sorted((r["row"].text, r.n_lines, r.n_dropped) for r in rows) == sorted(wanted)
     assert line_dedup.drop_shared_lines(none).count() == 0
     cleaned = line_dedup.clean_documents(odd, min_docs=least)
@@ -296,6 +312,12 @@ def test_line_dedup_odd_rows(odd, none, least):
     assert all(r.n_chars == len(r.text) for r in cleaned.collect())
 
 
+def test_rows_of_one_id_are_one_document(spark, same):
+    docs = spark.createDataFrame([(1, f"shared\nown {i}") for i in range(10)] + [(2, "other"), (None, "shared")], "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in line_dedup.drop_shared_lines(docs).collect())
+    assert sum(r.n_dropped for r in line_dedup.drop_shared_lines(docs, min_docs=1).collect()) == 22
+
+
 # ---- license scan
 
 
