@@ -30,3 +30,10 @@ def test_all_references_are_the_pages_own(spark):
 def test_backfill_gives_every_document_a_vector(spark):
     rows = QUERIES["embedding_backfill"](spark, SF).collect()
     assert len(rows) == 200 and all(r.dim == 64 for r in rows)
+
+
+def test_the_flagship_searches_all_documents(spark):
+    """No condition on currency, in the SQL or in the code."""
+    assert "doc_id % 7" not in SQL["hybrid_search"]
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, SF).collect()))
+    assert rows("hybrid_search") == rows("hybrid_archived")
