@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import document_id, jaccard, old_version_reason, set_append, word_set
+from tessera.cluster import kept
 from tessera.operators.vectors import batch_top_k
 
 SIMILAR, OVERLAP, NEAREST = 0.95, 0.80, 5
@@ -85,10 +86,25 @@ def unseen(documents: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def replaced_by_url(incoming: DataFrame, documents: DataFrame) -> DataFrame:
-    """For each incoming (doc_id, download_url, sha256): the newest current document of that address with other content."""
-    old = documents.filter("is_current").select("download_url", F.col("sha256").alias("old_sha256"), F.col("doc_id").alias("old_id"), "created_at")
-    pairs = incoming.select("doc_id", "download_url", "sha256").join(old, "download_url").filter("old_sha256 <> sha256 AND old_id <> doc_id")
-    return pairs.groupBy("doc_id").agg(F.max_by("old_id", F.struct("created_at", "old_id")).alias("replaced_id"))
+    """For each incoming (doc_id, download_url, sha256): the newest current document of that address with other content.
+
+    An address keeps a row of five candidates, whatever the number of its documents: the newest one, the newest of other content and of another
+    id than that, and what comes after those where an incoming document has their id or content as well.
+    """
+    old = documents.filter("is_current AND download_url IS NOT NULL AND sha256 IS NOT NULL AND doc_id IS NOT NULL")
+    # read three times, and a hash of a text is dear
+    rows = kept(old.select("download_url", F.struct("created_at", F.col("doc_id").alias("id"), F.col("sha256").alias("sha")).alias("d")), "by-url")
+    newest = lambda known, **rules: known.groupBy("download_url").agg(*[F.max(F.when(rule, F.col("d"))).alias(name) for name, rule in rules.items()])
+    other = lambda what, than: F.col(f"d.{what}") != F.col(f"{than}.{what}")
+    first = newest(rows, first=F.lit(True))
+    second = first.join(newest(rows.join(first, "download_url"), sha=other("sha", "first"), id=other("id", "first")), "download_url")
+    third = newest(rows.join(second, "download_url"), sha_id=other("sha", "first") & other("id", "sha"), id_sha=other("id", "first") & other("sha", "id"))
+    met = incoming.select("doc_id", "download_url", "sha256").join(second.join(third, "download_url"), "download_url")
+    fits = lambda name: (F.col(f"{name}.sha") != F.col("sha256")) & (F.col(f"{name}.id") != F.col("doc_id"))
+    # every candidate is of this address, so the newest that fits is the answer
+    best = F.greatest(*[F.when(fits(name), F.struct(f"{name}.created_at", f"{name}.id")) for name in ("first", "sha", "id", "sha_id", "id_sha")])
+    found = met.withColumn("best", best).filter("best IS NOT NULL")
+    return found.groupBy("doc_id").agg(F.max("best").alias("best")).select("doc_id", F.col("best.id").alias("replaced_id"))
 
 
 def kept_duplicates(documents: DataFrame, newest: bool = False) -> DataFrame:
