@@ -4,6 +4,7 @@ import datetime
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.questions import Limits
@@ -397,3 +398,43 @@ def test_evaluated_cases_and_their_summary_are_written(spark, tmp_path):
     assert rows(spark.read.json(str(tmp_path / "r/cases")).select("case_id", "passed", "mrr")) == [(1, True, 0.5), (2, False, None), (3, True, 1.0)]
     summary = spark.read.json(str(tmp_path / "r/summary")).first()
     assert (summary.total, summary.passed, summary.avg_latency_ms) == (3, 2, 15.0) and summary.by_category.a.passed == 1 and summary.by_category.b.avg_latency_ms == 5.0
+
+
+def test_replacements_by_address_equal_all_pairs_and_meet_few_rows(spark):
+    import random
+
+    from tessera.operators import versioning
+
+    rng = random.Random(2)
+    pick = lambda *of: rng.choice(of)
+    docs = [(rng.randrange(6), pick("u", "v", None), pick("a", "b", "c", None), pick(1, 2, None), rng.random() < 0.9) for _ in range(40)]
+    come = [(i, u, s) for i in (*range(7), None) for u in ("u", "v", "w", None) for s in ("a", "b", "c", "d", None)]
+    for take in (come[::3], come):
+        wanted = {}
+        for i, u, s in take:
+            fit = [((c is not None, c or 0, o)) for o, v, t, c, now in docs if now and None not in (u, s, t, i) and u == v and s != t and i != o]
+            if fit:
+                wanted[i] = max(wanted.get(i, fit[0]), max(fit))
+        got = versioning.replaced_by_url(spark.createDataFrame(take, "doc_id long, download_url string, sha256 string"), spark.createDataFrame(docs, "doc_id long, download_url string, sha256 string, created_at int, is_current boolean"))
+        assert {r.doc_id: r.replaced_id for r in got.collect()} == {i: w[2] for i, w in wanted.items()}
+
+
+def test_batch_top_k_equals_all_pairs_and_moves_few_rows(spark, monkeypatch):
+    """Ties, zero and odd vectors, several passes; before, every pair of a query and a row went to the window."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BATCH", 7)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-2, 3, (200, 4)).astype(float).tolist()  # many equal directions
+    data = [*enumerate(rows), (200, [0.0] * 4), (201, None), (202, [1.0, 2.0]), (203, [1.0, None, 2.0, 3.0]), (204, [float("nan"), 1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    asked = table.filter("vec_id % 10 = 0 OR vec_id > 200").selectExpr("vec_id AS qid", "embedding AS qvec")
+    score = vectors.cosine(F.col("embedding"), F.col("qvec"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+    wanted = asked.crossJoin(table).select("qid", "vec_id", score.alias("score")).filter("score IS NOT NULL").withColumn("rank", rank).filter("rank <= 5")
+    frame = vectors.batch_top_k(table, asked, 5)
+    assert "NestedLoopJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r.qid, r["rank"], r.vec_id, repr(r.score))
+    assert sorted(map(key, frame.collect())) == sorted(map(key, wanted.collect()))
+    assert vectors.batch_top_k(table, asked.limit(0), 5).count() == 0
