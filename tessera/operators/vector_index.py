@@ -4,7 +4,7 @@ Cells come from a bounded sample (SAMPLE rows, those of the least hashes), on wh
 into the list of its nearest centre, with one sign bit for each component, and lists are stored as folders. A question looks into the
 `probes` nearest cells. There, distances between codes are counted first: the least distance within which at least `pool` rows lie is
 found for each question, all rows at that distance or less are kept, ties included, and their cosines are exact. How many cells
-to probe and how many rows to keep is set when the index is made, as the least that reaches the wished recall on the sample.
+to probe and which share of the rows to keep is set when the index is made, as the least that reaches the wished recall on the sample.
 """
 
 from __future__ import annotations
@@ -129,9 +129,14 @@ class VectorIndex:
         if not some:
             raise ValueError("there is nothing to index")
         units = _units(np.array([r["vector"] for r in some]))
-        cells = cells or min(CELLS, max(1, round(rows.count() ** 0.5)), max(1, len(units) // 4))
-        centres = fitted_centres(units, cells)
-        facts = Facts(units.shape[1], *calibrated(units, centres, k, wished), [[float(x) for x in c] for c in centres])
+        n = rows.count()
+        # where the sample isn't all, probes and pool are judged on rows that the cells don't know, as most rows are
+        fit, judged = (units, units) if len(units) == n or len(units) < 2 else (units[::2], units[1::2])
+        cells = cells or min(CELLS, max(1, round(n**0.5)), max(1, len(fit) // 4))
+        centres = fitted_centres(fit, cells)
+        probes, pool = calibrated(judged, centres, k, wished)
+        # a pool is a share of the rows: near codes are as many times more as there are more rows
+        facts = Facts(units.shape[1], probes, -(-pool * n // len(judged)), [[float(x) for x in c] for c in centres])
         code = binary_code(F.col("vector"), facts.dim).alias("code")
         _celled(rows, "vector", facts, 1).select("id", "vector", code, F.col("cells")[0].alias("cell")).write.partitionBy("cell").parquet(f"{path}/lists")
         spark.createDataFrame([(json.dumps(asdict(facts)),)], "facts string").coalesce(1).write.parquet(f"{path}/facts")

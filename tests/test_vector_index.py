@@ -65,3 +65,12 @@ def test_other_lengths_are_errors(spark, index):
         index.top_k(spark.createDataFrame([(1, [1.0])], "qid long, qvec array<double>")).collect()
     with pytest.raises(ValueError):
         VectorIndex.build(spark.createDataFrame([], "vec_id long, embedding array<float>"), "file:///tmp/none")
+
+
+def test_recall_holds_beyond_the_sample(spark, tmp_path):
+    """A pool is a share of all rows, not as many as the sample needed."""
+    data = np.random.default_rng(6).normal(0, 1, (3000, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    made = VectorIndex.build(table, f"file://{tmp_path}/i", k=10, sample=300)
+    exact = vectors.batch_top_k(table, asked(table), 10).withColumnRenamed("vec_id", "id")
+    assert vector_index.recall(made.top_k(asked(table), 10), exact).first().recall >= 0.9
