@@ -17,7 +17,8 @@ with a chance of about 0.97 (measured in the tests). A candidate is linked only
 Candidates are verified in two passes: first the stars of each chunk of comparisons, then all pairs whose nodes are not
 connected by then. So every candidate pair is verified or connected already, and a large group of near copies doesn't give
 all of its pairs. Whatever has a candidate is in some star, so only ends of stars take part in the second pass; they bring
-all lanes along, and each pair leaves the first anchor where it meets and no other.
+all lanes along, and each pair leaves the first anchor where it meets and no other. Either pass deals TABLES tables at a time,
+so the disk holds the anchors of those and not of all tables; which pairs are found doesn't depend on that.
 
 Equal fingerprints are one node from the start, so a group of copies of any size is one row. Within a chunk of comparisons
 linked nodes are joined into stars, so a group of near copies gives as many edges as it has members, not pairs. Anchors that
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ from tessera.llm.common import Scratch, unpack, written
 from tessera.llm.graph import components
 
 SEED, CELL, PAIRS = 42, 16384, 1 << 20
+#: Tables whose rows are dealt at once; the shuffles of those before are gone by then.
+TABLES = 5
 #: Characters and shingles that a task which verifies pairs may remember.
 SETS = 8 << 20
 #: Odd numbers that turn one shingle hash into further ones (the golden ratio's fraction and its multiples).
@@ -198,9 +202,10 @@ def anchors(fps: np.ndarray, layout: Layout, table: int = 0) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(homes)
 
 
-def _sent(nodes: DataFrame, layout: Layout, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(anchor, home, f0 and the other compared lanes) and carried longs for every anchor that a node (column fps) is sent to; anchors of different tables differ."""
+def _sent(nodes: DataFrame, layout: Layout, carry: tuple[str, ...] = (), tables: range | None = None) -> DataFrame:
+    """(anchor, home, f0 and the other compared lanes) and carried longs for every anchor of the tables (none named: all) that a node (column fps) is sent to; anchors of different tables differ."""
     span, names = sum(c.length - c.checks for c in layout.codes), [f"f{k}" for k in range(layout.compared)]
+    tables = range(layout.tables) if tables is None else tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +214,7 @@ def _sent(nodes: DataFrame, layout: Layout, carry: tuple[str, ...] = ()) -> Data
             for first in range(0, len(every), 2000):
                 part = every[first : first + 2000]
                 signed = part.view(np.int64)
-                for table in range(layout.tables):
+                for table in tables:
                     row, anchor, home = anchors(part, layout, table)
                     columns = [anchor | table << span, home, *[signed[row, k] for k in range(layout.compared)], *[c[first + row] for c in carried]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "home", *names, *carry])
@@ -333,8 +338,8 @@ def _first_meetings(lanes: list[np.ndarray], node: np.ndarray, table: np.ndarray
     return first
 
 
-def candidates(nodes: DataFrame, layout: Layout, stars: bool, cell: int = CELL) -> DataFrame:
-    """Distinct pairs (a, b) of near nodes (node, root, fps) of different roots, or a star for those of each chunk that hang together.
+def candidates(nodes: DataFrame, layout: Layout, stars: bool, cell: int = CELL, tables: range | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of near nodes (node, root, fps) of different roots that meet in the tables (none named: all), or a star for those of each chunk that hang together.
 
     Pairs are near in all lanes, and each leaves the first anchor that it meets at and no other; stars go by the compared lanes."""
     if not stars:
@@ -352,7 +357,7 @@ def candidates(nodes: DataFrame, layout: Layout, stars: bool, cell: int = CELL)
         both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
         return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
-    return _met(_sent(nodes, layout, ("node", "root")), layout, cell, "node", pairs).distinct()
+    return _met(_sent(nodes, layout, ("node", "root"), tables), layout, cell, "node", pairs).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
@@ -435,10 +440,17 @@ def _placed(rows: DataFrame, keyed: DataFrame, layout: Layout, scratch: Scratch)
         found = write(components(edges, "edges", write), "roots")
         return write(nodes.select("node", "fps").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
-    met = write(candidates(nodes.withColumn("root", F.col("node")), layout, True), "stars")
+    def meetings(nodes: DataFrame, stars: bool, name: str) -> DataFrame:
+        parts = []
+        for first in range(0, layout.tables, TABLES):
+            parts.append(write(candidates(nodes, layout, stars, tables=range(first, min(first + TABLES, layout.tables))), name))
+            scratch.tidy()
+        return write(reduce(DataFrame.unionByName, parts).distinct(), name)
+
+    met = meetings(nodes.withColumn("root", F.col("node")), True, "stars")
     stars = alike(near(met))
     open_ends = write(roots(stars).join(ends(met), "node", "left_semi"), "open")
-    pairs = alike(write(candidates(open_ends, layout, False), "pairs"))
+    pairs = alike(meetings(open_ends, False, "pairs"))
     return roots(stars.unionByName(pairs)).select("node", "root")
 
 

@@ -156,3 +156,21 @@ def test_a_pair_leaves_the_first_anchor_it_meets_at_and_no_other(spark, monkeypa
     assert {(r.a, r.b) for r in simhash.candidates(nodes, simhash.SIMILAR, False).collect()} == wanted
     assert emitted[0].count() == len(wanted)
     assert {(r.a, r.b) for r in simhash.candidates(nodes, simhash.SIMILAR, False, 8).collect()} == wanted
+
+
+def test_few_tables_are_dealt_at_once_and_none_is_left_out(spark, monkeypatch):
+    rng = random.Random(13)
+    base = rng.getrandbits(512)
+    flipped = [base ^ sum(1 << k for k in rng.sample(range(512), 40)) for _ in range(60)]
+    nodes = spark.createDataFrame([(i, i, [(f >> 64 * k & (1 << 64) - 1) - ((f >> 64 * k + 63 & 1) << 64) for k in range(8)]) for i, f in enumerate(flipped)], "node long, root long, fps array<long>").cache()
+    pairs = lambda tables: [(r.a, r.b) for r in simhash.candidates(nodes, simhash.SIMILAR, False, tables=tables).collect()]
+    parts = [p for first in range(0, 17, 5) for p in pairs(range(first, min(first + 5, 17)))]
+    assert sorted(parts) == sorted(pairs(None)) and len(parts) > 100
+    dealt, sent = [], simhash._sent
+    monkeypatch.setattr(simhash, "_sent", lambda nodes, layout, carry, tables: dealt.append(tables) or sent(nodes, layout, carry, tables))
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = [" ".join(word() for _ in range(100)) for _ in range(10)]
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate([t + " end" for t in texts], 10)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == list(range(10))
+    assert max(len(t) for t in dealt) <= simhash.TABLES < simhash.SIMILAR.tables
+    assert sorted(t for group in dealt for t in group) == sorted([*range(17)] * 2)
