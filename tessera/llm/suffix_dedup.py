@@ -17,9 +17,11 @@ with one anchor form a segment, a string that is moved whole. The steps, each a
    `length` bytes.
 5. Texts learn which of their segments have such windows, and bytes are removed.
 
-An anchor in CROWD places or more would make an unbounded chunk, if all its surroundings differ. Its windows are keyed by all of
-their bytes instead of their anchor: then what meets in a chunk are equal windows only, which counting has made one row.
-Keys of segments and texts are 128-bit hashes of their bytes.
+An anchor of CROWD different segments or more would make an unbounded chunk. Its segments, one of each content, are cut into bands
+of BAND windows, by how far a window begins before the anchor. What all windows of a band have in common, all but BAND - 1 of their
+bytes, is the anchor of the next round. Where even that is crowded windows are keyed by all of their bytes: then what meets are equal
+windows only, which counting has made one row. Copies never come to this, since they are one segment with a count, and a text meets
+its segments by a row for each of them, however many windows that has. Keys of segments and texts are 128-bit hashes of their bytes.
 
 Nulls: a null text is empty; null ids stay and count as least. Empty texts and those shorter than `length` stay. Repeated rows
 are texts of their own: with keep="none" they lose all windows, with keep="first" rows that share both id and text all stay. Very
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from tessera.cluster import shipped
 from tessera.llm.common import Scratch, written
 
-LENGTH, GRAM, CROWD = 200, 32, 10_000
+LENGTH, GRAM, CROWD, BAND = 200, 32, 10_000, 16
 #: Bytes that are hashed together, of segments that one task takes at a time, and of anchors' segments in one suffix array.
 PIECE, CHUNK, BATCH = 1 << 20, 4 << 20, 1 << 19
 MULTIPLY, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
@@ -119,35 +121,31 @@ def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]
         yield group
 
 
-def wanted(texts: list[bytes], lists: list[list[dict] | None], length: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(text, first, last, anchor, whether it is crowded) of the segments whose anchor is in the text's list of {h, crowded}."""
-    asked = [(k, x["h"], x["crowded"]) for k, own in enumerate(lists) for x in own or ()]
+def wanted(texts: list[bytes], lists: list[list[int] | None], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(text, first, last, anchor) of the segments whose anchor is in the text's list."""
+    asked = [(k, h) for k, own in enumerate(lists) for h in own or ()]
     if not asked:
         return
-    of, h, crowded = (np.array(x) for x in zip(*asked))
+    of, h = (np.array(x) for x in zip(*asked))
     for text, first, last, anchor in segments(texts, length):
         near = (of >= text[0]) & (of <= text[-1])
         names, code = np.unique(np.concatenate([h[near], anchor]), return_inverse=True)
         split = int(near.sum())
-        keys, place = np.unique(of[near] * len(names) + code[:split], return_index=True)
-        if not len(keys):
-            continue
-        mine = text * len(names) + code[split:]
-        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        hit = keys[at] == mine
-        yield from zip(text[hit].tolist(), first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist(), crowded[near][place][at[hit]].tolist())
-
-
-def keyed(texts: list[bytes], lists: list[list[dict] | None], length: int) -> Iterator[tuple[int, bytes, int, int, int, bool]]:
-    """(text, key, first, last, anchor, whether its bytes are needed); the windows of crowded anchors come one by one."""
-    for text, first, last, anchor, crowded in wanted(texts, lists, length):
-        own = texts[text]
-        if crowded:
-            for at in range(first, last + 1):
-                key = xxhash.xxh3_128_digest(own[at : at + length])
-                yield text, key, at, at, int.from_bytes(key[:8], "little", signed=True), False
-        else:
-            yield text, xxhash.xxh3_128_digest(own[first : last + length]), first, last, anchor, True
+        hit = np.isin(text * len(names) + code[split:], of[near] * len(names) + code[:split])
+        yield from zip(text[hit].tolist(), first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist())
+
+
+def bands(text: bytes, length: int, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first, last, what they share) of runs of up to `width` windows of a segment that begin as far before its anchor as those of any other.
+
+    Equal windows of segments with one anchor share the same; a width of one takes windows by themselves.
+    """
+    at = int(anchors(np.frombuffer(text[:length], np.uint8), length, gram_of(length))[0][0]) if width > 1 else len(text) - length
+    first, n = 0, len(text) - length + 1
+    while first < n:
+        latest = at - (at - first) // width * width
+        yield first, min(n - 1, latest), text[latest : latest - width + 1 + length]
+        first = latest + 1
 
 
 # ---- suffix order and factors
@@ -304,12 +302,13 @@ def _segments(asked: DataFrame, length: int, whole: bool) -> DataFrame:
         for batch in batches:
             texts, n = batch.column("text").to_pylist(), batch.column("n").to_pylist()
             met: dict[tuple, list] = {}
-            for text, name, first, last, anchor, needed in keyed(texts, batch.column("list").to_pylist(), length):
+            for text, first, last, anchor in wanted(texts, batch.column("list").to_pylist(), length):
+                name = xxhash.xxh3_128_digest(texts[text][first : last + length])
                 row = met.get((text, name)) if whole else None
                 if row:
                     row[2] += n[text]
                 else:
-                    met[(text, name) if whole else (text, name, first)] = [first, last, n[text], anchor, texts[text][first : last + length] if whole and needed else None]
+                    met[(text, name) if whole else (text, name, first)] = [first, last, n[text], anchor, texts[text][first : last + length] if whole else None]
             if met:
                 ids, of = np.frombuffer(b"".join(m[1] for m in met), "<i8").reshape(-1, 2), pa.array([m[0] for m in met], pa.int32())
                 at, last, times, h, own = zip(*met.values())
@@ -324,8 +323,7 @@ def _segments(asked: DataFrame, length: int, whole: bool) -> DataFrame:
 
 def _factors(distinct: DataFrame, length: int, keep: str, chunk: int) -> DataFrame:
     """(s1, s2, place, windows): the removed windows, as bits, of every segment that others of its anchor share windows with."""
-    strings = distinct.filter("bytes IS NOT NULL")
-    size = strings.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    size = distinct.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     schema = distinct.select("s1", "s2", "place").withColumn("windows", F.lit(None).cast("binary")).schema
 
     def order(row: tuple) -> tuple:
@@ -353,10 +351,89 @@ def _factors(distinct: DataFrame, length: int, keep: str, chunk: int) -> DataFra
                 held += sum(len(pieces[k]) for k in sorted_[begin:end].tolist())
         return group.select(["s1", "s2", "place"]).take(pa.array(hit, pa.int64())).append_column("windows", pa.array(marks, pa.binary()))
 
-    dealt = strings.withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(-(-size // chunk) or 1)))
+    dealt = distinct.withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(-(-size // chunk) or 1)))
     return dealt.select("chunk", "h", "s1", "s2", "n", "place", "bytes").groupBy("chunk").applyInArrow(run, schema)
 
 
+def _counted(parts: DataFrame) -> DataFrame:
+    """(s1, s2, n, place, h, bytes): one row for each content, with its number and its first place."""
+    return parts.groupBy("s1", "s2").agg(F.sum("times").alias("n"), F.min("place").alias("place"), F.any_value("h").alias("h"), F.any_value("bytes").alias("bytes"))
+
+
+def _parts(crowded: DataFrame, length: int, width: int) -> DataFrame:
+    """(o1, o2, owner, all, s1, s2, place, at, last, times, h and bytes) of the bands of segments; o1, o2, owner and all: the segment's key, place and number of windows."""
+    names = ["o1", "o2", "all", "s1", "s2", "first", "sha", "begin", "at", "last", "times", "h", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (own, h) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("h").to_pylist())):
+                for first, last, shared in bands(own, length, width):
+                    anchor = xxhash.xxh3_64_digest(shared + h.to_bytes(8, "little", signed=True))
+                    rows.append((k, len(own) - length + 1, first, last, own[first : last + length], anchor))
+            of, every, at, last, own, anchor = zip(*rows) if rows else [()] * 6
+            ids, of = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), "<i8").reshape(-1, 2), pa.array(of, pa.int32())
+            taken = {c: batch.column(c).take(of) for c in ("s1", "s2", "first", "sha", "begin", "n")}
+            columns = [taken["s1"], taken["s2"], pa.array(every, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), taken["first"], taken["sha"], taken["begin"]]
+            columns += [pa.array(at, pa.int32()), pa.array(last, pa.int32()), taken["n"], pa.array(np.frombuffer(b"".join(anchor), "<i8")), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    read = crowded.select("s1", "s2", "n", "h", "place.first", "place.sha", F.col("place.at").alias("begin"), "bytes")
+    kind = read.schema["first"].dataType.simpleString()
+    found = read.mapInArrow(run, f"o1 long, o2 long, all int, s1 long, s2 long, first {kind}, sha binary, begin int, at int, last int, times long, h long, bytes binary")
+    place = lambda at: F.struct("first", "sha", at.alias("at"))
+    return found.select("o1", "o2", place(F.col("begin")).alias("owner"), "all", "s1", "s2", place(F.col("begin") + F.col("at")).alias("place"), "at", "last", "times", "h", "bytes")
+
+
+def _hit(keep: str) -> Column:
+    """Whether what was told of a segment (owner, windows) holds for one at `place`."""
+    return F.lit(True) if keep == "none" else (F.col("place") == F.col("owner")) == F.col("windows").isNotNull()
+
+
+def _gathered(found: DataFrame) -> DataFrame:
+    """(s1, s2, place, windows) of segments (o1, o2, owner, all, found): the bits of their bands put together."""
+    schema = found.select(F.col("o1").alias("s1"), F.col("o2").alias("s2"), F.col("owner").alias("place"), F.lit(b"").alias("windows")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(_marked(own, n)).tobytes() for own, n in zip(batch.column("found").to_pylist(), batch.column("all").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("o1", "o2", "owner")], pa.array(bits, pa.binary())], ["s1", "s2", "place", "windows"])
+
+    return found.mapInArrow(run, schema)
+
+
+def _marked(found: list[dict] | None, n: int) -> np.ndarray:
+    """Which of n windows are named by found: the first and last window of segments, and which of them: bits, or null for all."""
+    mark = np.zeros(n, bool)
+    for x in found or ():
+        size = x["last"] + 1 - x["at"]
+        mark[x["at"] : x["last"] + 1] |= True if x["windows"] is None else np.unpackbits(np.frombuffer(x["windows"], np.uint8))[:size].astype(bool)
+    return mark
+
+
+def _told(distinct: DataFrame, length: int, keep: str, crowd: int, chunk: int, scratch: Scratch, widths: tuple[int, ...] = (BAND, 1)) -> DataFrame:
+    """(s1, s2, owner, windows) of segments with removed windows: null for all windows of all places but the owner (keep="none": of all places), or bits of the owner's.
+
+    distinct is a written table; widths are those of the bands that segments of crowded anchors are cut into, round after round.
+    """
+    # what is found in several places goes whole, but for the first of them; what shares windows goes in part
+    out = distinct.filter("n > 1").select("s1", "s2", F.col("place").alias("owner"), F.lit(None).cast("binary").alias("windows"))
+    if not widths:
+        return out
+    hot = scratch.written(distinct.groupBy("h").count().filter(F.col("count") >= crowd).select("h"), "crowded")
+    split = not hot.isEmpty()
+    factors = scratch.written(_factors(distinct.join(hot, "h", "left_anti") if split else distinct, length, keep, chunk), "factors")
+    out = out.unionByName(factors.withColumnRenamed("place", "owner"))
+    if not split:
+        return out
+    parts = scratch.written(_parts(distinct.join(hot, "h", "left_semi"), length, widths[0]), "parts", compression="zstd")
+    told = _told(scratch.written(_counted(parts), "bands", compression="zstd"), length, keep, crowd, chunk, scratch, widths[1:])
+    mine = parts.filter("times = 1") if keep == "none" else parts
+    met = mine.select("o1", "o2", F.col("owner").alias("of"), "all", "s1", "s2", "place", "at", "last").join(told, ["s1", "s2"]).filter(_hit(keep))
+    found = met.groupBy("o1", "o2").agg(F.any_value("of").alias("owner"), F.any_value("all").alias("all"), F.collect_list(F.struct("at", "last", "windows")).alias("found"))
+    return out.unionByName(scratch.written(_gathered(found), "gathered").withColumnRenamed("place", "owner"))
+
+
 def covered(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
     """The maximal runs of bytes that lie in marked windows."""
     at = np.flatnonzero(windows)
@@ -384,11 +461,7 @@ def _judged(told: DataFrame, length: int, keep: str) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for k, (text, n, found) in enumerate(zip(texts, batch.column("n").to_pylist(), batch.column("found").to_pylist())):
                 if not (n > 1 and keep == "none"):
-                    mark = np.zeros(max(0, len(text) - length + 1) if found else 0, bool)
-                    for x in found or ():
-                        size = x["last"] + 1 - x["at"]
-                        mark[x["at"] : x["last"] + 1] |= True if x["windows"] is None else np.unpackbits(np.frombuffer(x["windows"], np.uint8))[:size].astype(bool)
-                    rows.append((k, False, covered(mark, length)))
+                    rows.append((k, False, covered(_marked(found, max(0, len(text) - length + 1) if found else 0), length)))
                 if n > 1:
                     rows.append((k, keep == "first", [(0, len(text))] if len(text) >= length else []))
             of = pa.array([r[0] for r in rows], pa.int32())
@@ -414,19 +487,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
         long = texts.filter(F.octet_length("text") >= length)
         found = scratch.written(_anchors(long, length), "anchors")
         often = found.groupBy("h").agg(F.sum("times").alias("times")).filter("times > 1")
-        mine = found.select("h", "sha").join(often.select("h", (F.col("times") >= crowd).alias("crowded")), "h")
-        asked = scratch.written(mine.groupBy("sha").agg(F.collect_list(F.struct("h", "crowded")).alias("list")), "asked")
+        mine = found.select("h", "sha").join(often.select("h"), "h")
+        asked = scratch.written(mine.groupBy("sha").agg(F.collect_list("h").alias("list")), "asked")
         theirs = long.join(asked, "sha")
-        parts = _segments(theirs, length, True).groupBy("s1", "s2")
-        distinct = scratch.written(parts.agg(F.sum("times").alias("n"), F.min("place").alias("place"), F.any_value("h").alias("h"), F.any_value("bytes").alias("bytes")), "segments", compression="zstd")
-        factors = scratch.written(_factors(distinct, length, keep, chunk), "factors")
-        # what is found in several places goes whole, but for the first of them; what shares windows goes in part
-        several = distinct.filter("n > 1").select("s1", "s2", "place", F.lit(None).cast("binary").alias("windows"))
-        told = several.unionByName(factors).withColumnRenamed("place", "owner")
+        distinct = scratch.written(_counted(_segments(theirs, length, True)), "segments", compression="zstd")
+        told = _told(distinct, length, keep, crowd, chunk, scratch)
         own = _segments(theirs.filter("n = 1") if keep == "none" else theirs, length, False)
-        same = F.col("place") == F.col("owner")
-        hit = F.lit(True) if keep == "none" else same == F.col("windows").isNotNull()
-        met = own.join(told, ["s1", "s2"]).filter(hit).groupBy(F.col("place.sha").alias("sha")).agg(F.collect_list(F.struct("place.at", "last", "windows")).alias("found"))
+        met = own.join(told, ["s1", "s2"]).filter(_hit(keep)).groupBy(F.col("place.sha").alias("sha")).agg(F.collect_list(F.struct("place.at", "last", "windows")).alias("found"))
         judged = _judged(texts.join(met, "sha", "left"), length, keep)
         result = written(judged.select("sha", "first", "later", *[c.alias(f"d_{name}") for name, c in derive.items()]), "repeats")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")

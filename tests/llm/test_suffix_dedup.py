@@ -109,3 +109,43 @@ def test_suffix_order_and_factors_equal_a_plain_sort():
         assert earlier.tolist() == [max((shared(s, t) for t in starts.tolist() if t < s), default=0) for s in order.tolist()]
         least = length // 2
         assert suffix_dedup.previous_factors(-order, common, least).tolist() == [max((x for t in starts.tolist() if t > s and (x := shared(s, t)) >= least), default=0) for s in order.tolist()]
+
+
+def test_a_crowded_passage_gives_rows_for_its_segments_not_for_its_windows(spark, monkeypatch):
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(400)
+    rows = [(i, passage + prose(150)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    most, segments = [], suffix_dedup._segments
+
+    def counted(*how):
+        made = segments(*how)
+        most.append(made.count())
+        return made
+
+    monkeypatch.setattr(suffix_dedup, "_segments", counted)
+    for keep in ("none", "first"):
+        assert by_id(found(docs, length=100, keep=keep, crowd=20)) == by_id(plain(rows, 100, keep))
+    runs = sum(len(first) for _, first, _, _ in suffix_dedup.segments([t.encode() for _, t in rows], 100))
+    assert runs < 60 * 451 / 10 and max(most) <= runs
+
+
+def test_bands_hold_every_window_once_and_equal_windows_share_the_same():
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh ", k=300))
+    texts = [("".join(rng.choices("abcdefgh ", k=50)) + passage + "".join(rng.choices("abcdefgh ", k=90))).encode() for _ in range(8)]
+    for width in (16, 1):
+        shares = {}
+        for text, first, last, anchor in suffix_dedup.segments(texts, 100):
+            for t, a, b, h in zip(text.tolist(), first.tolist(), last.tolist(), anchor.tolist()):
+                own = texts[t][a : b + 100]
+                seen = []
+                for begin, end, shared in suffix_dedup.bands(own, 100, width):
+                    assert end - begin < width and len(shared) == 101 - width
+                    for w in range(begin, end + 1):
+                        assert shared in own[w : w + 100]
+                        shares.setdefault((h, own[w : w + 100]), set()).add(shared)
+                        seen.append(w)
+                assert seen == list(range(b - a + 1))
+        assert all(len(x) == 1 for x in shares.values()) and len(shares) < sum(len(t) - 99 for t in texts)
