@@ -9,9 +9,12 @@ holds, the leftmost one with the least hash. Equal windows have equal anchors, s
 with one anchor form a segment, a string that is moved whole. The steps, each a Spark job over tables in the shared folder:
 
 1. Equal texts become one, with their number. The table is dealt by a hash of the text, once; texts move no more after that.
-2. Anchors are counted over all texts; texts learn which of their own occur more than once. The rest needs no more work.
+2. Anchors are counted over all different texts; texts learn which of their own occur more than once, and where their segments lie.
+   The rest needs no more work: what stands once in a text and in no other text is repeated by that text's copies only.
 3. Segments of those anchors are grouped by content, so that copies become one row with a count before they are shuffled.
-4. Different segments that share an anchor are concatenated, arrays of bounded size at a time. The suffix order of all window
+4. Different segments that share an anchor are cut to what may be repeated: equal windows lie alike around their anchor, so a segment
+   keeps as many bytes on either side of it as it has in common with any other; without `length` of them it has no such window. The
+   cut segments are concatenated, arrays of bounded size at a time. The suffix order of all window
    starts is made by prefix doubling; neighbours in it have common prefixes; and the nearest smaller places on both sides of a suffix
    give its longest previous factor, the nearest greater places its longest later one. Windows are removed where such a factor has
    `length` bytes.
@@ -43,8 +46,8 @@ from tessera.cluster import shipped
 from tessera.llm.common import Scratch, written
 
 LENGTH, GRAM, CROWD, BAND = 200, 32, 10_000, 16
-#: Bytes that are hashed together, of segments that one task takes at a time, and of anchors' segments in one suffix array.
-PIECE, CHUNK, BATCH = 1 << 20, 4 << 20, 1 << 19
+#: Bytes that are hashed together (so few that their arrays stay in a core's cache), of segments that one task takes at a time, and of anchors' segments in one suffix array.
+PIECE, CHUNK, BATCH = 1 << 18, 4 << 20, 1 << 17
 MULTIPLY, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 SPAN = "array<struct<begin:int,end:int>>"
 
@@ -54,10 +57,8 @@ SPAN = "array<struct<begin:int,end:int>>"
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes at every place as one number that orders as they do, with zeros beyond the end."""
-    x = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
-    for width in (1, 2, 4):
-        x = x[:-width] << np.uint64(8 * width) | x[width:]
-    return x
+    padded = np.concatenate([data, np.zeros(7, np.uint8)])
+    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
@@ -90,20 +91,26 @@ def gram_of(length: int) -> int:
 
 def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, first, last, anchor): runs of windows with one anchor, by the places of their first and last window, and its hash."""
+    for text, first, last, _, anchor in led(texts, length):
+        yield text, first, last, anchor
+
+
+def led(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, first, last, lead, anchor): segments, and how far the anchor lies behind the first window's begin."""
     gram = gram_of(length)
     for group in _pieces([len(t) for t in texts], length):
         data = np.frombuffer(b"".join(texts[k][begin:end] for k, begin, end in group), np.uint8)
         text, begin, end = (np.array(x, np.int64) for x in zip(*group))
         stop = np.cumsum(end - begin)
         at, hashes = anchors(data, length, gram)
-        piece = np.repeat(np.arange(len(group)), end - begin)[: len(at)]
-        place = np.flatnonzero(np.arange(len(at)) + length <= stop[piece])
-        if len(place):
-            change = np.flatnonzero((np.diff(at[place]) != 0) | (np.diff(piece[place]) != 0))
-            first, last = place[np.append(0, change + 1)], place[np.append(change, len(place) - 1)]
-            own = piece[first]
-            moved = begin[own] - (stop - end + begin)[own]
-            yield text[own], first + moved, last + moved, hashes[at[first]].view(np.int64)
+        # a segment ends where the anchor changes and with its piece; what lies across two pieces is no window
+        edges = np.unique(np.concatenate([np.flatnonzero(at[1:] != at[:-1]) + 1, stop - (end - begin), stop - length + 1]))
+        edges = edges[edges <= len(at)]
+        own = np.searchsorted(stop, edges[:-1], side="right")
+        inside = edges[:-1] + length <= stop[own]
+        first, last, own = edges[:-1][inside], edges[1:][inside] - 1, own[inside]
+        moved = begin[own] - (stop - end + begin)[own]
+        yield text[own], first + moved, last + moved, at[first] - first, hashes[at[first]].view(np.int64)
 
 
 def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -121,18 +128,15 @@ def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]
         yield group
 
 
-def wanted(texts: list[bytes], lists: list[list[int] | None], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(text, first, last, anchor) of the segments whose anchor is in the text's list."""
-    asked = [(k, h) for k, own in enumerate(lists) for h in own or ()]
-    if not asked:
-        return
-    of, h = (np.array(x) for x in zip(*asked))
-    for text, first, last, anchor in segments(texts, length):
-        near = (of >= text[0]) & (of <= text[-1])
-        names, code = np.unique(np.concatenate([h[near], anchor]), return_inverse=True)
-        split = int(near.sum())
-        hit = np.isin(text * len(names) + code[split:], of[near] * len(names) + code[:split])
-        yield from zip(text[hit].tolist(), first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist())
+def named(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(text, first, last, lead, anchor), in order, of the segments in lists of {h, at}, one list for each text; at: first, last and lead of each as bytes."""
+    one = lists.flatten()
+    at = one.field("at").to_pylist()
+    many = np.array([len(x) // 12 for x in at], np.int64)
+    first, last, lead = np.frombuffer(b"".join(at), "<i4").reshape(-1, 3).T
+    text = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), many)
+    order = np.lexsort((first, text))
+    return tuple(x[order] for x in (text, first, last, lead, np.repeat(one.field("h").to_numpy(), many)))
 
 
 def bands(text: bytes, length: int, width: int) -> Iterator[tuple[int, int, bytes]]:
@@ -242,6 +246,26 @@ def previous_factors(place: np.ndarray, common: np.ndarray, least: int = 1) -> n
     return np.maximum(_nearest(place, common, least), _nearest(place[::-1], back, least)[::-1])
 
 
+def reach(parts: list[bytes], group: list[int]) -> np.ndarray:
+    """The longest prefix that each string has in common with another one of its group. In order, neighbours have it."""
+    order = sorted(range(len(parts)), key=lambda k: (group[k], parts[k]))
+    size, own = (np.array(x, np.int64)[order] for x in ([len(p) for p in parts], group))
+    wide = int(size.max()) + 1
+    rows = np.frombuffer(b"".join(parts[k].ljust(wide, b"\0") for k in order), np.uint8).reshape(-1, wide)
+    differ = rows[1:] != rows[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+    shared = np.minimum(shared, np.minimum(size[1:], size[:-1])) * (own[1:] == own[:-1])
+    out = np.empty(len(parts), np.int64)
+    out[order] = np.maximum(np.append(0, shared), np.append(shared, 0))
+    return out
+
+
+def cores(pieces: list[bytes], lead: list[int], group: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of what each segment, whose anchor lies at lead, may share with another one of its group: no window beyond that is in both."""
+    before = reach([p[at - 1 :: -1] if at else b"" for p, at in zip(pieces, lead)], group)
+    return np.array(lead) - before, np.array(lead) + reach([p[at:] for p, at in zip(pieces, lead)], group)
+
+
 def repeated_windows(pieces: list[bytes], length: int, keep: str) -> list[np.ndarray]:
     """Whether each window of each of the strings, in the order that makes earlier and later, is repeated."""
     sizes = np.array([len(p) for p in pieces])
@@ -275,49 +299,51 @@ def _sha(body: Column) -> Column:
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(h, sha, times): the anchors of every text, and in how many places of all its copies each stands."""
+    """(h, sha, places, at): the anchors of every text, in how many of its segments each stands, and first, last and lead of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            for text, _, _, anchor in segments(batch.column("text").to_pylist(), length):
+            for text, first, last, lead, anchor in led(batch.column("text").to_pylist(), length):
                 order = np.lexsort((anchor, text))
                 text, anchor = text[order], anchor[order]
                 begins = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])))
-                of = text[begins]
-                times = np.diff(np.append(begins, len(text))) * n[of]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[begins]), batch.column("sha").take(pa.array(of)), pa.array(times)], ["h", "sha", "times"])
+                ends = np.append(begins, len(text))
+                at = np.stack([first, last, lead], axis=1)[order].astype("<i4")
+                at = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((12 * ends).astype(np.int32)), pa.py_buffer(at.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[begins]), batch.column("sha").take(pa.array(text[begins])), pa.array(np.diff(ends)), at], ["h", "sha", "places", "at"])
 
-    return texts.select("sha", "n", "text").mapInArrow(run, "h long, sha binary, times long")
+    return texts.select("sha", "text").mapInArrow(run, "h long, sha binary, places long, at binary")
 
 
 def _segments(asked: DataFrame, length: int, whole: bool) -> DataFrame:
-    """(s1, s2, place, and with whole: times, h and bytes, else: last) of the segments that asked (sha, n, first, text, list) names.
+    """(s1, s2, place, and with whole: times, h, lead and bytes, else: last) of the segments in the lists of asked (sha, n, first, text, list).
 
     s1 and s2 are a segment's key; place is its text and its first window, in a form that orders. With whole a text's equal segments are one row.
     """
-    names = ["s1", "s2", "sha", "at", "first"] + (["times", "h", "bytes"] if whole else ["last"])
+    names = ["s1", "s2", "sha", "at", "first"] + (["times", "h", "lead", "bytes"] if whole else ["last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n = batch.column("text").to_pylist(), batch.column("n").to_pylist()
-            met: dict[tuple, list] = {}
-            for text, first, last, anchor in wanted(texts, batch.column("list").to_pylist(), length):
-                name = xxhash.xxh3_128_digest(texts[text][first : last + length])
-                row = met.get((text, name)) if whole else None
-                if row:
-                    row[2] += n[text]
-                else:
-                    met[(text, name) if whole else (text, name, first)] = [first, last, n[text], anchor, texts[text][first : last + length] if whole else None]
-            if met:
-                ids, of = np.frombuffer(b"".join(m[1] for m in met), "<i8").reshape(-1, 2), pa.array([m[0] for m in met], pa.int32())
-                at, last, times, h, own = zip(*met.values())
-                columns = [pa.array(ids[:, 0]), pa.array(ids[:, 1]), batch.column("sha").take(of), pa.array(at, pa.int32()), batch.column("first").take(of)]
-                columns += [pa.array(times, pa.int64()), pa.array(h, pa.int64()), pa.array(own, pa.binary())] if whole else [pa.array(last, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            texts = batch.column("text").to_pylist()
+            of, first, last, lead, h = named(batch.column("list"))
+            if not len(of):
+                continue
+            own = [texts[k][a:b] for k, a, b in zip(of.tolist(), first.tolist(), (last + length).tolist())]
+            keys = [xxhash.xxh3_128_digest(x) for x in own]
+            times = batch.column("n").to_numpy()[of]
+            if whole:
+                met: dict[tuple, int] = {}
+                row = np.array([met.setdefault(x, len(met)) for x in zip(of.tolist(), keys)])
+                new = np.unique(row, return_index=True)[1]
+                times = np.bincount(row, weights=times).astype(np.int64)
+                of, first, lead, h, own, keys = of[new], first[new], lead[new], h[new], [own[k] for k in new.tolist()], [keys[k] for k in new.tolist()]
+            ids, by = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2), pa.array(of)
+            columns = [pa.array(ids[:, 0]), pa.array(ids[:, 1]), batch.column("sha").take(by), pa.array(first), batch.column("first").take(by)]
+            columns += [pa.array(times), pa.array(h), pa.array(lead), pa.array(own, pa.binary())] if whole else [pa.array(last)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = asked.schema["first"].dataType.simpleString()
-    found = asked.select("sha", "n", "first", "text", "list").mapInArrow(run, f"s1 long, s2 long, sha binary, at int, first {kind}, " + ("times long, h long, bytes binary" if whole else "last int"))
+    found = asked.select("sha", "n", "first", "text", "list").mapInArrow(run, f"s1 long, s2 long, sha binary, at int, first {kind}, " + ("times long, h long, lead int, bytes binary" if whole else "last int"))
     return found.select("s1", "s2", F.struct("first", "sha", "at").alias("place"), *names[5:])
 
 
@@ -332,57 +358,63 @@ def _factors(distinct: DataFrame, length: int, keep: str, chunk: int) -> DataFra
 
     def run(group: pa.Table) -> pa.Table:
         # groups of one anchor, several of them to an array
-        own = group.column("h").to_numpy()
+        _, own, many = np.unique(group.column("h").to_numpy(), return_inverse=True, return_counts=True)
         sorted_ = np.argsort(own, kind="stable")
-        begins = np.flatnonzero(np.append(True, np.diff(own[sorted_]) != 0))
-        places, many, pieces = (group.column(c).to_pylist() for c in ("place", "n", "bytes"))
-        hit, marks, batch, held = [], [], [], 0
-        ends = np.append(begins[1:], len(own))
-        for begin, end in [*zip(begins.tolist(), ends.tolist()), (0, 0)]:
-            if batch and (held >= BATCH or not end):
-                batch.sort(key=lambda k: order((places[k],)))
-                for k, found in zip(batch, repeated_windows([pieces[k] for k in batch], length, keep)):
-                    if found.any() and (keep == "first" or many[k] == 1):
+        sorted_ = sorted_[many[own[sorted_]] > 1]
+        places, n, pieces, leads = (group.column(c).to_pylist() for c in ("place", "n", "bytes", "lead"))
+        hit, marks, batch, held = [], [], {}, 0
+        if len(sorted_):
+            begin, end = cores([pieces[k] for k in sorted_], [leads[k] for k in sorted_], own[sorted_].tolist())
+            some = np.flatnonzero(end - begin >= length)
+            of = own[sorted_[some]]
+            ends = np.append(of[1:] != of[:-1], True)[: len(of)]
+            for k, a, b, full in zip(sorted_[some].tolist(), begin[some].tolist(), end[some].tolist(), ends.tolist()):
+                batch[k] = a, b
+                held += b - a
+                if not full or (held < BATCH and k != sorted_[some[-1]]):
+                    continue
+                order_ = sorted(batch, key=lambda k: order((places[k],)))
+                for k, found in zip(order_, repeated_windows([pieces[k][slice(*batch[k])] for k in order_], length, keep)):
+                    if found.any() and (keep == "first" or n[k] == 1):
+                        all_ = np.zeros(len(pieces[k]) - length + 1, bool)
+                        all_[batch[k][0] : batch[k][0] + len(found)] = found
                         hit.append(k)
-                        marks.append(np.packbits(found).tobytes())
-                batch, held = [], 0
-            if end - begin > 1:
-                batch += sorted_[begin:end].tolist()
-                held += sum(len(pieces[k]) for k in sorted_[begin:end].tolist())
+                        marks.append(np.packbits(all_).tobytes())
+                batch, held = {}, 0
         return group.select(["s1", "s2", "place"]).take(pa.array(hit, pa.int64())).append_column("windows", pa.array(marks, pa.binary()))
 
     dealt = distinct.withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(-(-size // chunk) or 1)))
-    return dealt.select("chunk", "h", "s1", "s2", "n", "place", "bytes").groupBy("chunk").applyInArrow(run, schema)
+    return dealt.select("chunk", "h", "s1", "s2", "n", "place", "lead", "bytes").groupBy("chunk").applyInArrow(run, schema)
 
 
 def _counted(parts: DataFrame) -> DataFrame:
-    """(s1, s2, n, place, h, bytes): one row for each content, with its number and its first place."""
-    return parts.groupBy("s1", "s2").agg(F.sum("times").alias("n"), F.min("place").alias("place"), F.any_value("h").alias("h"), F.any_value("bytes").alias("bytes"))
+    """(s1, s2, n, place, h, lead, bytes): one row for each content, with its number and its first place. Equal segments have equal anchors."""
+    return parts.groupBy("s1", "s2").agg(F.sum("times").alias("n"), F.min("place").alias("place"), *[F.any_value(c).alias(c) for c in ("h", "lead", "bytes")])
 
 
 def _parts(crowded: DataFrame, length: int, width: int) -> DataFrame:
-    """(o1, o2, owner, all, s1, s2, place, at, last, times, h and bytes) of the bands of segments; o1, o2, owner and all: the segment's key, place and number of windows."""
-    names = ["o1", "o2", "all", "s1", "s2", "first", "sha", "begin", "at", "last", "times", "h", "bytes"]
+    """(o1, o2, owner, all, s1, s2, place, at, last, times, h, lead and bytes) of the bands of segments; o1, o2, owner and all: the segment's key, place and number of windows."""
+    names = ["o1", "o2", "all", "s1", "s2", "first", "sha", "begin", "at", "last", "times", "h", "lead", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, (own, h) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("h").to_pylist())):
+            for k, (own, h, lead) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bytes", "h", "lead")))):
                 for first, last, shared in bands(own, length, width):
                     anchor = xxhash.xxh3_64_digest(shared + h.to_bytes(8, "little", signed=True))
-                    rows.append((k, len(own) - length + 1, first, last, own[first : last + length], anchor))
-            of, every, at, last, own, anchor = zip(*rows) if rows else [()] * 6
+                    rows.append((k, len(own) - length + 1, first, last, own[first : last + length], anchor, lead - first))
+            of, every, at, last, own, anchor, lead = zip(*rows) if rows else [()] * 7
             ids, of = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), "<i8").reshape(-1, 2), pa.array(of, pa.int32())
             taken = {c: batch.column(c).take(of) for c in ("s1", "s2", "first", "sha", "begin", "n")}
             columns = [taken["s1"], taken["s2"], pa.array(every, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), taken["first"], taken["sha"], taken["begin"]]
-            columns += [pa.array(at, pa.int32()), pa.array(last, pa.int32()), taken["n"], pa.array(np.frombuffer(b"".join(anchor), "<i8")), pa.array(own, pa.binary())]
+            columns += [pa.array(at, pa.int32()), pa.array(last, pa.int32()), taken["n"], pa.array(np.frombuffer(b"".join(anchor), "<i8")), pa.array(lead, pa.int32()), pa.array(own, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    read = crowded.select("s1", "s2", "n", "h", "place.first", "place.sha", F.col("place.at").alias("begin"), "bytes")
+    read = crowded.select("s1", "s2", "n", "h", "place.first", "place.sha", F.col("place.at").alias("begin"), "lead", "bytes")
     kind = read.schema["first"].dataType.simpleString()
-    found = read.mapInArrow(run, f"o1 long, o2 long, all int, s1 long, s2 long, first {kind}, sha binary, begin int, at int, last int, times long, h long, bytes binary")
+    found = read.mapInArrow(run, f"o1 long, o2 long, all int, s1 long, s2 long, first {kind}, sha binary, begin int, at int, last int, times long, h long, lead int, bytes binary")
     place = lambda at: F.struct("first", "sha", at.alias("at"))
-    return found.select("o1", "o2", place(F.col("begin")).alias("owner"), "all", "s1", "s2", place(F.col("begin") + F.col("at")).alias("place"), "at", "last", "times", "h", "bytes")
+    return found.select("o1", "o2", place(F.col("begin")).alias("owner"), "all", "s1", "s2", place(F.col("begin") + F.col("at")).alias("place"), "at", "last", "times", "h", "lead", "bytes")
 
 
 def _hit(keep: str) -> Column:
@@ -486,9 +518,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
         texts = _texts(docs, key, text, scratch)
         long = texts.filter(F.octet_length("text") >= length)
         found = scratch.written(_anchors(long, length), "anchors")
-        often = found.groupBy("h").agg(F.sum("times").alias("times")).filter("times > 1")
-        mine = found.select("h", "sha").join(often.select("h"), "h")
-        asked = scratch.written(mine.groupBy("sha").agg(F.collect_list("h").alias("list")), "asked")
+        often = found.groupBy("h").agg(F.sum("places").alias("places")).filter("places > 1")
+        mine = found.select("h", "sha", "at").join(often.select("h"), "h")
+        asked = scratch.written(mine.groupBy("sha").agg(F.collect_list(F.struct("h", "at")).alias("list")), "asked")
         theirs = long.join(asked, "sha")
         distinct = scratch.written(_counted(_segments(theirs, length, True)), "segments", compression="zstd")
         told = _told(distinct, length, keep, crowd, chunk, scratch)

@@ -149,3 +149,63 @@ def test_bands_hold_every_window_once_and_equal_windows_share_the_same():
                         seen.append(w)
                 assert seen == list(range(b - a + 1))
         assert all(len(x) == 1 for x in shares.values()) and len(shares) < sum(len(t) - 99 for t in texts)
+
+
+def test_a_text_and_its_copies_alone_move_no_segments(spark, monkeypatch):
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    copied, passage = prose(600), prose(300)
+    rows = [(i, copied) for i in range(3)] + [(i, prose(500)) for i in range(3, 9)]
+    moved, segments = [], suffix_dedup._segments
+
+    def counted(*how):
+        made = segments(*how)
+        moved.append(made.count())
+        return made
+
+    monkeypatch.setattr(suffix_dedup, "_segments", counted)
+    for keep in ("none", "first"):
+        assert by_id(found(spark.createDataFrame(rows, "doc_id long, text string"), length=100, keep=keep)) == by_id(plain(rows, 100, keep))
+    assert max(moved) == 0
+    more = rows + [(9, prose(90) + copied[200:500] + prose(90)), (10, passage), (11, passage), (12, "x" + passage)]  # now others have windows of the copies
+    for keep in ("none", "first"):
+        assert by_id(found(spark.createDataFrame(more, "doc_id long, text string"), length=100, keep=keep)) == by_id(plain(more, 100, keep))
+    assert max(moved) > 0
+
+
+def test_segments_are_cut_to_what_they_may_share():
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [prose(n) for n in (60, 101, 150, 400)]  # the first is too short for a window of 100, but long enough for a common anchor
+    texts = [(prose(rng.randint(0, 150)) + passages[i % 4] + prose(rng.randint(0, 150))).encode() for i in range(40)] + [b"ab" * 120, b"ab" * 90, b"x" * 300]
+    pieces, leads, group, places = [], [], [], {}
+    for text, first, last, lead, anchor in suffix_dedup.led(texts, 100):
+        for t, a, b, at, h in zip(text.tolist(), first.tolist(), last.tolist(), lead.tolist(), anchor.tolist()):
+            for w in range(a, b + 1):
+                places.setdefault(texts[t][w : w + 100], set()).add(len(pieces))
+            pieces.append(texts[t][a : b + 100])
+            leads.append(at)
+            group.append(h)
+    begin, end = suffix_dedup.cores(pieces, leads, group)
+    for k, (own, a, b) in enumerate(zip(pieces, begin.tolist(), end.tolist())):
+        assert 0 <= a <= leads[k] <= b <= len(own)
+        for w in range(len(own) - 99):
+            assert len(places[own[w : w + 100]]) == 1 or a <= w and w + 100 <= b
+    several = [k for k in range(len(pieces)) if group.count(group[k]) > 1]
+    none = [k for k in several if end[k] - begin[k] < 100]
+    assert len(several) > len(none) > 5 and sum((end - begin)[k] for k in several if k not in none) < sum(len(pieces[k]) for k in several if k not in none)
+
+
+def test_segments_travel_by_their_places():
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("abcd ", k=n)).encode() for n in (500, 60, 3, 900)] + [b"x" * 80]
+    lists, wanted = [[] for _ in texts], []
+    for text, first, last, lead, anchor in suffix_dedup.led(texts, 40):
+        for row in zip(text.tolist(), first.tolist(), last.tolist(), lead.tolist(), anchor.tolist()):
+            wanted.append(row)
+            lists[row[0]].append({"h": row[4], "at": np.array(row[1:4], "<i4").tobytes()})
+    for own in lists:
+        rng.shuffle(own)
+    lists = suffix_dedup.pa.array(lists, suffix_dedup.pa.list_(suffix_dedup.pa.struct([("h", suffix_dedup.pa.int64()), ("at", suffix_dedup.pa.binary())])))
+    assert list(zip(*(x.tolist() for x in suffix_dedup.named(lists)))) == wanted
+    assert [len(x) for x in suffix_dedup.named(lists[2:3])] == [0] * 5
