@@ -74,3 +74,17 @@ def test_recall_holds_beyond_the_sample(spark, tmp_path):
     made = VectorIndex.build(table, f"file://{tmp_path}/i", k=10, sample=300)
     exact = vectors.batch_top_k(table, asked(table), 10).withColumnRenamed("vec_id", "id")
     assert vector_index.recall(made.top_k(asked(table), 10), exact).first().recall >= 0.9
+
+
+def test_questions_are_sent_and_rows_are_not_joined(rows, index, monkeypatch):
+    plan = index.top_k(asked(rows), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    whole = sorted(map(tuple, index.top_k(asked(rows), 10).collect()))
+    monkeypatch.setattr(vector_index, "BATCH", 5)
+    monkeypatch.setattr(vector_index, "PRODUCTS", 7)
+    assert whole and sorted(map(tuple, index.top_k(asked(rows), 10).collect())) == whole
+
+
+def test_a_cell_is_a_file_not_one_for_each_task(index):
+    cells = index.lists().select("cell").distinct().count()
+    assert len(index.lists().inputFiles()) == cells > 4
